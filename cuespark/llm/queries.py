@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, maxscore, sharding, tokenbin, warc
+from . import decontam, htmltext, jaccard, langid, maxscore, quality, sentencepieces, sharding, tokenbin, warc
 from .common import table
 
 
@@ -21,10 +21,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (unsigned 32-bit little-endian ids), text_crc32 of the decoded text, restored."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), path)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -33,6 +47,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digest(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
@@ -42,7 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op4_exact_topk, op6_token_binary, op7_warc, op9_html_extraction, op10_decontamination]
+    found = [
+        op1_sharding, op2_sentencepiece, op3_language_id, op4_exact_topk, op5_ngram_jaccard,
+        op6_token_binary, op7_warc, op8_quality, op9_html_extraction, op10_decontamination,
+    ]
     return {f.__name__: f for f in found}
 
 
