@@ -124,7 +124,7 @@ def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
     twos, m, spare = allocation(band, percent)
     if not m:
         return np.empty(0, np.uint64), np.empty(0, np.int64), 0
-    inner = mix(elements + np.uint64(band + 1) * _P1)
+    inner = mix(elements + np.uint64((band + 1) * int(_P1) & (1 << 64) - 1))
     segment = ((inner >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
     sums = np.zeros(m, np.uint64)
     np.add.at(sums, segment, inner)

@@ -1,9 +1,9 @@
 """Operator 8: quality classifier from weak labels.
 
 1. Heuristic labellers vote good (1), bad (-1) or nothing (0) on each whole text.
-2. The votes of all documents are counted by pattern (at most 3 to the number of
+2. The votes of all documents are counted by pattern (at most 2 to the number of
    labellers), and expectation-maximisation over the counts estimates each labeller's
-   accuracy, its share of votes by class, and the share of good documents.
+   accuracy and the share of good documents.
 3. Each pattern's posterior labels a bounded sample of texts (``sample`` for each class, by
    text hash), on which a hashed linear scorer learns by logistic regression.
 4. Every document gets the scorer's probability and the posterior of its votes.
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import pick
 
 _MARK = re.compile(r"[^\w\s]")
-_WORD = re.compile(r"\S+")
-_SCRIPT = re.compile(r"[^\W\d_]")
 
 
 def measure(text: str | None) -> dict[str, float] | None:
@@ -41,70 +39,67 @@ def measure(text: str | None) -> dict[str, float] | None:
     if not words:
         return None
     n, chars = len(words), len(text)
-    counts = Counter(words)
     marks = len(_MARK.findall(text))
-    lines = [s for line in text.split("\n") if (s := line.strip())]
+    pairs = Counter(zip(words, words[1:]))
     alpha = [w for w in words if w[-1].isalpha() or w[0].isalpha()]
-    upper = sum(map(str.isupper, words))
     return {
         "words": n,
         "marks": marks / chars,
         "ended": sum(not w[-1].isalnum() and w[-1] not in ".,;:!?\"')]}" for w in words) / n,
         "doubled": sum(len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum() for w in words) / n,
-        "upper": upper / n,
-        "top": counts.most_common(1)[0][1] / n,
-        "distinct": len(counts) / n,
-        "stuck": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "upper": sum(map(str.isupper, words)) / n,
+        "stuck": sum(k for (a, b), k in pairs.items() if a == b) / n,
+        "echo": 1 - len(pairs) / max(n - 1, 1) if n > 1 else 0.0,
+        "stops": sum(w[-1] in ".!?" for w in words) / n,
         "pipes": words.count("|") / n,
         "letters": len(alpha) / n,
-        "lines": len(set(lines)) / len(lines),
-        "length": sum(map(len, words)) / n,
     }
 
 
-#: name: (measure, good below, bad from) - between both a labeller abstains.
+def _natural(m: dict[str, float]) -> bool:
+    return m["ended"] < 0.05 and m["doubled"] < 0.05 and m["upper"] < 0.15 and m["stuck"] < 0.05 and m["pipes"] < 0.02 and m["letters"] > 0.8 and m["echo"] < 0.4
+
+
+#: name: (vote, when); a labeller votes one way or abstains.
 LABELLERS = {
-    "symbol_ends": ("ended", 0.02, 0.2),
-    "doubled_marks": ("doubled", 0.02, 0.2),
-    "marks": ("marks", 0.05, 0.12),
-    "capitals": ("upper", 0.1, 0.4),
-    "stutter": ("stuck", 0.02, 0.2),
-    "pipes": ("pipes", 0.01, 0.15),
-    "no_letters": ("no_letters", 0.15, 0.4),
-    "repeated_words": ("repeated", 0.7, 0.9),
+    "symbol_ends": (-1, lambda m: m["ended"] >= 0.2),
+    "doubled_marks": (-1, lambda m: m["doubled"] >= 0.2),
+    "many_marks": (-1, lambda m: m["marks"] >= 0.12 and m["words"] >= 10),
+    "capitals": (-1, lambda m: m["upper"] >= 0.4 and m["words"] >= 10),
+    "pipes": (-1, lambda m: m["pipes"] >= 0.1),
+    "cells": (-1, lambda m: m["letters"] < 0.65 and m["words"] >= 10),
+    "stutter": (-1, lambda m: m["stuck"] >= 0.2 and m["words"] >= 10),
+    "echo": (-1, lambda m: m["echo"] >= 0.6 and m["words"] >= 20),
+    "natural": (1, _natural),
+    "sentences": (1, lambda m: _natural(m) and 0.01 <= m["stops"] <= 0.34),
 }
 
 
-def votes(text: str | None) -> list[int]:
+def votes(text: str | None) -> str:
+    """One of ``+``, ``-`` and ``0`` for each labeller; empty without a word."""
     got = measure(text)
-    if got is None:
-        return [-1] * len(LABELLERS)
-    got |= {"no_letters": 1 - got["letters"], "repeated": 1 - got["distinct"] if got["words"] >= 20 and got["words"] <= 2000 else 0.8}
-    return [1 if got[k] < good else -1 if got[k] >= bad else 0 for k, good, bad in LABELLERS.values()]
+    return "" if got is None else "".join(("-+"[vote > 0] if when(got) else "0") for vote, when in LABELLERS.values())
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: (posterior of good by pattern, vote shares, share of good).
+    """EM over vote patterns: (posterior of good by pattern, accuracies, share of good).
 
-    ``shares[c, j, v]`` is how often labeller j votes v (-1, 0, 1) on class c (bad, good).
-    A labeller's accuracy on a class is the share of its votes there that name that class.
+    A labeller that votes is right with its accuracy; abstaining says nothing.  Accuracies have a
+    weak prior of 0.8 and stay above 0.55 and below 0.99, so labellers keep their meaning.
     """
-    n, k = patterns.shape
-    good = np.where((patterns == -1).sum(axis=1) > 0, 0.1, 0.9)  # to begin with, any bad vote counts against
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    shares = np.zeros((2, k, 3))
-    prior = 0.5
+    accuracy, prior = np.full(patterns.shape[1], 0.8), 0.5
+    good = np.full(len(patterns), 0.5)
     for _ in range(rounds):
-        for c, p in enumerate((1 - good, good)):
-            w = p * counts
-            shares[c] = (np.einsum("i,ijv->jv", w, onehot) + 1) / (w.sum() + 3)
-        prior = float((good @ counts + 1) / (counts.sum() + 2))
-        log = np.einsum("ijv,cjv->ci", onehot, np.log(shares)) + np.log([[1 - prior], [prior]])
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        weight = np.log(accuracy / (1 - accuracy))
+        new = 1 / (1 + np.exp(-np.clip(patterns @ weight + np.log(prior / (1 - prior)), -50, 50)))
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
-    return good, shares, prior
+        right = np.where(patterns > 0, good[:, None], np.where(patterns < 0, 1 - good[:, None], 0.0))
+        voted = (patterns != 0) * counts[:, None]
+        accuracy = np.clip(((right * counts[:, None]).sum(axis=0) + 8) / (voted.sum(axis=0) + 10), 0.55, 0.99)
+        prior = float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.2, 0.8))
+    return good, accuracy, prior
 
 
 class HashedLinear:
@@ -167,7 +162,7 @@ def label(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            got = ["".join("-0+"[v + 1] for v in votes(t)) if t and t.strip() else "" for t in texts]
+            got = [votes(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["doc_id", "votes"])
 
     return rows.select("doc_id", "text").mapInArrow(run, _FEATURES.format(id=kind))
@@ -178,7 +173,7 @@ Model = tuple[dict[str, float], HashedLinear | None]
 
 def train(rows: DataFrame, sample: int = 1000, bits: int = 16) -> Model:
     """Posteriors by vote pattern, and the scorer, from all rows (doc_id, text)."""
-    counted = label(rows).groupBy("votes").count().where("votes <> ''").collect()  # at most 3 ** labellers rows
+    counted = label(rows).groupBy("votes").count().where("votes <> ''").collect()  # at most 2 ** labellers rows
     table: dict[str, float] = {}
     if counted:
         patterns = np.array([["-0+".index(c) - 1 for c in r["votes"]] for r in counted])
@@ -192,7 +187,7 @@ def judge(model: Model, text: str | None) -> tuple[str, float, float, bool]:
     if not text or not text.strip():
         return "", 0.0, 0.0, False
     table, scorer = model
-    pattern = "".join("-0+"[v + 1] for v in votes(text))
+    pattern = votes(text)
     posterior = table.get(pattern, 0.5)
     score = posterior if scorer is None else scorer.score(text)
     return pattern, posterior, score, posterior >= 0.5 or score >= 0.5
@@ -241,7 +236,7 @@ def _train(rows: DataFrame, table: dict[str, float], counts: dict[str, int], sam
                 place = xxhash.xxh64_intdigest(text.encode()) % span
                 if place >= max(limits):
                     continue
-                posterior = table.get("".join("-0+"[v + 1] for v in votes(text)), 0.5)
+                posterior = table.get(votes(text), 0.5)
                 if place < limits[posterior >= 0.5]:
                     yield pa.RecordBatch.from_pydict({"place": [place], "good": [posterior], "text": [text]})
 
