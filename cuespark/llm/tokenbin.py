@@ -18,10 +18,10 @@ Texts of any length are encoded whole; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,44 +165,94 @@ class TokenFileReader:
         return ids[start - first * BLOCK : stop - first * BLOCK]
 
 
+# Fixed values of byte-level BPE: the pattern of its pieces, and the bytes that stand for themselves.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
 class CachedEncoder:
-    """The tokenizers library's ids, with each distinct word encoded once.
+    """The tokenizers library's ids, with each distinct word and piece encoded once.
 
     The byte-level pre-tokenizer ends a piece before every blank that no white space
     precedes, so the words between such blanks, each with its blank in front, are encoded
-    on their own without any change of the ids.  Texts with white space before a blank, or
-    with a special token's string, go to the library whole.
+    on their own without any change of the ids.  New words of Latin letters are cut into pieces together,
+    and the library's BPE model encodes new pieces.  Other words, texts with white space before
+    a blank, and texts of other kinds of tokenizers go to the library whole.
     """
 
-    KEEP = 400_000
+    KEEP = 600_000
+    TOGETHER = 500
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s ", *special]))
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before, special = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens") or []]
+        #: without these there are no short cuts
+        self.short = (
+            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and spec.get("normalizer") is None and not any(c.isspace() for t in special for c in t)
+        )
+        self.special = special
+        self.cut = regex.compile(PIECE).findall
+        rest = iter(range(256, 512))
+        self.letters = {b: chr(b if b in PLAIN else next(rest)) for b in range(256)}
+        self.model = self.tokenizer.model
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        got = self.pieces.get(text)
+        if got is None:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return got
+
+    def learn(self, new: set[str]) -> None:
+        """Add the ids of words that neither are empty nor end in white space."""
+        if len(self.pieces) > self.KEEP:
+            self.pieces.clear()
+        odd, plain = [], []
+        for w in new:
+            (plain if max(w) < "\u0250" and not any(t in w for t in self.special) else odd).append(w)
+        piece = self.piece
+        for i in range(0, len(plain), self.TOGETHER):
+            part = plain[i : i + self.TOGETHER]
+            found: list[list[bytes]] = []
+            for p in self.cut(" " + " ".join(part)):
+                if p[0] == " ":
+                    found.append([])
+                found[-1].append(piece(p))
+            if len(found) == len(part):
+                self.words.update(zip(part, map(b"".join, found)))
+            else:
+                odd += part
+        self.words.update(zip(odd, self.ids([" " + w for w in odd])))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Little-endian u32 ids of each text."""
         if len(self.words) > self.KEEP:
             self.words.clear()
-        words = self.words
-        for text in texts:
-            if self.whole.search(text):
+        known = self.words.get
+        split = [t.split(" ") if self.short else [] for t in texts]
+        new = {w for words in split for w in words[1:]}.difference(self.words)
+        self.learn({w for w in new if w and not w[-1].isspace()})
+        firsts = iter(self.ids([words[0] if words else "" for words in split]))
+        for text, words, first in zip(texts, split, firsts):
+            got = list(map(known, words[1:]))
+            if not words or None in got or words[0][-1:].isspace():
                 yield np.frombuffer(self.ids([text])[0], "<u4")
-                continue
-            first, *rest = text.split(" ")
-            new = [w for w in {*rest} if w not in words]
-            for i in range(0, len(new), 1000):
-                part = new[i : i + 1000]
-                words.update(zip(part, self.ids([" " + w for w in part])))
-            yield np.frombuffer(self.ids([first])[0] + b"".join(map(words.__getitem__, rest)), "<u4")
+            else:
+                yield np.frombuffer(first + b"".join(got), "<u4")
 
 
 _encoders: dict[str, CachedEncoder] = {}
