@@ -77,11 +77,16 @@ def word_to_word(words: Column, before: int, after: int) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Letter n-grams of ``#w1#w2#``; they cross word borders and keep their order and repeats."""
-    p = F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#"))
-    count = F.length(p) - n + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(p, i, F.lit(n)))
+    """Letter n-grams of ``#w1#w2#``; they cross word borders and keep their order and repeats.
+
+    Shifted character lists are zipped, which takes a time linear in the text (a substring at a
+    place has to walk there).
+    """
+    chars = F.split(F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#")), "")
+    grams = chars
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.slice(grams, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
 
 
 def counted_words(c: Column, lower_case: bool = False) -> Column:
