@@ -61,7 +61,8 @@ def shard_documents(
     shard = rendezvous(F.col("doc_id"), weights)
     grown = rendezvous(F.col("doc_id"), [*weights, grown_weight]) if grown_weight else F.lit(None).cast("int")
     buckets = max(8, -(-rows.count() // (rows_per_bucket * len(weights))))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")))
+    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
     keyed = rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
