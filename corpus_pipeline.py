@@ -14,8 +14,8 @@ from cuespark.llm import decontam, jaccard, langid, quality, sentencepieces
 from cuespark.llm.common import materialise, table
 from cuespark.llm.queries import tokenizer_file
 
-#: Documents whose language is less certain than this are rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Documents with a lower score are rejected; four languages that are as likely have 0.25 each.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import materialise, pick, remove, scratch
 from .components import connected_components
 
 #: Keys of more sets than this count as frequent.
 FREQUENT = 16
-#: Keys of three sets or more are broadcast up to this number (8 bytes each), else joined.
-BROADCAST_KEYS = 400_000
+#: Tables of a few numbers a row (keys, ids, pairs) are broadcast up to this many rows, counted first; larger ones are joined.
+BROADCAST_ROWS = 1_000_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -141,13 +141,11 @@ def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
     return mix(values + names), which, max(left, -1)
 
 
-_TAG_LEFT, _TAG_BAND = 20, 6
-
-
 def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, tags) of a set in its band and, where larger sets may link with it, the next.
 
-    A tag packs band, spare capacity left, and segment.
+    A tag packs segment (16 bits), spare capacity left (9 bits) and band (6 bits).  With more segments
+    than that nothing is left out, and more spare capacity than that isn't used; both keep the result.
     """
     n = len(elements)
     band = int(np.searchsorted(bands(), n, "right")) - 1
@@ -157,16 +155,17 @@ def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
             continue
         keys, segment, left = keys_of(elements, b, percent)
         all_keys.append(keys)
-        tags.append((np.int64(b) << 40) | (np.int64(left + 1) << _TAG_LEFT) | segment)
-    keys, tag = np.concatenate(all_keys), np.concatenate(tags).astype(np.int64)
+        room = min(left + 1, 511) if allocation(b, percent)[1] <= 1 << 16 else 0
+        tags.append((b << 25) | (room << 16) | (segment & 0xFFFF))
+    keys, tag = np.concatenate(all_keys), np.concatenate(tags).astype(np.int32)
     return keys.view(np.int64), tag
 
 
-_BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64()))])
+_BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
 
 
-def _base(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rid, doc_id, n, print (of the set, 128 bits), keys, tags of every document."""
+def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
+    """rid, doc_id, n, print (of the set, 128 bits), keys, tags of every document; and their folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -180,18 +179,22 @@ def _base(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     elements = shingles(text, width, known)
                     ns.append(len(elements))
                     prints.append(xxhash.xxh128_digest(elements.tobytes()) if len(elements) else None)
-                    a, b = signatures(elements, percent) if len(elements) else (np.empty(0, np.int64),) * 2
+                    a, b = signatures(elements, percent) if len(elements) else (np.empty(0, np.int64), np.empty(0, np.int32))
                     keys.append(a)
                     tags.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((batch.column(0).to_pylist(), ns, prints, keys, tags), _BASE)], schema=_BASE)
 
-    found = rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>, tags array<long>")
-    return materialise(found.select(F.monotonically_increasing_id().alias("rid"), "*"), "shingle-keys")
+    found = rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>, tags array<int>")
+    path = scratch(rows.sparkSession, "shingle-keys")
+    found = found.select(F.monotonically_increasing_id().alias("rid"), "*")
+    found.write.parquet(path)
+    return rows.sparkSession.read.schema(found.schema).parquet(path), path
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """rid, elements of the wanted (rid, doc_id, print), read from their texts once more."""
-    texts = rows.join(wanted.select("rid", "print", F.col("doc_id").alias("own")), F.col("doc_id").eqNullSafe(F.col("own"))).select("rid", "print", "text")
+    wanted = materialise(wanted, "wanted")
+    texts = rows.join(_small(wanted.select("rid", "print", F.col("doc_id").alias("own"))), F.col("doc_id").eqNullSafe(F.col("own"))).select("rid", "print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -202,13 +205,33 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     known.clear()
                 rids, out = [], []
                 for rid, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    data = shingles(text, width, known).tobytes()
-                    if xxhash.xxh128_digest(data) == own:  # of rows with one id, those of this class
+                    elements = shingles(text, width, known)
+                    if xxhash.xxh128_digest(elements.tobytes()) == own:  # of rows with one id, those of this class
                         rids.append(rid)
-                        out.append(data)
+                        out.append(_narrow(elements))
                 yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.binary())], ["rid", "elements"])
 
-    return materialise(texts.mapInArrow(run, "rid long, elements binary").dropDuplicates(["rid"]), "shingle-sets")
+    found = materialise(texts.mapInArrow(run, "rid long, elements binary"), "shingle-sets")
+    if found.count() > wanted.count():  # rows with equal ids and equal texts
+        found = materialise(found.groupBy("rid").agg(F.first("elements").alias("elements")), "shingle-sets")
+    return found
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a table that was counted and is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _narrow(elements: np.ndarray) -> bytes:
+    """The upper 48 bits of each element; enough to compare two sets, and a quarter less to send."""
+    return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _wide(data: pa.Buffer) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :6] = part
+    return out.view("<u8").ravel()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +241,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                p, q = _wide(x.as_buffer()), _wide(y.as_buffer())
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -226,7 +249,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("x")), "a")
+    one = _small(pairs).join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("x")), "a")
     two = one.join(sets.select(F.col("rid").alias("b"), F.col("elements").alias("y")), "b")
     return materialise(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
@@ -236,24 +259,21 @@ def _pairs(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("rid").alias("a")).join(members.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b")
 
 
-def _candidates(classes: DataFrame, base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(classes: DataFrame, base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(pairs to verify, members (key, rid, hub) of frequent keys that remain)."""
-    reps = classes.select("rid")
-    rows = base.select("rid", "keys", "tags").join(reps, "rid", "left_semi")
+    rows = base.select("rid", "keys", "tags").join(_small(copies), "rid", "left_anti")  # a set of each class
     rows = rows.select("rid", F.explode(F.arrays_zip("keys", "tags")).alias("e")).select(F.col("e.keys").alias("key"), F.col("e.tags").alias("tag"), "rid")
     # one-deletion keys repeat within a set only by chance; counting them twice does no harm
     counts = materialise(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi"), "key-counts")
     twos = counts.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = counts.where("c > 2").select("key", "c")
-    if more.count() <= BROADCAST_KEYS:
-        more = F.broadcast(more)
+    more = _small(counts.where("c > 2").select("key", "c"))
     members = materialise(rows.join(more, "key"), "key-members")
     few = members.where(F.col("c") <= FREQUENT).select("key", "rid")
     many = members.where(F.col("c") > FREQUENT)
     if many.isEmpty():
         return twos.unionAll(_pairs(few)).distinct(), None
     # a set leaves out its frequent segments while their capacity fits into what is left of the spare one
-    band, left, segment = F.shiftright("tag", 40), F.shiftright("tag", _TAG_LEFT).bitwiseAND(0xFFFFF) - 1, F.col("tag").bitwiseAND(0xFFFFF)
+    band, left, segment = F.shiftright("tag", 25), F.shiftright("tag", 16).bitwiseAND(0x1FF) - 1, F.col("tag").bitwiseAND(0xFFFF)
     capacity = F.when(segment < _twos(percent, band), 2).otherwise(1)
     frequent = many.select("rid", band.alias("band"), left.alias("room"), segment.alias("segment"), capacity.alias("capacity")).distinct()
     stay = frequent.groupBy("rid", "band").agg(F.sum("capacity").alias("used"), F.max("room").alias("room")).where("used > room").select("rid", "band")
@@ -282,13 +302,16 @@ def _twos(percent: int, band):
 def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = _base(rows, width, percent)
+    keyed, folder = _base(rows, width, percent)
+    base = materialise(keyed.select("rid", "doc_id", "n", "print"), "prints")
     full = base.where("n > 0")
     classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    pairs, many = _candidates(classes, base, percent)
+    copies = full.join(classes.select("print", F.col("rid").alias("first")), "print").where("rid <> first").select("rid")
+    pairs, many = _candidates(classes, keyed, materialise(copies, "copies"), percent)
     size = classes.select("rid", "n")
     sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     pairs = materialise(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    remove(rows.sparkSession, folder)  # the keys have done their work
     named = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     if many is not None:
         named = named.unionAll(many.select("rid"))
