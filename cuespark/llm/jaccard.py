@@ -40,6 +40,10 @@ from pyspark.sql import functions as F
 from .common import materialise, pick, remove, scratch
 from .components import connected_components
 
+#: Words whose hashes a task keeps; then it starts afresh.
+KNOWN_WORDS = 100_000
+#: Pairs of sets that a task holds at once.
+PAIRS_AT_ONCE = 128
 #: Keys of more sets than this count as frequent.
 FREQUENT = 16
 #: Tables of a few numbers a row (keys, ids, pairs) are broadcast up to this many rows, counted first; larger ones are joined.
@@ -172,7 +176,7 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 ns, prints, keys, tags = [], [], [], []
                 for text in batch.column(1).to_pylist():
@@ -201,7 +205,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 rids, out = [], []
                 for rid, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -211,7 +215,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                         out.append(_narrow(elements))
                 yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.binary())], ["rid", "elements"])
 
-    found = materialise(texts.mapInArrow(run, "rid long, elements binary"), "shingle-sets")
+    found = materialise(texts.mapInArrow(run, "rid long, elements binary"), "shingle-sets", 256)
     if found.count() > wanted.count():  # rows with equal ids and equal texts
         found = materialise(found.groupBy("rid").agg(F.first("elements").alias("elements")), "shingle-sets")
     return found
@@ -251,7 +255,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = _small(pairs).join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("x")), "a")
     two = one.join(sets.select(F.col("rid").alias("b"), F.col("elements").alias("y")), "b")
-    return materialise(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    return materialise(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified", PAIRS_AT_ONCE)
 
 
 def _pairs(members: DataFrame) -> DataFrame:
