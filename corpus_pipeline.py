@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", token_ids),
 ]
 
-#: Classifiers and near-duplicate components of trained scores are beyond SQL; tests hold the stages against brute force.
+#: Trained classifiers are beyond SQL; tests hold the stages' operators, not yet the stages themselves, against brute force.
 ORACLE_SQL: str | None = None
 
 
