@@ -6,10 +6,14 @@ into segments; each segment has capacity 1 (its subset is indexed) or 2 (its sub
 one-deletion neighbours are).  With capacities of more than H together, similar sets
 share an index key (pigeonhole).  A cost model picks the numbers of both kinds and spare capacity for each band.
 
-Spare capacity lets a set leave out keys: its empty segments, and segments with keys that
-many sets have (boilerplate), while their capacity together is no more than the spare one.  The
-remaining segments still have more than H, and a key that counts as frequent does so for either
-set, so no pair is lost.
+A set of a band indexes only its last segments, of capacity D + 1 plus the spare one, where D is the
+most by which it can differ from any set of the band that it links with.  Of two sets' ranges one
+holds the other, and their difference is no more than either D, so the shorter range is enough.
+
+Spare capacity lets a set leave out keys: its empty segments, the deletion in one-element
+segments (which matches empty ones), and segments with keys that many sets have (boilerplate), while
+their capacity together is no more than the spare one.  What is left of any range still has more than
+its D, and a key that counts as frequent does so for either set, so no pair is lost.
 
 1. Equal sets are one class; only one set of each class goes on.
 2. Keys of few sets give all their pairs.  Keys of many give each set's pairs with the
@@ -110,35 +114,47 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
             twos = math.ceil(need * part / 2)
             m = twos + max(0, need - 2 * twos)
             size = least / m
-            empty = m * math.exp(-size)
-            want = math.ceil((2 if part == 1.0 else 1) * (empty + 2 * math.sqrt(empty) + 0.02 * m + 1))
+            empty = math.exp(-size) * (m - twos + twos * (2 + size))
+            want = math.ceil(empty + 2 * math.sqrt(empty) + 0.02 * m + 1)
             if want <= spare:
                 break
             spare = want
         written = (m - twos) + twos * (1 + low * 1.2 / m)
-        alike = 30 * m * math.exp(-1.5 * size)  # what short subsets cost in pairs that don't link
+        short = m * math.exp(-1.5 * size) + twos * size * math.exp(-1.5 * (size - 1))  # a neighbour has an element less
+        alike = 30 * short  # what short subsets cost in pairs that don't link
         cost = written + alike
         if best is None or cost < best[0]:
             best = cost, twos, m, spare
     return best[1:]
 
 
+def first_segment(n: int, band: int, percent: int) -> int:
+    """Where the range of segments starts that a set of ``n`` elements indexes in a band."""
+    twos, m, spare = allocation(band, percent)
+    largest = min(bands()[band + 1] - 1, n * 100 // percent)
+    need = difference(n + largest, percent) + 1 + spare
+    ones = m - twos
+    return m - need if need <= ones else max(0, twos - -(-(need - ones) // 2))
+
+
 def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Index keys of a set in a band, the segment of each, and what spare capacity is left (-1: none)."""
     twos, m, spare = allocation(band, percent)
     if not m:
         return np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    start = first_segment(len(elements), band, percent)
     inner = mix(elements + np.uint64((band + 1) * int(_P1) & (1 << 64) - 1))
     segment = ((inner >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
     sums = np.zeros(m, np.uint64)
     np.add.at(sums, segment, inner)
-    has = np.bincount(segment, minlength=m) > 0
-    empty = int((~has).sum() + (~has[:twos]).sum())
-    left = spare - empty
-    which = np.flatnonzero(has) if left >= 0 else np.arange(m)
+    held = np.bincount(segment, minlength=m)
+    left = spare - int((held[start:] == 0).sum() + (held[start:twos] < 2).sum())
+    which = np.flatnonzero(held[start:]) + start if left >= 0 else np.arange(start, m)
     values = sums[which]
-    if twos:
-        in_two = segment < twos
+    if start < twos:
+        in_two = (segment >= start) & (segment < twos)
+        if left >= 0:
+            in_two &= held[segment] > 1
         which = np.concatenate([which, segment[in_two]])
         values = np.concatenate([values, sums[segment[in_two]] - inner[in_two]])
     names = mix(np.uint64(band << 32) + which.astype(np.uint64))
