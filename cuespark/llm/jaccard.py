@@ -52,6 +52,8 @@ PAIRS_AT_ONCE = 128
 FREQUENT = 16
 #: Tables of a few numbers a row (keys, ids, pairs) are broadcast up to this many rows, counted first; larger ones are joined.
 BROADCAST_ROWS = 1_000_000
+#: What a set with more empty segments than its spare capacity costs, in keys a segment: it meets all others of that kind.
+UNFIT = 1_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -108,23 +110,19 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     least = max(1, low * percent // 100)
     best = None
     for part in (0.0, 0.25, 0.5, 1.0):  # of the capacity, by segments of capacity 2
-        spare = 0
-        for _ in range(20):
+        for spare in sorted({round(h * f) + k for f in (0, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.5) for k in (0, 1, 2, 3, 5, 8)}):
             need = h + 1 + spare
             twos = math.ceil(need * part / 2)
             m = twos + max(0, need - 2 * twos)
             size = least / m
-            empty = math.exp(-size) * (m - twos + twos * (2 + size))
-            want = math.ceil(empty + 2 * math.sqrt(empty) + 0.02 * m + 1)
-            if want <= spare:
-                break
-            spare = want
-        written = (m - twos) + twos * (1 + low * 1.2 / m)
-        short = m * math.exp(-1.5 * size) + twos * size * math.exp(-1.5 * (size - 1))  # a neighbour has an element less
-        alike = 30 * short  # what short subsets cost in pairs that don't link
-        cost = written + alike
-        if best is None or cost < best[0]:
-            best = cost, twos, m, spare
+            left_out = math.exp(-size) * (m - twos + twos * (2 + size))
+            unfit = 0.5 * math.erfc((spare + 0.5 - left_out) / math.sqrt(2 * left_out + 1e-9))
+            written = (m - twos) + twos * (1 + low * 1.2 / m)
+            short = m * math.exp(-1.5 * size) + twos * size * math.exp(-1.5 * max(0.0, size - 1))  # a neighbour has an element less
+            # what short subsets cost in pairs that don't link, and sets whose empty segments must be written
+            cost = written + 30 * short + UNFIT * m * unfit
+            if best is None or cost < best[0]:
+                best = cost, twos, m, spare
     return best[1:]
 
 
