@@ -19,8 +19,12 @@ its D, and a key that counts as frequent does so for either set, so no pair is l
 2. Keys of few sets give all their pairs.  Keys of many give each set's pairs with the
    key's hub, the member that shares most keys.  Pairs are verified exactly on the sets.
 3. Components of these links; then, within the frequent keys, every member outside of
-   the hub's component is paired with all members of other components, and verified.
-   Pairs inside a component need no check: they can link nothing new.
+   the hub's component is held against all members of other components.  Pairs inside a
+   component need no check: they can link nothing new.
+
+Every join of pairs has the exact bounds of ``_may_link`` in its condition: sizes, and a parity sketch,
+whose differing bits are never more than the elements in which two sets differ.  So a pair that the
+bounds rule out is never emitted; the others are verified.
 
 The result is exact: the components of all links.  Nothing is capped.
 
@@ -33,12 +37,13 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, pick, remove, scratch
@@ -54,6 +59,8 @@ FREQUENT = 16
 BROADCAST_ROWS = 1_000_000
 #: What a set with more empty segments than its spare capacity costs, in keys a segment: it meets all others of that kind.
 UNFIT = 1_000
+#: Words of a set's parity sketch: of 512 bits each tells whether an odd number of elements fall on it.
+SKETCH = [f"s{i}" for i in range(8)]
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -179,11 +186,19 @@ def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
     return keys.view(np.int64), tag
 
 
-_BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements on each of 512 bits, as 8 words."""
+    odd = np.bincount((elements >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+_BASE = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), *[(s, pa.int64()) for s in SKETCH]]
+)
 
 
 def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """rid, doc_id, n, print (of the set, 128 bits), keys, tags of every document; and their folder."""
+    """rid, doc_id, n, print (of the set, 128 bits), keys, tags, sketch words of every document; and their folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -192,7 +207,7 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
                 batch = whole.slice(k, 256)
                 if len(known) > KNOWN_WORDS:
                     known.clear()
-                ns, prints, keys, tags = [], [], [], []
+                ns, prints, keys, tags, sketches = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     elements = shingles(text, width, known)
                     ns.append(len(elements))
@@ -200,9 +215,11 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
                     a, b = signatures(elements, percent) if len(elements) else (np.empty(0, np.int64), np.empty(0, np.int32))
                     keys.append(a)
                     tags.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((batch.column(0).to_pylist(), ns, prints, keys, tags), _BASE)], schema=_BASE)
+                    sketches.append(sketch(elements))
+                columns = (batch.column(0).to_pylist(), ns, prints, keys, tags, *np.array(sketches).reshape(-1, len(SKETCH)).T)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BASE)], schema=_BASE)
 
-    found = rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>, tags array<int>")
+    found = rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>, tags array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
     path = scratch(rows.sparkSession, "shingle-keys")
     found = found.select(F.monotonically_increasing_id().alias("rid"), "*")
     found.write.parquet(path)
@@ -272,6 +289,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified", PAIRS_AT_ONCE)
 
 
+def _sized(table: DataFrame, name: str, *more: str) -> DataFrame:
+    """rid as ``name``, and n, the sketch and ``more`` with the name before theirs."""
+    return table.select(F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH, *more)])
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes and sketches of a and b leave it open that they link; a bound, which loses no link."""
+    a, b = F.col("a_n"), F.col("b_n")
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH])
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart * (100 + percent) <= (100 - percent) * (a + b))
+
+
 def _pairs(members: DataFrame) -> DataFrame:
     """All pairs of the members (key, rid) of each key; for keys of few members."""
     return members.select("key", F.col("rid").alias("a")).join(members.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b")
@@ -321,14 +350,12 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     """doc_id, n_shingles, component_id of every document."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed, folder = _base(rows, width, percent)
-    base = materialise(keyed.select("rid", "doc_id", "n", "print"), "prints")
+    base = materialise(keyed.select("rid", "doc_id", "n", "print", *SKETCH), "prints")
     full = base.where("n > 0")
-    classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+    classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]), "classes")
     copies = full.join(classes.select("print", F.col("rid").alias("first")), "print").where("rid <> first").select("rid")
     pairs, many = _candidates(classes, keyed, materialise(copies, "copies"), percent)
-    size = classes.select("rid", "n")
-    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    pairs = materialise(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    pairs = materialise(pairs.join(_sized(classes, "a"), "a").join(_sized(classes, "b"), "b").where(_may_link(percent)).select("a", "b"), "pairs")
     remove(rows.sparkSession, folder)  # the keys have done their work
     named = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     if many is not None:
@@ -341,12 +368,13 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         of = lambda c, to: many_roots.select(F.col("node").alias(c), F.col("root").alias(to))
         many_roots = materialise(roots, "roots")
         own = many.join(of("rid", "root"), "rid", "left").join(of("hub", "hub_root"), "hub", "left")
-        own = materialise(own.select("key", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")), "rooted")
-        outside = own.where("root <> hub_root").select("key", F.col("rid").alias("a"), F.col("root").alias("ra"))
-        cross = outside.join(own.select("key", F.col("rid").alias("b"), F.col("root").alias("rb"), "hub_root"), "key").where("ra <> rb and (rb = hub_root or a < b)")
+        own = own.select("key", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+        own = materialise(own.join(classes.select("rid", "n", *SKETCH), "rid"), "rooted")
+        outside = _sized(own.where("root <> hub_root"), "a", "key", "root")
+        other = _sized(own, "b", "key", "root", "hub_root")
+        cross = outside.join(other, F.expr("a_key = b_key and a_root <> b_root and (b_root = b_hub_root or a < b)") & _may_link(percent))
         cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = cross.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        more = _verify(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        more = _verify(materialise(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent)
         if not more.isEmpty():
             roots = connected_components(links.unionAll(more))
     labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
