@@ -4,11 +4,16 @@
    templates and the like vanish.  Lines inside navigation, headers, footers, sidebars,
    forms, adverts, notices and reader comments (by element, role, class or id) count 0
    characters, as do all lines outside of an ``article`` or ``main`` on a page that has one.
-2. The block at line i sums the lengths of ``window`` lines from i on.
-3. The text surges at a line with text whose block before was empty or is ``surge`` long,
-   and dives where the blocks fall to 0.  Between them every line with text is kept.
-4. On pages without ``article`` and ``main``, runs between surge and dive are kept where they hold
-   at least ``share`` of the longest run's characters and do not consist of links.
+2. On a page with ``article`` or ``main`` every counted line is kept: these elements decide, not the blocks.
+3. On all other pages the lines that count 0 are left out, and the block at line i sums the
+   characters of ``window`` lines from i on; lines that are mostly links, and copyright lines, have 0 in it.
+4. The text surges at a line with text whose block is ``surge`` long, and dives where the blocks fall to 0.
+   Where no block is that long (short pages), it surges at every line with text.
+5. From both ends of such a run, short lines are taken off that are neither paragraphs, headings nor
+   sentences, nor stand in an element with a long line: menu, footer and teaser entries that a window reaches.
+   A list at the end stays if it's in the same box as a long line.  Runs with at least ``share`` of the longest run's characters are kept.
+6. Before the first run, the title (the nearest heading, and those of higher level before it) is kept, and
+   what stands between it and the run, but for links and list entries.
 
 Nulls: null html, and a page without text, give an empty text.  Whole pages of any length
 are read; broken markup (open tags at the end, stray ends) never fails.  Each row is decided by itself, so ties,
@@ -18,8 +23,10 @@ repeated rows and empty tables need no rule.  Extra columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +56,13 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u201d\u2019\u00bb)\]]*\Z")
+_COPYRIGHT = re.compile(r"\u00a9|\bcopyright\s+(?:\(c\)|\d{4})", re.I)
+# Elements whose text is prose however short, and headings by level.
+PROSE = frozenset("p blockquote pre dd figcaption".split())
+LEVEL = {f"h{k}": k for k in range(1, 7)}
+LISTS = frozenset("li dt dd td th".split())
+BOXES = frozenset("div section td center".split())
 
 
 def boilerplate(name: str, attributes: str, inside: bool) -> bool:
@@ -71,12 +85,20 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
-    """(text, counted characters, characters in links) of each line; whether the page has an article."""
-    out: list[tuple[str, int, bool, int]] = []
+class Line(NamedTuple):
+    text: str
+    size: int  # counted characters
+    links: int  # characters in links
+    kind: str  # the block element around it
+    box: int  # the nearest open box, 0 for none
+
+
+def lines(page: str) -> tuple[list[Line], bool]:
+    """The lines of a page; whether it has an article."""
+    out: list[tuple[Line, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate here, article here
-    waste = inside = linked = 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate here, article here, link, box around
+    waste = inside = linked = box = boxes = 0
     has = False
     link_chars = 0
 
@@ -86,16 +108,17 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, 0 if waste else len(text), bool(inside), link_chars))
+                kind = next((e[0] for e in reversed(stack) if e[0] not in INLINE), "")
+                out.append((Line(text, 0 if waste else len(text), min(link_chars, len(text)), kind, box), bool(inside)))
         link_chars = 0
 
     def leave(n: int) -> None:
-        nonlocal waste, inside, linked
+        nonlocal waste, inside, linked, box
         while len(stack) > n:
-            name, w, c = stack.pop()
+            _, w, c, l, box = stack.pop()
             waste -= w
             inside -= c
-            linked -= name == "a"
+            linked -= l
 
     at = 0
     while True:
@@ -104,7 +127,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
         if text:
             parts.append(text)
             if linked:
-                link_chars += len(text)
+                link_chars += len(_SPACE.sub(" ", entities.unescape(text)))
         if not m:
             break
         at = m.end()
@@ -136,37 +159,78 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
             leave(len(stack) - 1)
         w, c = boilerplate(name, m[3], inside > 0), name in CONTENT
         has |= c and not waste
-        stack.append((name, w, c))
+        link = name == "a" and "href" in m[3].lower()
+        if name == "a" and linked:  # a link ends the one before
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][3])
+            stack[k] = (*stack[k][:3], False, stack[k][4])
+            linked -= 1
+        stack.append((name, w, c, link, box))
         waste += w
         inside += c
-        linked += name == "a"
+        linked += link
+        if name in BOXES:
+            boxes += 1
+            box = boxes
     end()
-    return [(text, n if within or not has else 0, links) for text, n, within, links in out], has
-
+    return [line if within or not has else line._replace(size=0) for line, within in out], has
+
+
+def line_blocks(found: list[Line], window: int, surge: int, share: float) -> list[str]:
+    """The texts kept of a page that has neither article nor main, by surge and dive."""
+    found = [x for x in found if x.size]
+    sizes = [0 if 2 * x.links > x.size or x.size < 200 and _COPYRIGHT.search(x.text) else x.size - x.links for x in found]
+    if not any(sizes):
+        sizes = [x.size for x in found]
+    sums = list(itertools.accumulate(sizes, initial=0))
+    blocks = [sums[min(i + window, len(sizes))] - sums[i] for i in range(len(sizes))]
+    least = surge if max(blocks, default=0) >= surge else 1
+    firm = [n > 0 and (n >= surge or x.kind in PROSE or x.kind in LEVEL or _SENTENCE.search(x.text) is not None) for x, n in zip(found, sizes)]
+
+    def heads(k: int) -> bool:
+        """Whether text and not a menu follows a heading."""
+        return found[k].kind == "h1" or k + 1 < len(sizes) and sizes[k + 1] > 0
+
+    def trimmed(a: int, b: int) -> tuple[int, int]:
+        at, to = a, b
+        long = [found[k] for k in range(a, b) if sizes[k] >= surge]
+        boxes, direct = {x.box for x in long} - {0}, {(x.kind, x.box) for x in long if x.kind not in LISTS}
+        beside = lambda k: sizes[k] and (found[k].kind, found[k].box) in direct
+        while at < to and not (beside(at) or firm[at] and (found[at].kind not in LEVEL or heads(at))):
+            at += 1
+        while at < to and (found[to - 1].kind in LEVEL or not (firm[to - 1] or beside(to - 1) or sizes[to - 1] and found[to - 1].kind in LISTS and found[to - 1].box in boxes)):
+            to -= 1
+        return (at, to) if at < to else (a, b)
 
-def main_text(page: str | None, window: int = 3, surge: int = 1, share: float = 0.2) -> str:
-    found, has = lines(page or "")
-    sizes = [n for _, n, _ in found]
-    blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sizes):
-        if sizes[i] and blocks[i] >= surge:
+        if sizes[i] and blocks[i] >= least:
             start = i
             while i < len(sizes) and blocks[i]:
                 i += 1
-            runs.append((start, i))
+            runs.append(trimmed(start, i))
         else:
             i += 1
-    if not has and runs:
-        own = [sum(sizes[a:b]) for a, b in runs]
-        links = [sum(found[k][2] for k in range(a, b) if sizes[k]) for a, b in runs]
-        longest = max(own)
-        runs = [r for r, n, k in zip(runs, own, links) if n >= share * longest and k <= 0.5 * n]
-    return " ".join(found[k][0] for a, b in runs for k in range(a, b) if sizes[k])
+    if not runs:
+        return []
+    own = [sums[b] - sums[a] for a, b in runs]
+    runs = [r for r, n in zip(runs, own) if n >= share * max(own)]
+    first = runs[0][0]
+    title, level = first, LEVEL.get(found[first].kind, 7)
+    for k in range(first - 1, -1, -1):
+        here = LEVEL.get(found[k].kind, 7)
+        if here < level and sizes[k] and heads(k):
+            title, level = k, here
+    lead = [k for k in range(title, first) if sizes[k] and (heads(k) if found[k].kind in LEVEL else firm[k] or found[k].kind not in LISTS)]
+    return [found[k].text for k in [*lead, *(k for a, b in runs for k in range(a, b))]]
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 86, share: float = 0.2) -> str:
+    found, has = lines(page or "")
+    return " ".join([x.text for x in found if x.size] if has else line_blocks(found, window, surge, share))
 
 
-def extract_text(pages: DataFrame, window: int = 3, surge: int = 1, share: float = 0.2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, window: int = 3, surge: int = 86, share: float = 0.2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,33 @@ def test_html_keeps_the_article_alone(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_without_article_keeps_title_lead_and_text():
+    """Pages built from known parts, without an article and without class words: menus, footers and teasers go."""
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+    entries = lambda n, linked: "<ul>" + "".join(f"<li><a href=/x>Go {w}</a></li>" if linked else f"<li>Go {w}</li>" for w in WORDS[:n]) + "</ul>"
+    teasers = lambda n: "<div><h3>More</h3>" + "".join(f"<div><a href=/t>{sentence(9)}</a></div>" for _ in range(n)) + "</div>"
+    for _ in range(300):
+        title, lead, items = f"About {rng.choice(WORDS)}", sentence(2), [f"Item {w}" for w in WORDS[: rng.randint(1, 5)]]
+        first, more = sentence(30), [sentence(rng.choice([2, 20, 40])) for _ in range(rng.randint(0, 4))]
+        listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if (with_list := rng.random() < 0.4) else ""
+        gap = rng.choice(["", "<div class=ad>" + "<p>Buy this now, all of you.</p>" * 4 + "</div>", "<div>" + entries(4, True) + "</div>"])
+        page = (
+            f"<html><body><div>{entries(rng.randint(0, 6), rng.random() < 0.5)}</div><div><h1>{title}</h1><p>{lead}</p>{gap}<p>{first}</p>"
+            + "".join(f"<p>{x}</p>" for x in more) + listed + "</div>" + rng.choice(["", teasers(rng.randint(1, 5))])
+            + f"<div>{entries(rng.randint(0, 6), rng.random() < 0.5)}</div><p>© 2024 Word Ltd. All rights reserved.</p></body></html>"
+        )
+        assert htmltext.main_text(page) == " ".join([title, lead, first, *more, *(items if with_list else [])]), page
+
+
+def test_html_window_and_surge_decide():
+    short, long = "<div>Ten letters</div>" * 4, "<div>" + "Long text here. " * 10 + "</div>"
+    page = short + long + short
+    assert htmltext.main_text(page) == ("Long text here. " * 10).strip()
+    assert htmltext.main_text(page, surge=10).count("Ten letters") == 8
+    assert htmltext.main_text("<p>Tiny page.</p>") == "Tiny page."
+
+
 def test_decontamination_equals_brute_force(spark, docs):
     source = texts()
     items = [("i1", " ".join(source[7].split()[2:16])), ("i2", "a B c"), ("i3", None), ("i4", "..."), ("i5", " ".join(["nowhere"] * 12)), (None, "one")]
