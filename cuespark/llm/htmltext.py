@@ -1,7 +1,8 @@
 """Operator 9: main text of HTML pages by the line-block distribution.
 
 1. Markup is stripped into lines: block elements end a line; scripts, styles, comments,
-   templates and the like vanish.  Lines inside navigation, headers, footers, sidebars,
+   templates and the like vanish.  List items, table cells, rows, options and paragraphs without an end tag
+   end where HTML ends them.  Lines inside navigation, headers, footers, sidebars,
    forms, adverts, notices and reader comments (by element, role, class or id) count 0
    characters, as do all lines outside of an ``article`` or ``main`` on a page that has one.
 2. On a page with ``article`` or ``main`` every counted line is kept: these elements decide, not the blocks.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,10 +41,33 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img".split()
 )
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select title head option".split())
-BOILERPLATE = frozenset("nav header footer aside form dialog menu button".split())
+RAW = frozenset("script style textarea iframe title head".split())
+UNSEEN = frozenset("noscript template svg math object canvas select datalist optgroup option".split())
+BOILERPLATE = frozenset("nav header footer aside form dialog menu button".split()) | UNSEEN
 CONTENT = frozenset("article main".split())
-CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())}
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements whose end tag may be missing: what ends them, and the elements that the search for them doesn't leave.
+_LAYOUT = frozenset(
+    "article aside blockquote body button center details dir dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html main menu nav "
+    "object ol pre section select table tbody td template tfoot th thead tr ul".split()
+)
+_TABLE = frozenset("table template".split())
+_IMPLIED = [
+    ("p", _BLOCKS | frozenset("li dd dt center details dir figcaption figure hgroup menu summary".split()), frozenset("button object table td th template caption".split())),
+    ("li", frozenset(["li"]), _LAYOUT),
+    ("dt dd", frozenset("dt dd".split()), _LAYOUT),
+    ("svg math option optgroup", _BLOCKS, frozenset(["foreignobject"])),
+    ("option", frozenset("option optgroup".split()), frozenset("select datalist optgroup".split())),
+    ("optgroup", frozenset(["optgroup"]), frozenset("select datalist".split())),
+    ("td th", frozenset("td th tr tbody thead tfoot".split()), _TABLE | {"tr"}),
+    ("tr", frozenset("tr tbody thead tfoot".split()), _TABLE | frozenset("tbody thead tfoot".split())),
+    ("tbody thead tfoot", frozenset("tbody thead tfoot".split()), _TABLE),
+]
+#: By start tag: (elements that it ends, where the search for them stops), the innermost first.
+CLOSED_BY: dict[str, list[tuple[frozenset[str], frozenset[str]]]] = {}
+for _ended, _by, _stop in _IMPLIED:
+    for _name in _by:
+        CLOSED_BY.setdefault(_name, []).append((frozenset(_ended.split()), _stop))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 # Words of class and id attributes of boilerplate.
 WORDS = frozenset(
@@ -98,6 +123,9 @@ def lines(page: str) -> tuple[list[Line], bool]:
     out: list[tuple[Line, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate here, article here, link, box around
+    held: Counter[str] = Counter()
+    unclosed: set[str] = set()
+    last: dict[str, int] = {}  # where the last end tag of an unseen element stands
     waste = inside = linked = box = boxes = 0
     has = False
     link_chars = 0
@@ -115,7 +143,10 @@ def lines(page: str) -> tuple[list[Line], bool]:
     def leave(n: int) -> None:
         nonlocal waste, inside, linked, box
         while len(stack) > n:
-            _, w, c, l, box = stack.pop()
+            name, w, c, l, box = stack.pop()
+            held[name] -= 1
+            if not held[name]:
+                del held[name]
             waste -= w
             inside -= c
             linked -= l
@@ -135,7 +166,7 @@ def lines(page: str) -> tuple[list[Line], bool]:
             continue
         name = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if name in held else None
             if name not in INLINE:
                 end()
             if k is not None:
@@ -145,18 +176,32 @@ def lines(page: str) -> tuple[list[Line], bool]:
             if name not in INLINE:
                 end()
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if name != "head":
-                    at = close.end() if close else len(page)
-                elif close:
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                if close:
                     at = close.end()
+                    continue
+                unclosed.add(name)
+                if name in ("script", "style"):  # what follows is code
+                    at = len(page)
+                elif name != "head":  # its text goes up to the next tag
+                    at = k if (k := page.find("<", at)) >= 0 else len(page)
             continue
         if name not in INLINE:
             end()
+        for ended, stop in CLOSED_BY.get(name, ()):
+            if not held.keys().isdisjoint(ended):
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] not in ended and stack[k][0] not in stop:
+                    k -= 1
+                if k >= 0 and stack[k][0] in ended:
+                    leave(k)
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        if stack and name in CLOSED_BY.get(stack[-1][0], ()):
-            leave(len(stack) - 1)
+        if name in UNSEEN and name not in ("option", "optgroup"):
+            if name not in last:
+                last[name] = max((x.start() for x in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
+            if last[name] < at:  # never ended: the tag alone is skipped
+                continue
         w, c = boilerplate(name, m[3], inside > 0), name in CONTENT
         has |= c and not waste
         link = name == "a" and "href" in m[3].lower()
@@ -165,6 +210,7 @@ def lines(page: str) -> tuple[list[Line], bool]:
             stack[k] = (*stack[k][:3], False, stack[k][4])
             linked -= 1
         stack.append((name, w, c, link, box))
+        held[name] += 1
         waste += w
         inside += c
         linked += link

@@ -198,6 +198,33 @@ def test_html_window_and_surge_decide():
     assert htmltext.main_text("<p>Tiny page.</p>") == "Tiny page."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<header><form><input><datalist><option value=a>A</option><option value=b>B</option></datalist></form></header><article><p>Kept one.</p><p>Kept two.</p></article>",
+        "<select><optgroup><option>A</option><option>B</option></optgroup><optgroup><option>C</option></optgroup></select><main><p>Kept one.</p><p>Kept two.</p></main>",
+        "<article><ul><li class=ad>Buy</li><li>Kept one.</li><li>Kept two.</li></ul></article>",
+        "<article><ul><li>Kept one.<ul><li class=ad>Buy</li></ul></li><li>Kept two.</li></ul></article>",
+        "<article><dl><dt class=ad>Buy</dt><dd class=ad>this</dd><dt>Kept one.</dt><dd>Kept two.</dd></dl></article>",
+        "<article><table><tbody><tr class=ad><td>Buy</td><th>this</th></tr><tr><td class=ad>now</td><td>Kept one.</td></tr></tbody><tbody><tr><th>Kept two.</th></tr></tbody></table></article>",
+        "<article><p class=ad>Buy <b>this</p><p>Kept one.</p><hr><p class=ad>Buy <i>more</p><div>Kept two.</div></article>",
+    ],
+)
+def test_html_missing_end_tags_lose_nothing(page):
+    """Pages give the same text with and without the end tags that HTML lets authors leave out."""
+    bare = re.sub("</(option|optgroup|li|dt|dd|tr|td|th|tbody|p)>", "", page)
+    assert bare != page
+    assert htmltext.main_text(page) == htmltext.main_text(bare) == "Kept one. Kept two."
+
+
+@pytest.mark.parametrize("name", "option object svg canvas math select noscript template iframe textarea title".split())
+def test_html_unclosed_element_does_not_cut_the_page(name):
+    rest = "<article><p>Kept one.</p><p>Kept two.</p></article>"
+    assert htmltext.main_text(f"<div><{name} x=y></div>{rest}") == "Kept one. Kept two."
+    assert htmltext.main_text(f"<body><{name} x=y>{rest}</body>") == "Kept one. Kept two."
+    assert htmltext.main_text(f"<div><{name} x=y>Unseen</{name}></div>{rest}") == "Kept one. Kept two."
+
+
 def test_decontamination_equals_brute_force(spark, docs):
     source = texts()
     items = [("i1", " ".join(source[7].split()[2:16])), ("i2", "a B c"), ("i3", None), ("i4", "..."), ("i5", " ".join(["nowhere"] * 12)), (None, "one")]
