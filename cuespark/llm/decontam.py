@@ -143,8 +143,11 @@ class Shard:
             starts = starts[have[at] == starts + k]
         return starts[starts >= 0]
 
-    def near(self, rows: np.ndarray, span: int) -> list[tuple[int, int]]:
-        """(first, last) positions of the least ranges of up to ``span`` words with all terms, in any order."""
+    def near(self, rows: np.ndarray, span: int, bases: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last) positions of the least ranges of up to ``span`` words with all terms, in any order.
+
+        ``bases`` are the documents' first positions; no range leaves its document, however long the span.
+        """
         rows = np.unique(rows)
         rarest = self.postings(rows[np.argmin(self.ends[rows] - self.starts[rows])])
         lists = []
@@ -155,9 +158,14 @@ class Shard:
         place = np.concatenate(lists)
         what = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
         order = np.argsort(place, kind="stable")
+        owner = np.searchsorted(bases, place[order], "right")
         last: dict[int, int] = {}
         found: list[tuple[int, int]] = []
-        for p, t in zip(place[order].tolist(), what[order].tolist()):
+        now = -1
+        for p, t, o in zip(place[order].tolist(), what[order].tolist(), owner.tolist()):
+            if o != now:
+                last.clear()
+                now = o
             last[t] = p
             if len(last) == len(rows) and p - (first := min(last.values())) < span:
                 if found and found[-1][0] == first:
@@ -203,7 +211,7 @@ def match_block(index: DataFrame, items: list[tuple[str, str | None]], size: int
                 if slop is None:
                     ranges = [(int(s), int(s) + n) for s in shard.phrase(places[w])]
                 else:
-                    ranges = [(a, b + 1) for a, b in shard.near(places[w], min(n + slop, GAP))]
+                    ranges = [(a, b + 1) for a, b in shard.near(places[w], n + slop, bases)]
                 for a, b in ranges:
                     mark[a:b] = True
                     items_of.setdefault(int(np.searchsorted(bases, a, "right")) - 1, set()).add(names[w])

@@ -250,6 +250,37 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert not any(r.contaminated for r in decontam.contamination_digest(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("slop,block_chars", [(0, 10**6), (7, 10**6), (54, 100), (120, 10**6), (120, 100)])
+def test_proximity_equals_brute_force(spark, slop, block_chars):
+    rng = random.Random(slop)
+    vocabulary = [f"t{i}" for i in range(14)] + [f"u{i}" for i in range(30)]
+    source = [[rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 40, 150]))] for _ in range(40)]
+    source.append(["t0", *["x"] * 100, "t1"])
+    items = [("i0", "t0 t1"), ("i1", " ".join(vocabulary[2:14])), ("i2", "t3 t3 u4"), ("i3", "t1 u1 nowhere")]
+    found = decontam.find_contamination(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(source)], "doc_id long, text string").repartition(2),
+        spark.createDataFrame(items, "item_id string, text string"), slop=slop, block_chars=block_chars,
+    )
+    got = {r.doc_id: (sorted(r.hit), r["items"]) for r in found.collect()}
+    for i, words in enumerate(source):
+        hit, names = set(), set()
+        for name, item in items:
+            own = item.split()
+            size = min(10, len(own))
+            for k in range(len(own) - size + 1):
+                wanted, ranges = set(own[k : k + size]), []
+                for a in range(len(words)):
+                    b = next((b for b in range(a, min(a + size + slop, len(words))) if wanted <= set(words[a : b + 1])), None)
+                    if b is not None:
+                        ranges.append((a, b))
+                for a, b in ranges:
+                    if not any(a <= c and d <= b and (a, b) != (c, d) for c, d in ranges):
+                        hit |= set(range(a, b + 1))
+                        names.add(name)
+        assert got[i] == (sorted(hit), sorted(names)), i
+    assert slop < 100 or got[40] == (list(range(102)), ["i0"])
+
+
 def test_language_held_out_accuracy(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = rows.select("doc_id", "lang")
