@@ -113,6 +113,14 @@ class Model:
         own = np.sqrt(np.maximum(x.sum(axis=1), 1))
         return (x @ dense) / own[:, None] / norms
 
+    def outputs(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's largest regression output: 1 is a class's own text, -1 another's; -inf without letters or classes."""
+        out = np.full(len(texts), -np.inf)
+        clean = {i: c for i, t in enumerate(texts) if (c := letters(t))}
+        if clean and self.classes:
+            out[list(clean)] = (self.kernel(list(clean.values())).astype(np.float64) @ self.weights).max(axis=1)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         clean = [letters(t) for t in texts]
         langs, scores = [UNKNOWN] * len(texts), [1.0 if self.classes or not t else 0.0 for t in clean]
@@ -211,9 +219,10 @@ def language_digest(docs: DataFrame) -> DataFrame:
     return identify(docs, learn).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def filter_languages(docs: DataFrame, least_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **parameters) -> DataFrame:
-    """The documents (all columns) with a known language of at least ``least_score``.
+def filter_languages(docs: DataFrame, least_output: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **parameters) -> DataFrame:
+    """The documents (all columns) whose best language has a regression output of at least ``least_output``.
 
+    The score, a share among the classes, would be large for some class on any text, the more so the fewer they are.
     Learns from all labelled documents.  Rows are decided in the pass that reads them: no join.
     """
     defaults = {"sample_per_class": 400, "landmarks_per_class": 64, "order": 3, "ridge": 1e-3} | parameters
@@ -226,7 +235,6 @@ def filter_languages(docs: DataFrame, least_score: float, id_col: str = "doc_id"
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
-                langs, scores = model.value.predict(batch.column(at).to_pylist())
-                yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(langs, scores)], pa.bool_()))
+                yield batch.filter(pa.array(model.value.outputs(batch.column(at).to_pylist()) >= least_output, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cuespark.llm import decontam, htmltext, jaccard, langid, maxscore, quality, queries, sentencepieces, sharding, tokenbin, warc
 
 SCHEMA = "doc_id long, text string, lang string, TEXT2 string, keys string"
@@ -295,6 +296,17 @@ def test_language_of_odd_texts(spark, docs, empty):
     assert langid.language_digest(empty).collect() == []
 
 
+@pytest.mark.parametrize("foreign", ["de", "en", "es", "fr"])
+def test_language_filter_rejects_what_was_not_learned(spark, foreign):
+    """With three languages learned, texts of a fourth go and almost all others stay."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200")
+    hidden = rows.withColumn("truth", F.col("lang")).withColumn("lang", F.when(F.col("lang") != foreign, F.col("lang")))
+    total = {r.truth: r["count"] for r in hidden.groupBy("truth").count().collect()}
+    kept = {r.truth: r["count"] for r in corpus_pipeline.language(spark, hidden, "").groupBy("truth").count().collect()}
+    assert kept.get(foreign, 0) < 0.1 * total[foreign]
+    assert all(kept[lang] > 0.97 * n for lang, n in total.items() if lang != foreign)
+
+
 def test_quality_keeps_prose_and_rejects_noise(spark, empty):
     prose = [f"The {a} went to the {b} and found it quite calm. Later they came home again, tired." for a in WORDS[:20] for b in ("sea", "hill")]
     noise = [" ".join(f"{w.upper()}$$ |" for w in WORDS[i : i + 15]) for i in range(40)]
