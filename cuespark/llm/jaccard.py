@@ -167,7 +167,7 @@ def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
 
 
 def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, tags) of a set in its band and, where larger sets may link with it, the next.
+    """(keys, tags) of a set in its band and in every further one whose sets may link with it.
 
     A tag packs segment (16 bits), spare capacity left (9 bits) and band (6 bits).  With more segments
     than that nothing is left out, and more spare capacity than that isn't used; both keep the result.
@@ -175,9 +175,7 @@ def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
     n = len(elements)
     band = int(np.searchsorted(bands(), n, "right")) - 1
     all_keys, tags = [], []
-    for b in (band, band + 1):
-        if b > band and n * 100 // percent < bands()[b]:
-            continue
+    for b in range(band, int(np.searchsorted(bands(), n * 100 // percent, "right"))):
         keys, segment, left = keys_of(elements, b, percent)
         all_keys.append(keys)
         room = min(left + 1, 511) if allocation(b, percent)[1] <= 1 << 16 else 0

@@ -81,6 +81,20 @@ def test_jaccard_components_equal_brute_force(docs, width, percent):
     assert len(set(root)) < len(root)
 
 
+@pytest.mark.parametrize("percent", [20, 34, 50, 60])
+def test_jaccard_links_across_several_bands(spark, percent):
+    """Sets and their parts, at the least size that links and one below it."""
+    rows, expect = [], {}
+    for n in range(4, 40):
+        small = -(-percent * n // 100)
+        for size, linked in ((small, True), (small - 1, False)):
+            words, at = [f"n{n}s{size}w{i}" for i in range(n)], len(rows)
+            rows += [(at, " ".join(words)), (at + 1, " ".join(words[n - size :]))]
+            expect |= {at: at, at + 1: at if linked or size == n else at + 1}
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == expect
+
+
 def test_jaccard_frequent_keys_lose_no_link(spark):
     """More near copies than a frequent key has, in two groups that share most words."""
     rng = random.Random(2)
