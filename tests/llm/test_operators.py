@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuespark.llm import decontam, htmltext, jaccard, langid, maxscore, quality, queries, sentencepieces, sharding, tokenbin, warc
+from cuespark.llm import components, decontam, htmltext, jaccard, langid, maxscore, quality, queries, sentencepieces, sharding, tokenbin, warc
 
 SCHEMA = "doc_id long, text string, lang string, TEXT2 string, keys string"
 WORDS = [f"word{i}" for i in range(300)]
@@ -108,6 +108,13 @@ def test_jaccard_frequent_keys_lose_no_link(spark):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def test_components_that_are_not_settled_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(path, rounds=1)
+    assert {(r.node, r.root) for r in components.connected_components(path).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_jaccard_of_an_empty_table(empty):
     assert jaccard.similar_components(empty).collect() == []
 
