@@ -171,6 +171,39 @@ def event_line(spark, d):
     return t.select("conv_id", "turn", F.md5(F.array_join(F.array_sort("cues"), "_")).alias("cues_md5"), F.size("cues").cast("long").alias("n_cues"))
 
 
+SUBTITLE_WORDS = "[A-Za-z0-9]+|[.,!?]"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{SUBTITLE_WORDS}') AS w, turn % 2 = 1 AS late FROM conversations WHERE text IS NOT NULL),
+ s AS (SELECT late, trim(array_to_string(list_transform(w, lambda x: CASE WHEN x IN ('.', ',', '!', '?') THEN x ELSE ' ' || x END), '')) AS line FROM t),
+ l AS (SELECT line FROM s WHERE line <> '' UNION ALL SELECT '' FROM s WHERE line <> '' AND late)
+ SELECT line, count(*) AS n FROM l GROUP BY line""")
+def subtitle_corpus(spark, d):
+    """Every turn as a sentence of a subtitle file, odd ones six seconds after the last end: files written, and read as a corpus."""
+    from .sources import readers, sinks
+
+    folder, corpus = scratch(spark, "subtitles"), scratch(spark, "corpus")
+    words = F.regexp_extract_all("text", F.lit(SUBTITLE_WORDS), F.lit(0))
+    start = F.when(F.col("turn") % 2 == 1, "00:00:06,15").otherwise("00:00:05,00")
+    sentence = F.concat(
+        F.lit('<s><time id="T1E" value="00:00:01,00"/><time id="T2S" value="'), start, F.lit('"/>'),
+        F.array_join(F.transform(words, lambda w: F.concat(F.lit("<w>"), w, F.lit("</w>"))), ""), F.lit("</s>"),
+    )
+    sinks.write_subtitles(table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", sentence.alias("sentence")), folder, "conv_id", "turn")
+    sinks.write_corpus(readers.read_subtitles(spark, folder), corpus)
+    lines = spark.read.text(corpus).select(F.col("value").alias("line"))
+    return _corpus_lines(lines)
+
+
+def _corpus_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a corpus with their counts; the two empty lines around each document marker aren't paragraph breaks."""
+    kinds = lines.groupBy("line").agg(F.count("*").alias("n"))
+    marker = F.coalesce(F.sum(F.when(F.col("line") == "---END.OF.DOCUMENT---", F.col("n"))), F.lit(0)).alias("m")
+    documents = kinds.agg(marker)  # one row
+    left = kinds.crossJoin(F.broadcast(documents)).withColumn("n", F.when(F.col("line") == "", F.col("n") - 2 * F.col("m")).otherwise(F.col("n")))
+    return left.where("line <> '---END.OF.DOCUMENT---' and n > 0").select("line", "n")
+
+
 # filters ---------------------------------------------------------------------------------
 
 KEPT = ("u1", "u2", "v0", "p4")

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.corpus import number_events
 from ..schema import COUNTER, EVENTS
@@ -65,16 +66,11 @@ def read_corpus(spark: SparkSession, path: str, by_document: bool = True) -> Dat
     """doc_id, text of each document (files end documents, as markers do), or each line."""
     if by_document:
         whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        return whole.select(F.dense_rank().over(_by_path()).cast("long").alias("doc_id"), F.col("value").alias("text"))
+        numbers = whole.select("path").withColumn("doc_id", F.dense_rank().over(Window.orderBy("path")).cast("long"))  # a row for each file, without its text
+        return whole.join(numbers, "path").select("doc_id", F.col("value").alias("text"))
     return number_events(_lines(spark, path, None).select("path", "block", "at", F.array("value").alias("cues"), F.lit(None).alias("outcomes")), "path", "block", "at").select(F.col("event_id").alias("doc_id"), F.col("cues")[0].alias("text"))
 
 
-def _by_path():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("path")  # one row for each file
-
-
 def read_counter(spark: SparkSession, path: str) -> DataFrame:
     """key, freq of a counter file; keys that repeat are an error."""
     rows = spark.read.csv(path, sep="\t", header=True, schema=COUNTER, quote="", emptyValue="", nullValue="\u0000").select(F.trim("key").alias("key"), "freq")
@@ -85,41 +81,38 @@ def read_counter(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Fixed values of the subtitle format.
-GLUED = ".,:;?!()[]'"
+GLUED = frozenset(".,:;?!()[]'")
 FRAMES_PER_SECOND = 30
 
 
 def seconds(code: str) -> float:
-    hours, minutes, whole, frames = code.replace(",", ":").split(":")
-    return int(hours) * 3600 + int(minutes) * 60 + int(whole) + int(frames) / FRAMES_PER_SECOND
+    hours, minutes, whole, frames = map(float, code.replace(",", ":").split(":"))
+    return 3600 * hours + 60 * minutes + whole + frames / FRAMES_PER_SECOND
 
 
 def subtitle_lines(content: bytes, break_duration: float = 2.0) -> list[str]:
-    """Sentences of one subtitle file; one that starts long after the last end has a line break in front."""
-    out, ended = [], None
-    for sentence in ElementTree.fromstring(content).iter("s"):
-        text, starts = "", None
-        for node in sentence:
-            if node.tag == "w":
-                if node.text is None:
-                    raise ValueError("a word without text")
-                text += node.text if node.text in GLUED else " " + node.text
-            elif node.tag == "time":
-                name, at = node.attrib["id"], seconds(node.attrib["value"])
-                if name.endswith("S"):
-                    starts = at if starts is None else starts
-                elif name.endswith("E"):
-                    if starts is not None and ended is not None and starts - ended > break_duration:
-                        text = "\n" + text.strip()
-                    elif starts is not None and ended is None and starts > break_duration:
-                        text = "\n" + text.strip()
-                    ended, starts = at, None
-                else:
-                    raise ValueError(f"a time tag {name!r}")
-        if starts is not None and starts - (ended or 0.0) > break_duration:
-            text = "\n" + text.strip()
-        if text.strip():
-            out.append(("\n" if text.startswith("\n") else "") + text.strip())
+    """Sentences of one subtitle file.  A line break goes in front for each start that lies long after the last end.
+
+    Sentences without words are as if they weren't there, their times included.
+    """
+    out, ended = [], 0.0
+    for sentence in ElementTree.fromstring(content.decode("utf-8-sig")).iterfind("s"):
+        words = [w.text for w in sentence.iterfind("w")]
+        if None in words:
+            raise ValueError("a word without text")
+        text = "".join(w if w in GLUED else f" {w}" for w in words).strip()
+        if not text:
+            continue
+        breaks = 0
+        for tag in sentence.iterfind("time"):
+            kind, at = tag.attrib["id"][-1:], seconds(tag.attrib["value"])
+            if kind == "E":
+                ended = at
+            elif kind == "S":
+                breaks += at - ended > break_duration
+            else:
+                raise ValueError(f"a time tag of kind {kind!r}")
+        out.append("\n" * breaks + text)
     return out
 
 

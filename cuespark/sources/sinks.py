@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def write_corpus(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("path").sortWithinPartitions("path", "line_no").select("text").write.mode("errorifexists").text(path)
 
 
+def write_subtitles(sentences: DataFrame, path: str, *order: str) -> None:
+    """Gzip files of subtitle sentences (column ``sentence``, XML), in the given order; each partition is a document."""
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if not begun:
+                yield pa.RecordBatch.from_pydict({"value": ['<?xml version="1.0" encoding="utf-8"?>', "<document>"]})
+                begun = True
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_pydict({"value": ["</document>"]})
+
+    ordered = sentences.repartitionByRange(*order).sortWithinPartitions(*order).select("sentence")
+    ordered.mapInArrow(wrap, "value string").write.mode("errorifexists").option("compression", "gzip").text(path)
+
+
 def safe_path(path: str | Path, template: str = "{path.stem}-{counter}{path.suffix}") -> Path:
     """The path, or the first numbered one by the template that doesn't exist."""
     path = Path(path)
