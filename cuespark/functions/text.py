@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Document marker; the dots match any character.
+# Fixed value: the document marker; the dots match any character.
 MARKER = "(---end.of.document---|---END.OF.DOCUMENT---)"
 # Fixed value: marks stripped from words before counting.
 PUNCTUATION = "!?,.:;/\"'()^@*~"
@@ -54,39 +54,44 @@ def contexts(c: Column) -> Column:
     return F.split(c, MARKER)
 
 
-def consecutive_words(words: Column, n: int) -> Column:
-    """Windows of up to ``n`` words, ragged at both ends: A, AB, ABC, BCD, CD, D."""
+def window_starts(words: Column, n: int) -> Column:
+    """Where the windows of up to ``n`` words start, ragged at both ends: A, AB, ABC, BCD, CD, D."""
     size = F.size(words)
-    width = F.least(F.lit(n), size)
-    starts = F.when(size > 0, F.sequence(F.lit(1) - width, size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(words, F.greatest(i, F.lit(0)) + 1, F.least(i + width, size) - F.greatest(i, F.lit(0))))
+    return F.when(size > 0, F.sequence(F.lit(1) - F.least(F.lit(n), size), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def word_to_word(words: Column, before: int, after: int) -> Column:
-    """(cues: the neighbours, outcomes: the word) of each word."""
+def window_at(words: Column, start: Column, n: int) -> Column:
+    """The window of up to ``n`` words at one of these starts."""
     size = F.size(words)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return F.slice(words, F.greatest(start, F.lit(0)) + 1, F.least(start + F.least(F.lit(n), size), size) - F.greatest(start, F.lit(0)))
+
+
+def neighbours_at(words: Column, place: Column, before: int, after: int) -> Column:
+    """The words before and after a place (from 1)."""
+    first = F.greatest(place - before, F.lit(1))
+    left = F.slice(words, first, place - first)
+    right = F.when(place < F.size(words), F.slice(words, F.least(place + 1, F.size(words)), F.lit(after))).otherwise(F.array().cast("array<string>"))
+    return F.concat(left, right)
 
-    def one(i: Column) -> Column:
-        first = F.greatest(i - before, F.lit(1))
-        left = F.slice(words, first, i - first)
-        right = F.when(i < size, F.slice(words, F.least(i + 1, size), F.lit(after))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(left, right).alias("cues"), F.slice(words, i, 1).alias("outcomes"))
 
-    return F.transform(places, one)
+def consecutive_words(words: Column, n: int) -> Column:
+    """All windows of up to ``n`` words."""
+    return F.transform(window_starts(words, n), lambda i: window_at(words, i, n))
+
+
+def word_to_word(words: Column, before: int, after: int) -> Column:
+    """(cues: the neighbours, outcomes: the word) of each word."""
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(neighbours_at(words, i, before, after).alias("cues"), F.slice(words, i, 1).alias("outcomes")))
 
 
 def ngrams(words: Column, n: int) -> Column:
     """Letter n-grams of ``#w1#w2#``; they cross word borders and keep their order and repeats.
 
-    Shifted character lists are zipped, which takes a time linear in the text (a substring at a
-    place has to walk there).
+    One pattern finds them all: at every place it looks ahead for ``n`` letters.
     """
-    chars = F.split(F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#")), "")
-    grams = chars
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.slice(grams, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+    text = F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#"))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def counted_words(c: Column, lower_case: bool = False) -> Column:

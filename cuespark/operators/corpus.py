@@ -23,12 +23,14 @@ def corpus_to_events(
     remove_duplicates: bool = True,
     order: tuple[str, ...] = ("doc_id",),
     text_col: str = "text",
+    warn: bool = False,
 ) -> DataFrame:
     """(order columns, context, place, cues, outcomes) of every occurrence of the texts.
 
     A row's text is a document (or several with markers between), or one line in the ``line``
     context.  The order columns, ``context`` and ``place`` sort the events; ``number_events`` turns
     them into ``event_id``.  All of it is column expressions; documents are the unit of parallelism.
+    With ``warn`` a pass ahead looks for a reserved character, and warns of the first.
     """
     if context_structure not in ("document", "line"):
         raise NotImplementedError(f"context structure {context_structure!r}")
@@ -37,6 +39,8 @@ def corpus_to_events(
     if cue_structure not in ("bigrams_to_word", "trigrams_to_word", "word_to_word"):
         raise NotImplementedError(f"cue structure {cue_structure!r}")
     text = F.col(text_col)
+    if warn and not corpus.where(text.rlike("[#_\\t]")).limit(1).isEmpty():
+        X.warn_reserved()
     parts = X.contexts(text) if context_structure == "document" else F.array(text)
     rows = corpus.select(*order, F.posexplode(parts).alias("context", "part"))
     line_words = F.flatten(F.transform(F.split("part", "\n"), lambda t: X.tokens(X.clean(X.strip(t), allowed_symbols, lower_case)))) if not callable(allowed_symbols) else None
@@ -45,14 +49,17 @@ def corpus_to_events(
         line_words = F.flatten(F.transform(F.split("part", "\n"), lambda t: X.tokens(X.strip(t))))
     words = rows.select(*order, "context", line_words.alias("words")).where(F.size("words") > 0)
     none = F.array().cast("array<string>")
+    # places are exploded first and the lists cut behind, which stays within generated code
     if event_structure == "consecutive_words":
-        one = F.transform(X.consecutive_words(F.col("words"), *event_options), lambda w: F.struct(w.alias("cues"), none.alias("outcomes")))
+        places = words.select(*order, "context", "words", F.posexplode(X.window_starts(F.col("words"), *event_options)).alias("place", "_start"))
+        cues, outcomes = X.window_at(F.col("words"), F.col("_start"), *event_options), none
     elif event_structure == "word_to_word":
-        one = X.word_to_word(F.col("words"), *event_options)
+        places = words.select(*order, "context", "words", F.posexplode("words").alias("place", "_word"))
+        cues, outcomes = X.neighbours_at(F.col("words"), F.col("place") + 1, *event_options), F.array("_word")
     else:
-        outcomes = F.col("words") if cue_structure == "word_to_word" else none
-        one = F.array(F.struct(F.col("words").alias("cues"), outcomes.alias("outcomes")))
-    found = words.select(*order, "context", F.posexplode(one).alias("place", "o")).select(*order, "context", "place", "o.cues", "o.outcomes")
+        places = words.withColumn("place", F.lit(0))
+        cues, outcomes = F.col("words"), F.col("words") if cue_structure == "word_to_word" else none
+    found = places.select(*order, "context", "place", cues.alias("cues"), outcomes.alias("outcomes"))
     if cue_structure == "word_to_word":
         found = found.where(F.size("cues") > 0)
     else:

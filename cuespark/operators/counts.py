@@ -6,11 +6,15 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..storage import materialise
+from .corpus import number_events
 
 
 class CuesOutcomes(NamedTuple):
@@ -41,34 +45,59 @@ def words_symbols(corpus: DataFrame, lower_case: bool = False, text_col: str = "
     return WordsSymbols(counted, chars.groupBy("key").agg(F.sum("freq").alias("freq")))
 
 
-def vocabulary(events: DataFrame, column: str) -> DataFrame:
-    """key, id (from 0, in the order of the keys).  The weights of a task hold a number for each cue, so this table is small beside them."""
-    keys = events.select(F.explode(column).alias("key")).distinct()
-    return keys.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("id"))
+#: Vocabularies of up to this many keys are numbered by one window, and broadcast for encoding; larger ones are numbered by ranges and joined.
+SMALL_KEYS = 500_000
 
 
-#: Vocabularies of up to this many keys are broadcast for encoding; larger ones are joined.
-BROADCAST_KEYS = 500_000
+def vocabulary(events: DataFrame, column: str) -> DataFrame:
+    """key, id (from 0, in the order of the keys), from the shared folder."""
+    keys = materialise(events.select(F.explode(column).alias("key")).distinct(), "keys")
+    if keys.count() <= SMALL_KEYS:
+        return materialise(keys.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("id")), "vocabulary")
+    numbered = number_events(keys.select("key", F.array("key").alias("cues"), F.lit(None).alias("outcomes")), "key")
+    return materialise(numbered.select(F.col("cues")[0].alias("key"), F.col("event_id").cast("int").alias("id")), "vocabulary")
 
 
 def encode(events: DataFrame, cues: DataFrame, outcomes: DataFrame, sort_within_event: bool = False) -> DataFrame:
     """event_id, cue_ids, outcome_ids; a token without an id fails the job."""
-    out = events
+    if max(cues.count(), outcomes.count()) <= SMALL_KEYS:
+        return _encode_small(events, cues, outcomes, sort_within_event)
+    out = events.select("event_id", "cues", "outcomes")
     for column, table, name in (("cues", cues, "cue_ids"), ("outcomes", outcomes, "outcome_ids")):
         parts = out.select("event_id", F.posexplode_outer(column).alias("_at", "key"))
-        small = table.count() <= BROADCAST_KEYS
-        joined = parts.join(F.broadcast(table) if small else table, "key", "left")
+        joined = parts.join(table, "key", "left")
         known = F.when(F.col("id").isNull() & F.col("key").isNotNull(), F.raise_error(F.concat(F.lit("unknown token "), F.col("key")))).otherwise(F.col("id"))
         ids = F.filter(F.collect_list(F.struct("_at", known.alias("id"))), lambda x: x["id"].isNotNull())
         gathered = joined.groupBy("event_id").agg(F.transform(F.array_sort(ids), lambda x: x["id"]).alias(name))
         if sort_within_event:
             gathered = gathered.withColumn(name, F.array_sort(name))
-        out = gathered if column == "cues" else out.join(gathered, "event_id")
-        if column == "cues":
-            out = events.select("event_id", "outcomes").join(gathered, "event_id")
+        out = out.join(gathered, "event_id")
     return out.select("event_id", "cue_ids", "outcome_ids")
 
 
+def _encode_small(events: DataFrame, cues: DataFrame, outcomes: DataFrame, sort_within_event: bool) -> DataFrame:
+    """One pass over the events, without a shuffle: vocabularies of a checked size go to every task."""
+    keys = [[r["key"] for r in t.orderBy("id").collect()] for t in (cues, outcomes)]
+    sent = events.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [pa.array(k, pa.string()) for k in sent.value]
+        for batch in batches:
+            out = [batch.column(0)]
+            for column, known in zip(batch.columns[1:], sets):
+                tokens = column.flatten()
+                ids = pc.index_in(tokens, value_set=known)
+                if ids.null_count:
+                    raise ValueError(f"unknown token {tokens.filter(pc.is_null(ids))[0]}")
+                ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(column), 0).cast(pa.int32()))
+                out.append(pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), ids))
+            yield pa.RecordBatch.from_arrays(out, ["event_id", "cue_ids", "outcome_ids"])
+
+    kind = events.schema["event_id"].dataType.simpleString()
+    found = events.select("event_id", "cues", "outcomes").mapInArrow(run, f"event_id {kind}, cue_ids array<int>, outcome_ids array<int>")
+    return found.withColumns({c: F.array_sort(c) for c in ("cue_ids", "outcome_ids")}) if sort_within_event else found
+
+
 def bandsample(counter: DataFrame, sample_size: int = 50_000, *, cutoff: int = 5, seed: int | None = None) -> DataFrame:
     """A sample of the keys that covers the frequency band evenly.
 

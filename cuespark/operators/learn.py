@@ -18,6 +18,8 @@ from .filters import apply_duplicates
 
 #: A task's part of W takes up to this many numbers (8 bytes each).
 CHUNK_NUMBERS = 32_000_000
+#: Fewer rows than this aren't split over tasks: each task reads all events and solves their equations.
+CHUNK_ROWS = 64
 #: Vector tables go to every task; larger ones than this many numbers are refused.
 VECTOR_NUMBERS = 64_000_000
 
@@ -94,7 +96,7 @@ def _chunk(n_inputs: int, n_rows: int, parallel: int, per_chunk: int | None) ->
         if per_chunk < 1:
             raise ValueError("a chunk holds at least one row")
         return per_chunk
-    return max(1, min(-(-n_rows // parallel), CHUNK_NUMBERS // max(n_inputs, 1)))
+    return max(1, min(max(-(-n_rows // parallel), CHUNK_ROWS), CHUNK_NUMBERS // max(n_inputs, 1)))
 
 
 def _table(found: DataFrame, rows: DataFrame, columns: DataFrame, axes: tuple[str, str]) -> DataFrame:
@@ -123,7 +125,7 @@ def rw_learn(
     """
     started = time.time()
     events = apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates)
-    cues, outcomes = (materialise(_union(counts.vocabulary(events, c), weights, k), "vocabulary") for c, k in (("cues", 1), ("outcomes", 0)))
+    cues, outcomes = (_union(counts.vocabulary(events, c), weights, k) for c, k in (("cues", 1), ("outcomes", 0)))
     strategy = strategy or _plan(events, alpha, weights)
     if strategy == "closed":
         table = closed.closed_form(events, float(alpha), betas, lambda_)
@@ -207,7 +209,7 @@ def wh_learn(
     started = time.time()
     spark = events.sparkSession
     events = apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates)
-    cues, outcomes = (materialise(counts.vocabulary(events, c), "vocabulary") for c in ("cues", "outcomes"))
+    cues, outcomes = (counts.vocabulary(events, c) for c in ("cues", "outcomes"))
 
     def dims(names: list[str] | None, n: int) -> DataFrame:
         names = names or [str(i) for i in range(n)]
@@ -221,12 +223,12 @@ def wh_learn(
         x, n = _vectors(cue_vectors, cues, "cues")
         columns = dims(cue_dims, n)
     elif weights is not None:
-        columns = cues = materialise(_union(cues, weights, 1), "vocabulary")
+        columns = cues = _union(cues, weights, 1)
     if outcome_vectors is not None:
         y, n = _vectors(outcome_vectors, outcomes, "outcomes")
         rows = dims(outcome_dims, n)
     elif weights is not None:
-        rows = outcomes = materialise(_union(outcomes, weights, 0), "vocabulary")
+        rows = outcomes = _union(outcomes, weights, 0)
     axes = ("outcome" if y is None else "outcome_dim", "cue" if x is None else "cue_dim")
     path = kernel.write_encoded(counts.encode(events, cues, outcomes))
     n_inputs, n_rows = columns.count(), rows.count()

@@ -52,38 +52,107 @@ def _batches(path: str) -> Iterator[tuple[np.ndarray, ...]]:
                 yield tuple(out)
 
 
+#: Events that are solved together.
+BLOCK = 64
+#: With unequal rates each row of W has equations of its own; up to this many rows they are solved together, beyond that event by event.
+OWN_EQUATIONS = 16
+
+
 def learn(w: np.ndarray, path: str, rule: Rule, low: int, high: int) -> None:
-    """Fold all events into ``w`` (inputs x rows low..high), in place."""
+    """Fold all events into ``w`` (inputs x rows low..high), in place.
+
+    The updates u of a block of events X are linear in each other: an event sees W as the block found it,
+    plus what the events before it in the block changed.  So u solves (D + strictly lower part of
+    X alpha X') u = targets - X W, with D = 1 / rate on the diagonal, and W grows by alpha X' u: the
+    same fold, by matrix products.
+    """
+    targets = None if rule.outcome_vectors is None else np.ascontiguousarray(rule.outcome_vectors[:, low:high])
+    equal = targets is not None or rule.betas[0] == rule.betas[1]
+    solved = min(rule.betas) > 0 and (equal or high - low <= OWN_EQUATIONS)
+    for batch in _batches(path):
+        if solved:
+            for e in range(0, len(batch[0]) - 1, BLOCK):
+                _block(w, _slice(batch[0], batch[1], e), _slice(batch[2], batch[3], e), rule, targets, low, high, equal)
+        else:
+            _events(w, batch, rule, targets, low, high)
+
+
+def _slice(offsets: np.ndarray, ids: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a block's events: the event and the id of each token, and how many events."""
+    own = offsets[at : at + BLOCK + 1]
+    return np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]], len(own) - 1
+
+
+def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndarray | None, low: int, high: int, equal: bool) -> None:
+    event, ids, n = cues
+    used = alpha = None
+    if rule.cue_vectors is None:
+        used, place = np.unique(ids, return_inverse=True)
+        x = np.zeros((n, len(used)))
+        np.add.at(x, (event, place), 1.0)
+        rows = w[used]
+        alpha = rule.alpha[used] if isinstance(rule.alpha, np.ndarray) else rule.alpha
+    else:
+        x = np.zeros((n, rule.cue_vectors.shape[1]))
+        np.add.at(x, event, rule.cue_vectors[ids])
+        rows, alpha = w, 1.0
+    event, ids, _ = outs
+    lower = np.tril((x * alpha) @ x.T, -1)
+    b1, b2 = rule.betas
+    if targets is not None:
+        want = np.zeros((n, high - low))
+        np.add.at(want, event, targets[ids])
+    else:
+        own = (ids >= low) & (ids < high)
+        want = np.zeros((n, high - low))
+        want[event[own], ids[own] - low] = rule.lambda_
+    rest = want - x @ rows
+    if equal:
+        u = np.linalg.solve(lower + np.eye(n) / b1, rest)
+    else:
+        held = np.zeros((n, high - low), bool)
+        held[event[own], ids[own] - low] = True
+        every = np.broadcast_to(lower, (high - low, n, n)).copy()
+        every[:, np.arange(n), np.arange(n)] = np.where(held, 1 / b1, 1 / b2).T
+        u = np.linalg.solve(every, rest.T[:, :, None])[:, :, 0].T
+    change = (x * alpha).T @ u
+    if used is None:
+        w += change
+    else:
+        w[used] = rows + change
+
+
+def _events(w: np.ndarray, batch: tuple[np.ndarray, ...], rule: Rule, targets: np.ndarray | None, low: int, high: int) -> None:
+    """The same, an event at a time."""
     b1, b2 = rule.betas
     per_cue = isinstance(rule.alpha, np.ndarray)
-    targets = None if rule.outcome_vectors is None else np.ascontiguousarray(rule.outcome_vectors[:, low:high])
-    for cue_at, cue_ids, out_at, out_ids in _batches(path):
-        cue_at, out_at = cue_at.tolist(), out_at.tolist()
-        for e in range(len(cue_at) - 1):
-            cues = cue_ids[cue_at[e] : cue_at[e + 1]]
-            if rule.cue_vectors is None:
-                if not len(cues):
-                    continue
-                rows = w[cues]
-                a = rows.sum(axis=0)
-            else:
-                x = rule.cue_vectors[cues].sum(axis=0)
-                a = x @ w
-            outs = out_ids[out_at[e] : out_at[e + 1]]
-            if targets is not None:
-                u = b1 * (targets[outs].sum(axis=0) - a)
-            else:
-                u = a * -b2
-                own = outs[(outs >= low) & (outs < high)] - low
-                u[own] = b1 * (rule.lambda_ - a[own])
-            if rule.cue_vectors is not None:
-                w += np.multiply.outer(x, u)
+    cue_at, cue_ids, out_at, out_ids = batch
+    cue_at, out_at = cue_at.tolist(), out_at.tolist()
+    for e in range(len(cue_at) - 1):
+        cues = cue_ids[cue_at[e] : cue_at[e + 1]]
+        if rule.cue_vectors is None:
+            if not len(cues):
                 continue
-            change = rule.alpha[cues][:, None] * u if per_cue else rule.alpha * u
-            if len(cues) > 1 and len(set(cues.tolist())) < len(cues):
-                np.add.at(w, cues, change)
-            else:
-                w[cues] = rows + change
+            rows = w[cues]
+            a = rows.sum(axis=0)
+        else:
+            x = rule.cue_vectors[cues].sum(axis=0)
+            a = x @ w
+        outs = out_ids[out_at[e] : out_at[e + 1]]
+        if targets is not None:
+            u = b1 * (targets[outs].sum(axis=0) - a)
+        else:
+            u = a * -b2
+            own = outs[(outs >= low) & (outs < high)] - low
+            u[own] = b1 * (rule.lambda_ - a[own])
+        if rule.cue_vectors is not None:
+            w += np.multiply.outer(x, u)
+            continue
+        change = rule.alpha[cues][:, None] * u if per_cue else rule.alpha * u
+        if len(cues) > 1 and len(set(cues.tolist())) < len(cues):
+            np.add.at(w, cues, change)
+        else:
+            w[cues] = rows + change
 
 
 def run(
