@@ -27,13 +27,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, pick
+from .common import identified, make_room, materialise, pick
 
 #: ASCII bytes that end a word: all but digits, small letters and what isn't ASCII.
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _BREAK = bytes(b if b in _KEEP else 0x20 for b in range(256))
 GAP = 64
+#: Contaminated rows are broadcast up to this number, counted first; more are joined.
+BROADCAST_ROWS = 100_000
 INDEX = "doc_ids array<{id}>, n_words array<int>, terms binary, ends binary, positions binary"
 
 
@@ -85,6 +88,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None, shard_char
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("decontamination")
         ids, texts, size = [], [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -99,7 +103,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None, shard_char
         if ids:
             yield pack(ids, texts)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def pack(ids: list, texts: list) -> pa.RecordBatch:
         row = shard_row(ids, texts, vocabulary)
@@ -195,6 +199,7 @@ def match_block(index: DataFrame, items: list[tuple[str, str | None]], size: int
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("decontamination")
         for batch in batches:
             for row in batch.to_pylist():
                 yield one(row)
@@ -226,7 +231,7 @@ def match_block(index: DataFrame, items: list[tuple[str, str | None]], size: int
             ["shard", "row", "doc_id", "n_words", "hit", "items"],
         )
 
-    batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    batch_type = to_arrow_type(index.schema["doc_ids"].dataType.elementType)
     return index.mapInArrow(run, f"shard long, row int, doc_id {kind}, n_words long, hit array<int>, items array<string>")
 
 
@@ -275,3 +280,14 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, size: int = 10)
         (F.size("hit") > 0).alias("contaminated"),
     )
 
+
+def filter_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+    """The documents (all columns) that hold no window of the benchmark.
+
+    Rows are told apart by their place, so of rows that share an id, or have none, each is kept or dropped by its own text.
+    """
+    named, place = identified(docs)
+    rows = pick(named, file=place[0], place=place[1], text=text_col).select(F.struct("file", "place").alias("row"), "text")
+    hit = find_contamination(rows, benchmark, size, id_col="row").where("size(hit) > 0")
+    hit = materialise(hit.select(F.col("doc_id.file").alias(place[0]), F.col("doc_id.place").alias(place[1])), "contaminated")
+    return named.join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, place, "left_anti").drop(*place)

@@ -26,7 +26,7 @@ Every join of pairs has the exact bounds of ``_may_link`` in its condition: size
 whose differing bits are never more than the elements in which two sets differ.  So a pair that the
 bounds rule out is never emitted; the others are verified.
 
-The result is exact: the components of all links.  Nothing is capped.
+The result is exact up to collisions of 64-bit hashes of shingles and 128-bit prints of sets: the components of all links.  Nothing is capped.
 
 Nulls: null, empty and blank texts have no shingles (size 0) and are a component each.  Fewer words
 than a shingle make one shingle.  Null ids are ignored in a component's least id (null if all are).
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, remove, scratch
+from .common import held, identified, materialise, pick, remove, scratch
 from .components import connected_components
 
 #: Words whose hashes a task keeps; then it starts afresh.
@@ -57,8 +57,12 @@ PAIRS_AT_ONCE = 128
 FREQUENT = 16
 #: Tables of a few numbers a row (keys, ids, pairs) are broadcast up to this many rows, counted first; larger ones are joined.
 BROADCAST_ROWS = 1_000_000
+#: The same for rows that hold a file's name.
+BROADCAST_NAMES = 100_000
 #: What a set with more empty segments than its spare capacity costs, in keys a segment: it meets all others of that kind.
-UNFIT = 1_000
+UNFIT = 300
+#: What a segment of a single element costs, in keys: its key is shared by more sets that don't link.
+SHORT = 5
 #: Words of a set's parity sketch: of 512 bits each tells whether an odd number of elements fall on it.
 SKETCH = [f"s{i}" for i in range(8)]
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -127,7 +131,7 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
             written = (m - twos) + twos * (1 + low * 1.2 / m)
             short = m * math.exp(-1.5 * size) + twos * size * math.exp(-1.5 * max(0.0, size - 1))  # a neighbour has an element less
             # what short subsets cost in pairs that don't link, and sets whose empty segments must be written
-            cost = written + 30 * short + UNFIT * m * unfit
+            cost = written + SHORT * short + UNFIT * m * unfit
             if best is None or cost < best[0]:
                 best = cost, twos, m, spare
     return best[1:]
@@ -190,23 +194,33 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+PLACE = ["row_file", "row_place"]
 _BASE = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), *[(s, pa.int64()) for s in SKETCH]]
-)
+    [
+        ("doc_id", pa.int64()), *zip(PLACE, (pa.string(), pa.int64())), ("n", pa.int64()), ("print", pa.binary()),
+        ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), *[(s, pa.int64()) for s in SKETCH],
+    ]
+)
+
+
+def _words() -> Words:
+    """The worker's hashes by word, afresh when there are many."""
+    known: Words = held("jaccard", "words", Words)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    return known
 
 
 def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """rid, doc_id, n, print (of the set, 128 bits), keys, tags, sketch words of every document; and their folder."""
+    """rid, doc_id, place, n, print (of the set, 128 bits), keys, tags, sketch words of every row (doc_id, place, text); and their folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                known = _words()
                 ns, prints, keys, tags, sketches = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(3).to_pylist():
                     elements = shingles(text, width, known)
                     ns.append(len(elements))
                     prints.append(xxhash.xxh128_digest(elements.tobytes()) if len(elements) else None)
@@ -214,10 +228,11 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
                     keys.append(a)
                     tags.append(b)
                     sketches.append(sketch(elements))
-                columns = (batch.column(0).to_pylist(), ns, prints, keys, tags, *np.array(sketches).reshape(-1, len(SKETCH)).T)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BASE)], schema=_BASE)
+                columns = (*batch.columns[:3], ns, prints, keys, tags, *np.array(sketches).reshape(-1, len(SKETCH)).T)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _BASE)], schema=_BASE)
 
-    found = rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>, tags array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
+    kinds = "doc_id long, row_file string, row_place long, n long, print binary, keys array<long>, tags array<int>, "
+    found = rows.select("doc_id", *PLACE, "text").mapInArrow(run, kinds + ", ".join(f"{s} long" for s in SKETCH))
     path = scratch(rows.sparkSession, "shingle-keys")
     found = found.select(F.monotonically_increasing_id().alias("rid"), "*")
     found.write.parquet(path)
@@ -225,46 +240,23 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rid, elements of the wanted (rid, doc_id, print), read from their texts once more."""
-    wanted = materialise(wanted, "wanted")
-    texts = rows.join(_small(wanted.select("rid", "print", F.col("doc_id").alias("own"))), F.col("doc_id").eqNullSafe(F.col("own"))).select("rid", "print", "text")
+    """rid, elements of the wanted (rid, place), read from their texts once more."""
+    texts = rows.join(_small(materialise(wanted, "wanted"), BROADCAST_NAMES), PLACE).select("rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-                rids, out = [], []
-                for rid, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    elements = shingles(text, width, known)
-                    if xxhash.xxh128_digest(elements.tobytes()) == own:  # of rows with one id, those of this class
-                        rids.append(rid)
-                        out.append(_narrow(elements))
-                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.binary())], ["rid", "elements"])
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                known = _words()
+                out = [shingles(text, width, known).astype("<u8").tobytes() for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rid", "elements"])
 
-    found = materialise(texts.mapInArrow(run, "rid long, elements binary"), "shingle-sets", 256)
-    if found.count() > wanted.count():  # rows with equal ids and equal texts
-        found = materialise(found.groupBy("rid").agg(F.first("elements").alias("elements")), "shingle-sets")
-    return found
+    return materialise(texts.mapInArrow(run, "rid long, elements binary"), "shingle-sets", 256)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast a table that was counted and is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _narrow(elements: np.ndarray) -> bytes:
-    """The upper 48 bits of each element; enough to compare two sets, and a quarter less to send."""
-    return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _wide(data: pa.Buffer) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :6] = part
-    return out.view("<u8").ravel()
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +266,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = _wide(x.as_buffer()), _wide(y.as_buffer())
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -304,7 +296,7 @@ def _pairs(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("rid").alias("a")).join(members.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b")
 
 
-def _candidates(classes: DataFrame, base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(pairs to verify, members (key, rid, hub) of frequent keys that remain)."""
     rows = base.select("rid", "keys", "tags").join(_small(copies), "rid", "left_anti")  # a set of each class
     rows = rows.select("rid", F.explode(F.arrays_zip("keys", "tags")).alias("e")).select(F.col("e.keys").alias("key"), F.col("e.tags").alias("tag"), "rid")
@@ -344,40 +336,74 @@ def _twos(percent: int, band):
     return out
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _grouped(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, place, text): rid, doc_id, place, n, print of each; and print, root, least of each class of equal sets."""
     keyed, folder = _base(rows, width, percent)
-    base = materialise(keyed.select("rid", "doc_id", "n", "print", *SKETCH), "prints")
+    base = materialise(keyed.select("rid", "doc_id", *PLACE, "n", "print", *SKETCH), "prints")
     full = base.where("n > 0")
-    classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]), "classes")
+    classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]), "classes")
     copies = full.join(classes.select("print", F.col("rid").alias("first")), "print").where("rid <> first").select("rid")
-    pairs, many = _candidates(classes, keyed, materialise(copies, "copies"), percent)
+    pairs, many = _candidates(keyed, materialise(copies, "copies"), percent)
     pairs = materialise(pairs.join(_sized(classes, "a"), "a").join(_sized(classes, "b"), "b").where(_may_link(percent)).select("a", "b"), "pairs")
     remove(rows.sparkSession, folder)  # the keys have done their work
     named = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     if many is not None:
         named = named.unionAll(many.select("rid"))
-    sets = _sets(rows, classes.join(named.distinct(), "rid", "left_semi"), width)
+    sets = _sets(rows, base.select("rid", *PLACE).join(named.distinct(), "rid", "left_semi"), width)
     links = _verify(pairs, sets, percent)
     roots = connected_components(links)
     if many is not None:
-        # what stands outside of the hub's component meets every other component of its keys
-        of = lambda c, to: many_roots.select(F.col("node").alias(c), F.col("root").alias(to))
-        many_roots = materialise(roots, "roots")
-        own = many.join(of("rid", "root"), "rid", "left").join(of("hub", "hub_root"), "hub", "left")
-        own = own.select("key", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
-        own = materialise(own.join(classes.select("rid", "n", *SKETCH), "rid"), "rooted")
-        outside = _sized(own.where("root <> hub_root"), "a", "key", "root")
-        other = _sized(own, "b", "key", "root", "hub_root")
-        cross = outside.join(other, F.expr("a_key = b_key and a_root <> b_root and (b_root = b_hub_root or a < b)") & _may_link(percent))
-        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _verify(materialise(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent)
+        more = _verify(materialise(_crossing(many, roots, classes, percent).join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent)
         if not more.isEmpty():
             roots = connected_components(links.unionAll(more))
     labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    labelled = materialise(labelled.select("print", "root", "least"), "labelled")
+    return base, materialise(labelled.select("print", "root", "least"), "labelled")
+
+
+def _crossing(many: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within frequent keys, of different components, that sizes and sketches leave open.
+
+    What stands outside of the hub's component meets every other component of its keys.  Members meet
+    by key and size step: sets that link are at most a step apart, so a key's members are dealt out by size.
+    """
+    roots = materialise(roots, "roots")
+    of = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
+    own = many.join(of("rid", "root"), "rid", "left").join(of("hub", "hub_root"), "hub", "left")
+    own = own.select("key", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    own = own.join(classes.select("rid", "n", *SKETCH), "rid").withColumn("step", F.floor(F.log(F.col("n")) / -math.log(percent / 101)).cast("int"))
+    own = materialise(own, "rooted")
+    outside = own.where("root <> hub_root").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    outside = _sized(outside, "a", "key", "root", "step")
+    other = _sized(own, "b", "key", "root", "hub_root", "step")
+    cross = outside.join(other, F.expr("a_key = b_key and a_step = b_step and a_root <> b_root and (b_root = b_hub_root or a < b)") & _may_link(percent))
+    return cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, place of documents."""
+    rows, place = identified(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.select("doc_id", "text", *[F.col(c).alias(to) for c, to in zip(place, PLACE)])
+
+
+def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    base, labelled = _grouped(_rows(docs, id_col, text_col), width, percent)
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(least, "root").select("print", "component_id")
-    linked = full.select("doc_id", "n", "print").join(by_print, "print").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = base.where("n > 0").select("doc_id", "n", "print").join(by_print, "print").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionAll(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document (all its columns) of each component: that of the least id, nulls last; of equal ids any one, the same in every run.
+
+    Rows count, not ids: of rows that share an id each stays or goes by its own text.  Texts without words stay.
+    """
+    named, place = identified(docs)
+    rows = pick(named, doc_id=id_col, text=text_col, row_file=place[0], row_place=place[1]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    base, labelled = _grouped(rows, width, percent)
+    full = base.where("n > 0")
+    first = full.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    kept = first.join(labelled, "print").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    gone = materialise(full.join(kept, "rid", "left_anti").select(*[F.col(c).alias(to) for c, to in zip(PLACE, place)]), "duplicates")
+    return named.join(_small(gone, BROADCAST_NAMES), place, "left_anti").drop(*place)

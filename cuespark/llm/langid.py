@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import make_room, pick
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -198,6 +198,7 @@ def identify(
     model = docs.sparkSession.sparkContext.broadcast(fit(samples, order, landmarks_per_class, ridge))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language")
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
@@ -232,6 +233,7 @@ def filter_languages(docs: DataFrame, least_output: float, id_col: str = "doc_id
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language")
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import make_room, pick
 
 _MARK = re.compile(r"[^\w\s]")
 
@@ -160,6 +160,7 @@ def label(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             got = [votes(t) for t in texts]
@@ -199,6 +200,7 @@ def classify(docs: DataFrame, sample: int = 1000, bits: int = 16, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(train(rows, sample, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             out = [judge(sent.value, t) for t in batch.column(1).to_pylist()]
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
@@ -214,6 +216,7 @@ def filter_quality(docs: DataFrame, sample: int = 1000, bits: int = 16, id_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             yield batch.filter(pa.array([judge(sent.value, t)[3] for t in batch.column(at).to_pylist()], pa.bool_()))
 
@@ -229,6 +232,7 @@ def _train(rows: DataFrame, table: dict[str, float], counts: dict[str, int], sam
     limits = [min(span, int(1.5 * span * sample / n) + 1) for n in have]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text or not text.strip():
