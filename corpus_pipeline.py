@@ -1,6 +1,11 @@
 """The corpus pipeline: language, quality, near duplicates, benchmark leaks, token ids.
 
 Each stage reads all that its predecessor kept.  ``run`` is also the query ``pipeline``.
+
+Stages decide on rows, not on ids: rows that share an id, or have none, stay or go each by its own text.
+Null, empty and blank texts, and texts without a letter, go in the first stage.  Equal texts are a group, of
+which the least id stays (nulls last).  Columns beyond those used, whatever their names, are passed on up to the last stage.
+Texts of any length are read whole.  An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -19,11 +24,6 @@ from cuespark.llm.queries import tokenizer_file
 LEAST_LANGUAGE_OUTPUT = 0.2
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids; a join on the key, whose large sides Spark sorts and splits."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts in none of the corpus' languages."""
     return langid.filter_languages(docs, LEAST_LANGUAGE_OUTPUT)
@@ -36,21 +36,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the least id stays."""
-    found = jaccard.similar_components(docs, width=5, percent=80)
-    first = found.where("component_id is null or doc_id = component_id")
-    return _keep(docs, first).dropDuplicates(["doc_id", "text"])
+    return jaccard.deduplicate(docs, width=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a passage of the benchmark."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.where("size(hit) = 0"))
+    """Rejects documents that hold a passage of the benchmark: ten of its words in a row, or a whole shorter item."""
+    return decontam.filter_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_bytes of every document."""
-    path = tokenizer_file("piece_bpe_32k.model")
-    read = sentencepieces.decode(sentencepieces.encode(docs, path), path)
+    read = sentencepieces.encode_and_decode(docs, tokenizer_file("piece_bpe_32k.model"))
     return read.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.octet_length("text").cast("long").alias("decoded_bytes"))
 
 
