@@ -9,8 +9,11 @@ so far); those are probed, a few at a time, only for vectors that partial score
 remaining bounds keep competitive.  A task carries thresholds from shard to shard; the
 shards' top lists meet in a ranked merge.
 
-Queries meet candidates in blocks of rows: a stated query set against all rows.  Each task holds one block of
-either side and the best lists of its query blocks.
+Queries meet candidates in blocks of rows: a stated query set against all rows.  Each task holds some of its
+shards, and reads the query blocks one by one from the shared folder; only the top lists are shuffled.
+
+Scores are whole numbers.  Where a query's and a shard's components let them pass 2^53 they are summed in
+64-bit integers, without bounds; where they might pass 2^63 the job fails.
 
 Nulls: vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids.  Shorter vectors count as padded with zeros.  Ties go to the smaller id.  Rows of
@@ -23,13 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, pick
+from .common import filesystem, materialise, pick, scratch
 
 PROBE = 8
+#: Shards that a task holds while the query blocks pass by.
+SHARDS_BYTES = 64 << 20
+
+
+#: Sums of whole numbers below this are exact in float64; those below the other one in int64.
+EXACT, WHOLE = 2.0**53, 2.0**63
 
 
 class Postings:
@@ -39,25 +50,34 @@ class Postings:
         self.ids = ids
         self.lists = np.ascontiguousarray(vectors.T)
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
+        self.most = np.maximum(np.abs(self.low), np.abs(self.high))
 
-    def top(self, query: np.ndarray, own: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k that reach the threshold; ties by id."""
+        reach = float(np.abs(query) @ self.most)
+        if reach >= EXACT:  # no bounds here: whole numbers throughout
+            if not reach < WHOLE:
+                raise OverflowError(f"inner products of query {own} may not fit into 64 bits")
+            scores = query.astype(np.int64) @ self.lists.astype(np.int64)
+            keep = self.ids != own
+            return best(self.ids[keep], scores[keep], k)
+        edge = -np.inf if threshold is None else float(threshold)
         bounds = np.maximum(query * self.low, query * self.high)
         order = np.argsort(-bounds, kind="stable")
         rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0.0]])  # bound of the terms from i on
-        essential = int(np.argmax(rest < threshold)) if (rest < threshold).any() else len(order)
+        essential = int(np.argmax(rest < edge)) if (rest < edge).any() else len(order)
         first = order[:essential]
         partial = query[first] @ self.lists[first] if essential else np.zeros(len(self.ids))
-        alive = np.flatnonzero((partial + rest[essential] >= threshold) & (self.ids != own))
+        alive = np.flatnonzero((partial + rest[essential] >= edge) & (self.ids != own))
         partial = partial[alive]
         for at in range(essential, len(order), PROBE):
             if not len(alive):
                 break
             dims = order[at : at + PROBE]
             partial = partial + query[dims] @ self.lists[np.ix_(dims, alive)]
-            keep = partial + rest[min(at + PROBE, len(order))] >= threshold
+            keep = partial + rest[min(at + PROBE, len(order))] >= edge
             alive, partial = alive[keep], partial[keep]
-        return best(self.ids[alive], partial, k)
+        return best(self.ids[alive], partial.astype(np.int64), k)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,32 +144,51 @@ def top_k(
     rows = pick(vectors, vec_id=id_col, vector=vector_col).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("vector"), factor).alias("vector"))
     shards = materialise(pack(rows, shard_rows), "vectors")
-    asked = materialise(pack(rows.where(is_query).coalesce(8), query_rows), "queries")
-    number = Window.orderBy("id")  # over blocks, not over rows
-    asked = asked.withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.row_number().over(number) - 1)
-    n = asked.count()
-    asked = asked.select("block", F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("vectors").alias("queries"))
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))).join(asked, "block")
+    folder = scratch(vectors.sparkSession, "queries")
+    pack(rows.where(is_query), query_rows).write.parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[dict] = []
+        size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                width = max(row["dims"], row["query_dims"])
-                shard = Postings(*_open(row["ids"], row["dims"], row["vectors"], width))
-                names, queries = _open(row["query_ids"], row["query_dims"], row["queries"], width)
-                for i, query in zip(names.tolist(), queries):
-                    have = found.get(i)
-                    edge = have[1][-1] if have is not None and len(have[0]) == k else -np.inf
-                    ids, scores = shard.top(query, i, k, edge)
-                    if have is not None:
-                        ids, scores = best(np.concatenate([have[0], ids]), np.concatenate([have[1], scores]), k)
-                    found[i] = ids, scores
-        for i, (ids, scores) in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), i), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"]
-            )
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                held.append(row)
+                size += len(row["vectors"])
+                if size >= SHARDS_BYTES:
+                    yield from against_queries(held)
+                    held, size = [], 0
+        if held:
+            yield from against_queries(held)
+
+    def against_queries(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Top lists of all query blocks, one block in memory at a time; thresholds go from shard to shard."""
+        width = max(row["dims"] for row in rows)
+        opened = [(width, [Postings(*_open(row["ids"], row["dims"], row["vectors"], width)) for row in rows])]
+        for block in query_blocks(folder):
+            if block["dims"] > opened[0][0]:
+                opened = [(block["dims"], [Postings(*_open(row["ids"], row["dims"], row["vectors"], block["dims"])) for row in rows])]
+            names, queries = _open(block["ids"], block["dims"], block["vectors"], opened[0][0])
+            out: tuple[list, list, list] = ([], [], [])
+            for i, query in zip(names.tolist(), queries):
+                have: tuple[np.ndarray, np.ndarray] | None = None
+                for shard in opened[0][1]:
+                    got = shard.top(query, i, k, int(have[1][-1]) if have is not None and len(have[0]) == k else None)
+                    have = got if have is None else best(np.concatenate([have[0], got[0]]), np.concatenate([have[1], got[1]]), k)
+                for column, values in zip(out, (np.full(len(have[0]), i, np.int64), *have)):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+    found = shards.mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def query_blocks(folder: str) -> Iterator[dict]:
+    """The rows of the packed queries, one at a time."""
+    fs, path = filesystem(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda x: x.base_name):
+        if info.base_name.startswith("part-") and info.base_name.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                file = pq.ParquetFile(source)
+                for batch in file.iter_batches(1):
+                    yield from batch.to_pylist()
