@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick
+from .common import materialise, pick
 
 _BITS = 52
 
@@ -53,9 +53,9 @@ def shard_documents(
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    ``slot`` numbers the rows of a shard without gaps from 0.  No task sees a whole shard:
-    rows are numbered within (shard, hash bucket), and the buckets of a shard are laid end
-    to end by a running sum over their counts.  The number of buckets follows the row count.
+    ``slot`` numbers the rows of a shard without gaps from 0, by hash bucket, key, crc32 and size.  Rows are
+    range-partitioned by these (and their place, so that equal rows are split too), numbered within each
+    part of a shard, and the parts are laid end to end by their counts: no task sees a whole shard or key.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     shard = rendezvous(F.col("doc_id"), weights)
@@ -70,16 +70,20 @@ def shard_documents(
         shard.alias("shard"),
         grown.alias("grown_shard"),
         bucket.alias("bucket"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    counts = rows.select(shard.alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    order = ["shard", "bucket", "doc_id", "text_crc32", "size", "place"]
+    keyed = materialise(keyed, "sharded")
+    laid = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    counts = laid.groupBy("shard", "part").count()
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("shard", "part").orderBy(*order)
     return (
-        keyed.withColumn("place", F.row_number().over(own) - 1)
-        .join(starts, ["shard", "bucket"])
+        laid.withColumn("at", F.row_number().over(own) - 1)
+        .join(starts, ["shard", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard",
+            (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard",
         )
     )
