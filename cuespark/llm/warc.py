@@ -1,8 +1,9 @@
 """Operator 7: WARC archives as a Python data source, for reading and writing.
 
-Files are gzip with one member a record.  Each member's header carries the ``sl`` extra
+Files are written as gzip with one member a record.  Each member's header carries the ``sl`` extra
 field (compressed and plain length of the member), so a reader inflates the record's
 headers, and goes on to the next member without inflating a payload nobody asked for.
+Other archives, ``.warc.gz`` of any members and plain ``.warc``, are read as streams.
 
 Reading: one partition a group of files of about ``partition_bytes``.  Filters on ``record_type``,
 ``record_id``, ``target_uri`` and ``payload_digest`` (=, in, is [not] null) are pushed into
@@ -42,7 +43,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import filesystem, pick, scratch
+from .common import filesystem, materialise, pick, scratch
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_digest string, "
@@ -61,6 +62,8 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PUSHED = ("record_type", "record_id", "target_uri", "payload_digest")
 _GZIP = struct.Struct("<4sIBBHccHII")
+#: Digests of several records are broadcast up to this number, counted first; more are joined.
+BROADCAST_ROWS = 500_000
 _CLEAN = re.compile(r"[\r\n]+")
 
 
@@ -96,15 +99,154 @@ def _bare(urn: str | None) -> str | None:
     return urn and urn.strip("<>").removeprefix("urn:record:")
 
 
+class Plain:
+    """An archive without compression: bytes are read, or jumped over."""
+
+    def __init__(self, source) -> None:
+        self.source, self.at, self.end = source, 0, source.size()
+
+    def more(self) -> bool:
+        return self.at < self.end
+
+    def take(self, n: int) -> bytes:
+        self.source.seek(self.at)
+        data = self.source.read(min(n, self.end - self.at))
+        self.at += len(data)
+        return data
+
+    def head(self, most: int = 1 << 24) -> bytes:
+        """Up to and with the next empty line."""
+        begun, got = self.at, b""
+        while (k := got.find(b"\r\n\r\n")) < 0 and self.more() and len(got) < most:
+            got += self.take(4096)
+        size = k + 4 if k >= 0 else len(got)
+        self.at = begun + size
+        return got[:size]
+
+    def skip(self, n: int) -> None:
+        self.at += n
+
+    def place(self) -> int:
+        return self.at
+
+
+class Zipped:
+    """A gzip archive of any members: one a record, as is usual, or fewer; what is skipped is inflated and dropped."""
+
+    def __init__(self, source) -> None:
+        self.source, self.end, self.read = source, source.size(), 0
+        self.inflate, self.raw, self.got = zlib.decompressobj(31), b"", b""
+        self.member = 0
+
+    def _fill(self) -> bool:
+        """Some more plain bytes; False at the end."""
+        while True:
+            if not self.raw:
+                self.source.seek(self.read)
+                self.raw = self.source.read(min(1 << 16, self.end - self.read))
+                self.read += len(self.raw)
+                if not self.raw:
+                    return False
+            data = self.inflate.decompress(self.raw, 1 << 16)
+            self.raw = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.raw = self.inflate.unused_data
+                self.inflate = zlib.decompressobj(31)
+                if not self.got and not data:
+                    self.member = self.read - len(self.raw)
+                elif data:
+                    self.got += data
+                    return True
+                continue
+            if data:
+                self.got += data
+                return True
+
+    def more(self) -> bool:
+        if not self.got:
+            self.member = self.read - len(self.raw)
+        return bool(self.got) or self._fill()
+
+    def take(self, n: int) -> bytes:
+        parts, size = [], 0
+        while size < n and (self.got or self._fill()):
+            parts.append(self.got[: n - size])
+            self.got = self.got[n - size :]
+            size += len(parts[-1])
+        return b"".join(parts)
+
+    def head(self, most: int = 1 << 24) -> bytes:
+        while (k := self.got.find(b"\r\n\r\n")) < 0 and len(self.got) < most and self._fill():
+            pass
+        return self.take(k + 4 if k >= 0 else len(self.got))
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (self.got or self._fill()):
+            n, self.got = n - min(n, len(self.got)), self.got[n:]
+
+    def place(self) -> int:
+        return self.member
+
+
+def _row(head: dict[str, str], web: bytes, name: str, at: int) -> dict:
+    """The columns of a record, without its payload."""
+    length = int(head.get("content-length", 0)) - len(web)
+    told = _fields(web).get("content-length", "") if web else ""
+    if head.get("warc-type") == "revisit" and told.isdigit():
+        length = int(told)
+    return {
+        "record_id": _bare(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"),
+        "payload_digest": (d := head.get("warc-payload-digest")) and d.removeprefix("sha1:"),
+        "payload_length": length, "refers_to": _bare(head.get("warc-refers-to")), "payload": None, "file": name, "offset": at,
+    }
+
+
+def _has_web(head: dict[str, str]) -> bool:
+    """Whether the block begins with an HTTP header; its body is the payload then, else the whole block."""
+    return head.get("content-type", "").lower().startswith("application/http")
+
+
 def read_records(source, name: str, wanted=lambda head: True, payload: bool = True) -> Iterator[dict]:
-    """Records of an archive; what ``wanted`` refuses by its headers isn't inflated further."""
+    """Records of an archive, ``.warc`` or ``.warc.gz``; of what ``wanted`` refuses by its headers no payload is kept.
+
+    Members that tell their lengths, as ours do, aren't inflated further than the headers.
+    """
+    source.seek(0)
+    start = source.read(_GZIP.size)
+    if start[:4] == b"\x1f\x8b\x08\x04" and len(start) == _GZIP.size and start[12:14] == b"sl":
+        yield from _read_skipping(source, name, wanted, payload)
+        return
+    stream = Zipped(source) if start[:2] == b"\x1f\x8b" else Plain(source)
+    while stream.more():
+        at = stream.place()
+        warc = stream.head()
+        if not warc.strip():
+            continue
+        if not warc.lstrip().startswith(b"WARC/"):
+            raise ValueError(f"{name}: no record at {at}")
+        head = _fields(warc.lstrip().rstrip(b"\r\n"))
+        left = int(head.get("content-length", 0))
+        web = stream.head(left) if left and _has_web(head) else b""
+        left -= len(web)
+        out = _row(head, web, name, at)
+        if wanted(out):
+            if payload:
+                out["payload"] = stream.take(left)
+                left = 0
+            stream.skip(left)
+            yield out
+        else:
+            stream.skip(left)
+
+
+def _read_skipping(source, name: str, wanted, payload: bool) -> Iterator[dict]:
     at, end = 0, source.size()
     while at < end:
         source.seek(at)
         start = source.read(min(4096, end - at))
-        magic, _, _, _, extra, s, l, _, size, plain = _GZIP.unpack_from(start)
+        magic, _, _, _, extra, s, l, _, size, _ = _GZIP.unpack_from(start)
         if magic != b"\x1f\x8b\x08\x04" or s + l != b"sl":
-            raise ValueError(f"{name}: no record with a skip length at {at}")
+            raise ValueError(f"{name}: no record with a skip length at {at}, where the ones before had it")
         inflate = zlib.decompressobj(-15)
         body = 12 + extra  # ten bytes, the extra field's length, the extra field
         got, rest = b"", start[body:size]
@@ -116,21 +258,15 @@ def read_records(source, name: str, wanted=lambda head: True, payload: bool = Tr
                 rest = source.read(min(4096, size - used))
                 used += len(rest)
         warc, _, tail = got.partition(b"\r\n\r\n")
-        http, _, tail = tail.partition(b"\r\n\r\n")
-        head, web = _fields(warc), _fields(http)
-        out = {
-            "record_id": _bare(head.get("warc-record-id")), "record_type": head.get("warc-type"),
-            "target_uri": head.get("warc-target-uri"),
-            "payload_digest": (d := head.get("warc-payload-digest")) and d.removeprefix("sha1:"),
-            "payload_length": int(web.get("content-length", 0)), "refers_to": _bare(head.get("warc-refers-to")),
-            "payload": None, "file": name, "offset": at,
-        }
+        head = _fields(warc)
+        web = tail[: tail.find(b"\r\n\r\n") + 4] if _has_web(head) else b""
+        out = _row(head, web, name, at)
         if wanted(out):
             if payload:
                 source.seek(at)
                 data = zlib.decompress(source.read(size)[body:-8], -15)
-                stop = len(warc) + 4 + int(head["content-length"])
-                out["payload"] = data[len(warc) + 4 + len(http) + 4 : stop]
+                begin = len(warc) + 4
+                out["payload"] = data[begin + len(web) : begin + int(head["content-length"])]
             yield out
         at += size
 
@@ -174,7 +310,7 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(path, recursive=False))
         groups: list[list[str]] = [[]]
         size = 0
-        for info in sorted((x for x in found if x.base_name.endswith(".warc.gz")), key=lambda x: x.base_name):
+        for info in sorted((x for x in found if x.base_name.endswith((".warc.gz", ".warc"))), key=lambda x: x.base_name):
             if groups[-1] and size + info.size > self.size:
                 groups.append([])
                 size = 0
@@ -265,16 +401,20 @@ def register(spark: SparkSession) -> None:
 def to_records(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Records of pages: of equal payloads the largest id is the response, others revisit it.
 
-    Only payloads of ``least_bytes`` or more revisit.  Pages with a null id are responses.
-    The largest id of each payload comes from a map-side combined aggregate of digests; the
-    decision joins on the digest without the payloads' bytes in the aggregate.
+    Only payloads of ``least_bytes`` or more revisit.  Pages with a null id are responses, and so are all
+    records of the largest id where that is repeated.  Small payloads meet no other; digests of which
+    there are several are broadcast, after their number was checked, so the payloads stay where they are.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     keyed = rows.select("page_id", "url", "html", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("length"))
-    large = keyed.where((F.col("length") >= least_bytes) & F.col("page_id").isNotNull())
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
-    revisits = (F.col("length") >= least_bytes) & (F.col("page_id") < F.col("top"))
-    joined = keyed.join(groups, "digest", "left").withColumn("again", F.coalesce(revisits, F.lit(False)))
+    large = F.col("length") >= least_bytes
+    groups = keyed.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    groups = materialise(groups.where("n > 1").select("digest", "top"), "equal-payloads")
+    if groups.count() <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(groups), "digest", "left")
+    else:
+        joined = keyed.where(large).join(groups, "digest", "left").unionByName(keyed.where(~large).withColumn("top", F.lit(None).cast(groups.schema["top"].dataType)))
+    joined = joined.withColumn("again", F.coalesce(large & (F.col("page_id") < F.col("top")), F.lit(False)))
     return joined.select(
         F.col("page_id").cast("string").alias("record_id"),
         F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
