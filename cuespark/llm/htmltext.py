@@ -1,11 +1,12 @@
 """Operator 9: main text of HTML pages by the line-block distribution.
 
-1. Markup is stripped into lines: block elements end a line; scripts, styles, comments,
+1. Markup is stripped into lines (attributes are read by whole names: ``no-sidebar`` and ``share-price`` aren't boilerplate): block elements end a line; scripts, styles, comments,
    templates and the like vanish.  List items, table cells, rows, options and paragraphs without an end tag
    end where HTML ends them.  Lines inside navigation, headers, footers, sidebars,
    forms, adverts, notices and reader comments (by element, role, class or id) count 0
    characters, as do all lines outside of an ``article`` or ``main`` on a page that has one.
-2. On a page with ``article`` or ``main`` every counted line is kept: these elements decide, not the blocks.
+2. On a page with ``article`` or ``main`` every counted line is kept: these elements decide, not the blocks, unless
+   the article's text is shorter than ``surge`` and a block outside of it isn't.
 3. On all other pages the lines that count 0 are left out, and the block at line i sums the
    characters of ``window`` lines from i on; lines that are mostly links, and copyright lines, have 0 in it.
 4. The text surges at a line with text whose block is ``surge`` long, and dives where the blocks fall to 0.
@@ -39,11 +40,13 @@ from .common import make_room, pick
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr img".split()
+    "strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced msub msup "
+    "msubsup munder mover munderover mspace mtable mtr mtd semantics annotation".split()
 )
 RAW = frozenset("script style textarea iframe title head".split())
-UNSEEN = frozenset("noscript template svg math object canvas select datalist optgroup option".split())
+UNSEEN = frozenset("noscript template svg object canvas select datalist optgroup option".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu button".split()) | UNSEEN
+HARD = BOILERPLATE - {"form"}
 CONTENT = frozenset("article main".split())
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements whose end tag may be missing: what ends them, and the elements that the search for them doesn't leave.
@@ -77,6 +80,14 @@ WORDS = frozenset(
     "reply widget toolbar pagination pager".split()
 )
 
+# Words beside these in a compound name (``share-buttons``, but not ``share-price``), and those that only tell of a layout (``no-sidebar``).
+COMPANIONS = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons card cell center column container content cta entry fixed foot form forms global group head "
+    "heading icon icons inner item items label left link links list main mobile module outer page panel placeholder post posts primary region right row secondary "
+    "section site slot space sticky stories story sub tag teaser text title toggle tools top unit user view web wide wrap wrapper".split()
+)
+LAYOUTS = frozenset("no non not without has have with hide hidden".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<]*\Z", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -90,6 +101,18 @@ LISTS = frozenset("li dt dd td th".split())
 BOXES = frozenset("div section td center".split())
 
 
+def named(value: str, inside: bool) -> bool:
+    """Whether one of the names of a class or id attribute is boilerplate's."""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        hits = [w in WORDS and not (inside and w == "header") for w in words]
+        if not any(hits) or words[0] in LAYOUTS:
+            continue
+        if all(hit or w in COMPANIONS or len(w) < 3 for w, hit in zip(words, hits)) or hits[-1] and not inside:
+            return True
+    return False
+
+
 def boilerplate(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is menu, header, footer, advert, notice, form or comments.
 
@@ -105,7 +128,7 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), "".join(values)
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and name not in INLINE and any(w.lower() in WORDS and not (inside and w.lower() == "header") for w in _WORD.findall(value)):
+        if key in ("class", "id") and name not in INLINE and named(value, inside):
             return True
     return False
 
@@ -113,21 +136,30 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
 class Line(NamedTuple):
     text: str
     size: int  # counted characters
+    waste: int  # boilerplate elements around it
+    forms: int  # those of them that are forms
+    inside: bool  # an article is around it
+    around: int  # boilerplate elements around that article, -1 if not only forms and classes
     links: int  # characters in links
     kind: str  # the block element around it
     box: int  # the nearest open box, 0 for none
 
 
 def lines(page: str) -> tuple[list[Line], bool]:
-    """The lines of a page; whether it has an article."""
-    out: list[tuple[Line, bool]] = []
+    """The lines of a page; whether it has an article that decides.
+
+    An article that only forms and class names make boilerplate counts where the page has no other; and
+    where nothing else is left, what forms alone make boilerplate counts.
+    """
+    out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate here, article here, link, box around
+    around: list[int] = []  # of each open article
+    forms = hard = 0
     held: Counter[str] = Counter()
     unclosed: set[str] = set()
     last: dict[str, int] = {}  # where the last end tag of an unseen element stands
     waste = inside = linked = box = boxes = 0
-    has = False
     link_chars = 0
 
     def end() -> None:
@@ -137,13 +169,17 @@ def lines(page: str) -> tuple[list[Line], bool]:
             parts.clear()
             if text:
                 kind = next((e[0] for e in reversed(stack) if e[0] not in INLINE), "")
-                out.append((Line(text, 0 if waste else len(text), min(link_chars, len(text)), kind, box), bool(inside)))
+                out.append(Line(text, 0 if waste else len(text), waste, forms, inside > 0, around[0] if around else -1, min(link_chars, len(text)), kind, box))
         link_chars = 0
 
     def leave(n: int) -> None:
-        nonlocal waste, inside, linked, box
+        nonlocal waste, inside, linked, box, forms, hard
         while len(stack) > n:
             name, w, c, l, box = stack.pop()
+            forms -= w and name == "form"
+            hard -= w and name in HARD
+            if c:
+                around.pop()
             held[name] -= 1
             if not held[name]:
                 del held[name]
@@ -203,7 +239,8 @@ def lines(page: str) -> tuple[list[Line], bool]:
             if last[name] < at:  # never ended: the tag alone is skipped
                 continue
         w, c = boilerplate(name, m[3], inside > 0), name in CONTENT
-        has |= c and not waste
+        if c:
+            around.append(-1 if hard else waste)
         link = name == "a" and "href" in m[3].lower()
         if name == "a" and linked:  # a link ends the one before
             k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][3])
@@ -212,13 +249,22 @@ def lines(page: str) -> tuple[list[Line], bool]:
         stack.append((name, w, c, link, box))
         held[name] += 1
         waste += w
+        forms += w and name == "form"
+        hard += w and name in HARD
         inside += c
         linked += link
         if name in BOXES:
             boxes += 1
             box = boxes
     end()
-    return [line if within or not has else line._replace(size=0) for line, within in out], has
+    if any(x.inside and x.size for x in out):
+        return [x if x.inside else x._replace(size=0) for x in out], True
+    held_back = [x.inside and x.around > 0 and x.waste == x.around for x in out]
+    if any(held_back):
+        return [x._replace(size=len(x.text) if good else 0) for x, good in zip(out, held_back)], True
+    if not any(x.size for x in out):
+        out = [x._replace(size=len(x.text) if x.waste == x.forms else 0) for x in out]
+    return out, False
 
 
 def line_blocks(found: list[Line], window: int, surge: int, share: float) -> list[str]:
@@ -273,6 +319,10 @@ def line_blocks(found: list[Line], window: int, surge: int, share: float) -> lis
 
 def main_text(page: str | None, window: int = 3, surge: int = 86, share: float = 0.2) -> str:
     found, has = lines(page or "")
+    if has and sum(x.size for x in found) < surge:  # too short for a surge: a longer text beside it decides
+        every = [x._replace(size=0 if x.waste else len(x.text)) for x in found]
+        has = max(sum(x.size for x in every[i : i + window] if not x.inside) for i in range(len(every))) < surge
+        found = found if has else every
     return " ".join([x.text for x in found if x.size] if has else line_blocks(found, window, surge, share))
 
 
