@@ -35,6 +35,8 @@ from .common import identified, make_room, materialise, pick
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _BREAK = bytes(b if b in _KEEP else 0x20 for b in range(256))
 GAP = 64
+#: Texts that are sent to Python at once.
+BATCH_ROWS = 512
 #: Contaminated rows are broadcast up to this number, counted first; more are joined.
 BROADCAST_ROWS = 100_000
 INDEX = "doc_ids array<{id}>, n_words array<int>, terms binary, ends binary, positions binary"
@@ -112,7 +114,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None, shard_char
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
     index = rows.mapInArrow(run, INDEX.format(id=kind)).select(F.monotonically_increasing_id().alias("shard"), "*")
-    return materialise(index, "positions")
+    return materialise(index, "positions", BATCH_ROWS)
 
 
 class Shard:

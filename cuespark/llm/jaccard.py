@@ -16,7 +16,7 @@ their capacity together is no more than the spare one.  What is left of any rang
 its D, and a key that counts as frequent does so for either set, so no pair is lost.
 
 1. Equal sets are one class; only one set of each class goes on.
-2. Keys of few sets give all their pairs.  Keys of many give each set's pairs with the
+2. Keys of few sets give all their pairs (those of two and three without another shuffle).  Keys of many give each set's pairs with the
    key's hub, the member that shares most keys.  Pairs are verified exactly on the sets.
 3. Components of these links; then, within the frequent keys, every member outside of
    the hub's component is held against all members of other components.  Pairs inside a
@@ -301,9 +301,14 @@ def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataF
     rows = base.select("rid", "keys", "tags").join(_small(copies), "rid", "left_anti")  # a set of each class
     rows = rows.select("rid", F.explode(F.arrays_zip("keys", "tags")).alias("e")).select(F.col("e.keys").alias("key"), F.col("e.tags").alias("tag"), "rid")
     # one-deletion keys repeat within a set only by chance; counting them twice does no harm
-    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi"), "key-counts")
-    twos = counts.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = _small(counts.where("c > 2").select("key", "c"))
+    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bit_xor("rid").alias("x")).where("lo < hi"), "key-counts")
+    # the members of keys of two and three are known from the counts: the third is what the least and largest leave of the sum of bits
+    third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    lo, hi = F.col("lo"), F.col("hi")
+    of_three = F.array(pair(lo, hi), pair(lo, third), pair(hi, third))
+    twos = counts.where("c <= 3").select(F.explode(F.when(F.col("c") == 2, F.array(pair(lo, hi))).otherwise(of_three)).alias("p")).select("p.a", "p.b").where("a < b")
+    more = _small(counts.where("c > 3").select("key", "c"))
     members = materialise(rows.join(more, "key"), "key-members")
     few = members.where(F.col("c") <= FREQUENT).select("key", "rid")
     many = members.where(F.col("c") > FREQUENT)
