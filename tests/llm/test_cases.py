@@ -1,0 +1,389 @@
+"""Odd rows of each operator: nulls, repeated ids and rows, ties, clashing columns, empty tables; and the pipeline against brute force."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cuespark.llm import decontam, htmltext, jaccard, langid, maxscore, quality, queries, sharding, tokenbin, warc
+
+WORDS = [f"word{i}" for i in range(300)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def sets_of(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words)} if 0 < len(words) < width else {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def roots_of(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def odd_ids(seed=4):
+    """(id, text): copies and near copies under repeated and null ids."""
+    rng = random.Random(seed)
+    bases = [prose(rng, rng.randint(30, 90)) for _ in range(6)]
+    near = lambda t: " ".join("odd" if i == 7 else w for i, w in enumerate(t.split()))
+    rows = [(4, bases[0]), (5, near(bases[0])), (5, bases[1]), (None, bases[1]), (None, bases[2]), (9, bases[2]), (9, bases[2]), (None, None), (3, ""), (3, " \t")]
+    rows += [(None, bases[3]), (None, bases[3]), (12, bases[4]), (11, near(bases[4])), (11, bases[5]), (2, "two words"), (1, "two words")]
+    return rows
+
+
+# 1 ---------------------------------------------------------------------------------------
+
+
+def test_sharding_of_repeated_and_null_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, None), (7, "b"), (7, "b"), (7, "c"), (8, "")] * 30
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, SHARD string").repartition(5)
+    got = sharding.shard_documents(table).collect()
+    assert len(got) == len(rows)
+    for key in (None, 7, 8):
+        assert len({r.shard for r in got if r.doc_id == key}) == 1
+    for shard in {r.shard for r in got}:
+        own = sorted((r.slot, r) for r in got if r.shard == shard)
+        assert [s for s, _ in own] == list(range(len(own)))
+        sizes = [(r.doc_id, r.text_crc32, r["size"]) for _, r in own]
+        assert all(a == b or a not in sizes[k:] for k, (a, b) in enumerate(itertools.pairwise(sizes), 1))  # equal rows stand together
+    text = sharding.shard_documents(spark.createDataFrame([("k1", "x")], "doc_id string, text string")).collect()
+    assert text[0].slot == 0
+
+
+# 3 ---------------------------------------------------------------------------------------
+
+
+def test_kernel_equals_set_intersections():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdé ßxyz1,") for _ in range(rng.randint(1, 60))) + "a" for _ in range(40)]
+    model = langid.fit([(t, "pq"[i % 2]) for i, t in enumerate(texts)], order=3, landmarks_per_class=8)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    marks = [grams(langid.letters(t)) for t in [*texts[0::2][:8], *texts[1::2][:8]]]
+    universe = set().union(*marks)
+    clean = [langid.letters(t) for t in [*texts, "qqqq", "日本"]]
+    expect = [[len(grams(c) & m) / np.sqrt(max(len(grams(c) & universe), 1) * len(m)) for m in marks] for c in clean]
+    assert np.allclose(model.kernel(clean), expect, atol=1e-6)
+
+
+def test_language_ties_and_repeated_rows(spark):
+    rows = [(i, t, lang, "x") for i, (t, lang) in enumerate([("abab abab", "b"), ("abab abab", "a"), ("cdcd cdcd", "c"), ("abab abab", None), (None, "a"), ("123", "a")] * 20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, SCORE string")
+    got = {r.doc_id: r for r in langid.identify(table).collect()}
+    assert len(got) == len(rows)
+    assert {got[i].lang_pred for i, t, *_ in rows if t == "abab abab"} == {"a"}  # equal outputs go to the first language
+    assert len({(got[i].lang_pred, got[i].score) for i, t, *_ in rows if t == "cdcd cdcd"}) == 1
+    assert {(got[i].lang_pred, got[i].score) for i, t, *_ in rows if t in (None, "123")} == {("und", 1.0)}
+
+
+# 4 ---------------------------------------------------------------------------------------
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0], "x"), (None, [9.0, 9.0], "x"), (1, [float("inf"), 0.0], "x"), (2, [3.0], "x"), (3, [], "x"), (4, [1.0, 2.0], "x"), (0, [5.0, 5.0], "x"), (6, [1.0, 2.0, 4.0], "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, RANK string")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in maxscore.top_k(table, F.col("vec_id") == 2, k=3).collect())
+    w = 64 * 64
+    assert got == [(1, 0, 15 * w), (2, 0, 3 * w), (3, 4, 3 * w)]  # shorter vectors as with zeros; both rows of id 0 count
+
+
+def test_top_k_of_large_components(spark):
+    big = 2.0**25
+    rows = [(0, [big, 1.0 / 64]), (1, [big, 1.0 / 64]), (2, [big, 3.0 / 64]), (3, [big, 2.0 / 64]), (4, [-big, 0.0])]
+    got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    most = (64 * int(big)) ** 2
+    assert [(r.vec_id, r.score) for r in got] == [(2, most + 3), (3, most + 2), (1, most + 1), (4, -most)]
+    with pytest.raises(Exception, match="64 bits"):
+        maxscore.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+# 5 ---------------------------------------------------------------------------------------
+
+
+def test_similar_components_of_repeated_and_null_ids(spark):
+    rows = odd_ids()
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, RID string, row_file string")
+    sets = [sets_of(t, 4) for _, t in rows]
+    roots = roots_of(sets, 85)
+    least = {r: min((i for (i, _), q in zip(rows, roots) if q == r and i is not None), default=None) for r in roots}
+    expect = sorted(((i, len(s), least[r]) for (i, _), s, r in zip(rows, sets, roots)), key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(table).collect()), key=str) == expect
+
+
+def test_frequent_keys_of_several_components(spark):
+    """Many sets share most of their words and fall into components that only the crossing stage can join."""
+    rng = random.Random(8)
+    common = [rng.choice(WORDS) for _ in range(300)]
+    rows = []
+    for k in range(40):
+        own = [f"own{k % 4}x{j}" for j in range(50)]
+        words = [*common, *own]
+        words[rng.randrange(300)] = f"odd{k}"
+        rows.append((k, " ".join(words)))
+    sets = [sets_of(t, 4) for _, t in rows]
+    roots = roots_of(sets, 85)
+    assert 1 < len(set(roots)) < len(roots)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(40)] == roots
+
+
+# 6 ---------------------------------------------------------------------------------------
+
+
+def test_token_files_of_repeated_and_null_ids(spark):
+    rows = [(2, "b b"), (None, "n"), (2, "a"), (2, "a"), (None, None), (1, "x" * 100), (-5, "y")]
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    got = tokenbin.token_digest(spark, spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, IDS string"), path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -5, 1, 2, 2, 2]
+    assert [r.start for r in got] == list(itertools.accumulate([0, *(r.n_tokens for r in got[:-1])]))
+    library = tokenbin.CachedEncoder(path).tokenizer
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in rows)
+
+
+def test_any_document_of_a_token_file_is_read_by_its_blocks():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 50, n).astype(np.uint32) for n in (0, 5, 3 * tokenbin.BLOCK, 1, 7000, 0)]
+    docs[2][::97] = 2**31  # outliers in several blocks
+    sink = io.BytesIO()
+    writer = tokenbin.TokenFileWriter(sink, 90.0)
+    for i, ids in enumerate(docs):
+        writer.add(i, ids)
+    writer.close()
+    reader = tokenbin.TokenFileReader(pa.PythonFile(io.BytesIO(sink.getvalue()), mode="r"))
+    assert all(reader.read(k).tolist() == ids.tolist() for k, ids in enumerate(docs))
+    assert [(d, s, ids.tolist()) for d, s, ids in reader] == [(i, sum(map(len, docs[:i])), ids.tolist()) for i, ids in enumerate(docs)]
+
+
+def test_encoder_keeps_bounded_words():
+    encoder = tokenbin.CachedEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    encoder.KEEP = 50
+    texts = [f"first w{i} {'long' * 40}{i} \n mixed\t\n é日{i} end" for i in range(200)]
+    for k in range(0, 200, 20):
+        got = encoder.encode(texts[k : k + 20])
+        assert [g.tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
+    assert len(encoder.words) <= 50 and max(map(len, encoder.words)) <= encoder.LONG
+
+
+# 7 ---------------------------------------------------------------------------------------
+
+
+def archive():
+    """Records of other programs: an information record, responses, a revisit, a resource."""
+    def record(kind, body, **more):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in more.items())
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    web = lambda body: b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body
+    http = {"Content_Type": "application/http; msgtype=response"}
+    return [
+        record("warcinfo", b"software: x\r\n\r\n", Content_Type="application/warc-fields"),
+        record("response", web(b"<p>one\r\n\r\nmore"), WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://a/", **http),
+        record("response", web(b"x" * 200_000), WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://b/", **http),
+        record("revisit", web(b""), WARC_Record_ID="<urn:uuid:3>", WARC_Refers_To="<urn:uuid:1>", **http),
+        record("resource", b"plain", WARC_Record_ID="<urn:uuid:4>", Content_Type="text/plain"),
+    ]
+
+
+@pytest.mark.parametrize("form", ["members", "one", "plain"])
+def test_archives_of_other_programs_are_read(spark, tmp_path, form):
+    records = archive()
+    data = b"".join(map(gzip.compress, records)) if form == "members" else gzip.compress(b"".join(records)) if form == "one" else b"".join(records)
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "response", "response", "revisit", "resource"]
+    assert [bytes(r.payload) for r in rows] == [b"software: x\r\n\r\n", b"<p>one\r\n\r\nmore", b"x" * 200_000, b"", b"plain"]
+    assert [r.payload_length for r in rows][1:3] == [14, 200_000] and rows[3].refers_to == "urn:uuid:1"
+    if form == "members":
+        assert [r.offset for r in rows] == list(itertools.accumulate([0, *(len(gzip.compress(x)) for x in records[:-1])]))
+    only = warc.read_warc(spark, str(tmp_path), payload=False).where("target_uri = 'http://b/'").collect()
+    assert [(r.record_id, r.payload) for r in only] == [("urn:uuid:2", None)]
+
+
+def test_warc_filters_are_pushed_and_payloads_stay_packed(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>" + "long " * 3000 + str(i % 3)) for i in range(9)], "page_id long, url string, html string")
+    warc.write_warc(warc.to_records(pages), str(tmp_path / "w"))
+    read = warc.read_warc(spark, str(tmp_path / "w")).where("record_type = 'revisit' and record_id in ('0', '1', '8')")
+    assert "PushedFilters" not in read._jdf.queryExecution().toString() or read.count() == 2
+    assert sorted((r.record_id, r.refers_to) for r in read.collect()) == [("0", "6"), ("1", "7")]
+    reader = warc.WarcReader({"path": str(tmp_path / "w")})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_length",), 5)]))
+    assert [type(f).__name__ for f in left] == ["GreaterThan"] and len(reader.tests) == 1
+    inflated = []
+    plain = zlib.decompress
+    monkeypatch.setattr(warc.zlib, "decompress", lambda data, *a: inflated.append(len(data)) or plain(data, *a))
+    kept = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert len(kept) == 6 and len(inflated) == 6  # of the three responses no payload is inflated
+    inflated.clear()
+    bare = warc.WarcReader({"path": str(tmp_path / "w"), "payload": "false"})
+    assert sum(b.num_rows for p in bare.partitions() for b in bare.read(p)) == 9 and not inflated
+
+
+def test_warc_of_repeated_and_null_ids(spark):
+    long = "x" * 2000
+    rows = [(5, "a", long, "p"), (5, "b", long, "p"), (3, "c", long, "p"), (None, "d", long, "p"), (7, "e", "short", "p"), (8, "f", "short", "p")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, PAYLOAD string")
+    got = sorted((str(r.record_id), r.target_uri, r.record_type, r.refers_to) for r in warc.to_records(table).collect())
+    assert got == [("3", "c", "revisit", "5"), ("5", "a", "response", None), ("5", "b", "response", None), ("7", "e", "response", None), ("8", "f", "response", None), ("None", "d", "response", None)]
+
+
+# 8 ---------------------------------------------------------------------------------------
+
+
+def test_estimation_equals_that_over_single_rows():
+    rng = np.random.default_rng(5)
+    truth = rng.random(3000) < 0.7
+    right = np.array([0.95, 0.8, 0.7, 0.6])
+    votes = np.where(rng.random((3000, 4)) < right, 1, -1) * np.where(truth, 1, -1)[:, None] * (rng.random((3000, 4)) < 0.8)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    good, accuracy, share = quality.estimate(patterns, counts.astype(float))
+    single, again, share_again = quality.estimate(votes, np.ones(3000))
+    assert np.allclose(accuracy, again, atol=1e-6) and share == pytest.approx(share_again, abs=1e-6)
+    assert np.abs(accuracy - right).max() < 0.06 and abs(share - 0.7) < 0.05
+    table = {tuple(p): g for p, g in zip(patterns.tolist(), good)}
+    assert np.allclose([table[tuple(v)] for v in votes.tolist()], single, atol=1e-6)
+
+
+def test_accuracies_are_not_held_at_bounds():
+    _, accuracy, share = quality.estimate(np.array([[1, 1], [-1, -1], [1, 0]]), np.array([90_000.0, 1_000.0, 50.0]))
+    assert accuracy.min() > 0.995 and share > 0.95
+
+
+def test_quality_agrees_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs.withColumn("VOTES", F.lit(1))).join(labels.select("doc_id", "quality"), "doc_id").collect()
+    assert len(got) > 100 and sum(r.keep == (r.quality == 1) for r in got) >= 0.98 * len(got)
+
+
+def test_quality_of_one_kind_of_text_and_of_long_words(spark):
+    rows = [(i % 3, f"The sea was calm that day, and {w} went home. It rained again.") for i, w in enumerate(WORDS[:30])]
+    got = quality.classify(spark.createDataFrame([*rows, *rows], "doc_id long, text string")).collect()
+    assert len(got) == 60 and all(r.keep and r.score == r.posterior for r in got)  # nothing bad to learn from
+    long = quality.classify(spark.createDataFrame([(1, "x" * 200_000), (2, "word. " * 100_000)], "doc_id long, text string")).collect()
+    assert len(long) == 2
+
+
+# 9 ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div class="content no-sidebar"><article><p>Text here.</p></article></div>', "Text here."),
+        ('<form id="aspnetForm"><main><p>Text here.</p></main></form>', "Text here."),
+        ('<form><div><p>Only form text.</p></div></form>', "Only form text."),
+        ('<article><p>A</p><div class="share-price">12</div><section class="related-work"><p>R</p></section></article>', "A 12 R"),
+        ('<article><p>A</p><div class="share-buttons">12</div><section class="related-posts"><p>R</p></section></article>', "A"),
+        ("<article><p>x <math><mi>a</mi><mo>+</mo><mn>1</mn></math> y</p></article>", "x a+1 y"),
+        ("<nav><article>teaser</article></nav><p>Main.</p>", "Main."),
+        ('<div class="related"><article><p>t</p></article></div><article><p>M</p></article>', "M"),
+        ("<article>Short.</article><div><p>" + "Long text outside. " * 10 + "</p></div>", "Short. " + ("Long text outside. " * 10).strip()),
+        ("<article><p>A<b>b</article></div></p>stray", "Ab"),
+    ],
+)
+def test_html_cases(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_html_rows(spark):
+    rows = [(None, None, "<article>one</article>", "x"), (1, "u", "<article>" + "<p>part</p>" * 30_000 + "</article>", "x"), (1, "u", None, "x")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
+    got = sorted((str(r.page_id), r.n_chars) for r in htmltext.extract_text(table).collect())
+    assert got == [("1", 0), ("1", 5 * 30_000 - 1), ("None", 3)]
+    assert htmltext.extract_text(table.limit(0)).collect() == []
+
+
+# 10 --------------------------------------------------------------------------------------
+
+
+def leaky(rng):
+    passage = prose(rng, 12)
+    rows = [(1, prose(rng, 40)), (1, f"start {passage}"), (None, f"{passage} end"), (None, prose(rng, 30)), (3, None), (4, ""), (5, "a b")]
+    return rows, [("i1", passage), ("i2", "a b"), ("i2", "a b"), (None, rows[0][1])]
+
+
+@pytest.mark.parametrize("chars", [16_000_000, 40])
+def test_contamination_of_repeated_and_null_ids_by_either_path(spark, chars):
+    rows, items = leaky(random.Random(6))
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ITEMS string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(((r.doc_id, r.n_words, len(r.hit), tuple(r["items"])) for r in decontam.find_contamination(docs, bench, block_chars=chars).collect()), key=str)
+    assert got == sorted([(1, 40, 0, ()), (1, 13, 12, ("i1",)), (None, 13, 12, ("i1",)), (None, 30, 0, ()), (3, 0, 0, ()), (4, 0, 0, ()), (5, 2, 2, ("i2",))], key=str)
+    assert decontam.find_contamination(docs.limit(0), bench, block_chars=chars).collect() == []
+
+
+# pipeline --------------------------------------------------------------------------------
+
+
+def keep_one_of_each(rows):
+    """Indices that stay: of a component the least id (nulls last)."""
+    sets = [sets_of(t, 5) for _, t in rows]
+    roots = roots_of(sets, 80)
+    groups = {}
+    for k, r in enumerate(roots):
+        groups.setdefault(r, []).append(k)
+    return [min(g, key=lambda k: (rows[k][0] is None, rows[k][0] or 0)) for g in groups.values()]
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path, written):
+    rows = odd_ids()
+    table = spark.createDataFrame([(*r, str(k), "m") for k, r in enumerate(rows)], "doc_id long, text string, row_file string, _metadata string")
+    if written:
+        table.drop("_metadata").repartition(3).write.parquet(str(tmp_path / "t"))
+        table = spark.read.parquet(str(tmp_path / "t")).where("doc_id is null or doc_id > -1")
+    kept = corpus_pipeline.near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    expect = sorted(((*rows[k],) for k in keep_one_of_each(rows)), key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == expect
+
+
+def test_leak_stage_decides_on_rows(spark, tmp_path):
+    rows, items = leaky(random.Random(6))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.leaks(spark, table, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_all_stages(spark, tmp_path):
+    """Every stage hands on what it kept; the last gives ids; an empty table stays one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source = docs.collect()
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.unionAll(docs.limit(20)).unionAll(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in out}
+    assert None not in kept and len(kept) == len(out) > 50  # copies and rows without an id are copies of rows with one
+    texts = {r.doc_id: r.text for r in source}
+    assert all(r.n_tokens == len(r.ids) and r.decoded_bytes == len(texts[r.doc_id].encode()) for r in out)
+    sets = [sets_of(texts[i], 5) for i in sorted(kept)]
+    assert roots_of(sets, 80) == list(range(len(sets)))
+    (tmp_path / "none").mkdir()
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
