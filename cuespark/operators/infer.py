@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import filesystem, scratch
 from .filters import apply_duplicates
 
+#: Values of outcome columns that a task holds at once.
+BLOCK_VALUES = 4_000_000
+
 
-def activation(events: DataFrame, weights: DataFrame, *, remove_duplicates: bool | None = None, ignore_missing_cues: bool = False, dense: bool = True) -> DataFrame:
+def activation(
+    events: DataFrame, weights: DataFrame | Mapping[str, Mapping[str, float]], *, remove_duplicates: bool | None = None, ignore_missing_cues: bool = False, dense: bool = True
+) -> DataFrame:
     """event_id, outcome, activation: the sum of the weights of an event's cues.
 
-    A cue without any weight is an error unless ignored.  ``dense`` adds the zeros of outcomes that
-    no cue of the event points to (events times outcomes rows).
+    ``weights``: (outcome, cue, weight), or a dictionary of dictionaries, in which what is missing counts 0.
+    A cue without any weight in a table is an error unless ignored.  With ``dense`` pairs that
+    no cue points to have a row of 0 each (events times outcomes rows, the form of a matrix); without it, none.
     """
+    if isinstance(weights, Mapping):
+        ignore_missing_cues = True
+        rows = [(o, c, float(w)) for o, row in weights.items() for c, w in row.items()]
+        weights = events.sparkSession.createDataFrame(rows, "outcome string, cue string, weight double")
     events = apply_duplicates(events.select("event_id", "cues"), remove_duplicates, ("cues",))
     parts = events.select("event_id", F.explode("cues").alias("cue"))
     if not ignore_missing_cues:
@@ -27,23 +44,63 @@ def activation(events: DataFrame, weights: DataFrame, *, remove_duplicates: bool
     return every.join(summed, ["event_id", "outcome"], "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
 
 
+def _columns(table: DataFrame, key: str) -> DataFrame:
+    """key, v: the values of a column in the order of the dimensions."""
+    gathered = table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("value").cast("double").alias("value")))).alias("v"))
+    return gathered.select(F.col(key).alias("key"), F.transform("v", lambda x: x["value"]).alias("v"))
+
+
+def _standardised(column: pa.ListArray) -> np.ndarray:
+    """A row for each vector, of mean 0 and standard deviation 1; NaN without variance."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("a column lacks a dimension")
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = x - x.mean(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / x.std(axis=1, ddof=1, keepdims=True) if x.shape[1] > 1 else np.full(x.shape, np.nan)
+
+
 def correlation(semantics: DataFrame, activations: DataFrame, *, allow_nan: bool = False) -> DataFrame:
     """outcome, event_id, r: Pearson's correlation of every outcome's with every event's values over ``dim``.
 
     ``semantics``: dim, outcome, value; ``activations``: dim, event_id, value.  Both need the same
-    dimensions.  From sums of products over a join on the dimension; moments are aggregated once for each column.
+    dimensions in every column.  The outcomes' columns lie in the shared folder; a task holds some events' columns, reads the
+    outcomes' in blocks and returns their products, so only the columns themselves are shuffled.
     """
     dims = [t.select("dim").distinct() for t in (semantics, activations)]
     if not dims[0].join(dims[1], "dim", "left_anti").isEmpty() or not dims[1].join(dims[0], "dim", "left_anti").isEmpty():
         raise AssertionError("the dimensions differ")
-    moments = [t.groupBy(k).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")) for t, k in ((semantics, "outcome"), (activations, "event_id"))]
     if not allow_nan:
-        for m in moments:
-            if not m.where("sd is null or sd = 0 or isnan(sd)").isEmpty():
+        for t, key in ((semantics, "outcome"), (activations, "event_id")):
+            spread = t.groupBy(key).agg(F.stddev_samp("value").alias("sd"))
+            if not spread.where("sd is null or sd = 0 or isnan(sd)").isEmpty():
                 raise ValueError("a column has no variance or holds NaN")
-    left = semantics.join(moments[0].select("outcome", "mean", "sd"), "outcome").select("dim", "outcome", (F.col("value") - F.col("mean")).alias("x"), F.col("sd").alias("sx"))
-    right = activations.join(moments[1].select("event_id", "mean", "sd"), "event_id").select("dim", "event_id", (F.col("value") - F.col("mean")).alias("y"), F.col("sd").alias("sy"))
-    joined = left.join(right, "dim").groupBy("outcome", "event_id").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
-    below = (F.col("n") - 1) * F.col("sx") * F.col("sy")
-    r = F.when(below.isNull() | (below == 0) | F.isnan(below), F.lit(float("nan"))).otherwise(F.try_divide("xy", below))
-    return joined.select("outcome", "event_id", r.alias("r"))
+    folder = scratch(semantics.sparkSession, "semantics")
+    outcomes, events = _columns(semantics, "outcome"), _columns(activations, "event_id")
+    outcomes.write.parquet(folder)
+    kinds = (outcomes.schema["key"].dataType.simpleString(), events.schema["key"].dataType.simpleString())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                part = whole.slice(k, 512)
+                y = _standardised(part.column(1))
+                for names, x in _blocks(folder):
+                    r = np.clip(x @ y.T / max(y.shape[1] - 1, 1), -1, 1) if y.shape[1] == x.shape[1] else np.full((len(x), len(y)), np.nan)
+                    at = np.arange(r.size)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at // len(y))), part.column(0).take(pa.array(at % len(y))), pa.array(r.ravel())], ["outcome", "event_id", "r"])
+
+    return events.mapInArrow(run, f"outcome {kinds[0]}, event_id {kinds[1]}, r double")
+
+
+def _blocks(folder: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(names, standardised columns) of the outcomes, some at a time."""
+    fs, path = filesystem(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda x: x.base_name):
+        if info.base_name.startswith("part-"):
+            with fs.open_input_file(info.path) as source:
+                file = pq.ParquetFile(source)
+                wide = max(1, file.metadata.row_group(0).column(1).num_values // max(file.metadata.num_rows, 1)) if file.metadata.num_row_groups else 1
+                for batch in file.iter_batches(max(1, min(1024, BLOCK_VALUES // wide))):
+                    yield batch.column(0), _standardised(batch.column(1))
