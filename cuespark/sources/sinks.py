@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 
 
 def _tsv(df: DataFrame, path: str, compression: str | None) -> None:
-    writer = df.coalesce(1).write.mode("errorifexists").option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").option("nullValue", "")
+    writer = df.write.mode("errorifexists").option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").option("nullValue", "")
     writer.option("compression", compression or "none").csv(path)
 
 
-def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False) -> None:
-    """One tab-separated file in the order of ``event_id``, tokens joined with ``_``."""
+def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False, one_file: bool = False) -> None:
+    """Tab-separated files whose names sort as their events' ``event_id``, each with a header, tokens joined with ``_``.
+
+    ``one_file`` is for other programs that read a single file: all events pass through one task then.
+    """
     names = ("Cues", "Outcomes") if compatible else columns
     kinds = dict(events.dtypes)
     parts = [(F.array_join(c, "_") if kinds[c].startswith("array") else F.col(c)).alias(n) for c, n in zip(columns, names)]
     if compatible:
         warnings.warn("with a Frequency column, as other programs expect it", stacklevel=2)
         parts.append(F.lit(1).alias("Frequency"))
-    _tsv(events.coalesce(1).sortWithinPartitions("event_id").select(*parts), path, compression)
+    laid = events.coalesce(1) if one_file else events.repartitionByRange("event_id")
+    _tsv(laid.sortWithinPartitions("event_id").select(*parts), path, compression)
 
 
 def write_encoded(encoded: DataFrame, path: str, *, start: int = 0, stop: int | None = None, events_per_file: int = 10_000_000, overwrite: bool = False) -> int:

@@ -3,47 +3,106 @@
 from __future__ import annotations
 
 import pickle
+import posixpath
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import filesystem, scratch
+
 _OUT = "outcome string, cue string, weight double, last_event long"
 
 
-def stream_learn(events: DataFrame, alpha: float = 0.1, betas: tuple[float, float] = (0.1, 0.1), lambda_: float = 1.0, buckets: int = 8) -> DataFrame:
+def _bucket(outcome, buckets: int):
+    return F.pmod(F.xxhash64(outcome), F.lit(buckets))
+
+
+class Part:
+    """A bucket's part of W (cues x outcomes), its labels, and the last event seen."""
+
+    def __init__(self) -> None:
+        self.last: int | None = None
+        self.cues: dict[str, int] = {}
+        self.outcomes: dict[str, int] = {}
+        self.w = np.zeros((0, 0))
+
+    def grow(self, cues: set[str], outcomes: set[str]) -> None:
+        """New labels start at zero, which is exact: before its first event an outcome has nothing to unlearn."""
+        for known, new in ((self.cues, cues), (self.outcomes, outcomes)):
+            for label in sorted(new.difference(known)):
+                known[label] = len(known)
+        if self.w.shape != (len(self.cues), len(self.outcomes)):
+            wider = np.zeros((len(self.cues), len(self.outcomes)))
+            wider[: self.w.shape[0], : self.w.shape[1]] = self.w
+            self.w = wider
+
+    def fold(self, batch: pd.DataFrame, alpha: float, betas: tuple[float, float], lambda_: float) -> pd.DataFrame:
+        """Learn a batch in the order of its events; the weights that changed."""
+        batch = batch.sort_values("event_id")
+        self.grow({c for cues in batch["cues"] for c in cues}, {o for own in batch["own"] for o in own})
+        seen = np.array(sorted({self.cues[c] for cues in batch["cues"] for c in cues}), np.int64)
+        before = self.w[seen].copy()
+        for event, cues, own in zip(batch["event_id"], batch["cues"], batch["own"]):
+            if self.last is not None and event <= self.last:
+                raise ValueError(f"event {event} comes after event {self.last}")
+            self.last = int(event)
+            at = [self.cues[c] for c in cues]
+            if not at:
+                continue
+            a = self.w[at].sum(axis=0)
+            u = a * -betas[1]
+            present = [self.outcomes[o] for o in own]
+            u[present] = betas[0] * (lambda_ - a[present])
+            np.add.at(self.w, at, alpha * u)
+        rows, columns = np.nonzero(self.w[seen] != before)
+        names = np.array(list(self.cues), object)[seen] if len(seen) else np.empty(0, object)
+        kinds = np.array(list(self.outcomes), object) if self.outcomes else np.empty(0, object)
+        values = self.w[seen][rows, columns]
+        return pd.DataFrame({"outcome": kinds[columns], "cue": names[rows], "weight": values, "last_event": np.full(len(values), self.last or 0, np.int64)})
+
+
+def _read_part(folder: str, bucket: int) -> Part:
+    part = Part()
+    fs, path = filesystem(folder)
+    own = posixpath.join(path, f"bucket={bucket}")
+    if fs.get_file_info(own).type == pafs.FileType.Directory:
+        for info in fs.get_file_info(pafs.FileSelector(own)):
+            if info.base_name.startswith("part-"):
+                with fs.open_input_file(info.path) as source:
+                    t = pq.ParquetFile(source).read(columns=["outcome", "cue", "weight"]).to_pydict()
+                part.grow(set(t["cue"]), set(t["outcome"]))
+                part.w[[part.cues[c] for c in t["cue"]], [part.outcomes[o] for o in t["outcome"]]] = t["weight"]
+    return part
+
+
+def stream_learn(
+    events: DataFrame, alpha: float = 0.1, betas: tuple[float, float] = (0.1, 0.1), lambda_: float = 1.0, buckets: int = 8, weights: DataFrame | None = None
+) -> DataFrame:
     """outcome, cue, weight, last_event after each micro-batch, in update mode.
 
     Every event goes to every bucket, as absent outcomes unlearn as well; an outcome belongs to the bucket of its
-    hash.  A new outcome starts at zero, which is exact.  Within a batch events are sorted;
-    an id that is not above the last one seen is an error.
+    hash.  Within a batch events are sorted; an id that is not above the last one seen is an error.
+    ``weights`` (outcome, cue, weight) of former learning are where it starts; they're laid out by bucket in the shared folder.
     """
     wide = events.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    bucket_of = F.transform("outcomes", lambda o: F.when(F.pmod(F.xxhash64(o), F.lit(buckets)) == F.col("bucket"), o))
+    bucket_of = F.transform("outcomes", lambda o: F.when(_bucket(o, buckets) == F.col("bucket"), o))
     own = wide.withColumn("own", F.filter(bucket_of, lambda o: o.isNotNull()))
+    start = None
+    if weights is not None:
+        start = scratch(events.sparkSession, "stream-start")
+        weights.select("outcome", "cue", "weight", _bucket("outcome", buckets).alias("bucket")).write.partitionBy("bucket").parquet(start)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, w = pickle.loads(state.get[0]) if state.exists else (None, {})
-        batch = pd.concat(list(frames)).sort_values("event_id")
-        touched: set[tuple[str, str]] = set()
-        for event, cues, own in zip(batch["event_id"], batch["cues"], batch["own"]):
-            if last is not None and event <= last:
-                raise ValueError(f"event {event} comes after event {last}")
-            last = int(event)
-            for o in own:
-                w.setdefault(o, {})
-            present = set(own)
-            for o, row in w.items():
-                a = sum(row.get(c, 0.0) for c in cues)
-                u = betas[0] * (lambda_ - a) if o in present else -betas[1] * a
-                if u:
-                    for c in cues:
-                        row[c] = row.get(c, 0.0) + alpha * u
-                        touched.add((o, c))
-        state.update((pickle.dumps((last, w)),))
-        yield pd.DataFrame([(o, c, w[o][c], last) for o, c in sorted(touched)], columns=["outcome", "cue", "weight", "last_event"])
+        part = pickle.loads(state.get[0]) if state.exists else Part() if start is None else _read_part(start, int(key[0]))
+        changed = part.fold(pd.concat(list(frames)), alpha, betas, lambda_)
+        state.update((pickle.dumps(part, protocol=5),))
+        yield changed
 
     grouped = own.select("bucket", "event_id", "cues", "own").groupBy("bucket")
     return grouped.applyInPandasWithState(fold, _OUT, "state binary", "update", GroupStateTimeout.NoTimeout)

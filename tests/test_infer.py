@@ -42,3 +42,19 @@ def test_activation_of_dictionary_weights(spark):
     assert got == {(0, "X"): 0.75, (0, "Y"): -1.0, (1, "X"): 0.0, (1, "Y"): 0.0}
     few = {(r.event_id, r.outcome) for r in infer.activation(events, weights, dense=False).collect()}
     assert few == {(0, "X"), (0, "Y")}
+
+
+def test_stream_starts_from_weights(spark, tmp_path):
+    """Learning the second half on a stream, from the first half's weights, equals learning all."""
+    from cuespark.operators import learn
+    from cuespark.streaming.learner import learn_available
+
+    text = [("a_b", "X"), ("a", "Y"), ("b_c", "X_Y"), ("c_c", "Z"), ("a_c", "X"), ("b", ""), ("a_b", "Z"), ("d", "Y")] * 5
+    events = readers.events_from_list(spark, [(c, o or []) for c, o in text])
+    first = learn.rw_learn(events.where("event_id < 17"), remove_duplicates=False, strategy="kernel").table
+    events.where("event_id >= 17").repartitionByRange(2, "event_id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    got = learn_available(stream, str(tmp_path / "check"), str(tmp_path / "out"), buckets=3, weights=first)
+    whole = {(r.outcome, r.cue): r.weight for r in learn.rw_learn(events, remove_duplicates=False, strategy="kernel").table.collect()}
+    found = {(r.outcome, r.cue): r.weight for r in got.collect()}
+    assert found and all(whole[k] == pytest.approx(v, abs=1e-10) for k, v in found.items())
