@@ -74,9 +74,15 @@ def _ids(keys: DataFrame) -> DataFrame:
 
 
 def _attrs(old: Weights | None, started: float, **values) -> dict[str, str]:
+    """What is known of a run; of a continued one the old values stand in front of the new."""
+    import getpass
+    import socket
+
+    import pandas as pd
     import pyspark
 
     now = {k: str(v) for k, v in values.items()} | {
+        "hostname": socket.gethostname(), "username": getpass.getuser(), "cpu_time": f"{time.process_time():.3f}", "pandas": pd.__version__,
         "date": time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(started)), "wall_time": f"{time.time() - started:.3f}",
         "spark": pyspark.__version__, "numpy": np.__version__,
     }
@@ -127,6 +133,7 @@ def rw_learn(
     events = apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates)
     cues, outcomes = (_union(counts.vocabulary(events, c), weights, k) for c, k in (("cues", 1), ("outcomes", 0)))
     strategy = strategy or _plan(events, alpha, weights)
+    n: int | None = None
     if strategy == "closed":
         table = closed.closed_form(events, float(alpha), betas, lambda_)
     elif strategy == "fold":
@@ -143,13 +150,16 @@ def rw_learn(
                 rates[r["id"]] = alpha[r["key"]]
         path = kernel.write_encoded(counts.encode(events, cues, outcomes))
         spark = events.sparkSession
+        n = spark.read.parquet(path).count()
         chunk = _chunk(n_cues, n_outcomes, spark.sparkContext.defaultParallelism, outcomes_per_chunk)
         initial = None if weights is None else _initial(weights, outcomes, cues)
         found = kernel.run(spark, path, kernel.Rule(rates, betas, lambda_), n_cues, n_outcomes, chunk, initial)
         table = _table(materialise(found, "weights"), outcomes, cues, ("outcome", "cue"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    attrs = _attrs(weights, started, function="rw_learn", alpha=alpha, betas=betas, lambda_=lambda_, strategy=strategy, remove_duplicates=remove_duplicates)
+    n = events.count() if n is None else n
+    rate = "varying" if isinstance(alpha, Mapping) else alpha
+    attrs = _attrs(weights, started, function="rw_learn", number_events=n, alpha=rate, betas=betas, **{"lambda": lambda_}, method=strategy, remove_duplicates=remove_duplicates)
     return Weights(table, outcomes, cues, ("outcome", "cue"), attrs)
 
 
@@ -236,7 +246,8 @@ def wh_learn(
     initial = None if weights is None else _initial(weights, rows, columns)
     found = kernel.run(spark, path, kernel.Rule(1.0, betas, lambda_, x, y), n_inputs, n_rows, chunk, initial)
     table = _table(materialise(found, "weights"), rows, columns, axes)
-    attrs = _attrs(weights, started, function="wh_learn", eta=eta, betas=betas, lambda_=lambda_, remove_duplicates=remove_duplicates)
+    n = spark.read.parquet(path).count()
+    attrs = _attrs(weights, started, function="wh_learn", number_events=n, eta=eta, betas=betas, **{"lambda": lambda_}, method="kernel", remove_duplicates=remove_duplicates)
     return Weights(table, rows, columns, axes, attrs)
 
 

@@ -8,17 +8,15 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from ..operators.corpus import number_events
 from ..schema import COUNTER, EVENTS
 
 
-def _lines(spark: SparkSession, path: str, compression: str | None) -> DataFrame:
-    """path, block, at, value: ``at`` rises within a block, so the three sort lines as they stand."""
+def _lines(spark: SparkSession, path: str, compression: str | None, end: str | None = None) -> DataFrame:
+    """path, block, at, value: ``at`` rises within a block, so the three sort lines (or what else ends in ``end``) as they stand."""
     if compression not in ("gzip", None):
         raise ValueError("compression is 'gzip' or None")
-    lines = spark.read.text(path)
+    lines = spark.read.text(path, lineSep=end)
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
@@ -62,13 +60,18 @@ def events_from_list(spark: SparkSession, events: Iterable[tuple[str | list[str]
     return spark.createDataFrame([(i, split(c), split(o)) for i, (c, o) in enumerate(events)], EVENTS)
 
 
+#: Where rows of a corpus end; other forms of the marker split the rows later on.
+ROW_END = "---END.OF.DOCUMENT---"
+
+
 def read_corpus(spark: SparkSession, path: str, by_document: bool = True) -> DataFrame:
-    """doc_id, text of each document (files end documents, as markers do), or each line."""
-    if by_document:
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        numbers = whole.select("path").withColumn("doc_id", F.dense_rank().over(Window.orderBy("path")).cast("long"))  # a row for each file, without its text
-        return whole.join(numbers, "path").select("doc_id", F.col("value").alias("text"))
-    return number_events(_lines(spark, path, None).select("path", "block", "at", F.array("value").alias("cues"), F.lit(None).alias("outcomes")), "path", "block", "at").select(F.col("event_id").alias("doc_id"), F.col("cues")[0].alias("text"))
+    """doc_id, text of each document (markers and files end documents), or each line; in the order of files and places.
+
+    Large files are split at the markers, so no task reads a corpus whole.
+    """
+    lines = _lines(spark, path, None, ROW_END if by_document else None)
+    numbered = number_events(lines.select("path", "block", "at", F.array("value").alias("cues"), F.lit(None).alias("outcomes")), "path", "block", "at")
+    return numbered.select(F.col("event_id").alias("doc_id"), F.col("cues")[0].alias("text"))
 
 
 def read_counter(spark: SparkSession, path: str) -> DataFrame:
