@@ -296,6 +296,20 @@ def _pairs(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("rid").alias("a")).join(members.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b")
 
 
+def _members(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that have one of these keys.
+
+    Many keys are joined behind a filter, so that few of the other rows are shuffled: a bit for the first 26
+    bits of a key, in a table of at most 2^20 words, which is broadcast whatever the number of keys.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), "key")
+    word, bit = "shiftrightunsigned(key, 44)", "cast(shiftrightunsigned(key, 38) & 63 as int)"
+    marks = materialise(keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("mask")), "key-marks")
+    few = rows.withColumn("word", F.expr(word)).join(F.broadcast(marks), "word").where(f"shiftrightunsigned(mask, {bit}) & 1 = 1")
+    return few.drop("word", "mask").join(keys, "key")
+
+
 def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(pairs to verify, members (key, rid, hub) of frequent keys that remain)."""
     rows = base.select("rid", "keys", "tags").join(_small(copies), "rid", "left_anti")  # a set of each class
@@ -308,8 +322,7 @@ def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataF
     lo, hi = F.col("lo"), F.col("hi")
     of_three = F.array(pair(lo, hi), pair(lo, third), pair(hi, third))
     twos = counts.where("c <= 3").select(F.explode(F.when(F.col("c") == 2, F.array(pair(lo, hi))).otherwise(of_three)).alias("p")).select("p.a", "p.b").where("a < b")
-    more = _small(counts.where("c > 3").select("key", "c"))
-    members = materialise(rows.join(more, "key"), "key-members")
+    members = materialise(_members(rows, counts.where("c > 3").select("key", "c")), "key-members")
     few = members.where(F.col("c") <= FREQUENT).select("key", "rid")
     many = members.where(F.col("c") > FREQUENT)
     if many.isEmpty():

@@ -149,6 +149,18 @@ def test_frequent_keys_of_several_components(spark):
     assert [got[k] for k in range(40)] == roots
 
 
+def test_members_of_many_keys_are_found_behind_the_filter(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(-(2**63), 2**63), k, 1) for k in range(400)]
+    wanted = [(key, 5) for key, k, _ in rows if k % 3 == 0] + [(-1, 5), (0, 5), (2**63 - 1, 5)]
+    rows += [(key, -k, 2) for key, k, _ in rows[:50]] + [(-1, 900, 1), (2**63 - 1, 901, 1), (-(2**63), 902, 1)]
+    table, keys = spark.createDataFrame(rows, "key long, rid long, tag int"), spark.createDataFrame(wanted, "key long, c long")
+    expect = sorted(r for r in rows if r[0] in dict(wanted))
+    for most in (10**6, 3):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        assert sorted((r.key, r.rid, r.tag) for r in jaccard._members(table, keys).collect()) == expect
+
+
 # 6 ---------------------------------------------------------------------------------------
 
 
