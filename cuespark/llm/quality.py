@@ -77,9 +77,9 @@ LABELLERS = {
     "cells": (-1, lambda m: m["letters"] < 0.65 and m["words"] >= 10),
     "stutter": (-1, lambda m: m["stuck"] >= 0.2 and m["words"] >= 10),
     "echo": (-1, lambda m: m["echo"] >= 0.6 and m["words"] >= 20),
-    # of these two one votes at most: what both would say is one piece of evidence
+    # the second implies the first; with one voter for good alone the estimation can't tell it from a wrong one
+    "natural": (1, _natural),
     "sentences": (1, lambda m: _natural(m) and 0.01 <= m["stops"] <= 0.34),
-    "natural": (1, lambda m: _natural(m) and not 0.01 <= m["stops"] <= 0.34),
 }
 
 
