@@ -24,7 +24,8 @@ its D, and a key that counts as frequent does so for either set, so no pair is l
 
 Every join of pairs has the exact bounds of ``_may_link`` in its condition: sizes, and a parity sketch,
 whose differing bits are never more than the elements in which two sets differ.  So a pair that the
-bounds rule out is never emitted; the others are verified.
+bounds rule out is never emitted.  Of large sets, which fill that sketch, the pairs left are held against wider
+ones before any set is sent anywhere; the others are verified.
 
 The result is exact up to collisions of 64-bit hashes of shingles and 128-bit prints of sets: the components of all links.  Nothing is capped.
 
@@ -65,6 +66,8 @@ UNFIT = 300
 SHORT = 5
 #: Words of a set's parity sketch: of 512 bits each tells whether an odd number of elements fall on it.
 SKETCH = [f"s{i}" for i in range(8)]
+#: Larger sets than this get a sketch of their own size too, of a bit an element or two.
+LARGE = 1_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -194,11 +197,28 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def wide_sketch(elements: np.ndarray) -> bytes | None:
+    """The parity of the number of elements on each of as many bits as a large set has elements, or up to twice that."""
+    if len(elements) <= LARGE:
+        return None
+    bits = (len(elements) - 1).bit_length()
+    odd = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def too_far(x: pa.Buffer, y: pa.Buffer, total: int, percent: int) -> bool:
+    """Whether wide sketches rule out that sets of ``total`` elements together link; the larger is folded to the smaller one's bits."""
+    p, q = sorted((np.unpackbits(np.frombuffer(b, np.uint8)) for b in (x, y)), key=len)
+    if len(q) > len(p):
+        q = q.reshape(len(p), -1).sum(axis=1) & 1
+    return int(np.count_nonzero(p != q)) * (100 + percent) > (100 - percent) * total
+
+
 PLACE = ["row_file", "row_place"]
 _BASE = pa.schema(
     [
         ("doc_id", pa.int64()), *zip(PLACE, (pa.string(), pa.int64())), ("n", pa.int64()), ("print", pa.binary()),
-        ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), *[(s, pa.int64()) for s in SKETCH],
+        ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("wide", pa.binary()), *[(s, pa.int64()) for s in SKETCH],
     ]
 )
 
@@ -219,7 +239,7 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
                 known = _words()
-                ns, prints, keys, tags, sketches = [], [], [], [], []
+                ns, prints, keys, tags, wide, sketches = [], [], [], [], [], []
                 for text in batch.column(3).to_pylist():
                     elements = shingles(text, width, known)
                     ns.append(len(elements))
@@ -227,11 +247,12 @@ def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
                     a, b = signatures(elements, percent) if len(elements) else (np.empty(0, np.int64), np.empty(0, np.int32))
                     keys.append(a)
                     tags.append(b)
+                    wide.append(wide_sketch(elements))
                     sketches.append(sketch(elements))
-                columns = (*batch.columns[:3], ns, prints, keys, tags, *np.array(sketches).reshape(-1, len(SKETCH)).T)
+                columns = (*batch.columns[:3], ns, prints, keys, tags, wide, *np.array(sketches).reshape(-1, len(SKETCH)).T)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _BASE)], schema=_BASE)
 
-    kinds = "doc_id long, row_file string, row_place long, n long, print binary, keys array<long>, tags array<int>, "
+    kinds = "doc_id long, row_file string, row_place long, n long, print binary, keys array<long>, tags array<int>, wide binary, "
     found = rows.select("doc_id", *PLACE, "text").mapInArrow(run, kinds + ", ".join(f"{s} long" for s in SKETCH))
     path = scratch(rows.sparkSession, "shingle-keys")
     found = found.select(F.monotonically_increasing_id().alias("rid"), "*")
@@ -259,6 +280,23 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _open_pairs(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the wide sketches of large sets don't rule out; these are a small part of the sets' own size."""
+    wide = base.where("wide is not null")
+    side = lambda c: wide.select(F.col("rid").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                not (x.is_valid and y.is_valid and too_far(x.as_buffer(), y.as_buffer(), m.as_py() + n.as_py(), percent))
+                for m, n, x, y in zip(*batch.columns[2:])
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    return materialise(joined.mapInArrow(run, "a long, b long"), "open-pairs", 512)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: 100 * intersection >= percent * union."""
 
@@ -357,13 +395,14 @@ def _twos(percent: int, band):
 def _grouped(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, place, text): rid, doc_id, place, n, print of each; and print, root, least of each class of equal sets."""
     keyed, folder = _base(rows, width, percent)
-    base = materialise(keyed.select("rid", "doc_id", *PLACE, "n", "print", *SKETCH), "prints")
+    base = materialise(keyed.select("rid", "doc_id", *PLACE, "n", "print", "wide", *SKETCH), "prints")
     full = base.where("n > 0")
     classes = materialise(full.groupBy("print").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]), "classes")
     copies = full.join(classes.select("print", F.col("rid").alias("first")), "print").where("rid <> first").select("rid")
     pairs, many = _candidates(keyed, materialise(copies, "copies"), percent)
     pairs = materialise(pairs.join(_sized(classes, "a"), "a").join(_sized(classes, "b"), "b").where(_may_link(percent)).select("a", "b"), "pairs")
     remove(rows.sparkSession, folder)  # the keys have done their work
+    pairs = _open_pairs(pairs, base, percent)
     named = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     if many is not None:
         named = named.unionAll(many.select("rid"))
@@ -371,7 +410,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     links = _verify(pairs, sets, percent)
     roots = connected_components(links)
     if many is not None:
-        more = _verify(materialise(_crossing(many, roots, classes, percent).join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent)
+        more = _verify(_open_pairs(_crossing(many, roots, classes, percent).join(pairs, ["a", "b"], "left_anti"), base, percent), sets, percent)
         if not more.isEmpty():
             roots = connected_components(links.unionAll(more))
     labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))

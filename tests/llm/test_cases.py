@@ -149,6 +149,42 @@ def test_frequent_keys_of_several_components(spark):
     assert [got[k] for k in range(40)] == roots
 
 
+def test_wide_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for _ in range(300):
+        n = int(rng.integers(1001, 6000))
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        kept = x[rng.random(len(x)) < rng.uniform(0.3, 1)]
+        y = np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(rng.integers(0, 1500)) , np.uint64, endpoint=False)]))
+        a, b = jaccard.wide_sketch(x), jaccard.wide_sketch(y)
+        if len(x) <= jaccard.LARGE or len(y) <= jaccard.LARGE:
+            assert (a is None or len(x) > jaccard.LARGE) and (b is None or len(y) > jaccard.LARGE)
+            continue
+        both = len(np.intersect1d(x, y, True))
+        for percent in (50, 80, 85):
+            far = jaccard.too_far(a, b, len(x) + len(y), percent)
+            assert not (far and 100 * both >= percent * (len(x) + len(y) - both))
+            ruled_out += far
+    assert ruled_out > 200
+
+
+def test_large_sets_are_joined_exactly(spark):
+    """Long texts: copies with a share of words replaced around the threshold, and others of the same size."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(WORDS) for _ in range(1600)]
+        rows.append(" ".join(base))
+        for every in (40, 46, 60, 200):
+            rows.append(" ".join(f"new{rng.randrange(10**6)}" if i % every == 3 else w for i, w in enumerate(base)))
+    sets = [sets_of(t, 4) for t in rows]
+    roots = roots_of(sets, 85)
+    assert 3 < len(set(roots)) < len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == roots
+
+
 def test_members_of_many_keys_are_found_behind_the_filter(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randrange(-(2**63), 2**63), k, 1) for k in range(400)]
