@@ -17,12 +17,14 @@ Texts of any length are encoded whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, materialise, pick, scratch
+from .common import filesystem, held, materialise, pick, scratch
 
 MAGIC = b"PFRI0001"
 BLOCK = 4096
@@ -168,6 +170,61 @@ class TokenFileReader:
 # Fixed values of byte-level BPE: the pattern of its pieces, and the bytes that stand for themselves.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Marks that are a piece of their own after a letter.
+_STOPS = frozenset(".,;:!?")
+
+
+def shrink(kept: dict, most: int, part: float = 0.75) -> None:
+    """Beyond ``most`` entries the oldest stay, which hold the frequent ones."""
+    if len(kept) > most:
+        oldest = list(itertools.islice(kept.items(), int(most * part)))
+        kept.clear()
+        kept.update(oldest)
+
+
+class Pieces(dict):
+    """Ids by piece, from the BPE model."""
+
+    def __init__(self, tokenize: Callable[[str], list]) -> None:
+        self.tokenize = tokenize
+        rest = iter(range(256, 512))
+        self.letters = {b: chr(b if b in PLAIN else next(rest)) for b in range(256)}
+
+    def __missing__(self, text: str) -> bytes:
+        letters = text.encode().decode("latin-1").translate(self.letters)
+        self[text] = ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
+class Words(dict):
+    """Ids by word, each with a blank in front; None for what isn't a word: empty, or with white space at its end."""
+
+    def __init__(self, pieces: Pieces, special: list[str], whole: Callable[[str], bytes]) -> None:
+        import regex
+
+        self.pieces, self.whole = pieces, whole
+        self.cut = regex.compile(PIECE).findall
+        #: letters beyond Latin, and special tokens
+        self.strange = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)])).search
+        self.plain = not any(t.isalpha() for t in special)
+        self.tokenize, self.blank = pieces.tokenize, pieces.letters[32]
+
+    def __missing__(self, text: str) -> bytes | None:
+        if self.plain and text.isascii():
+            if text.isalpha():  # a blank and letters are one piece
+                self[text] = ids = array("I", [t.id for t in self.tokenize(self.blank + text)]).tobytes()
+                return ids
+            if text[-1:] in _STOPS and text[:-1].isalpha():
+                self[text] = ids = self[text[:-1]] + self.pieces[text[-1]]
+                return ids
+        if text == "" or text[-1].isspace():
+            ids = None
+        elif self.strange(text):
+            ids = self.whole(" " + text)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.cut(" " + text)))
+        self[text] = ids
+        return ids
 
 
 class CachedEncoder:
@@ -175,24 +232,21 @@ class CachedEncoder:
 
     The byte-level pre-tokenizer ends a piece before every blank that no white space
     precedes, so the words between such blanks, each with its blank in front, are encoded
-    on their own without any change of the ids.  New words of Latin letters are cut into pieces together,
+    on their own without any change of the ids.  New words of Latin letters are cut into pieces,
     and the library's BPE model encodes new pieces.  Other words, texts with white space before
     a blank, and texts of other kinds of tokenizers go to the library whole.
     """
 
-    KEEP = 600_000
-    TOGETHER = 500
+    #: Words that a worker keeps, and a quarter as many pieces; longer ones than LONG go after their batch.
+    KEEP, LONG = 600_000, 64
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before, special = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens") or []]
@@ -201,68 +255,33 @@ class CachedEncoder:
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
             and spec.get("normalizer") is None and not any(c.isspace() for t in special for c in t)
         )
-        self.special = special
-        self.cut = regex.compile(PIECE).findall
-        rest = iter(range(256, 512))
-        self.letters = {b: chr(b if b in PLAIN else next(rest)) for b in range(256)}
-        self.model = self.tokenizer.model
+        self.pieces = Pieces(self.tokenizer.model.tokenize)
+        self.words = Words(self.pieces, special, lambda text: self.ids([text])[0])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            letters = text.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return got
-
-    def learn(self, new: set[str]) -> None:
-        """Add the ids of words that neither are empty nor end in white space."""
-        if len(self.pieces) > self.KEEP:
-            self.pieces.clear()
-        odd, plain = [], []
-        for w in new:
-            (plain if max(w) < "\u0250" and not any(t in w for t in self.special) else odd).append(w)
-        piece = self.piece
-        for i in range(0, len(plain), self.TOGETHER):
-            part = plain[i : i + self.TOGETHER]
-            found: list[list[bytes]] = []
-            for p in self.cut(" " + " ".join(part)):
-                if p[0] == " ":
-                    found.append([])
-                found[-1].append(piece(p))
-            if len(found) == len(part):
-                self.words.update(zip(part, map(b"".join, found)))
-            else:
-                odd += part
-        self.words.update(zip(odd, self.ids([" " + w for w in odd])))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian u32 ids of each text."""
-        if len(self.words) > self.KEEP:
-            self.words.clear()
-        known = self.words.get
         split = [t.split(" ") if self.short else [] for t in texts]
-        new = {w for words in split for w in words[1:]}.difference(self.words)
-        self.learn({w for w in new if w and not w[-1].isspace()})
-        firsts = iter(self.ids([words[0] if words else "" for words in split]))
+        firsts = self.ids([words[0] if words else "" for words in split])
+        sizes = [len(self.words), len(self.pieces)]
+        look = self.words.__getitem__
+        out = []
         for text, words, first in zip(texts, split, firsts):
-            got = list(map(known, words[1:]))
-            if not words or None in got or words[0][-1:].isspace():
-                yield np.frombuffer(self.ids([text])[0], "<u4")
-            else:
-                yield np.frombuffer(first + b"".join(got), "<u4")
-
-
-_encoders: dict[str, CachedEncoder] = {}
+            good = bool(words) and not words[0][-1:].isspace()
+            got = list(map(look, words[1:])) if good else [None]
+            out.append(np.frombuffer(self.ids([text])[0] if None in got else first + b"".join(got), "<u4"))
+        for kept, size in zip((self.words, self.pieces), sizes):
+            for text in [t for t in itertools.islice(reversed(kept), len(kept) - size) if len(t) > self.LONG]:
+                del kept[text]
+            shrink(kept, self.KEEP if kept is self.words else self.KEEP // 4)
+        return out
 
 
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each Python worker, which later tasks use again."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+    return held("token file", path, lambda: CachedEncoder(path))
 
 
 def write_tokens(
@@ -307,9 +326,9 @@ def write_tokens(
                 {"part": [part], "file": [name], "n_docs": [len(out.docs)], "n_tokens": [n]}, schema=_FILES
             )
 
-    # the key ahead of the text breaks ties of repeated ids, so the order is the same in every run
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the texts' hashes break ties of repeated ids, so these are dealt out too, in the same order in every run
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return materialise(ordered.mapInArrow(write, "part int, file string, n_docs long, n_tokens long"), "token-files")
 
 
