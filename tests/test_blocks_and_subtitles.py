@@ -136,17 +136,17 @@ def test_files_to_files(spark, tmp_path):
     """A corpus of several documents in one file to events, and these filtered."""
     from cuespark import files
 
-    (tmp_path / "corpus.txt").write_text("one two\nthree\n---END.OF.DOCUMENT---\n\nfour---end.of.document---five six\n---END.OF.DOCUMENT---\n")
-    files.create_event_file(spark, str(tmp_path / "corpus.txt"), str(tmp_path / "events"), event_options=(2,), cue_structure="word_to_word", remove_duplicates=False)
+    (tmp_path / "texts.txt").write_text("one two\nthree\n---END.OF.DOCUMENT---\n\nfour---end.of.document---five six\n---END.OF.DOCUMENT---\n")
+    files.create_event_file(spark, str(tmp_path / "texts.txt"), str(tmp_path / "events"), event_options=(2,), cue_structure="word_to_word", remove_duplicates=False)
     got = readers.read_events(spark, str(tmp_path / "events")).orderBy("event_id").collect()
     assert ["_".join(r.cues) for r in got] == ["one", "one_two", "two_three", "three", "four", "five", "five_six", "six"]
     files.filter_event_file(spark, str(tmp_path / "events"), str(tmp_path / "less"), remove_cues=["two", "four"])
     less = readers.read_events(spark, str(tmp_path / "less")).orderBy("event_id").collect()
     assert ["_".join(r.cues) for r in less] == ["one", "one", "three", "three", "five", "five_six", "six"]
-    lines = corpus.corpus_to_events(readers.read_corpus(spark, str(tmp_path / "corpus.txt"), by_document=False), context_structure="line", event_structure="line", cue_structure="word_to_word")
+    lines = corpus.corpus_to_events(readers.read_corpus(spark, str(tmp_path / "texts.txt"), by_document=False), context_structure="line", event_structure="line", cue_structure="word_to_word")
     assert sorted("_".join(sorted(r.cues)) for r in lines.collect())[-2:] == ["one_two", "three"]
     with pytest.raises(Exception, match="exists"):
-        files.create_event_file(spark, str(tmp_path / "corpus.txt"), str(tmp_path / "events"))
+        files.create_event_file(spark, str(tmp_path / "texts.txt"), str(tmp_path / "events"))
 
 
 def test_metadata_of_a_continued_run(spark):
