@@ -19,7 +19,7 @@ _fallback: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="cuespark-"))
