@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, langid, maxscore, quality, sentencepieces, sharding, tokenbin, warc
+from . import decontam, fim, htmltext, jaccard, langid, maxscore, periodic, quality, sentencepieces, sharding, simhash, tokenbin, warc
 from .common import table
 
 
@@ -59,10 +59,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding, op2_sentencepiece, op3_language_id, op4_exact_topk, op5_ngram_jaccard,
         op6_token_binary, op7_warc, op8_quality, op9_html_extraction, op10_decontamination,
+        op11_periodic_runs, op12_fill_in_middle, op13_simhash,
     ]
     return {f.__name__: f for f in found}
 
@@ -108,6 +121,14 @@ OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS10} AS w FROM documents), i AS (SELE
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ u AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS h FROM d),
+ c AS (SELECT doc_id, text, u, len(u) AS n, h[1] % (len(u) + 1) AS x, h[2] % (len(u) + 1) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:n], '') AS suffix FROM c)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op4_exact_topk": OP4, "op5_ngram_jaccard": OP5, "op7_warc": OP7, "op10_decontamination": OP10}
+    return {"op1_sharding": OP1, "op4_exact_topk": OP4, "op5_ngram_jaccard": OP5, "op7_warc": OP7, "op10_decontamination": OP10, "op12_fill_in_middle": OP12}
