@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import make_room, materialise, pick
 from .components import connected_components
+from .jaccard import _members as rows_of_keys
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -103,7 +104,7 @@ def close_links(fps: DataFrame) -> DataFrame:
     shared = counts.where("c > 2").select("key", "c")
     if shared.isEmpty():
         return twos
-    members = materialise(keyed.join(shared, "key"), "variant-members")
+    members = materialise(rows_of_keys(keyed, shared), "variant-members")
     few, many = members.where(F.col("c") <= FREQUENT), members.where(F.col("c") > FREQUENT)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(_links("key", "a", "b")).select("a", "b")
     return twos.unionAll(pairs).unionAll(neighbour_links(many.select("fp").distinct()))
