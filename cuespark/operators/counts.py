@@ -58,6 +58,21 @@ def vocabulary(events: DataFrame, column: str) -> DataFrame:
     return materialise(numbered.select(F.col("cues")[0].alias("key"), F.col("event_id").cast("int").alias("id")), "vocabulary")
 
 
+def vocabularies(events: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """Cues and outcomes as (key, id), and how many of both, from one pass over the events; ``more``: (axis: 0 or 1, key) besides."""
+    tokens = events.select(F.posexplode(F.array("cues", "outcomes")).alias("axis", "tokens")).select("axis", F.explode("tokens").alias("key"))
+    tokens = tokens if more is None else tokens.unionByName(more)
+    keys = materialise(tokens.distinct(), "keys")
+    sizes = {r["axis"]: r["count"] for r in keys.groupBy("axis").count().collect()}
+    if max(sizes.values(), default=0) <= SMALL_KEYS:
+        by_axis = Window.partitionBy("axis").orderBy("key")
+        both = materialise(keys.select("axis", "key", (F.row_number().over(by_axis) - 1).alias("id")), "vocabulary")
+        tables = [both.where(F.col("axis") == k).select("key", "id") for k in (0, 1)]
+    else:
+        tables = [vocabulary(keys.where(F.col("axis") == k).select(F.array("key").alias("k")), "k") for k in (0, 1)]
+    return tables[0], tables[1], sizes.get(0, 0), sizes.get(1, 0)
+
+
 def encode(events: DataFrame, cues: DataFrame, outcomes: DataFrame, sort_within_event: bool = False) -> DataFrame:
     """event_id, cue_ids, outcome_ids; a token without an id fails the job."""
     if max(cues.count(), outcomes.count()) <= SMALL_KEYS:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import closed, fold, kernel
-from ..storage import materialise
+from ..storage import materialise, scratch
 from . import counts
 from .filters import apply_duplicates
 
@@ -20,6 +20,10 @@ from .filters import apply_duplicates
 CHUNK_NUMBERS = 32_000_000
 #: Fewer rows than this aren't split over tasks: each task reads all events and solves their equations.
 CHUNK_ROWS = 64
+#: Up to this many numbers in the change that a range of events makes, few rows are learned by ranges.
+CHANGE_NUMBERS = 4_000_000
+#: Events of a range, at least and at most.
+RANGE_EVENTS = (1_000, 500_000)
 #: Vector tables go to every task; larger ones than this many numbers are refused.
 VECTOR_NUMBERS = 64_000_000
 
@@ -91,10 +95,42 @@ def _attrs(old: Weights | None, started: float, **values) -> dict[str, str]:
     return {k: " | ".join(x for x in (old.attrs.get(k, ""), now.get(k, "")) if x) for k in {**old.attrs, **now}}
 
 
-def _union(a: DataFrame, old: Weights | None, axis: int) -> DataFrame:
-    if old is None:
-        return a
-    return _ids(a.select("key").union((old.rows, old.columns)[axis].select("key")).distinct())
+def _known(old: Weights | None, *axes: int) -> DataFrame | None:
+    """(axis, key) of a former W, of cues (0) and outcomes (1)."""
+    if old is None or not axes:
+        return None
+    tables = [(old.columns, old.rows)[a].select(F.lit(a).alias("axis"), "key") for a in axes]
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+
+
+def _events(events: DataFrame | str | Iterable, remove_duplicates: bool | None) -> tuple[DataFrame, str]:
+    """event_id, cues, outcomes of a table, an event file or pairs; and the file."""
+    from ..sources import readers
+
+    path = ""
+    if isinstance(events, str):
+        path, events = events, readers.read_events(SparkSession.active(), events)
+    elif not isinstance(events, DataFrame):
+        events = readers.events_from_list(SparkSession.active(), events)
+    return apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates), path
+
+
+def _learned(
+    events: DataFrame, n_events: int, cues: DataFrame, outcomes: DataFrame, rule: kernel.Rule, n_inputs: int, n_rows: int, initial: DataFrame | None, per_chunk: int | None
+) -> DataFrame:
+    """row, weights of W: by ranges of events if its rows are too few for all tasks and the ranges' changes are small, else by chunks of rows."""
+    spark = events.sparkSession
+    if not n_inputs or not n_rows:
+        return spark.createDataFrame([], "row int, weights array<double>")
+    parallel = spark.sparkContext.defaultParallelism
+    encoded = counts.encode(events, cues, outcomes)
+    if per_chunk is None and n_rows < CHUNK_ROWS * parallel and kernel.change_size(rule, n_inputs, n_rows) <= CHANGE_NUMBERS:
+        least, most = RANGE_EVENTS
+        ranges = max(-(-n_events // most), min(parallel, -(-n_events // least)))
+        found = kernel.run_ranges(spark, kernel.write_encoded(encoded, max(1, ranges)), rule, n_inputs, n_rows, initial)
+    else:
+        found = kernel.run(spark, kernel.write_encoded(encoded), rule, n_inputs, n_rows, _chunk(n_inputs, n_rows, parallel, per_chunk), initial)
+    return materialise(found, "weights")
 
 
 def _chunk(n_inputs: int, n_rows: int, parallel: int, per_chunk: int | None) -> int:
@@ -113,8 +149,8 @@ def _table(found: DataFrame, rows: DataFrame, columns: DataFrame, axes: tuple[st
 
 
 def rw_learn(
-    events: DataFrame,
-    alpha: float | Mapping[str, float] = 0.1,
+    events: DataFrame | str | Iterable,
+    alpha: float | Mapping[str, float] | DataFrame = 0.1,
     betas: tuple[float, float] = (0.1, 0.1),
     lambda_: float = 1.0,
     *,
@@ -126,14 +162,18 @@ def rw_learn(
     """Learn W from events (event_id, cues, outcomes), in the order of ``event_id``.
 
     Every outcome's row changes at every event; events without the outcome count against its cues.
-    ``alpha`` may be a number for each cue.  With ``weights`` learning continues; its outcomes and cues stay on the axes.
+    Events may be an event file's path or pairs of cues and outcomes, too.  ``alpha`` may be a number for each cue, as a
+    mapping or, for large vocabularies, as a table (key, rate) that stays on the executors.  With ``weights`` learning continues; its outcomes and cues stay on the axes.
     ``strategy``: ``closed`` (one cue an event, fresh W: windows and sums), ``fold`` (expressions), ``kernel``.
     """
     started = time.time()
-    events = apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates)
-    cues, outcomes = (_union(counts.vocabulary(events, c), weights, k) for c, k in (("cues", 1), ("outcomes", 0)))
-    strategy = strategy or _plan(events, alpha, weights)
-    n: int | None = None
+    events, path = _events(events, remove_duplicates)
+    seen = Observation()
+    observed = events.observe(seen, F.count("*").alias("n"), F.max(F.size("cues") != 1).alias("several"))
+    cues, outcomes, n_cues, n_outcomes = counts.vocabularies(observed, _known(weights, 0, 1))
+    n, varying = seen.get["n"], isinstance(alpha, (Mapping, DataFrame))
+    # single-cue events have a closed form; all else goes to the kernel
+    strategy = strategy or ("kernel" if weights is not None or varying or seen.get["several"] else "closed")
     if strategy == "closed":
         table = closed.closed_form(events, float(alpha), betas, lambda_)
     elif strategy == "fold":
@@ -142,27 +182,31 @@ def rw_learn(
         names = [[r["key"] for r in t.orderBy("id").collect()] for t in (cues, outcomes)]
         table = fold.fold_binary(events, *names, alpha, betas, lambda_).where("weight <> 0")
     elif strategy == "kernel":
-        n_cues, n_outcomes = cues.count(), outcomes.count()
-        rates = alpha
-        if isinstance(alpha, Mapping):
-            rates = np.zeros(n_cues)
-            for r in cues.collect():  # one number for each cue, as in each task's part of W
-                rates[r["id"]] = alpha[r["key"]]
-        path = kernel.write_encoded(counts.encode(events, cues, outcomes))
-        spark = events.sparkSession
-        n = spark.read.parquet(path).count()
-        chunk = _chunk(n_cues, n_outcomes, spark.sparkContext.defaultParallelism, outcomes_per_chunk)
+        rule = kernel.Rule(_rates(alpha, cues, n_cues) if varying else alpha, betas, lambda_)
         initial = None if weights is None else _initial(weights, outcomes, cues)
-        found = kernel.run(spark, path, kernel.Rule(rates, betas, lambda_), n_cues, n_outcomes, chunk, initial)
-        table = _table(materialise(found, "weights"), outcomes, cues, ("outcome", "cue"))
+        found = _learned(events, n, cues, outcomes, rule, n_cues, n_outcomes, initial, outcomes_per_chunk)
+        table = _table(found, outcomes, cues, ("outcome", "cue"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    n = events.count() if n is None else n
-    rate = "varying" if isinstance(alpha, Mapping) else alpha
-    attrs = _attrs(weights, started, function="rw_learn", number_events=n, alpha=rate, betas=betas, **{"lambda": lambda_}, method=strategy, remove_duplicates=remove_duplicates)
+    rate = "varying" if varying else alpha
+    attrs = _attrs(weights, started, event_path=path, function="rw_learn", number_events=n, alpha=rate, betas=betas, **{"lambda": lambda_}, method=strategy, remove_duplicates=remove_duplicates)
     return Weights(table, outcomes, cues, ("outcome", "cue"), attrs)
 
 
+def _rates(alpha: Mapping[str, float] | DataFrame, cues: DataFrame, n: int) -> np.ndarray | str:
+    """A number for each cue: in an array for a mapping; of a table (key, rate) the folder of (id, rate), which the tasks read."""
+    if isinstance(alpha, DataFrame):
+        joined = cues.join(alpha.select("key", F.col("rate").cast("double").alias("rate")), "key", "left")
+        known = F.when(F.col("rate").isNull(), F.raise_error(F.concat(F.lit("a cue without a rate: "), F.col("key")))).otherwise(F.col("rate"))
+        path = scratch(cues.sparkSession, "rates")
+        joined.select("id", known.alias("rate")).write.parquet(path)
+        return path
+    rates = np.zeros(n)
+    for r in cues.toLocalIterator():
+        rates[r["id"]] = alpha[r["key"]]
+    return rates
+
+
 def _initial(old: Weights, rows: DataFrame, columns: DataFrame) -> DataFrame:
     a, b = old.axes
     t = old.table.where("weight <> 0").select(F.col(a).alias("_r"), F.col(b).alias("_c"), "weight")
@@ -170,13 +214,6 @@ def _initial(old: Weights, rows: DataFrame, columns: DataFrame) -> DataFrame:
     return t.select("row", "input", "weight")
 
 
-def _plan(events: DataFrame, alpha: float | Mapping, weights: Weights | None) -> str:
-    """Single-cue events have a closed form; all else goes to the kernel."""
-    if weights is None and not isinstance(alpha, Mapping) and events.where(F.size("cues") != 1).isEmpty():
-        return "closed"
-    return "kernel"
-
-
 def _vectors(table: DataFrame, keys: DataFrame, what: str) -> tuple[np.ndarray, int]:
     """A row for each id; every token needs a vector, all of one length."""
     missing = keys.join(table.select(F.col("label").alias("key")), "key", "left_anti").limit(1).collect()
@@ -195,7 +232,7 @@ def _vectors(table: DataFrame, keys: DataFrame, what: str) -> tuple[np.ndarray,
 
 
 def wh_learn(
-    events: DataFrame,
+    events: DataFrame | str | Iterable,
     eta: float,
     *,
     cue_vectors: DataFrame | None = None,
@@ -217,9 +254,11 @@ def wh_learn(
     if cue_vectors is None and outcome_vectors is None:
         return rw_learn(events, 1.0, betas, lambda_, weights=weights, remove_duplicates=remove_duplicates, strategy="kernel", outcomes_per_chunk=rows_per_chunk)
     started = time.time()
+    events, path = _events(events, remove_duplicates)
     spark = events.sparkSession
-    events = apply_duplicates(events.select("event_id", "cues", "outcomes"), remove_duplicates)
-    cues, outcomes = (counts.vocabulary(events, c) for c in ("cues", "outcomes"))
+    seen = Observation()
+    known = _known(weights, *[k for k, v in ((0, cue_vectors), (1, outcome_vectors)) if v is None])
+    cues, outcomes, n_inputs, n_rows = counts.vocabularies(events.observe(seen, F.count("*").alias("n")), known)
 
     def dims(names: list[str] | None, n: int) -> DataFrame:
         names = names or [str(i) for i in range(n)]
@@ -230,25 +269,14 @@ def wh_learn(
     x = y = None
     columns, rows = cues, outcomes
     if cue_vectors is not None:
-        x, n = _vectors(cue_vectors, cues, "cues")
-        columns = dims(cue_dims, n)
-    elif weights is not None:
-        columns = cues = _union(cues, weights, 1)
+        x, n_inputs = _vectors(cue_vectors, cues, "cues")
+        columns = dims(cue_dims, n_inputs)
     if outcome_vectors is not None:
-        y, n = _vectors(outcome_vectors, outcomes, "outcomes")
-        rows = dims(outcome_dims, n)
-    elif weights is not None:
-        rows = outcomes = _union(outcomes, weights, 0)
+        y, n_rows = _vectors(outcome_vectors, outcomes, "outcomes")
+        rows = dims(outcome_dims, n_rows)
     axes = ("outcome" if y is None else "outcome_dim", "cue" if x is None else "cue_dim")
-    path = kernel.write_encoded(counts.encode(events, cues, outcomes))
-    n_inputs, n_rows = columns.count(), rows.count()
-    chunk = _chunk(n_inputs, n_rows, spark.sparkContext.defaultParallelism, rows_per_chunk)
     initial = None if weights is None else _initial(weights, rows, columns)
-    found = kernel.run(spark, path, kernel.Rule(1.0, betas, lambda_, x, y), n_inputs, n_rows, chunk, initial)
-    table = _table(materialise(found, "weights"), rows, columns, axes)
-    n = spark.read.parquet(path).count()
-    attrs = _attrs(weights, started, function="wh_learn", number_events=n, eta=eta, betas=betas, **{"lambda": lambda_}, method="kernel", remove_duplicates=remove_duplicates)
+    found = _learned(events, seen.get["n"], cues, outcomes, kernel.Rule(1.0, betas, lambda_, x, y), n_inputs, n_rows, initial, rows_per_chunk)
+    table = _table(found, rows, columns, axes)
+    attrs = _attrs(weights, started, event_path=path, function="wh_learn", number_events=seen.get["n"], eta=eta, betas=betas, **{"lambda": lambda_}, method="kernel", remove_duplicates=remove_duplicates)
     return Weights(table, rows, columns, axes, attrs)
-
-
-

@@ -1,15 +1,21 @@
-"""The ordered fold as a vectorised kernel, parallel over chunks of outcomes.
+"""The ordered fold as a vectorised kernel, parallel over chunks of outcomes or over ranges of events.
 
-The encoded events lie in the shared folder, sorted by ``event_id`` over all files.  Each task owns a
-chunk of the rows of W (transposed: inputs x chunk), streams the files in order, a batch at a time, and returns
-its rows.  Memory: the chunk of W and a batch; nothing is collected, no event is shuffled to a chunk.
+The encoded events lie in the shared folder, sorted by ``event_id`` over all files.
+
+By chunks (``run``): each task owns a chunk of the rows of W (transposed: inputs x chunk), streams the files in order, a batch at a
+time, and returns its rows.  Memory: the chunk of W and a batch; no event is shuffled to a chunk.
+
+By ranges (``run_ranges``), for a W of few rows and inputs: the events of a file change W by an affine map,
+W -> M W + V, whatever W is.  Each task folds a file to its M (what becomes of the unit matrix) and V (of
+zero); maps of neighbouring files are composed in a tree, and the last one is applied to the start state.
+Only the cues that a file holds are in its map, the others stay.
 """
 
 from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +29,49 @@ from ..storage import filesystem, scratch
 
 @dataclass
 class Rule:
-    """Rates, and vectors where inputs or targets are real (a row for each id)."""
+    """Rates (one, one for each cue, or the folder of a table of them), and vectors where inputs or targets are real (a row for each id)."""
 
-    alpha: float | np.ndarray
+    alpha: float | np.ndarray | str
     betas: tuple[float, float]
     lambda_: float
     cue_vectors: np.ndarray | None = None
     outcome_vectors: np.ndarray | None = None
 
 
-def write_encoded(encoded: DataFrame) -> str:
+def _loaded(rule: Rule, n_inputs: int) -> Rule:
+    """The rule with the rates of its folder (id, rate) read."""
+    if not isinstance(rule.alpha, str):
+        return rule
+    rates = np.zeros(n_inputs)
+    fs, folder = filesystem(rule.alpha)
+    for name in _files(rule.alpha):
+        with fs.open_input_file(posixpath.join(folder, name)) as source:
+            for batch in pq.ParquetFile(source).iter_batches(1_000_000, columns=["id", "rate"]):
+                rates[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False)
+    return replace(rule, alpha=rates)
+
+
+def write_encoded(encoded: DataFrame, files: int | None = None) -> str:
     """Files whose names sort as their events do."""
     path = scratch(encoded.sparkSession, "encoded-events")
-    encoded.repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(path)
+    laid = encoded.repartitionByRange("event_id") if files is None else encoded.repartitionByRange(files, "event_id")
+    laid.sortWithinPartitions("event_id").write.parquet(path)
     return path
 
 
-def _batches(path: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cue offsets, cue ids, outcome offsets, outcome ids) of the events in order."""
+def _files(path: str) -> list[str]:
     fs, folder = filesystem(path)
-    names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith("part-"))
-    for name in names:
+    return sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith("part-"))
+
+
+def _batches(path: str, names: list[str] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cue offsets, cue ids, outcome offsets, outcome ids) of the events in order, of all files or those named."""
+    fs, folder = filesystem(path)
+    for name in _files(path) if names is None else names:
         with fs.open_input_file(posixpath.join(folder, name)) as source:
             for batch in pq.ParquetFile(source).iter_batches(50_000, columns=["cue_ids", "outcome_ids"]):
+                if not batch.num_rows:
+                    continue
                 out = []
                 for column in batch.columns:
                     out += [column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False).astype(np.int64)]
@@ -54,27 +80,24 @@ def _batches(path: str) -> Iterator[tuple[np.ndarray, ...]]:
 
 #: Events that are solved together.
 BLOCK = 64
-#: With unequal rates each row of W has equations of its own; up to this many rows they are solved together, beyond that event by event.
-OWN_EQUATIONS = 16
+#: Maps that one task composes.
+FAN = 8
 
 
-def learn(w: np.ndarray, path: str, rule: Rule, low: int, high: int) -> None:
-    """Fold all events into ``w`` (inputs x rows low..high), in place.
+def learn(w: np.ndarray, batches: Iterator[tuple[np.ndarray, ...]], rule: Rule, low: int, high: int, lead: int = 0, width: int = 1) -> None:
+    """Fold the events into ``w`` (inputs x rows low..high), in place.
 
     The updates u of a block of events X are linear in each other: an event sees W as the block found it,
-    plus what the events before it in the block changed.  So u solves (D + strictly lower part of
-    X alpha X') u = targets - X W, with D = 1 / rate on the diagonal, and W grows by alpha X' u: the
+    plus what the events before it in the block changed.  So u solves (1 + B L) u = B (targets - X W), with
+    the rates B and L the strictly lower part of X alpha X', and W grows by alpha X' u: the
     same fold, by matrix products.
+
+    In front of the rows stand ``lead`` columns without targets; a row may be ``width`` columns, of which the last has the target.
     """
     targets = None if rule.outcome_vectors is None else np.ascontiguousarray(rule.outcome_vectors[:, low:high])
-    equal = targets is not None or rule.betas[0] == rule.betas[1]
-    solved = min(rule.betas) > 0 and (equal or high - low <= OWN_EQUATIONS)
-    for batch in _batches(path):
-        if solved:
-            for e in range(0, len(batch[0]) - 1, BLOCK):
-                _block(w, _slice(batch[0], batch[1], e), _slice(batch[2], batch[3], e), rule, targets, low, high, equal)
-        else:
-            _events(w, batch, rule, targets, low, high)
+    for batch in batches:
+        for e in range(0, len(batch[0]) - 1, BLOCK):
+            _block(w, _slice(batch[0], batch[1], e), _slice(batch[2], batch[3], e), rule, targets, low, high, lead, width)
 
 
 def _slice(offsets: np.ndarray, ids: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -83,7 +106,7 @@ def _slice(offsets: np.ndarray, ids: np.ndarray, at: int) -> tuple[np.ndarray, n
     return np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]], len(own) - 1
 
 
-def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndarray | None, low: int, high: int, equal: bool) -> None:
+def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndarray | None, low: int, high: int, lead: int = 0, width: int = 1) -> None:
     event, ids, n = cues
     used = alpha = None
     if rule.cue_vectors is None:
@@ -98,23 +121,19 @@ def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndar
         rows, alpha = w, 1.0
     event, ids, _ = outs
     lower = np.tril((x * alpha) @ x.T, -1)
-    b1, b2 = rule.betas
+    want = np.zeros((n, w.shape[1]))
     if targets is not None:
-        want = np.zeros((n, high - low))
-        np.add.at(want, event, targets[ids])
+        np.add.at(want[:, lead:], event, targets[ids])
     else:
         own = (ids >= low) & (ids < high)
-        want = np.zeros((n, high - low))
-        want[event[own], ids[own] - low] = rule.lambda_
+        event, ids = event[own], ids[own] - low
+        want[event, lead + ids * width + width - 1] = rule.lambda_
     rest = want - x @ rows
-    if equal:
-        u = np.linalg.solve(lower + np.eye(n) / b1, rest)
+    b1, b2 = rule.betas
+    if targets is not None or b1 == b2:
+        u = np.linalg.solve(np.eye(n) + b1 * lower, b1 * rest)
     else:
-        held = np.zeros((n, high - low), bool)
-        held[event[own], ids[own] - low] = True
-        every = np.broadcast_to(lower, (high - low, n, n)).copy()
-        every[:, np.arange(n), np.arange(n)] = np.where(held, 1 / b1, 1 / b2).T
-        u = np.linalg.solve(every, rest.T[:, :, None])[:, :, 0].T
+        u = _unequal(lower, rest, b1, b2, event, lead + ids * width, width)
     change = (x * alpha).T @ u
     if used is None:
         w += change
@@ -122,37 +141,53 @@ def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndar
         w[used] = rows + change
 
 
-def _events(w: np.ndarray, batch: tuple[np.ndarray, ...], rule: Rule, targets: np.ndarray | None, low: int, high: int) -> None:
-    """The same, an event at a time."""
-    b1, b2 = rule.betas
-    per_cue = isinstance(rule.alpha, np.ndarray)
-    cue_at, cue_ids, out_at, out_ids = batch
-    cue_at, out_at = cue_at.tolist(), out_at.tolist()
-    for e in range(len(cue_at) - 1):
-        cues = cue_ids[cue_at[e] : cue_at[e + 1]]
-        if rule.cue_vectors is None:
-            if not len(cues):
-                continue
-            rows = w[cues]
-            a = rows.sum(axis=0)
-        else:
-            x = rule.cue_vectors[cues].sum(axis=0)
-            a = x @ w
-        outs = out_ids[out_at[e] : out_at[e + 1]]
-        if targets is not None:
-            u = b1 * (targets[outs].sum(axis=0) - a)
-        else:
-            u = a * -b2
-            own = outs[(outs >= low) & (outs < high)] - low
-            u[own] = b1 * (rule.lambda_ - a[own])
-        if rule.cue_vectors is not None:
-            w += np.multiply.outer(x, u)
-            continue
-        change = rule.alpha[cues][:, None] * u if per_cue else rule.alpha * u
-        if len(cues) > 1 and len(set(cues.tolist())) < len(cues):
-            np.add.at(w, cues, change)
-        else:
-            w[cues] = rows + change
+def _unequal(lower: np.ndarray, rest: np.ndarray, b1: float, b2: float, event: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """The updates where an outcome's rate depends on its presence.
+
+    All are solved as if absent.  Each presence (event, first of its columns) then adds what its other rate makes of the gap that the
+    event finds, and what follows from that for later events: a column of the inverse.
+    """
+    inverse = np.linalg.inv(np.eye(len(lower)) + b2 * lower)
+    u = inverse @ (b2 * rest)
+    starts = np.searchsorted(event, np.arange(len(lower) + 1))
+    for e in np.unique(event).tolist():
+        first = np.unique(column[starts[e] : starts[e + 1]])
+        own = first if width == 1 else (first[:, None] + np.arange(width)).ravel()
+        gap = (b1 - b2) * (rest[e, own] - lower[e, :e] @ u[:e, own])
+        u[e:, own] += np.multiply.outer(inverse[e:, e], gap)
+    return u
+
+
+def write_state(initial: DataFrame, chunk: int) -> str:
+    """A former W (row, input, weight) in the shared folder, a folder for each chunk of rows."""
+    path = scratch(initial.sparkSession, "start-state")
+    laid = initial.select(F.floor(F.col("row") / chunk).cast("int").alias("chunk"), "row", "input", "weight")
+    laid.repartition("chunk", F.floor(F.col("input") / 100_000)).sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def _read_state(path: str | None, number: int, w: np.ndarray, low: int) -> None:
+    """A chunk's numbers into ``w``, a batch at a time."""
+    if path is None:
+        return
+    fs, folder = filesystem(posixpath.join(path, f"chunk={number}"))
+    if fs.get_file_info(folder).type != pafs.FileType.Directory:
+        return
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.base_name.startswith("part-"):
+            with fs.open_input_file(info.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(1_000_000, columns=["row", "input", "weight"]):
+                    row, at, weight = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                    w[at.astype(np.int64), row.astype(np.int64) - low] = weight
+
+
+def _rows_of(w: np.ndarray, low: int) -> Iterator[pa.RecordBatch]:
+    """row, weights of the columns of ``w``."""
+    for s in range(0, w.shape[1], 256):
+        part = np.ascontiguousarray(w[:, s : s + 256].T)
+        offsets = np.arange(len(part) + 1, dtype=np.int32) * len(w)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low + s, low + s + len(part)), pa.int32()), lists], ["row", "weights"])
 
 
 def run(
@@ -160,29 +195,130 @@ def run(
 ) -> DataFrame:
     """row, weights (a number for each input) of every row of W.
 
-    ``initial``: row, input, weight of a former W; each task gets those of its chunk.
+    ``initial``: row, input, weight of a former W; each task reads those of its chunk.
     """
     chunks = -(-n_rows // chunk)
     sent = spark.sparkContext.broadcast(rule)  # rates and vectors: no larger than the vector tables given
-    todo = spark.range(0, chunks, 1, chunks).select(F.col("id").cast("int").alias("chunk"))
-    if initial is not None:
-        packed = initial.groupBy(F.floor(F.col("row") / chunk).cast("int").alias("chunk")).agg(F.collect_list(F.struct("row", "input", "weight")).alias("w"))
-        todo = todo.join(packed, "chunk", "left").repartition(chunks, "chunk")
+    start = None if initial is None else write_state(initial, chunk)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = _loaded(sent.value, n_inputs)
         for batch in batches:
-            for k, number in enumerate(batch.column(0).to_pylist()):
+            for number in batch.column(0).to_pylist():
                 low, high = number * chunk, min(n_rows, (number + 1) * chunk)
                 w = np.zeros((n_inputs, high - low))
-                if batch.num_columns > 1 and batch.column(1)[k].is_valid:
-                    at = batch.column(1)[k].values
-                    rows, inputs = (at.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "input"))
-                    w[inputs, rows - low] = at.field("weight").to_numpy(zero_copy_only=False)
-                learn(w, path, sent.value, low, high)
-                for s in range(0, high - low, 256):
-                    part = np.ascontiguousarray(w[:, s : s + 256].T)
-                    offsets = np.arange(len(part) + 1, dtype=np.int32) * n_inputs
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low + s, low + s + len(part)), pa.int32()), lists], ["row", "weights"])
+                _read_state(start, number, w, low)
+                learn(w, _batches(path), rule, low, high)
+                yield from _rows_of(w, low)
 
+    todo = spark.range(0, chunks, 1, chunks).select(F.col("id").cast("int").alias("chunk"))
     return todo.mapInArrow(work, "row int, weights array<double>")
+
+
+# ranges ----------------------------------------------------------------------------------
+
+
+@dataclass
+class Change:
+    """W[ids] -> m W[ids] + v.  ``m`` holds one matrix for all rows of W, or one for each row where presence sets the rate."""
+
+    ids: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+
+    def on(self, w: np.ndarray) -> np.ndarray:
+        """The change of the columns of w, whose inputs are the ids."""
+        return (self.m[0] @ w if len(self.m) == 1 else np.einsum("gij,jg->ig", self.m, w)) + self.v
+
+    def among(self, ids: np.ndarray) -> Change:
+        """The same over more inputs, which stay as they are."""
+        at = np.searchsorted(ids, self.ids)
+        m = np.repeat(np.eye(len(ids))[None], len(self.m), axis=0)
+        m[:, at[:, None], at] = self.m
+        v = np.zeros((len(ids), self.v.shape[1]))
+        v[at] = self.v
+        return Change(ids, m, v)
+
+    def then(self, other: Change) -> Change:
+        ids = np.union1d(self.ids, other.ids)
+        a, b = self.among(ids), other.among(ids)
+        return Change(ids, b.m @ a.m, b.on(a.v))
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        return self.ids.astype("<i8").tobytes(), self.m.tobytes(), self.v.tobytes()
+
+    @classmethod
+    def unpacked(cls, ids: bytes, m: bytes, v: bytes) -> Change:
+        at = np.frombuffer(ids, "<i8")
+        return cls(at, np.frombuffer(m).reshape(-1, len(at), len(at)), np.frombuffer(v).reshape(len(at), -1))
+
+
+def change_size(rule: Rule, n_inputs: int, n_rows: int) -> int:
+    """How many numbers the change of a range holds at most."""
+    one = rule.outcome_vectors is not None or rule.betas[0] == rule.betas[1]
+    return n_inputs * (n_inputs * (1 if one else n_rows) + n_rows)
+
+
+def change_of(batches: list[tuple[np.ndarray, ...]], rule: Rule, n_inputs: int, n_rows: int) -> Change:
+    """What the events of these batches make of any W."""
+    if rule.cue_vectors is None:
+        ids = np.unique(np.concatenate([np.zeros(1, np.int64), *[b[1][b[0][0] : b[0][-1]] for b in batches]]))  # one at least
+        batches = [(b[0], np.searchsorted(ids, b[1]), *b[2:]) for b in batches]
+        rule = replace(rule, alpha=rule.alpha[ids]) if isinstance(rule.alpha, np.ndarray) else rule
+    else:
+        ids = np.arange(n_inputs)
+    c = len(ids)
+    if rule.outcome_vectors is not None or rule.betas[0] == rule.betas[1]:
+        w = np.hstack([np.eye(c), np.zeros((c, n_rows))])
+        learn(w, iter(batches), rule, 0, n_rows, lead=c)
+        return Change(ids, w[None, :, :c].copy(), w[:, c:].copy())
+    w = np.tile(np.hstack([np.eye(c), np.zeros((c, 1))]), n_rows)
+    learn(w, iter(batches), rule, 0, n_rows, width=c + 1)
+    w = w.reshape(c, n_rows, c + 1)
+    return Change(ids, np.ascontiguousarray(w[:, :, :c].transpose(1, 0, 2)), w[:, :, c].copy())
+
+
+_CHANGE = "place long, ids binary, m binary, v binary"
+
+
+def run_ranges(spark: SparkSession, path: str, rule: Rule, n_inputs: int, n_rows: int, initial: DataFrame | None = None) -> DataFrame:
+    """The same as ``run``, with a task for each file of events."""
+    names = _files(path)
+    sent = spark.sparkContext.broadcast(rule)
+    start = None if initial is None else write_state(initial, n_rows)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = _loaded(sent.value, n_inputs)
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                change = None
+                for part in _batches(path, [names[place]]):
+                    one = change_of([part], rule, n_inputs, n_rows)
+                    change = one if change is None else change.then(one)
+                change = change_of([], rule, n_inputs, n_rows) if change is None else change
+                yield pa.RecordBatch.from_pylist([dict(zip(("place", "ids", "m", "v"), (place, *change.packed())))])
+
+    def compose(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        whole = Change.unpacked(*(rows[0][c] for c in ("ids", "m", "v")))
+        for r in rows[1:]:
+            whole = whole.then(Change.unpacked(r["ids"], r["m"], r["v"]))
+        return pa.Table.from_pylist([dict(zip(("place", "ids", "m", "v"), (rows[0]["place"] // FAN, *whole.packed())))])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = np.zeros((n_inputs, n_rows))
+                _read_state(start, 0, w, 0)
+                change = Change.unpacked(r["ids"], r["m"], r["v"])
+                w[change.ids] = change.on(w[change.ids])
+                yield from _rows_of(w, 0)
+
+    parts = max(1, len(names))
+    if not names:
+        return spark.createDataFrame([], "row int, weights array<double>")
+    changes = spark.range(0, parts, 1, parts).mapInArrow(fold, _CHANGE)
+    while parts > 1:  # groups of a fixed number of neighbours
+        changes = changes.groupBy(F.floor(F.col("place") / FAN).alias("above")).applyInArrow(compose, _CHANGE)
+        parts = -(-parts // FAN)
+    return changes.mapInArrow(finish, "row int, weights array<double>")

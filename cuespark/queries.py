@@ -90,6 +90,24 @@ def events_serialise(spark, d):
     return C.as_text(readers.read_events(spark, path), "event_id")
 
 
+@query(
+    """WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '#_	', '   '), '[ \\n]'), lambda w: trim(w, ' 	')), lambda w: w <> '') AS words FROM documents),
+ s AS (SELECT doc_id, words, least(3, len(words)) AS l FROM w WHERE len(words) > 0),
+ e AS (SELECT doc_id, unnest(range(1 - l, CAST(len(words) AS BIGINT))) AS i, l, words FROM s),
+ o AS (SELECT doc_id, i, words[greatest(i, 0) + 1:least(i + l, len(words))] AS words FROM e),
+ g AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS event_id, words, '#' || array_to_string(words, '#') || '#' AS p FROM o)
+ SELECT event_id, array_to_string(list_transform(range(1, length(p) - 1), lambda k: substring(p, k, 3)), '_') AS cues, array_to_string(words, '_') AS outcomes FROM g"""
+)
+def event_file_trigrams(spark, d):
+    """Trigram events of all documents through an event file: written, and read back with their places."""
+    from .sources import readers, sinks
+
+    found = C.corpus_to_events(table(spark, d, "documents"), remove_duplicates=False)
+    path = scratch(spark, "event-file")
+    sinks.write_events(C.number_events(found, "doc_id", "context", "place"), path)
+    return C.as_text(readers.read_events(spark, path), "event_id")
+
+
 # text ------------------------------------------------------------------------------------
 
 WORDS = "list_filter(list_transform(string_split_regex({t}, '[ \\n]'), lambda w: trim(w, ' \t\r')), lambda w: w <> '')"

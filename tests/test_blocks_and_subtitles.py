@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 import random
 
 import numpy as np
@@ -156,3 +157,62 @@ def test_metadata_of_a_continued_run(spark):
     keys = {"date", "number_events", "alpha", "betas", "lambda", "function", "method", "cpu_time", "wall_time", "hostname", "username", "numpy", "pandas", "spark"}
     assert keys <= first.attrs.keys() and keys <= both.attrs.keys()
     assert (both.attrs["number_events"], both.attrs["alpha"]) == ("10 | 10", "0.1 | 0.2")
+
+
+CUE_STRUCTURES = [
+    ("consecutive_words", (3,), "trigrams_to_word"), ("consecutive_words", (1,), "bigrams_to_word"), ("consecutive_words", (2,), "word_to_word"),
+    ("word_to_word", (2, 1), "word_to_word"), ("word_to_word", (1, 1), "trigrams_to_word"), ("line", (), "bigrams_to_word"), ("line", (), "word_to_word"),
+]
+
+
+@pytest.mark.parametrize("structure,options,cues", CUE_STRUCTURES)
+@pytest.mark.parametrize("remove_duplicates", [True, False])
+def test_event_files_hold_what_was_written(spark, tmp_path, structure, options, cues, remove_duplicates):
+    """Cues that begin and end with marks, quotes and blanks come back as they were, in order, and can be filtered."""
+    from cuespark import files
+
+    text = 'one "two" \'three\'\nfour, five\\ six\n---END.OF.DOCUMENT---\nÄhre 日本 one one\n'
+    (tmp_path / "texts.txt").write_text(text)
+    options = {"event_structure": structure, "event_options": options, "cue_structure": cues, "remove_duplicates": remove_duplicates}
+    files.create_event_file(spark, str(tmp_path / "texts.txt"), str(tmp_path / "events"), **options)
+    documents = readers.read_corpus(spark, str(tmp_path / "texts.txt"))
+    want = corpus.number_events(corpus.corpus_to_events(documents, **options), "doc_id", "context", "place").orderBy("event_id").collect()
+    got = readers.read_events(spark, str(tmp_path / "events")).orderBy("event_id").collect()
+    split = lambda x: "_".join(x).split("_")  # noqa: E731  an empty list comes back as an empty token
+    assert [(r.event_id, r.cues, r.outcomes) for r in got] == [(r.event_id, split(r.cues), split(r.outcomes)) for r in want] and got
+    kept = want[0].cues[0]
+    files.filter_event_file(spark, str(tmp_path / "events"), str(tmp_path / "less"), keep_cues=[kept])
+    less = [r.cues for r in readers.read_events(spark, str(tmp_path / "less")).orderBy("event_id").collect()]
+    assert less == [[kept] * r.cues.count(kept) for r in want if kept in r.cues] and less
+
+
+def test_event_and_counter_files_are_plain_text(spark, tmp_path):
+    table = spark.createDataFrame([(i, [f"#{i}", '"a'], ["#x#"] if i % 2 else []) for i in range(50)], "event_id long, cues array<string>, outcomes array<string>")
+    sinks.write_events(table, str(tmp_path / "events"))
+    lines = [x for p in sorted((tmp_path / "events").glob("part-*.gz")) for x in gzip.decompress(p.read_bytes()).decode().split("\n")[1:-1]]
+    assert lines == [f'#{i}_"a\t{"#x#" if i % 2 else ""}' for i in range(50)]
+    counter = spark.createDataFrame([("#a", 3), ('"b', 7), ("#", 7), ("c#", 1)], "key string, freq long")
+    sinks.write_counter(counter, str(tmp_path / "counts"))
+    files = sorted((tmp_path / "counts").glob("part-*.txt"))
+    assert {p.read_text().split("\n")[0] for p in files if p.stat().st_size} == {"key\tfreq"}
+    assert [x for p in files for x in p.read_text().split("\n")[1:-1]] == ['"b\t7', "#\t7", "#a\t3", "c#\t1"]
+    assert sorted(map(tuple, readers.read_counter(spark, str(tmp_path / "counts")).collect())) == [('"b', 7), ("#", 7), ("#a", 3), ("c#", 1)]
+    for bad in ("a\tb", "a\nb"):
+        with pytest.raises(Exception, match="a tab or a line end"):
+            sinks.write_events(readers.events_from_list(spark, [([bad], ["x"])]), str(tmp_path / f"bad{len(bad)}{ord(bad[1])}"))
+
+
+@pytest.mark.skipif("GOLDEN_CORPUS" not in os.environ, reason="needs the text of the published counts")
+def test_published_counts_of_a_corpus(spark, tmp_path):
+    """2,772 events of three words; with duplicates 1,098 have other bigram cues and 66 other outcomes than without."""
+    from cuespark import files
+
+    read = []
+    for remove in (False, True):
+        path = str(tmp_path / str(remove))
+        files.create_event_file(spark, os.environ["GOLDEN_CORPUS"], path, allowed_symbols="a-zA-Z", cue_structure="bigrams_to_word", remove_duplicates=remove)
+        read.append({r.event_id: (r.cues, r.outcomes) for r in readers.read_events(spark, path).collect()})
+    assert len(read[0]) == len(read[1]) == 2772
+    assert sum(len(read[0][k][0]) != len(read[1][k][0]) for k in read[0]) == 1098
+    assert sum(len(read[0][k][1]) != len(read[1][k][1]) for k in read[0]) == 66
+    assert all(set(read[0][k][i]) == set(read[1][k][i]) for k in read[0] for i in (0, 1))
