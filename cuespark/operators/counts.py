@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -58,19 +57,32 @@ def vocabulary(events: DataFrame, column: str) -> DataFrame:
     return materialise(numbered.select(F.col("cues")[0].alias("key"), F.col("event_id").cast("int").alias("id")), "vocabulary")
 
 
-def vocabularies(events: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int, int]:
-    """Cues and outcomes as (key, id), and how many of both, from one pass over the events; ``more``: (axis: 0 or 1, key) besides."""
-    tokens = events.select(F.posexplode(F.array("cues", "outcomes")).alias("axis", "tokens")).select("axis", F.explode("tokens").alias("key"))
+class Vocabularies(NamedTuple):
+    """Cues and outcomes as (key, id), how many there are, how many events, and whether one has another number of cues than 1."""
+
+    cues: DataFrame
+    outcomes: DataFrame
+    n_cues: int
+    n_outcomes: int
+    n_events: int
+    several: bool
+
+
+def vocabularies(events: DataFrame, more: DataFrame | None = None) -> Vocabularies:
+    """All of it from one pass over the events; ``more``: (axis: 0 for cues or 1 for outcomes, key) besides."""
+    kind = F.array(F.when(F.size("cues") == 1, "one").otherwise("several"))  # the third axis counts events
+    tokens = events.select(F.posexplode(F.array("cues", "outcomes", kind)).alias("axis", "tokens")).select("axis", F.explode("tokens").alias("key"))
     tokens = tokens if more is None else tokens.unionByName(more)
-    keys = materialise(tokens.distinct(), "keys")
-    sizes = {r["axis"]: r["count"] for r in keys.groupBy("axis").count().collect()}
-    if max(sizes.values(), default=0) <= SMALL_KEYS:
+    keys = materialise(tokens.groupBy("axis", "key").agg(F.count("*").alias("freq")), "keys")
+    sizes = {r["axis"]: r for r in keys.groupBy("axis").agg(F.count("*").alias("n"), F.sum("freq").alias("freq"), F.max("key").alias("last")).collect()}
+    n_cues, n_outcomes = (sizes[k]["n"] if k in sizes else 0 for k in (0, 1))
+    if max(n_cues, n_outcomes) <= SMALL_KEYS:
         by_axis = Window.partitionBy("axis").orderBy("key")
-        both = materialise(keys.select("axis", "key", (F.row_number().over(by_axis) - 1).alias("id")), "vocabulary")
+        both = materialise(keys.where("axis < 2").select("axis", "key", (F.row_number().over(by_axis) - 1).alias("id")), "vocabulary")
         tables = [both.where(F.col("axis") == k).select("key", "id") for k in (0, 1)]
     else:
         tables = [vocabulary(keys.where(F.col("axis") == k).select(F.array("key").alias("k")), "k") for k in (0, 1)]
-    return tables[0], tables[1], sizes.get(0, 0), sizes.get(1, 0)
+    return Vocabularies(*tables, n_cues, n_outcomes, sizes[2]["freq"] if 2 in sizes else 0, 2 in sizes and sizes[2]["last"] == "several")
 
 
 def encode(events: DataFrame, cues: DataFrame, outcomes: DataFrame, sort_within_event: bool = False) -> DataFrame:
@@ -118,29 +130,37 @@ def bandsample(counter: DataFrame, sample_size: int = 50_000, *, cutoff: int = 5
 
     Keys of at least ``cutoff`` stand in ascending order of (freq, key).  A running sum of the frequencies gives
     out a key whenever it passes another ``sum / sample_size``; a key that passes several steps at once gives out
-    the nearest less frequent keys that are still in.  The vocabulary is walked in one task, in constant
-    memory beside the keys not yet given out.
+    the nearest less frequent keys that are still in.
+
+    So keys are pushed on a stack, one each, and popped as the sum passes steps.  After i keys with the sum S, E = min(S passes, i)
+    have been popped and D = i - E are left.  A key is popped when the stack first gets as low as it was before
+    the key came: if the least D from the key on isn't above the D before it.  Sums and places up to a key, and least values
+    from it on, are taken within ranges of keys, and joined with what the ranges before and behind
+    have altogether; so each range settles its own keys, and no task sees the vocabulary.
     """
     if seed is not None:
         raise NotImplementedError("ties are broken by key, so there is nothing to seed")
-    kept = counter.where(F.col("freq") >= cutoff)
-    total = kept.agg(F.sum("freq")).first()[0] or 0
-    step = total / sample_size
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[tuple[str, int]] = []
-        sum_now = 0.0
-        for frame in frames:
-            out = []
-            for key, freq in zip(frame["key"], frame["freq"]):
-                waiting.append((key, freq))
-                sum_now += freq
-                while sum_now >= step and waiting:
-                    out.append(waiting.pop())
-                    sum_now -= step
-            yield pd.DataFrame(out, columns=["key", "freq"])
-
-    return kept.select("key", "freq").repartition(1).sortWithinPartitions("freq", "key").mapInPandas(walk, "key string, freq long")
+    if sample_size < 1:
+        raise ValueError("a sample holds at least one key")
+    order = ["freq", "key"]
+    kept = counter.where(F.col("freq") >= cutoff).select("key", F.col("freq").cast("long").alias("freq"))
+    laid = materialise(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "band")
+    parts = laid.groupBy("part").agg(F.count("*").alias("n"), F.sum("freq").alias("s"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    every = Window.partitionBy()
+    starts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ns"], F.sum("s").over(every).alias("total"))
+    up_to = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = laid.withColumn("n", F.count("*").over(up_to)).withColumn("s", F.sum("freq").over(up_to)).join(F.broadcast(starts), "part")
+    rows = rows.withColumn("n", F.col("n") + F.col("n0")).withColumn("s", F.col("s") + F.col("s0"))
+    left = lambda n, s: f"{n} - least(cast({s} as decimal(20)) * {sample_size} div total, {n})"
+    rows = rows.select("part", "key", "freq", F.expr(left("n", "s")).alias("left"), F.expr(left("(n - 1)", "(s - freq)")).alias("was"))
+    rows = materialise(rows, "band-stack")
+    behind = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = rows.groupBy("part").agg(F.min("left").alias("least"))
+    later = least.select("part", F.min("least").over(behind).alias("later"))
+    from_here = Window.partitionBy("part").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("lowest", F.min("left").over(from_here)).join(F.broadcast(later), "part")
+    return found.where(F.least("lowest", "later") <= F.col("was")).select("key", "freq")
 
 
 def by_frequency(counter: DataFrame) -> DataFrame:

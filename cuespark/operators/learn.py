@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import closed, fold, kernel
@@ -168,12 +168,10 @@ def rw_learn(
     """
     started = time.time()
     events, path = _events(events, remove_duplicates)
-    seen = Observation()
-    observed = events.observe(seen, F.count("*").alias("n"), F.max(F.size("cues") != 1).alias("several"))
-    cues, outcomes, n_cues, n_outcomes = counts.vocabularies(observed, _known(weights, 0, 1))
-    n, varying = seen.get["n"], isinstance(alpha, (Mapping, DataFrame))
+    cues, outcomes, n_cues, n_outcomes, n, several = counts.vocabularies(events, _known(weights, 0, 1))
+    varying = isinstance(alpha, (Mapping, DataFrame))
     # single-cue events have a closed form; all else goes to the kernel
-    strategy = strategy or ("kernel" if weights is not None or varying or seen.get["several"] else "closed")
+    strategy = strategy or ("kernel" if weights is not None or varying or several else "closed")
     if strategy == "closed":
         table = closed.closed_form(events, float(alpha), betas, lambda_)
     elif strategy == "fold":
@@ -256,13 +254,12 @@ def wh_learn(
     started = time.time()
     events, path = _events(events, remove_duplicates)
     spark = events.sparkSession
-    seen = Observation()
     known = _known(weights, *[k for k, v in ((0, cue_vectors), (1, outcome_vectors)) if v is None])
-    cues, outcomes, n_inputs, n_rows = counts.vocabularies(events.observe(seen, F.count("*").alias("n")), known)
+    cues, outcomes, n_inputs, n_rows, n, _ = counts.vocabularies(events, known)
 
-    def dims(names: list[str] | None, n: int) -> DataFrame:
-        names = names or [str(i) for i in range(n)]
-        if len(names) != n:
+    def dims(names: list[str] | None, size: int) -> DataFrame:
+        names = names or [str(i) for i in range(size)]
+        if len(names) != size:
             raise ValueError("a name for each dimension")
         return spark.createDataFrame([(k, i) for i, k in enumerate(names)], "key string, id int")
 
@@ -276,7 +273,7 @@ def wh_learn(
         rows = dims(outcome_dims, n_rows)
     axes = ("outcome" if y is None else "outcome_dim", "cue" if x is None else "cue_dim")
     initial = None if weights is None else _initial(weights, rows, columns)
-    found = _learned(events, seen.get["n"], cues, outcomes, kernel.Rule(1.0, betas, lambda_, x, y), n_inputs, n_rows, initial, rows_per_chunk)
+    found = _learned(events, n, cues, outcomes, kernel.Rule(1.0, betas, lambda_, x, y), n_inputs, n_rows, initial, rows_per_chunk)
     table = _table(found, rows, columns, axes)
-    attrs = _attrs(weights, started, event_path=path, function="wh_learn", number_events=seen.get["n"], eta=eta, betas=betas, **{"lambda": lambda_}, method="kernel", remove_duplicates=remove_duplicates)
+    attrs = _attrs(weights, started, event_path=path, function="wh_learn", number_events=n, eta=eta, betas=betas, **{"lambda": lambda_}, method="kernel", remove_duplicates=remove_duplicates)
     return Weights(table, rows, columns, axes, attrs)

@@ -91,7 +91,8 @@ def events_serialise(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '#_	', '   '), '[ \\n]'), lambda w: trim(w, ' 	')), lambda w: w <> '') AS words FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '#_	', '   '), '[ \\n]'), lambda w: trim(w, ' 	
+')), lambda w: w <> '') AS words FROM documents),
  s AS (SELECT doc_id, words, least(3, len(words)) AS l FROM w WHERE len(words) > 0),
  e AS (SELECT doc_id, unnest(range(1 - l, CAST(len(words) AS BIGINT))) AS i, l, words FROM s),
  o AS (SELECT doc_id, i, words[greatest(i, 0) + 1:least(i + l, len(words))] AS words FROM e),
@@ -318,7 +319,11 @@ def events_encoded(spark, d):
     return t.select("event_id", *[F.array_join(F.transform(f"{c[:-1]}_ids", lambda i: i.cast("string")), "_").alias(c) for c in ("cues", "outcomes")])
 
 
-@query()
+@query(f"""WITH {_COUNTED}, k AS (SELECT key, count(*) AS freq FROM c WHERE key <> '' GROUP BY key HAVING count(*) >= 2),
+ r AS (SELECT key, freq, row_number() OVER w AS n, CAST(sum(freq) OVER w AS HUGEINT) AS s, CAST(sum(freq) OVER () AS HUGEINT) AS total FROM k WINDOW w AS (ORDER BY freq, key ROWS UNBOUNDED PRECEDING)),
+ d AS (SELECT key, freq, n, n - least(s * 500 // total, n) AS d FROM r),
+ m AS (SELECT key, freq, coalesce(lag(d) OVER (ORDER BY n), 0) AS was, min(d) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lowest FROM d)
+ SELECT key, freq FROM m WHERE lowest <= was""")
 def bandsample(spark, d):
     return counts.bandsample(counts.words_symbols(table(spark, d, "documents"), lower_case=True).words, 500, cutoff=2)
 

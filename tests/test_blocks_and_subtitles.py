@@ -165,8 +165,7 @@ CUE_STRUCTURES = [
 ]
 
 
-@pytest.mark.parametrize("structure,options,cues", CUE_STRUCTURES)
-@pytest.mark.parametrize("remove_duplicates", [True, False])
+@pytest.mark.parametrize("structure,options,cues,remove_duplicates", [(*c, k % 2 == 0) for k, c in enumerate(CUE_STRUCTURES)])
 def test_event_files_hold_what_was_written(spark, tmp_path, structure, options, cues, remove_duplicates):
     """Cues that begin and end with marks, quotes and blanks come back as they were, in order, and can be filtered."""
     from cuespark import files
