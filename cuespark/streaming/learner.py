@@ -1,84 +1,90 @@
-"""Learning on a stream: W lives in the state of outcome buckets, events arrive in order."""
+"""Learning on a stream: W lives in keyed state, a row for each cue of an outcome bucket; events arrive in order."""
 
 from __future__ import annotations
 
-import pickle
-import posixpath
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..storage import filesystem, scratch
+from ..plans import kernel
+from ..storage import scratch
 
 _OUT = "outcome string, cue string, weight double, last_event long"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _bucket(outcome, buckets: int):
-    return F.pmod(F.xxhash64(outcome), F.lit(buckets))
-
-
-class Part:
-    """A bucket's part of W (cues x outcomes), its labels, and the last event seen."""
-
-    def __init__(self) -> None:
-        self.last: int | None = None
-        self.cues: dict[str, int] = {}
-        self.outcomes: dict[str, int] = {}
-        self.w = np.zeros((0, 0))
-
-    def grow(self, cues: set[str], outcomes: set[str]) -> None:
-        """New labels start at zero, which is exact: before its first event an outcome has nothing to unlearn."""
-        for known, new in ((self.cues, cues), (self.outcomes, outcomes)):
-            for label in sorted(new.difference(known)):
-                known[label] = len(known)
-        if self.w.shape != (len(self.cues), len(self.outcomes)):
-            wider = np.zeros((len(self.cues), len(self.outcomes)))
-            wider[: self.w.shape[0], : self.w.shape[1]] = self.w
-            self.w = wider
-
-    def fold(self, batch: pd.DataFrame, alpha: float, betas: tuple[float, float], lambda_: float) -> pd.DataFrame:
-        """Learn a batch in the order of its events; the weights that changed."""
-        batch = batch.sort_values("event_id")
-        self.grow({c for cues in batch["cues"] for c in cues}, {o for own in batch["own"] for o in own})
-        seen = np.array(sorted({self.cues[c] for cues in batch["cues"] for c in cues}), np.int64)
-        before = self.w[seen].copy()
-        for event, cues, own in zip(batch["event_id"], batch["cues"], batch["own"]):
-            if self.last is not None and event <= self.last:
-                raise ValueError(f"event {event} comes after event {self.last}")
-            self.last = int(event)
-            at = [self.cues[c] for c in cues]
-            if not at:
-                continue
-            a = self.w[at].sum(axis=0)
-            u = a * -betas[1]
-            present = [self.outcomes[o] for o in own]
-            u[present] = betas[0] * (lambda_ - a[present])
-            np.add.at(self.w, at, alpha * u)
-        rows, columns = np.nonzero(self.w[seen] != before)
-        names = np.array(list(self.cues), object)[seen] if len(seen) else np.empty(0, object)
-        kinds = np.array(list(self.outcomes), object) if self.outcomes else np.empty(0, object)
-        values = self.w[seen][rows, columns]
-        return pd.DataFrame({"outcome": kinds[columns], "cue": names[rows], "weight": values, "last_event": np.full(len(values), self.last or 0, np.int64)})
-
-
-def _read_part(folder: str, bucket: int) -> Part:
-    part = Part()
-    fs, path = filesystem(folder)
-    own = posixpath.join(path, f"bucket={bucket}")
-    if fs.get_file_info(own).type == pafs.FileType.Directory:
-        for info in fs.get_file_info(pafs.FileSelector(own)):
-            if info.base_name.startswith("part-"):
-                with fs.open_input_file(info.path) as source:
-                    t = pq.ParquetFile(source).read(columns=["outcome", "cue", "weight"]).to_pydict()
-                part.grow(set(t["cue"]), set(t["outcome"]))
-                part.w[[part.cues[c] for c in t["cue"]], [part.outcomes[o] for o in t["outcome"]]] = t["weight"]
-    return part
+    return F.pmod(F.xxhash64(outcome), F.lit(buckets)).cast("int")
+
+
+class Learner(StatefulProcessor):
+    """A bucket's outcomes (their places are those of the weights in a cue's row), its last event, and a row of weights for each cue.
+
+    A batch reads and writes the rows of its own cues.  A row is as long as the outcomes were when it was last
+    written; what it lacks is 0, which is exact: before its first event an outcome has nothing to unlearn.
+    """
+
+    def __init__(self, alpha: float, betas: tuple[float, float], lambda_: float) -> None:
+        self.rule = kernel.Rule(alpha, betas, lambda_)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "event long")
+        self.outcomes = handle.getValueState("outcomes", "names array<string>")
+        self.rows = handle.getMapState("rows", "cue string", "weights binary")
+
+    def _names(self, new: Iterator[str]) -> dict[str, int]:
+        """The outcomes with their places, new ones at the end."""
+        held = list(self.outcomes.get()[0]) if self.outcomes.exists() else []
+        names = {o: i for i, o in enumerate(held)}
+        for o in sorted(set(new).difference(names)):
+            names[o] = len(names)
+        if len(names) > len(held):
+            self.outcomes.update((list(names),))
+        return names
+
+    def _row(self, cue: str, n: int) -> np.ndarray:
+        row = np.zeros(n)
+        if self.rows.containsKey((cue,)):
+            held = np.frombuffer(self.rows.getValue((cue,))[0])
+            row[: len(held)] = held
+        return row
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("event_id")
+        ids, last = batch["event_id"].to_numpy(), self.last.get()[0] if self.last.exists() else None
+        late = np.flatnonzero(np.diff(ids) <= 0)
+        if len(late) or (last is not None and ids[0] <= last):
+            raise ValueError(f"event {ids[late[0] + 1] if len(late) else ids[0]} comes after event {ids[late[0]] if len(late) else last}")
+        self.last.update((int(ids[-1]),))
+        names = self._names(o for own in batch["own"] for o in own)
+        cues = {c: i for i, c in enumerate(sorted({c for own in batch["cues"] for c in own}))}
+        before = np.array([self._row(c, len(names)) for c in cues]).reshape(len(cues), len(names))
+        w = before.copy()
+        coded = []
+        for column, places in (("cues", cues), ("own", names)):
+            lists = batch[column].tolist()
+            coded += [np.cumsum([0, *map(len, lists)]), np.array([places[t] for own in lists for t in own], np.int64)]
+        kernel.learn(w, iter([tuple(coded)]), self.rule, 0, len(names))
+        for cue, at in cues.items():
+            self.rows.updateValue((cue,), (w[at].tobytes(),))
+        at, of = np.nonzero(w != before)
+        found = {"outcome": np.array(list(names), object)[of], "cue": np.array(list(cues), object)[at], "weight": w[at, of], "last_event": np.full(len(at), ids[-1])}
+        yield pd.DataFrame(found)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        names = self._names(initialState["outcome"])
+        for cue, part in initialState.groupby("cue"):
+            row = self._row(cue, len(names))
+            row[[names[o] for o in part["outcome"]]] = part["weight"]
+            self.rows.updateValue((cue,), (row.tobytes(),))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_learn(
@@ -88,34 +94,34 @@ def stream_learn(
 
     Every event goes to every bucket, as absent outcomes unlearn as well; an outcome belongs to the bucket of its
     hash.  Within a batch events are sorted; an id that is not above the last one seen is an error.
-    ``weights`` (outcome, cue, weight) of former learning are where it starts; they're laid out by bucket in the shared folder.
+    ``weights`` (outcome, cue, weight) of former learning are the state's start; with a checkpoint that has one already they aren't read.
+    The session's state store must be the one on RocksDB, which ``learn_available`` sets.
     """
     wide = events.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     bucket_of = F.transform("outcomes", lambda o: F.when(_bucket(o, buckets) == F.col("bucket"), o))
     own = wide.withColumn("own", F.filter(bucket_of, lambda o: o.isNotNull()))
     start = None
-    if weights is not None:
-        start = scratch(events.sparkSession, "stream-start")
-        weights.select("outcome", "cue", "weight", _bucket("outcome", buckets).alias("bucket")).write.partitionBy("bucket").parquet(start)
+    if weights is not None:  # a table of its own, as the stream's plan can't hold any plan
+        path = scratch(events.sparkSession, "stream-start")
+        weights.select(_bucket("outcome", buckets).alias("bucket"), "outcome", "cue", "weight").where("weight <> 0").write.parquet(path)
+        start = events.sparkSession.read.parquet(path).groupBy("bucket")
+    grouped = own.select("bucket", "event_id", "cues", "own").groupBy("bucket")
+    return grouped.transformWithStateInPandas(Learner(alpha, betas, lambda_), _OUT, "Update", "None", start)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pickle.loads(state.get[0]) if state.exists else Part() if start is None else _read_part(start, int(key[0]))
-        changed = part.fold(pd.concat(list(frames)), alpha, betas, lambda_)
-        state.update((pickle.dumps(part, protocol=5),))
-        yield changed
 
-    grouped = own.select("bucket", "event_id", "cues", "own").groupBy("bucket")
-    return grouped.applyInPandasWithState(fold, _OUT, "state binary", "update", GroupStateTimeout.NoTimeout)
+def on_rocks(spark: SparkSession) -> None:
+    """Keyed state with several variables needs this state store; streams that run already keep theirs."""
+    spark.conf.set(_PROVIDER, _ROCKS)
 
 
 def learn_available(events: DataFrame, checkpoint: str, out: str, **rates) -> DataFrame:
     """Run the stream over what is there; the last weights of each pair."""
+    on_rocks(events.sparkSession)
     query = stream_learn(events, **rates).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces its own
 
     query.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    spark = events.sparkSession
-    last = spark.read.parquet(out).groupBy("outcome", "cue").agg(F.max_by("weight", "last_event").alias("weight"))
+    last = events.sparkSession.read.parquet(out).groupBy("outcome", "cue").agg(F.max_by("weight", "last_event").alias("weight"))
     return last
