@@ -319,6 +319,20 @@ def events_encoded(spark, d):
     return t.select("event_id", *[F.array_join(F.transform(f"{c[:-1]}_ids", lambda i: i.cast("string")), "_").alias(c) for c in ("cues", "outcomes")])
 
 
+@query(f"""WITH {EV}, a AS ({_ids_sql("cues")}), b AS ({_ids_sql("outcomes")}), r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM ev)
+ SELECT place AS event_id, array_to_string(list_transform(cues, lambda c: list_position(a.v, c) - 1), '_') AS cues, array_to_string(list_transform(outcomes, lambda c: list_position(b.v, c) - 1), '_') AS outcomes FROM r, a, b""")
+def encoded_event_files(spark, d):
+    """All events through files of encoded events: written, and read back in slices of a third each."""
+    from .sources import encoded
+
+    e, path = events(spark, d), scratch(spark, "encoded-files")
+    n = encoded.write_events(counts.encode(e, counts.vocabulary(e, "cues"), counts.vocabulary(e, "outcomes")), path, files=8)
+    third = -(-n // 3)
+    slices = [encoded.read_events(spark, path, k * third, (k + 1) * third) for k in range(3)]
+    t = slices[0].unionAll(slices[1]).unionAll(slices[2])
+    return t.select("event_id", *[F.array_join(F.transform(f"{c[:-1]}_ids", lambda i: i.cast("string")), "_").alias(c) for c in ("cues", "outcomes")])
+
+
 @query(f"""WITH {_COUNTED}, k AS (SELECT key, count(*) AS freq FROM c WHERE key <> '' GROUP BY key HAVING count(*) >= 2),
  r AS (SELECT key, freq, row_number() OVER w AS n, CAST(sum(freq) OVER w AS HUGEINT) AS s, CAST(sum(freq) OVER () AS HUGEINT) AS total FROM k WINDOW w AS (ORDER BY freq, key ROWS UNBOUNDED PRECEDING)),
  d AS (SELECT key, freq, n, n - least(s * 500 // total, n) AS d FROM r),
@@ -397,6 +411,18 @@ def stream_rw(spark, d):
     return _long(learn.from_table(got))
 
 
+@query(RW)
+def stream_event_files(spark, d):
+    """Learning from the ordered stream of event files, a file a batch."""
+    from .sources import sinks
+    from .sources.event_stream import stream_events
+
+    path = scratch(spark, "stream-files")
+    sinks.write_events(events(spark, d), f"{path}/in")
+    got = learn_available(stream_events(spark, f"{path}/in"), f"{path}/state", f"{path}/out")
+    return _long(learn.from_table(got))
+
+
 _ONE = "one AS (SELECT event_id, user_id, event_type FROM events)"
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pytest
 
 from cuespark.operators import learn
+from cuespark.sources.event_stream import EventFileStream, event_of, stream_events
 from cuespark.streaming.learner import learn_available
 from tests.test_blocks_and_subtitles import events, folded
 
@@ -52,3 +55,74 @@ def test_an_id_twice_in_a_batch_is_late(spark, tmp_path):
     spark.createDataFrame([(1, ["a"], ["X"]), (1, ["b"], ["X"])], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="event 1 comes after event 1"):
         learn_available(stream(spark, tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "out"), buckets=1)
+
+
+# the source ------------------------------------------------------------------------------
+
+
+def write_file(folder, name, rows, packed=True):
+    folder.mkdir(exist_ok=True)
+    text = "cues\toutcomes\n" + "".join(f"{'_'.join(c)}\t{'_'.join(o)}\n" for c, o in rows)
+    (folder / name).write_bytes(gzip.compress(text.encode()) if packed else text.encode())
+
+
+def test_event_files_are_learned_in_order_and_again(spark, tmp_path):
+    """Files join later; a run from an empty checkpoint in other batches gives the same weights."""
+    _, rows = events(spark, 90, 12)
+    rows = [(c, o or [""]) for c, o in rows]
+    folder, results = tmp_path / "in", []
+    for low, high in ((0, 30), (30, 50), (50, 90)):
+        write_file(folder, f"{low:03}.gz", rows[low:high])
+        got = learn_available(stream_events(spark, str(folder), files_per_batch=1), str(tmp_path / "a"), str(tmp_path / "out-a"), buckets=2)
+    results.append(got)
+    results.append(learn_available(stream_events(spark, str(folder)), str(tmp_path / "b"), str(tmp_path / "out-b"), buckets=2))
+    for got in results:
+        assert near(got, folded(rows, lambda c: 0.1, (0.1, 0.1), 1.0))
+
+
+def reader(folder, **options):
+    return EventFileStream({"path": str(folder), **{k: str(v) for k, v in options.items()}})
+
+
+def read(source, start, end):
+    return [r for p in source.partitions(start, end) for b in source.read(p) for r in b.to_pylist()]
+
+
+def test_offsets_of_files_and_lines(tmp_path):
+    rows = [([f"c{i}"], ["X"]) for i in range(25)]
+    write_file(tmp_path / "in", "a", rows[:10], False)
+    write_file(tmp_path / "in", "b", rows[10:], False)
+    source = reader(tmp_path / "in", compression="none", lines_per_batch=4)
+    at, seen = source.initialOffset(), []
+    while (end := source.latestOffset()) != at:
+        batch = read(source, at, end)
+        assert len(batch) <= 4 and batch == read(reader(tmp_path / "in", compression="none"), at, end)  # a replay
+        seen += batch
+        at = end
+    assert [r["cues"] for r in seen] == [c for c, _ in rows]
+    assert [r["event_id"] for r in seen] == [*range(10), *((1 << 40) + i for i in range(15))]
+    again = reader(tmp_path / "in", compression="none", lines_per_batch=4)
+    again.partitions({"file": 0, "line": 4, "last": ""}, {"file": 0, "line": 8, "last": ""})  # the last batch of a stopped stream
+    assert again.latestOffset() == {"file": 1, "line": 0, "last": "a"}
+
+
+def test_files_before_those_read_are_an_error(tmp_path):
+    write_file(tmp_path / "in", "b.gz", [(["a"], ["X"])])
+    source = reader(tmp_path / "in")
+    end = source.latestOffset()
+    assert read(source, source.initialOffset(), end) and source.latestOffset() == end
+    write_file(tmp_path / "in", "a.gz", [(["a"], ["X"])])
+    with pytest.raises(ValueError, match="up to b.gz"):
+        source.latestOffset()
+    with pytest.raises(ValueError, match="read whole"):
+        reader(tmp_path / "in", lines_per_batch=3)
+
+
+def test_frequencies_and_bad_lines(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f").write_text("Cues\tOutcomes\tFrequency\na_b\tX\t3\n#a\t\t1\n")
+    source = reader(tmp_path / "in", compression="none")
+    got = read(source, source.initialOffset(), source.latestOffset())
+    assert [(r["event_id"], r["cues"], r["outcomes"]) for r in got] == [(0, ["a", "b"], ["X"]), (1, ["a", "b"], ["X"]), (2, ["a", "b"], ["X"]), (3, ["#a"], [""])]
+    with pytest.raises(ValueError, match="two or three columns"):
+        event_of("a")
