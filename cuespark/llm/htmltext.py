@@ -24,10 +24,10 @@ repeated rows and empty tables need no rule.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -74,7 +74,7 @@ for _ended, _by, _stop in _IMPLIED:
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 # Words of class and id attributes of boilerplate.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice popup modal newsletter "
     "subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies "
     "reply widget toolbar pagination pager".split()
@@ -88,9 +88,12 @@ COMPANIONS = frozenset(
 )
 LAYOUTS = frozenset("no non not without has have with hide hidden".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<]*\Z", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_QUOTED_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_STOPS = re.compile("[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u201d\u2019\u00bb)\]]*\Z")
 _COPYRIGHT = re.compile(r"\u00a9|\bcopyright\s+(?:\(c\)|\d{4})", re.I)
@@ -101,11 +104,19 @@ LISTS = frozenset("li dt dd td th".split())
 BOXES = frozenset("div section td center".split())
 
 
+def _telling(word: str) -> bool:
+    """Whether a word is boilerplate's, alone or run together with one that stands beside such words (``commentlist``)."""
+    if word in WORDS:
+        return True
+    halves = ((word[:k], word[k:]) for k in range(3, len(word) - 2))
+    return any(a in WORDS and len(a) > 5 and b in COMPANIONS or b in WORDS and len(b) > 5 and a in COMPANIONS for a, b in halves)
+
+
 def named(value: str, inside: bool) -> bool:
     """Whether one of the names of a class or id attribute is boilerplate's."""
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        hits = [w in WORDS and not (inside and w == "header") for w in words]
+        hits = [_telling(w) and not (inside and w == "header") for w in words]
         if not any(hits) or words[0] in LAYOUTS:
             continue
         if all(hit or w in COMPANIONS or len(w) < 3 for w, hit in zip(words, hits)) or hits[-1] and not inside:
@@ -133,6 +144,69 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page, each place of which is looked at a fixed number of times, whatever the markup.
+
+    A tag ends at the first ``>`` outside of quotes.  Where none is, the opening quotes that were passed lead nowhere,
+    from wherever they're reached; they are remembered, so no other tag follows them again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last_open, self.last_close = page.rfind("<"), page.rfind(">")
+        self.nowhere: set[int] = set()
+        self.stops: list[int] | None = None
+
+    def _leads_on(self, at: int) -> bool:
+        """Whether a tag whose name ends at a place has an end; after the first that has none."""
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOPS.finditer(self.page)]
+        passed = []
+        while (k := bisect.bisect_left(self.stops, at)) < len(self.stops):
+            stop = self.stops[k]
+            if self.page[stop] == ">":
+                return True
+            if stop in self.nowhere:
+                break
+            passed.append(stop)
+            if (close := self.page.find(self.page[stop], stop + 1)) < 0:
+                break
+            at = close + 1
+        self.nowhere.update(passed)
+        return False
+
+    def _tag(self, at: int) -> re.Match | None:
+        for pattern in (_TAG, _QUOTED_NAME):  # a name that holds a quote may have to end before it
+            if self.nowhere:
+                end = _NAME.match(self.page, at)
+                if end and not self._leads_on(end.end() if pattern is _TAG else min((k for q in "\"'" if (k := self.page.find(q, at, end.end())) >= 0), default=end.end())):
+                    continue
+            if m := pattern.match(self.page, at):
+                return m
+            if end := _NAME.match(self.page, at):
+                self._leads_on(end.end())
+        return None
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """(start, end, match of a tag or None for what is skipped) of the next piece of markup."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), None
+            sign = page[at + 1 : at + 2]
+            if sign and (sign in "!?/" or sign.isascii() and sign.isalpha()):
+                if sign in "!?":
+                    if self.last_close > at:
+                        return at, page.find(">", at) + 1, None
+                elif self.last_close > at and (m := self._tag(at)):
+                    return at, m.end(), m
+                if at == self.last_open:  # cut off at the end of the page
+                    return at, len(page), None
+            at += 1
+        return None
+
+
 class Line(NamedTuple):
     text: str
     size: int  # counted characters
@@ -156,7 +230,10 @@ def lines(page: str) -> tuple[list[Line], bool]:
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate here, article here, link, box around
     around: list[int] = []  # of each open article
     forms = hard = 0
-    held: Counter[str] = Counter()
+    held: dict[str, list[int]] = {}  # where elements of a name stand on the stack
+    blocks: list[str] = []  # the open elements that aren't inline
+    link_at = -1
+    tags = Tags(page)
     unclosed: set[str] = set()
     last: dict[str, int] = {}  # where the last end tag of an unseen element stands
     waste = inside = linked = box = boxes = 0
@@ -168,7 +245,7 @@ def lines(page: str) -> tuple[list[Line], bool]:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                kind = next((e[0] for e in reversed(stack) if e[0] not in INLINE), "")
+                kind = blocks[-1] if blocks else ""
                 out.append(Line(text, 0 if waste else len(text), waste, forms, inside > 0, around[0] if around else -1, min(link_chars, len(text)), kind, box))
         link_chars = 0
 
@@ -180,29 +257,31 @@ def lines(page: str) -> tuple[list[Line], bool]:
             hard -= w and name in HARD
             if c:
                 around.pop()
-            held[name] -= 1
+            held[name].pop()
             if not held[name]:
                 del held[name]
+            if name not in INLINE:
+                blocks.pop()
             waste -= w
             inside -= c
             linked -= l
 
     at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        found = tags.after(at)
+        text = page[at : found[0] if found else len(page)]
         if text:
             parts.append(text)
             if linked:
                 link_chars += len(_SPACE.sub(" ", entities.unescape(text)))
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        at, m = found[1:]
+        if m is None:
             continue
         name = m[2].lower()
         if m[1]:
-            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if name in held else None
+            k = held[name][-1] if name in held else None
             if name not in INLINE:
                 end()
             if k is not None:
@@ -212,9 +291,9 @@ def lines(page: str) -> tuple[list[Line], bool]:
             if name not in INLINE:
                 end()
             if not m[3].rstrip().endswith("/"):
-                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                if close and (end_at := page.find(">", close.end())) >= 0:
+                    at = end_at + 1
                     continue
                 unclosed.add(name)
                 if name in ("script", "style"):  # what follows is code
@@ -225,12 +304,9 @@ def lines(page: str) -> tuple[list[Line], bool]:
         if name not in INLINE:
             end()
         for ended, stop in CLOSED_BY.get(name, ()):
-            if not held.keys().isdisjoint(ended):
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in ended and stack[k][0] not in stop:
-                    k -= 1
-                if k >= 0 and stack[k][0] in ended:
-                    leave(k)
+            k = max((held[x][-1] for x in ended if x in held), default=-1)
+            if k >= 0 and not any(x in held and held[x][-1] > k for x in stop):
+                leave(k)
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name in UNSEEN and name not in ("option", "optgroup"):
@@ -243,11 +319,14 @@ def lines(page: str) -> tuple[list[Line], bool]:
             around.append(-1 if hard else waste)
         link = name == "a" and "href" in m[3].lower()
         if name == "a" and linked:  # a link ends the one before
-            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][3])
-            stack[k] = (*stack[k][:3], False, stack[k][4])
+            stack[link_at] = (*stack[link_at][:3], False, stack[link_at][4])
             linked -= 1
+        if link:
+            link_at = len(stack)
+        held.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(name)
         stack.append((name, w, c, link, box))
-        held[name] += 1
         waste += w
         forms += w and name == "form"
         hard += w and name in HARD
