@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -61,6 +62,7 @@ WRITTEN = ("record_id", "record_type", "target_uri", "payload_digest", "payload_
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PUSHED = ("record_type", "record_id", "target_uri", "payload_digest")
+NAMELESS = "urn:nameless:"
 _GZIP = struct.Struct("<4sIBBHccHII")
 #: Digests of several records are broadcast up to this number, counted first; more are joined.
 BROADCAST_ROWS = 500_000
@@ -76,12 +78,12 @@ def member(data: bytes, level: int = 6) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def record(row: dict) -> bytes:
-    """The plain bytes of one record; a revisit has the HTTP header alone."""
+def record(row: dict, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """The plain bytes of one record; a revisit has the HTTP header alone.  A null id is written as a name of its own, and read as null."""
     payload = (row["payload"] or b"") if row["record_type"] == "response" else b""
     length = len(payload) if row["payload_length"] is None else row["payload_length"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"] and f"<urn:record:{row['record_id']}>")]
+    head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<{NAMELESS}{uuid.uuid4()}>" if row["record_id"] is None else f"<urn:record:{row['record_id']}>"), ("WARC-Date", date)]
     head += [("WARC-Target-URI", row["target_uri"]), ("WARC-Payload-Digest", row["payload_digest"] and f"sha1:{row['payload_digest']}")]
     if row["record_type"] == "revisit":
         head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", row["refers_to"] and f"<urn:record:{row['refers_to']}>")]
@@ -91,12 +93,34 @@ def record(row: dict) -> bytes:
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    pairs = (line.partition(":") for line in block.decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.strip().lower(): v.strip() for k, _, v in pairs if k}
+    """The named fields behind the first line; a line that begins with white space goes on with the field before."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {line.strip()}".strip()
+            continue
+        name, _, value = line.partition(":")
+        if last := name.strip().lower():
+            out[last] = value.strip()
+    return out
+
+
+def _length(head: dict[str, str]) -> int:
+    """The bytes of a record's block; 0 where it tells none."""
+    told = head.get("content-length", "")
+    return int(told) if told.isdigit() else 0
 
 
 def _bare(urn: str | None) -> str | None:
-    return urn and urn.strip("<>").removeprefix("urn:record:")
+    name = urn and urn.strip("<>")
+    return None if name and name.startswith(NAMELESS) else name and name.removeprefix("urn:record:")
+
+
+def _header_of(block: bytes) -> bytes:
+    """A block up to its empty line, or all of it."""
+    k = block.find(b"\r\n\r\n")
+    return block[: k + 4] if k >= 0 else block
 
 
 class Plain:
@@ -115,13 +139,13 @@ class Plain:
         return data
 
     def head(self, most: int = 1 << 24) -> bytes:
-        """Up to and with the next empty line."""
+        """Up to and with the next empty line, but no more than ``most`` bytes."""
         begun, got = self.at, b""
-        while (k := got.find(b"\r\n\r\n")) < 0 and self.more() and len(got) < most:
-            got += self.take(4096)
-        size = k + 4 if k >= 0 else len(got)
-        self.at = begun + size
-        return got[:size]
+        while b"\r\n\r\n" not in got and self.more() and len(got) < most:
+            got += self.take(min(4096, most - len(got)))
+        got = _header_of(got)
+        self.at = begun + len(got)
+        return got
 
     def skip(self, n: int) -> None:
         self.at += n
@@ -176,9 +200,9 @@ class Zipped:
         return b"".join(parts)
 
     def head(self, most: int = 1 << 24) -> bytes:
-        while (k := self.got.find(b"\r\n\r\n")) < 0 and len(self.got) < most and self._fill():
+        while b"\r\n\r\n" not in self.got and len(self.got) < most and self._fill():
             pass
-        return self.take(k + 4 if k >= 0 else len(self.got))
+        return self.take(len(_header_of(self.got[:most])))
 
     def skip(self, n: int) -> None:
         while n > 0 and (self.got or self._fill()):
@@ -190,7 +214,7 @@ class Zipped:
 
 def _row(head: dict[str, str], web: bytes, name: str, at: int) -> dict:
     """The columns of a record, without its payload."""
-    length = int(head.get("content-length", 0)) - len(web)
+    length = _length(head) - len(web)
     told = _fields(web).get("content-length", "") if web else ""
     if head.get("warc-type") == "revisit" and told.isdigit():
         length = int(told)
@@ -225,7 +249,7 @@ def read_records(source, name: str, wanted=lambda head: True, payload: bool = Tr
         if not warc.lstrip().startswith(b"WARC/"):
             raise ValueError(f"{name}: no record at {at}")
         head = _fields(warc.lstrip().rstrip(b"\r\n"))
-        left = int(head.get("content-length", 0))
+        left = _length(head)
         web = stream.head(left) if left and _has_web(head) else b""
         left -= len(web)
         out = _row(head, web, name, at)
@@ -259,14 +283,14 @@ def _read_skipping(source, name: str, wanted, payload: bool) -> Iterator[dict]:
                 used += len(rest)
         warc, _, tail = got.partition(b"\r\n\r\n")
         head = _fields(warc)
-        web = tail[: tail.find(b"\r\n\r\n") + 4] if _has_web(head) else b""
+        web = _header_of(tail[: _length(head)]) if _has_web(head) else b""
         out = _row(head, web, name, at)
         if wanted(out):
             if payload:
                 source.seek(at)
                 data = zlib.decompress(source.read(size)[body:-8], -15)
                 begin = len(warc) + 4
-                out["payload"] = data[begin + len(web) : begin + int(head["content-length"])]
+                out["payload"] = data[begin + len(web) : begin + _length(head)]
             yield out
         at += size
 
@@ -340,7 +364,7 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.folder, self.level, self.overwrite = options["path"], int(options.get("level", 6)), overwrite
-        self.job = uuid.uuid4().hex
+        self.job, self.date = uuid.uuid4().hex, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, path = filesystem(self.folder)
@@ -351,7 +375,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if sink is None:
                         fs.create_dir(f"{path}/_{self.job}", recursive=True)
                         sink = fs.open_output_stream(f"{path}/_{self.job}/{name}", compression=None)
-                    sink.write(member(record(row), self.level))
+                    sink.write(member(record(row, self.date), self.level))
                     n += 1
         finally:
             if sink is not None:
