@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import filesystem, scratch
+from . import counts
 from .filters import apply_duplicates
 
 #: Values of outcome columns that a task holds at once.
@@ -23,25 +26,122 @@ def activation(
 ) -> DataFrame:
     """event_id, outcome, activation: the sum of the weights of an event's cues.
 
-    ``weights``: (outcome, cue, weight), or a dictionary of dictionaries, in which what is missing counts 0.
-    A cue without any weight in a table is an error unless ignored.  With ``dense`` pairs that
-    no cue points to have a row of 0 each (events times outcomes rows, the form of a matrix); without it, none.
+    ``weights``: (outcome, cue, weight), or a dictionary of dictionaries.  A cue without any weight in a table, or that
+    the dictionary of an outcome lacks, is an error unless ignored; in default dictionaries it counts 0.  With ``dense`` pairs that
+    no cue points to have a row of 0 each (events times outcomes rows, the form of a matrix), by tiles of W; without it, none, by a join.
     """
+    least = 1  # weights that a cue must have
     if isinstance(weights, Mapping):
-        ignore_missing_cues = True
-        rows = [(o, c, float(w)) for o, row in weights.items() for c, w in row.items()]
-        weights = events.sparkSession.createDataFrame(rows, "outcome string, cue string, weight double")
+        least = sum(not isinstance(row, defaultdict) for row in weights.values())
+        rows = [(o, c, float(w), not isinstance(row, defaultdict)) for o, row in weights.items() for c, w in row.items()]
+        weights = events.sparkSession.createDataFrame(rows, "outcome string, cue string, weight double, strict boolean")
+        strict, weights = weights.where("strict"), weights.drop("strict")
+    else:
+        strict = weights.select("cue").distinct()
     events = apply_duplicates(events.select("event_id", "cues"), remove_duplicates, ("cues",))
-    parts = events.select("event_id", F.explode("cues").alias("cue"))
-    if not ignore_missing_cues:
-        missing = parts.select("cue").distinct().join(weights.select("cue").distinct(), "cue", "left_anti").limit(1).collect()
+    if not ignore_missing_cues and least:
+        known = strict.groupBy("cue").count().where(F.col("count") >= least)
+        missing = events.select(F.explode("cues").alias("cue")).distinct().join(known, "cue", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(missing[0]["cue"])
-    summed = parts.join(weights.where("weight <> 0"), "cue").groupBy("event_id", "outcome").agg(F.sum("weight").alias("activation"))
-    if not dense:
-        return summed
-    every = events.select("event_id").crossJoin(weights.select("outcome").distinct())
-    return every.join(summed, ["event_id", "outcome"], "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
+    if dense:
+        return _by_tiles(events, weights)
+    parts = events.select("event_id", F.explode("cues").alias("cue"))
+    return parts.join(weights.where("weight <> 0"), "cue").groupBy("event_id", "outcome").agg(F.sum("weight").alias("activation"))
+
+
+#: Cues and outcomes of a tile of W, and events that meet it at once.
+TILE = (16_384, 256)
+EVENTS_AT_ONCE = 16_384
+
+
+def _by_tiles(events: DataFrame, weights: DataFrame) -> DataFrame:
+    """The sums for every event and every outcome.
+
+    W lies in the shared folder as tiles of cues x outcomes, a file each.  A task takes its events as rows of cue
+    ids, goes through the tiles of each range of outcomes, adds up the weights' rows of the cues that a tile has, and returns
+    the sums: neither events nor weights are joined, and events aren't shuffled.  Memory: one tile, and
+    the sums of some events for a range of outcomes.
+    """
+    cues, outcomes, n_cues, n_outcomes, *_ = counts.vocabularies(weights.select(F.array("cue").alias("cues"), F.array("outcome").alias("outcomes")))
+    folder = scratch(events.sparkSession, "tiles")
+    high, wide = TILE
+    named = weights.where("weight <> 0").join(cues.select(F.col("key").alias("cue"), F.col("id").alias("c")), "cue")
+    named = named.join(outcomes.select(F.col("key").alias("outcome"), F.col("id").alias("o")), "outcome")
+    tile = [F.floor(F.col("o") / wide).cast("int").alias("across"), F.floor(F.col("c") / high).cast("int").alias("down")]
+    laid = named.select(*tile, (F.col("c") % high).cast("int").alias("c"), (F.col("o") % wide).cast("int").alias("o"), F.col("weight").cast("double").alias("weight"))
+    laid.repartition("across", "down").write.partitionBy("across", "down").parquet(f"{folder}/w")
+    outcomes.select("key").repartitionByRange(max(1, -(-n_outcomes // counts.SMALL_KEYS)), "key").sortWithinPartitions("key").write.parquet(f"{folder}/names")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays([b.column(0) for b in _parquet(f"{folder}/names", ["key"])])
+        for whole in batches:
+            for k in range(0, whole.num_rows, EVENTS_AT_ONCE):
+                part = whole.slice(k, EVENTS_AT_ONCE)
+                at = part.column(1).offsets.to_numpy().astype(np.int64)
+                ids = part.column(1).values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)
+                event = np.repeat(np.arange(part.num_rows), np.diff(at))
+                for across in range(0, -(-n_outcomes // wide)):
+                    own = names.slice(across * wide, wide)
+                    sums = np.zeros((part.num_rows, len(own)))
+                    for down in range(0, -(-n_cues // high)):
+                        here = ids // high == down
+                        if here.any():
+                            _add(sums, event[here], ids[here] - down * high, _tile(f"{folder}/w/across={across}/down={down}", high, len(own)))
+                    for s in range(0, part.num_rows, max(1, 65_536 // wide)):
+                        block = sums[s : s + max(1, 65_536 // wide)]
+                        place = np.arange(block.size)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s + place // len(own))), own.take(pa.array(place % len(own))), pa.array(block.ravel())], ["event_id", "outcome", "activation"])
+
+    kind = events.schema["event_id"].dataType.simpleString()
+    return _known_ids(events, cues, n_cues).mapInArrow(run, f"event_id {kind}, outcome string, activation double")
+
+
+def _known_ids(events: DataFrame, cues: DataFrame, n: int) -> DataFrame:
+    """event_id, ids of the cues that have one."""
+    if n > counts.SMALL_KEYS:
+        parts = events.select("event_id", F.explode_outer("cues").alias("key")).join(cues, "key", "left")
+        return parts.groupBy("event_id").agg(F.collect_list("id").alias("ids"))
+    sent = events.sparkSession.sparkContext.broadcast([r["key"] for r in cues.orderBy("id").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for batch in batches:
+            column = batch.column(1)
+            ids = pc.index_in(column.flatten(), value_set=known)
+            owner = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            held = ids.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.bincount(owner[held], minlength=len(column))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, ids.drop_null())], ["event_id", "ids"])
+
+    return events.select("event_id", "cues").mapInArrow(run, f"event_id {events.schema['event_id'].dataType.simpleString()}, ids array<int>")
+
+
+def _parquet(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a folder's files in the order of their names; nothing if there is no such folder."""
+    fs, folder = filesystem(path)
+    if fs.get_file_info(folder).type == pafs.FileType.Directory:
+        for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.base_name):
+            if info.base_name.startswith("part-"):
+                with fs.open_input_file(info.path) as source:
+                    yield from pq.ParquetFile(source).iter_batches(1_000_000, columns=columns)
+
+
+def _tile(path: str, high: int, wide: int) -> np.ndarray:
+    w = np.zeros((high, wide))
+    for batch in _parquet(path, ["c", "o", "weight"]):
+        c, o, weight = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        np.add.at(w, (c, o), weight)
+    return w
+
+
+def _add(sums: np.ndarray, event: np.ndarray, cue: np.ndarray, tile: np.ndarray) -> None:
+    """Add the tile's row of each cue to its event's sums; events ascend."""
+    size = max(1, 2_000_000 // max(1, tile.shape[1]))
+    for k in range(0, len(event), size):
+        own, first = np.unique(event[k : k + size], return_index=True)
+        sums[own] += np.add.reduceat(tile[cue[k : k + size]], first, axis=0)
 
 
 def _columns(table: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
-from cuespark.operators import infer
+from cuespark.operators import counts, infer
 from cuespark.sources import readers
 
 
@@ -37,11 +40,34 @@ def test_correlation_without_variance(spark):
 
 def test_activation_of_dictionary_weights(spark):
     events = readers.events_from_list(spark, [("a_b", "X"), ("c", "X")])
-    weights = {"X": {"a": 0.5, "b": 0.25}, "Y": {"a": -1.0}}
+    weights = {"X": defaultdict(float, {"a": 0.5, "b": 0.25}), "Y": defaultdict(float, {"a": -1.0})}
     got = {(r.event_id, r.outcome): r.activation for r in infer.activation(events, weights).collect()}
     assert got == {(0, "X"): 0.75, (0, "Y"): -1.0, (1, "X"): 0.0, (1, "Y"): 0.0}
     few = {(r.event_id, r.outcome) for r in infer.activation(events, weights, dense=False).collect()}
     assert few == {(0, "X"), (0, "Y")}
+    for plain in ({"X": {"a": 0.5, "b": 0.25, "c": 1.0}, "Y": {"a": -1.0}}, {"X": {"a": 0.5}, "Y": weights["Y"]}):
+        with pytest.raises(KeyError):  # each plain dictionary must have every cue
+            infer.activation(events, plain)
+    mixed = {"X": {"a": 0.5, "b": 0.25, "c": 1.0}, "Y": weights["Y"]}
+    assert {(r.event_id, r.outcome): r.activation for r in infer.activation(events, mixed).collect()} == {(0, "X"): 0.75, (0, "Y"): -1.0, (1, "X"): 1.0, (1, "Y"): 0.0}
+
+
+@pytest.mark.parametrize("tile,at_once,small", [((3, 2), 4, 500_000), ((16, 7), 1000, 500_000), ((5, 3), 7, 4)])
+def test_activation_by_tiles_equals_dictionaries(spark, monkeypatch, tile, at_once, small):
+    """Tiles in both directions, blocks of events, cues without weights, repeated cues and rows, and vocabularies that are joined."""
+    monkeypatch.setattr(infer, "TILE", tile)
+    monkeypatch.setattr(infer, "EVENTS_AT_ONCE", at_once)
+    monkeypatch.setattr(counts, "SMALL_KEYS", small)
+    rng = random.Random(1)
+    rows = [([f"c{rng.randint(0, 14)}" for _ in range(rng.randint(0, 6))], ["x"]) for _ in range(40)]
+    table = [(f"o{o}", f"c{c}", rng.choice([0.0, 1.5, -2.0, 0.25])) for o in range(8) for c in range(12) if rng.random() < 0.7]
+    table.append(table[0])
+    weights = spark.createDataFrame(table, "outcome string, cue string, weight double")
+    got = infer.activation(readers.events_from_list(spark, rows), weights, remove_duplicates=False, ignore_missing_cues=True).collect()
+    assert len(got) == len(rows) * len({t[0] for t in table})
+    assert all(r.activation == pytest.approx(sum(w * rows[r.event_id][0].count(c) for o, c, w in table if o == r.outcome)) for r in got)
+    plan = infer.activation(readers.events_from_list(spark, rows), weights, remove_duplicates=False, ignore_missing_cues=True)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_stream_starts_from_weights(spark, tmp_path):
