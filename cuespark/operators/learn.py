@@ -125,14 +125,18 @@ def _learned(
     parallel = spark.sparkContext.defaultParallelism
     encoded = counts.encode(events, cues, outcomes)
     if per_chunk is None and n_rows < CHUNK_ROWS * parallel and kernel.change_size(rule, n_inputs, n_rows) <= CHANGE_NUMBERS:
-        least, most = RANGE_EVENTS
-        ranges = max(-(-n_events // most), min(parallel, -(-n_events // least)))
-        found = kernel.run_ranges(spark, kernel.write_encoded(encoded, max(1, ranges)), rule, n_inputs, n_rows, initial)
+        found = kernel.run_ranges(spark, kernel.write_encoded(encoded, _ranges(n_events, parallel)), rule, n_inputs, n_rows, initial)
     else:
         found = kernel.run(spark, kernel.write_encoded(encoded), rule, n_inputs, n_rows, _chunk(n_inputs, n_rows, parallel, per_chunk), initial)
     return materialise(found, "weights")
 
 
+def _ranges(n_events: int, parallel: int) -> int:
+    """Ranges of events: as many as tasks at once, within the sizes of a range."""
+    least, most = RANGE_EVENTS
+    return max(1, -(-n_events // most), min(parallel, -(-n_events // least)))
+
+
 def _chunk(n_inputs: int, n_rows: int, parallel: int, per_chunk: int | None) -> int:
     if per_chunk is not None:
         if per_chunk < 1:
@@ -164,7 +168,7 @@ def rw_learn(
     Every outcome's row changes at every event; events without the outcome count against its cues.
     Events may be an event file's path or pairs of cues and outcomes, too.  ``alpha`` may be a number for each cue, as a
     mapping or, for large vocabularies, as a table (key, rate) that stays on the executors.  With ``weights`` learning continues; its outcomes and cues stay on the axes.
-    ``strategy``: ``closed`` (one cue an event, fresh W: windows and sums), ``fold`` (expressions), ``kernel``.
+    ``strategy``: ``closed`` (one cue an event, fresh W: a scan over ranges of events), ``fold`` (expressions), ``kernel``.
     """
     started = time.time()
     events, path = _events(events, remove_duplicates)
@@ -173,7 +177,7 @@ def rw_learn(
     # single-cue events have a closed form; all else goes to the kernel
     strategy = strategy or ("kernel" if weights is not None or varying or several else "closed")
     if strategy == "closed":
-        table = closed.closed_form(events, float(alpha), betas, lambda_)
+        table = closed.closed_form(events, float(alpha), betas, lambda_, _ranges(n, events.sparkSession.sparkContext.defaultParallelism))
     elif strategy == "fold":
         if weights is not None:
             raise ValueError("the fold starts from zero")
