@@ -13,6 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.vectors import add_rows, read_batches
 from ..storage import filesystem, scratch
 from . import counts
 from .filters import apply_duplicates
@@ -74,7 +75,7 @@ def _by_tiles(events: DataFrame, weights: DataFrame) -> DataFrame:
     outcomes.select("key").repartitionByRange(max(1, -(-n_outcomes // counts.SMALL_KEYS)), "key").sortWithinPartitions("key").write.parquet(f"{folder}/names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.concat_arrays([b.column(0) for b in _parquet(f"{folder}/names", ["key"])])
+        names = pa.concat_arrays([b.column(0) for b in read_batches(f"{folder}/names", ["key"])])
         for whole in batches:
             for k in range(0, whole.num_rows, EVENTS_AT_ONCE):
                 part = whole.slice(k, EVENTS_AT_ONCE)
@@ -87,7 +88,7 @@ def _by_tiles(events: DataFrame, weights: DataFrame) -> DataFrame:
                     for down in range(0, -(-n_cues // high)):
                         here = ids // high == down
                         if here.any():
-                            _add(sums, event[here], ids[here] - down * high, _tile(f"{folder}/w/across={across}/down={down}", high, len(own)))
+                            add_rows(sums, event[here], ids[here] - down * high, _tile(f"{folder}/w/across={across}/down={down}", high, len(own)))
                     for s in range(0, part.num_rows, max(1, 65_536 // wide)):
                         block = sums[s : s + max(1, 65_536 // wide)]
                         place = np.arange(block.size)
@@ -118,32 +119,14 @@ def _known_ids(events: DataFrame, cues: DataFrame, n: int) -> DataFrame:
     return events.select("event_id", "cues").mapInArrow(run, f"event_id {events.schema['event_id'].dataType.simpleString()}, ids array<int>")
 
 
-def _parquet(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of a folder's files in the order of their names; nothing if there is no such folder."""
-    fs, folder = filesystem(path)
-    if fs.get_file_info(folder).type == pafs.FileType.Directory:
-        for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.base_name):
-            if info.base_name.startswith("part-"):
-                with fs.open_input_file(info.path) as source:
-                    yield from pq.ParquetFile(source).iter_batches(1_000_000, columns=columns)
-
-
 def _tile(path: str, high: int, wide: int) -> np.ndarray:
     w = np.zeros((high, wide))
-    for batch in _parquet(path, ["c", "o", "weight"]):
+    for batch in read_batches(path, ["c", "o", "weight"]):
         c, o, weight = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         np.add.at(w, (c, o), weight)
     return w
 
 
-def _add(sums: np.ndarray, event: np.ndarray, cue: np.ndarray, tile: np.ndarray) -> None:
-    """Add the tile's row of each cue to its event's sums; events ascend."""
-    size = max(1, 2_000_000 // max(1, tile.shape[1]))
-    for k in range(0, len(event), size):
-        own, first = np.unique(event[k : k + size], return_index=True)
-        sums[own] += np.add.reduceat(tile[cue[k : k + size]], first, axis=0)
-
-
 def _columns(table: DataFrame, key: str) -> DataFrame:
     """key, v: the values of a column in the order of the dimensions."""
     gathered = table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("value").cast("double").alias("value")))).alias("v"))

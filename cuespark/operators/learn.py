@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import closed, fold, kernel
+from ..plans.vectors import write_vectors
 from ..storage import materialise, scratch
 from . import counts
 from .filters import apply_duplicates
@@ -24,8 +25,6 @@ CHUNK_ROWS = 64
 CHANGE_NUMBERS = 4_000_000
 #: Events of a range, at least and at most.
 RANGE_EVENTS = (1_000, 500_000)
-#: Vector tables go to every task; larger ones than this many numbers are refused.
-VECTOR_NUMBERS = 64_000_000
 
 
 @dataclass
@@ -216,23 +215,6 @@ def _initial(old: Weights, rows: DataFrame, columns: DataFrame) -> DataFrame:
     return t.select("row", "input", "weight")
 
 
-def _vectors(table: DataFrame, keys: DataFrame, what: str) -> tuple[np.ndarray, int]:
-    """A row for each id; every token needs a vector, all of one length."""
-    missing = keys.join(table.select(F.col("label").alias("key")), "key", "left_anti").limit(1).collect()
-    if missing:
-        raise ValueError(f"{what} without a vector: {missing[0]['key']!r}")
-    named = keys.join(table.select(F.col("label").alias("key"), "vec"), "key").select("id", "vec")
-    n, low, high = named.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
-    if low != high:
-        raise ValueError(f"{what} vectors differ in length")
-    if n * high > VECTOR_NUMBERS:
-        raise ValueError(f"{what} vectors hold {n * high} numbers; tasks take {VECTOR_NUMBERS}")
-    out = np.zeros((n, high))
-    for r in named.toLocalIterator():
-        out[r["id"]] = r["vec"]
-    return out, high
-
-
 def wh_learn(
     events: DataFrame | str | Iterable,
     eta: float,
@@ -247,7 +229,7 @@ def wh_learn(
     remove_duplicates: bool | None = None,
     rows_per_chunk: int | None = None,
 ) -> Weights:
-    """Learn by the Widrow-Hoff rule; vector tables are (label, vec).
+    """Learn by the Widrow-Hoff rule; vector tables are (label, vec), of any size: tasks read tiles of them.
 
     Without any vectors this is the Rescorla-Wagner rule with one rate.  Several cues' or outcomes' vectors
     add up.  Axes are the labels, or the names of the vectors' dimensions (by default their numbers).
@@ -270,10 +252,12 @@ def wh_learn(
     x = y = None
     columns, rows = cues, outcomes
     if cue_vectors is not None:
-        x, n_inputs = _vectors(cue_vectors, cues, "cues")
+        x = write_vectors(cue_vectors, cues, n_inputs, "cues")
+        n_inputs = x.wide
         columns = dims(cue_dims, n_inputs)
     if outcome_vectors is not None:
-        y, n_rows = _vectors(outcome_vectors, outcomes, "outcomes")
+        y = write_vectors(outcome_vectors, outcomes, n_rows, "outcomes")
+        n_rows = y.wide
         rows = dims(outcome_dims, n_rows)
     axes = ("outcome" if y is None else "outcome_dim", "cue" if x is None else "cue_dim")
     initial = None if weights is None else _initial(weights, rows, columns)

@@ -25,21 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import filesystem, scratch
+from . import vectors
 
 
 @dataclass
 class Rule:
-    """Rates (one, one for each cue, or the folder of a table of them), and vectors where inputs or targets are real (a row for each id)."""
+    """Rates (one, one for each cue, or the folder of a table of them), and vectors where inputs or targets are real."""
 
     alpha: float | np.ndarray | str
     betas: tuple[float, float]
     lambda_: float
-    cue_vectors: np.ndarray | None = None
-    outcome_vectors: np.ndarray | None = None
+    cue_vectors: vectors.Vectors | None = None
+    outcome_vectors: vectors.Vectors | None = None
 
 
 def _loaded(rule: Rule, n_inputs: int) -> Rule:
-    """The rule with the rates of its folder (id, rate) read."""
+    """The rule for one task, with the rates of its folder (id, rate) read."""
+    rule = replace(rule, **{k: v.fresh() for k in ("cue_vectors", "outcome_vectors") if (v := getattr(rule, k)) is not None})
     if not isinstance(rule.alpha, str):
         return rule
     rates = np.zeros(n_inputs)
@@ -94,43 +96,54 @@ def learn(w: np.ndarray, batches: Iterator[tuple[np.ndarray, ...]], rule: Rule,
 
     In front of the rows stand ``lead`` columns without targets; a row may be ``width`` columns, of which the last has the target.
     """
-    targets = None if rule.outcome_vectors is None else np.ascontiguousarray(rule.outcome_vectors[:, low:high])
+    x, y = rule.cue_vectors, rule.outcome_vectors
     for batch in batches:
-        for e in range(0, len(batch[0]) - 1, BLOCK):
-            _block(w, _slice(batch[0], batch[1], e), _slice(batch[2], batch[3], e), rule, targets, low, high, lead, width)
-
-
-def _slice(offsets: np.ndarray, ids: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        n = len(batch[0]) - 1
+        held = max(BLOCK, vectors.SUM_NUMBERS // max(1, 0 if x is None else x.wide, 0 if y is None else high - low) // BLOCK * BLOCK)
+        for start in range(0, n, held):
+            inputs, targets = (
+                None if v is None else v.sums(*_slice(offsets, ids, start, held), *columns)
+                for v, offsets, ids, columns in ((x, *batch[:2], ()), (y, *batch[2:], (low, high)))
+            )
+            for e in range(start, min(n, start + held), BLOCK):
+                at = slice(e - start, e - start + BLOCK)
+                cues = _slice(batch[0], batch[1], e) if inputs is None else inputs[at]
+                outs = _slice(batch[2], batch[3], e) if targets is None else targets[at]
+                _block(w, cues, outs, rule, low, high, lead, width)
+
+
+def _slice(offsets: np.ndarray, ids: np.ndarray, at: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Of a block's events: the event and the id of each token, and how many events."""
-    own = offsets[at : at + BLOCK + 1]
+    own = offsets[at : at + (size or BLOCK) + 1]
     return np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]], len(own) - 1
 
 
-def _block(w: np.ndarray, cues: tuple, outs: tuple, rule: Rule, targets: np.ndarray | None, low: int, high: int, lead: int = 0, width: int = 1) -> None:
-    event, ids, n = cues
-    used = alpha = None
-    if rule.cue_vectors is None:
+def _block(w: np.ndarray, cues: tuple | np.ndarray, outs: tuple | np.ndarray, rule: Rule, low: int, high: int, lead: int = 0, width: int = 1) -> None:
+    """A block's cues and outcomes are tokens, or a row of sums for each event."""
+    used = None
+    if isinstance(cues, np.ndarray):
+        x, rows, alpha = cues, w, 1.0
+    else:
+        event, ids, n = cues
         used, place = np.unique(ids, return_inverse=True)
         x = np.zeros((n, len(used)))
         np.add.at(x, (event, place), 1.0)
         rows = w[used]
         alpha = rule.alpha[used] if isinstance(rule.alpha, np.ndarray) else rule.alpha
-    else:
-        x = np.zeros((n, rule.cue_vectors.shape[1]))
-        np.add.at(x, event, rule.cue_vectors[ids])
-        rows, alpha = w, 1.0
-    event, ids, _ = outs
+    n = len(x)
     lower = np.tril((x * alpha) @ x.T, -1)
     want = np.zeros((n, w.shape[1]))
-    if targets is not None:
-        np.add.at(want[:, lead:], event, targets[ids])
+    real = isinstance(outs, np.ndarray)
+    if real:
+        want[:, lead:] = outs
     else:
+        event, ids, _ = outs
         own = (ids >= low) & (ids < high)
         event, ids = event[own], ids[own] - low
         want[event, lead + ids * width + width - 1] = rule.lambda_
     rest = want - x @ rows
     b1, b2 = rule.betas
-    if targets is not None or b1 == b2:
+    if real or b1 == b2:
         u = np.linalg.solve(np.eye(n) + b1 * lower, b1 * rest)
     else:
         u = _unequal(lower, rest, b1, b2, event, lead + ids * width, width)
@@ -198,7 +211,7 @@ def run(
     ``initial``: row, input, weight of a former W; each task reads those of its chunk.
     """
     chunks = -(-n_rows // chunk)
-    sent = spark.sparkContext.broadcast(rule)  # rates and vectors: no larger than the vector tables given
+    sent = spark.sparkContext.broadcast(rule)  # of vectors and tables of rates, the folders only
     start = None if initial is None else write_state(initial, chunk)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,25 +44,25 @@ def test_blocks_equal_single_events(spark, betas, per_cue):
     assert all(found.get(k, 0.0) == pytest.approx(v, abs=1e-10) for k, v in expect.items())
 
 
-def test_blocks_equal_single_events_with_vectors(spark, monkeypatch):
-    table, _ = events(spark, 200)
+@pytest.mark.parametrize("kinds", ["xy", "x", "y"])
+def test_blocks_equal_single_events_with_vectors(spark, kinds):
+    table, rows = events(spark, 200)
     rng = np.random.default_rng(2)
-    vectors = [spark.createDataFrame([(k, rng.normal(size=n).tolist()) for k in keys], "label string, vec array<double>") for keys, n in (("abcdefgh", 6), ("XYZUV", 4))]
-    results = []
-    for solved in (True, False):
-        if not solved:
-            monkeypatch.setattr(kernel, "_block", None)
-            monkeypatch.setattr(kernel, "BLOCK", 1)
-            monkeypatch.setattr(kernel, "_block", lambda w, c, o, rule, t, low, high, equal: _single(w, c, o, rule, t))
-        w = learn.wh_learn(table, 0.01, cue_vectors=vectors[0], outcome_vectors=vectors[1], remove_duplicates=False)
-        results.append({(r.outcome_dim, r.cue_dim): r.weight for r in w.table.collect()})
-    assert results[0].keys() == results[1].keys()
-    assert all(results[1][k] == pytest.approx(v, abs=1e-10) for k, v in results[0].items())
-
-
-def _single(w, cues, outs, rule, targets):
-    x, y = rule.cue_vectors[cues[1]].sum(axis=0), targets[outs[1]].sum(axis=0)
-    w += np.multiply.outer(x, rule.betas[0] * (y - x @ w))
+    x, y = ({k: rng.normal(size=n) for k in keys} for keys, n in (("abcdefgh", 6), ("XYZUV", 4)))
+    frames = [spark.createDataFrame([(k, v.tolist()) for k, v in t.items()], "label string, vec array<double>") for t in (x, y)]
+    given = {"cue_vectors": frames[0] if "x" in kinds else None, "outcome_vectors": frames[1] if "y" in kinds else None}
+    got = learn.wh_learn(table, 0.01, remove_duplicates=False, **given)
+    x = x if "x" in kinds else dict(zip("abcdefgh", np.eye(8)))
+    targets = y if "y" in kinds else dict(zip("UVXYZ", np.eye(5)))
+    w = np.zeros((len(targets["X"]), len(x["a"])))
+    for cues, outcomes in rows:
+        want = sum((targets[o] for o in (outcomes if "y" in kinds else set(outcomes))), np.zeros(len(w)))
+        own = sum(x[c] for c in cues)
+        w += 0.01 * np.outer(want - w @ own, own)
+    names = [[str(i) for i in range(n)] for n in w.shape]
+    names = [names[0] if "y" in kinds else list("UVXYZ"), names[1] if "x" in kinds else list("abcdefgh")]
+    found = {(r[0], r[1]): r.weight for r in got.table.collect()}
+    assert all(found.get((names[0][i], names[1][j]), 0.0) == pytest.approx(w[i, j], abs=1e-10) for i in range(w.shape[0]) for j in range(w.shape[1]))
 
 
 def test_encoding_is_the_same_by_broadcast_and_by_join(spark, monkeypatch):
