@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import corpus, filters
 from .sources import readers, sinks
 
 
-def create_corpus(spark: SparkSession, directory: str, path: str, break_duration: float = 5.0) -> None:
-    """The corpus of all ``.gz`` subtitle files below a directory, in the order of their paths; ``path`` must be new."""
-    sinks.write_corpus(readers.read_subtitles(spark, directory, break_duration), path)
+def create_corpus(spark: SparkSession, directory: str, path: str, break_duration: float = 5.0) -> dict[str, int]:
+    """The corpus of all ``.gz`` subtitle files below a directory, in the order of their paths; ``path`` must be new.
+
+    Files that were listed but are gone, and files that can't be read (with the reason, behind a tab), stay out: they are listed in
+    ``path.not_found`` and ``path.damaged``, which are there only if there are such files.  Returns how many
+    lines, files and damaged files there are.
+    """
+    found = readers.sort_subtitles(spark, directory, break_duration)
+    sinks.write_corpus(found.lines, path)
+    reason = F.regexp_replace("error", r"\s+", " ")
+    for name, bad in (("not_found", found.missing), ("damaged", found.damaged.select(F.concat_ws("\t", "path", reason).alias("path")))):
+        if not bad.isEmpty():
+            sinks.write_list(bad, f"{path}.{name}")
+    return found.counts
 
 
 def create_event_file(spark: SparkSession, corpus_path: str, event_path: str, *, context_structure: str = "document", **options) -> None:

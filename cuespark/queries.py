@@ -199,7 +199,8 @@ SUBTITLE_WORDS = "[A-Za-z0-9]+|[.,!?]"
  SELECT line, count(*) AS n FROM l GROUP BY line""")
 def subtitle_corpus(spark, d):
     """Every turn as a sentence of a subtitle file, odd ones six seconds after the last end: files written, and read as a corpus."""
-    from .sources import readers, sinks
+    from .files import create_corpus
+    from .sources import sinks
 
     folder, corpus = scratch(spark, "subtitles"), scratch(spark, "corpus")
     words = F.regexp_extract_all("text", F.lit(SUBTITLE_WORDS), F.lit(0))
@@ -209,7 +210,7 @@ def subtitle_corpus(spark, d):
         F.array_join(F.transform(words, lambda w: F.concat(F.lit("<w>"), w, F.lit("</w>"))), ""), F.lit("</s>"),
     )
     sinks.write_subtitles(table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", sentence.alias("sentence")), folder, "conv_id", "turn")
-    sinks.write_corpus(readers.read_subtitles(spark, folder), corpus)
+    create_corpus(spark, folder, corpus)
     lines = spark.read.text(corpus).select(F.col("value").alias("line"))
     return _corpus_lines(lines)
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+
 from ..operators.corpus import number_events
 from ..schema import COUNTER, EVENTS
+from ..storage import materialise
 
 
 def _lines(spark: SparkSession, path: str, compression: str | None, end: str | None = None) -> DataFrame:
@@ -119,17 +122,61 @@ def subtitle_lines(content: bytes, break_duration: float = 2.0) -> list[str]:
     return out
 
 
-def read_subtitles(spark: SparkSession, directory: str, break_duration: float = 5.0) -> DataFrame:
-    """path, line_no, text of all ``.gz`` subtitle files below a directory; a file is one task's unit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(directory).select("path", "content")
+def subtitle_files(spark: SparkSession, directory: str, *, skip_missing: bool = False) -> DataFrame:
+    """path, content of all ``.gz`` files below a directory, as listed now; files that are gone when they are read are an error unless skipped."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").option("ignoreMissingFiles", skip_missing)
+    return found.load(directory).select("path", "content")
+
+
+_PARSED = "path string, line_no long, text string, error string"
+
+
+def parse_subtitles(files: DataFrame, break_duration: float = 5.0) -> DataFrame:
+    """path, line_no, text, error of (path, content): the lines of each file, or one row of an error for a file that can't be read.
+
+    A file that breaks off or is malformed anywhere gives no lines.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
+        import zlib
 
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                lines = [x for sentence in subtitle_lines(gzip.decompress(content), break_duration) for x in sentence.split("\n")]
+                try:
+                    lines = [x for sentence in subtitle_lines(gzip.decompress(content), break_duration) for x in sentence.split("\n")]
+                except (OSError, EOFError, zlib.error, ValueError, KeyError, ElementTree.ParseError) as e:
+                    yield pd.DataFrame({"path": [path], "line_no": [None], "text": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
                 lines += ["", "---END.OF.DOCUMENT---", ""]
-                yield pd.DataFrame({"path": path, "line_no": range(len(lines)), "text": lines})
+                yield pd.DataFrame({"path": path, "line_no": range(len(lines)), "text": lines, "error": None})
+
+    return files.mapInPandas(parse, _PARSED)
 
-    return files.mapInPandas(parse, "path string, line_no long, text string")
+
+def read_subtitles(spark: SparkSession, directory: str, break_duration: float = 5.0) -> DataFrame:
+    """path, line_no, text of all ``.gz`` subtitle files below a directory; a file is one task's unit, a bad one an error."""
+    parsed = parse_subtitles(subtitle_files(spark, directory), break_duration)
+    failed = F.raise_error(F.concat("path", F.lit(": "), "error"))
+    return parsed.select(F.when(F.col("error").isNotNull(), failed).otherwise(F.col("path")).alias("path"), "line_no", "text")
+
+
+class Subtitles(NamedTuple):
+    """Lines (path, line_no, text), files that can't be read (path, error), files that are gone (path), and how many lines, files and damaged files."""
+
+    lines: DataFrame
+    damaged: DataFrame
+    missing: DataFrame
+    counts: dict[str, int]
+
+
+def sort_subtitles(spark: SparkSession, directory: str, break_duration: float = 5.0) -> Subtitles:
+    """Lines and bad files from one pass over the contents; what was listed and then gave neither is missing."""
+    files = subtitle_files(spark, directory, skip_missing=True)
+    listed = materialise(files.select("path"), "listed")
+    seen = Observation()
+    first, bad = F.col("line_no") == 0, F.col("error").isNotNull()
+    parsed = parse_subtitles(files, break_duration)
+    parsed = materialise(parsed.observe(seen, F.count_if(~bad).alias("lines"), F.count_if(first).alias("files"), F.count_if(bad).alias("damaged")), "subtitles")
+    missing = listed.join(parsed.where(first | bad).select("path"), "path", "left_anti")
+    return Subtitles(parsed.where(~bad).drop("error"), parsed.where(bad).select("path", "error"), missing, dict(seen.get))

@@ -67,6 +67,12 @@ def write_corpus(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("path").sortWithinPartitions("path", "line_no").select("text").write.mode("errorifexists").text(path)
 
 
+def write_list(names: DataFrame, path: str) -> None:
+    """The text column in ascending order, at ``path`` or, if that is taken, at it with a number."""
+    path = path if ":" in path else str(safe_path(path, "{path.name}-{counter}"))
+    names.sort(*names.columns).write.mode("errorifexists").text(path)
+
+
 def write_subtitles(sentences: DataFrame, path: str, *order: str) -> None:
     """Gzip files of subtitle sentences (column ``sentence``, XML), in the given order; each partition is a document."""
 
