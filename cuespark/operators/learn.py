@@ -10,11 +10,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans import closed, fold, kernel
 from ..plans.vectors import write_vectors
 from ..storage import materialise, scratch
 from . import counts
+from .corpus import number_events
 from .filters import apply_duplicates
 
 #: A task's part of W takes up to this many numbers (8 bytes each).
@@ -126,10 +128,21 @@ def _learned(
     if per_chunk is None and n_rows < CHUNK_ROWS * parallel and kernel.change_size(rule, n_inputs, n_rows) <= CHANGE_NUMBERS:
         found = kernel.run_ranges(spark, kernel.write_encoded(encoded, _ranges(n_events, parallel)), rule, n_inputs, n_rows, initial)
     else:
-        found = kernel.run(spark, kernel.write_encoded(encoded), rule, n_inputs, n_rows, _chunk(n_inputs, n_rows, parallel, per_chunk), initial)
+        path, places = kernel.write_encoded(encoded), None
+        if rule.outcome_vectors is None and events.schema["event_id"].dataType.simpleString() in ("int", "bigint"):
+            places = kernel.rows_by_first_event(path, outcomes, n_rows, initial, _placed)
+        found = kernel.run(spark, path, rule, n_inputs, n_rows, _chunk(n_inputs, n_rows, parallel, per_chunk), initial, places)
     return materialise(found, "weights")
 
 
+def _placed(rows: DataFrame, n: int) -> DataFrame:
+    """row, place (from 0) of (first, row), in that order."""
+    if n <= counts.SMALL_KEYS:
+        return rows.select("row", (F.row_number().over(Window.orderBy("first", "row")) - 1).alias("place"))
+    numbered = number_events(rows.select("first", "row", F.array("row").alias("cues"), F.lit(None).alias("outcomes")), "first", "row")
+    return numbered.select(F.col("cues")[0].alias("row"), F.col("event_id").alias("place"))
+
+
 def _ranges(n_events: int, parallel: int) -> int:
     """Ranges of events: as many as tasks at once, within the sizes of a range."""
     least, most = RANGE_EVENTS

@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import filesystem, scratch
+from ..storage import filesystem, materialise, scratch
 from . import vectors
 
 
@@ -66,12 +66,17 @@ def _files(path: str) -> list[str]:
     return sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith("part-"))
 
 
-def _batches(path: str, names: list[str] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cue offsets, cue ids, outcome offsets, outcome ids) of the events in order, of all files or those named."""
+def _batches(path: str, names: list[str] | None = None, since: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cue offsets, cue ids, outcome offsets, outcome ids) of the events in order, of all files or those named.
+
+    Row groups whose events are all before the one ``since`` aren't read.
+    """
     fs, folder = filesystem(path)
     for name in _files(path) if names is None else names:
         with fs.open_input_file(posixpath.join(folder, name)) as source:
-            for batch in pq.ParquetFile(source).iter_batches(50_000, columns=["cue_ids", "outcome_ids"]):
+            file = pq.ParquetFile(source)
+            groups = [k for k in range(file.metadata.num_row_groups) if since is None or _reaches(file, k, since)]
+            for batch in file.iter_batches(50_000, row_groups=groups, columns=["cue_ids", "outcome_ids"]):
                 if not batch.num_rows:
                     continue
                 out = []
@@ -80,6 +85,13 @@ def _batches(path: str, names: list[str] | None = None) -> Iterator[tuple[np.nda
                 yield tuple(out)
 
 
+def _reaches(file: pq.ParquetFile, group: int, since: int) -> bool:
+    """Whether a row group may have an event of this id or a later one."""
+    column = file.metadata.row_group(group).column(file.schema_arrow.get_field_index("event_id"))
+    known = column.path_in_schema == "event_id" and column.statistics is not None and column.statistics.has_min_max
+    return not known or column.statistics.max >= since
+
+
 #: Events that are solved together.
 BLOCK = 64
 #: Maps that one task composes.
@@ -171,63 +183,95 @@ def _unequal(lower: np.ndarray, rest: np.ndarray, b1: float, b2: float, event: n
     return u
 
 
-def write_state(initial: DataFrame, chunk: int) -> str:
-    """A former W (row, input, weight) in the shared folder, a folder for each chunk of rows."""
+def write_state(initial: DataFrame, chunk: int, places: DataFrame | None = None) -> str:
+    """A former W (row, input, weight) in the shared folder, a folder for each chunk of rows, in the order of their ids or of (row, place)."""
     path = scratch(initial.sparkSession, "start-state")
-    laid = initial.select(F.floor(F.col("row") / chunk).cast("int").alias("chunk"), "row", "input", "weight")
+    placed = initial.withColumn("place", F.col("row")) if places is None else initial.join(places.select("row", "place"), "row")
+    laid = placed.select(F.floor(F.col("place") / chunk).cast("int").alias("chunk"), "row", "input", "weight")
     laid.repartition("chunk", F.floor(F.col("input") / 100_000)).sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
     return path
 
 
-def _read_state(path: str | None, number: int, w: np.ndarray, low: int) -> None:
-    """A chunk's numbers into ``w``, a batch at a time."""
-    if path is None:
-        return
-    fs, folder = filesystem(posixpath.join(path, f"chunk={number}"))
-    if fs.get_file_info(folder).type != pafs.FileType.Directory:
-        return
-    for info in fs.get_file_info(pafs.FileSelector(folder)):
-        if info.base_name.startswith("part-"):
-            with fs.open_input_file(info.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(1_000_000, columns=["row", "input", "weight"]):
-                    row, at, weight = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                    w[at.astype(np.int64), row.astype(np.int64) - low] = weight
+def _read_state(path: str | None, number: int, w: np.ndarray, rows: np.ndarray) -> None:
+    """A chunk's numbers into ``w``, whose columns are the rows of ascending ids, a batch at a time."""
+    if path is not None:
+        for batch in vectors.read_batches(posixpath.join(path, f"chunk={number}"), ["row", "input", "weight"]):
+            row, at, weight = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            w[at.astype(np.int64), np.searchsorted(rows, row)] = weight
 
 
-def _rows_of(w: np.ndarray, low: int) -> Iterator[pa.RecordBatch]:
+def _rows_of(w: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """row, weights of the columns of ``w``."""
     for s in range(0, w.shape[1], 256):
         part = np.ascontiguousarray(w[:, s : s + 256].T)
         offsets = np.arange(len(part) + 1, dtype=np.int32) * len(w)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low + s, low + s + len(part)), pa.int32()), lists], ["row", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[s : s + 256], pa.int32()), lists], ["row", "weights"])
 
 
 def run(
-    spark: SparkSession, path: str, rule: Rule, n_inputs: int, n_rows: int, chunk: int, initial: DataFrame | None = None
+    spark: SparkSession, path: str, rule: Rule, n_inputs: int, n_rows: int, chunk: int, initial: DataFrame | None = None, places: DataFrame | None = None
 ) -> DataFrame:
     """row, weights (a number for each input) of every row of W.
 
     ``initial``: row, input, weight of a former W; each task reads those of its chunk.
+    ``places``: (row, place, first) put rows that begin to change at about the same event into one chunk, which reads the events
+    from the ``first`` of any of its rows on (null: from the start).  Without it chunks are ranges of ids, which read all.
     """
-    chunks = -(-n_rows // chunk)
+    chunks, by_range = -(-n_rows // chunk), places is None
     sent = spark.sparkContext.broadcast(rule)  # of vectors and tables of rates, the folders only
-    start = None if initial is None else write_state(initial, chunk)
+    start = None if initial is None else write_state(initial, chunk, places)
+
+    def learned(rule: Rule, number: int, rows: np.ndarray, since: int | None) -> Iterator[pa.RecordBatch]:
+        w = np.zeros((n_inputs, len(rows)))
+        _read_state(start, number, w, rows)
+        if by_range:
+            learn(w, _batches(path), rule, int(rows[0]), int(rows[-1]) + 1)
+        else:
+            learn(w, _among(_batches(path, since=since), rows), rule, 0, len(rows))
+        yield from _rows_of(w, rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = _loaded(sent.value, n_inputs)
         for batch in batches:
-            for number in batch.column(0).to_pylist():
-                low, high = number * chunk, min(n_rows, (number + 1) * chunk)
-                w = np.zeros((n_inputs, high - low))
-                _read_state(start, number, w, low)
-                learn(w, _batches(path), rule, low, high)
-                yield from _rows_of(w, low)
-
-    todo = spark.range(0, chunks, 1, chunks).select(F.col("id").cast("int").alias("chunk"))
+            for r in batch.to_pylist():
+                number = r["chunk"]
+                rows = np.arange(number * chunk, min(n_rows, (number + 1) * chunk)) if by_range else np.sort(np.array(r["rows"], np.int64))
+                yield from learned(rule, number, rows, r.get("since"))
+
+    if by_range:
+        todo = spark.range(0, chunks, 1, chunks).select(F.col("id").cast("int").alias("chunk"))
+    else:  # a chunk holds a bounded number of rows
+        since = F.when(F.count_if(F.col("first").isNull()) == 0, F.min("first")).alias("since")
+        todo = places.groupBy(F.floor(F.col("place") / chunk).cast("int").alias("chunk")).agg(F.collect_list("row").alias("rows"), since)
+        todo = todo.repartitionByRange(chunks, "chunk")
     return todo.mapInArrow(work, "row int, weights array<double>")
 
 
+def _among(batches: Iterator[tuple[np.ndarray, ...]], rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Outcome ids as places among the ascending rows, -1 for all others."""
+    for *cues, offsets, ids in batches:
+        at = np.minimum(np.searchsorted(rows, ids), len(rows) - 1)
+        yield *cues, offsets, np.where(rows[at] == ids, at, -1)
+
+
+def rows_by_first_event(path: str, outcomes: DataFrame, n_rows: int, initial: DataFrame | None, number) -> DataFrame:
+    """row, place, first: rows in the order of the event at which they begin to change.
+
+    A row without former weights stays 0 up to its outcome's first event.  Rows with some have no first event (null) and stand in
+    front; rows without weights and events never change.  ``number`` gives (row, place) for (first, row) in ascending order.
+    """
+    spark = outcomes.sparkSession
+    events = spark.read.parquet(path).select("event_id", F.explode("outcome_ids").alias("row"))
+    found = outcomes.select(F.col("id").alias("row")).join(events.groupBy("row").agg(F.min("event_id").alias("first")), "row", "left")
+    found = found.withColumn("first", F.coalesce(F.col("first").cast("long"), F.lit(2**63 - 1)))
+    if initial is not None:
+        held = initial.select("row", F.lit(True).alias("held")).distinct()
+        found = found.join(held, "row", "left").withColumn("first", F.when(F.col("held").isNull(), F.col("first"))).drop("held")
+    found = materialise(found.select("first", "row"), "first-events")
+    return materialise(found.join(number(found, n_rows), "row").select("row", "place", "first"), "places")
+
+
 # ranges ----------------------------------------------------------------------------------
 
 
@@ -322,10 +366,10 @@ def run_ranges(spark: SparkSession, path: str, rule: Rule, n_inputs: int, n_rows
         for batch in batches:
             for r in batch.to_pylist():
                 w = np.zeros((n_inputs, n_rows))
-                _read_state(start, 0, w, 0)
+                _read_state(start, 0, w, np.arange(n_rows))
                 change = Change.unpacked(r["ids"], r["m"], r["v"])
                 w[change.ids] = change.on(w[change.ids])
-                yield from _rows_of(w, 0)
+                yield from _rows_of(w, np.arange(n_rows))
 
     parts = max(1, len(names))
     if not names:
