@@ -16,7 +16,7 @@ their capacity together is no more than the spare one.  What is left of any rang
 its D, and a key that counts as frequent does so for either set, so no pair is lost.
 
 1. Equal sets are one class; only one set of each class goes on.
-2. Keys of few sets give all their pairs (those of two and three without another shuffle).  Keys of many give each set's pairs with the
+2. Keys are counted in rounds, a range of keys each.  Keys of few sets give all their pairs.  Keys of many give each set's pairs with the
    key's hub, the member that shares most keys.  Pairs are verified exactly on the sets.
 3. Components of these links; then, within the frequent keys, every member outside of
    the hub's component is held against all members of other components.  Pairs inside a
@@ -68,6 +68,12 @@ SHORT = 5
 SKETCH = [f"s{i}" for i in range(8)]
 #: Larger sets than this get a sketch of their own size too, of a bit an element or two.
 LARGE = 1_000
+#: Ranges of keys that are indexed one after another, so that a part of the index lies in shuffle files at a time.  The index is written
+#: with a column for each range, so every key is read once.
+ROUNDS = 4
+_ROUND_ENDS = np.array([k * (1 << 64) // ROUNDS for k in range(1, ROUNDS)], np.uint64)
+#: The bits of a key that hold its segment's number.
+_SEGMENT = np.uint64(0xFFFF)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -149,11 +155,14 @@ def first_segment(n: int, band: int, percent: int) -> int:
     return m - need if need <= ones else max(0, twos - -(-(need - ones) // 2))
 
 
-def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of a set in a band, the segment of each, and what spare capacity is left (-1: none)."""
+def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+    """Index keys of a set in a band, each with the last 16 bits of its segment's number at its end, and what spare capacity is left (-1: none).
+
+    Equal keys are of equal segments anyway, so the number takes no place from the 48 bits of hash that tell a segment's subsets apart.
+    """
     twos, m, spare = allocation(band, percent)
     if not m:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        return np.empty(0, np.uint64), 0
     start = first_segment(len(elements), band, percent)
     inner = mix(elements + np.uint64((band + 1) * int(_P1) & (1 << 64) - 1))
     segment = ((inner >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
@@ -169,26 +178,41 @@ def keys_of(elements: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
             in_two &= held[segment] > 1
         which = np.concatenate([which, segment[in_two]])
         values = np.concatenate([values, sums[segment[in_two]] - inner[in_two]])
-    names = mix(np.uint64(band << 32) + which.astype(np.uint64))
-    return mix(values + names), which, max(left, -1)
+    which = which.astype(np.uint64)
+    names = mix(np.uint64(band << 32) + which)
+    return (mix(values + names) & ~_SEGMENT) | (which & _SEGMENT), max(left, -1)
 
 
-def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, tags) of a set in its band and in every further one whose sets may link with it.
+def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(note, keys) of a set for its band and every further one whose sets may link with it.
 
-    A tag packs segment (16 bits), spare capacity left (9 bits) and band (6 bits).  With more segments
-    than that nothing is left out, and more spare capacity than that isn't used; both keep the result.
+    A note packs spare capacity left (9 bits) and band (6 bits); a note and the segment of a key are its tag.  With more segments
+    than 16 bits tell apart nothing is left out, and more spare capacity than 9 bits hold isn't used; both keep the result.
     """
     n = len(elements)
-    band = int(np.searchsorted(bands(), n, "right")) - 1
-    all_keys, tags = [], []
-    for b in range(band, int(np.searchsorted(bands(), n * 100 // percent, "right"))):
-        keys, segment, left = keys_of(elements, b, percent)
-        all_keys.append(keys)
+    if not n:
+        return []
+    out = []
+    for b in range(int(np.searchsorted(bands(), n, "right")) - 1, int(np.searchsorted(bands(), n * 100 // percent, "right"))):
+        keys, left = keys_of(elements, b, percent)
         room = min(left + 1, 511) if allocation(b, percent)[1] <= 1 << 16 else 0
-        tags.append((b << 25) | (room << 16) | (segment & 0xFFFF))
-    keys, tag = np.concatenate(all_keys), np.concatenate(tags).astype(np.int32)
-    return keys.view(np.int64), tag
+        out.append((b << 9 | room, np.sort(keys)))
+    return out
+
+
+def _by_round(found: list[list[tuple[int, np.ndarray]]]) -> list[pa.Array]:
+    """The notes and keys of some sets, a column for each round's range of keys."""
+    flat = [pair for pairs in found for pair in pairs]
+    starts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    cuts = [np.searchsorted(keys, _ROUND_ENDS).tolist() for _, keys in flat]
+    notes = pa.array([note for note, _ in flat], pa.int32())
+    columns = []
+    for r in range(ROUNDS):
+        parts = [keys[(cut[r - 1] if r else 0) : (cut[r] if r + 1 < ROUNDS else len(keys))] for (_, keys), cut in zip(flat, cuts)]
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
+        columns.append(pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([notes, keys], fields=list(_BAND))))
+    return columns
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -215,10 +239,11 @@ def too_far(x: pa.Buffer, y: pa.Buffer, total: int, percent: int) -> bool:
 
 
 PLACE = ["row_file", "row_place"]
+_BAND = pa.struct([("note", pa.int32()), ("keys", pa.list_(pa.int64()))])
 _BASE = pa.schema(
     [
         ("doc_id", pa.int64()), *zip(PLACE, (pa.string(), pa.int64())), ("n", pa.int64()), ("print", pa.binary()),
-        ("keys", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("wide", pa.binary()), *[(s, pa.int64()) for s in SKETCH],
+        *[(f"bands{r}", pa.list_(_BAND)) for r in range(ROUNDS)], ("wide", pa.binary()), *[(s, pa.int64()) for s in SKETCH],
     ]
 )
 
@@ -232,27 +257,26 @@ def _words() -> Words:
 
 
 def _base(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """rid, doc_id, place, n, print (of the set, 128 bits), keys, tags, sketch words of every row (doc_id, place, text); and their folder."""
+    """rid, doc_id, place, n, print (of the set, 128 bits), notes and keys by band, sketch words of every row (doc_id, place, text); and their folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
                 known = _words()
-                ns, prints, keys, tags, wide, sketches = [], [], [], [], [], []
+                ns, prints, keys, wide, sketches = [], [], [], [], []
                 for text in batch.column(3).to_pylist():
                     elements = shingles(text, width, known)
                     ns.append(len(elements))
                     prints.append(xxhash.xxh128_digest(elements.tobytes()) if len(elements) else None)
-                    a, b = signatures(elements, percent) if len(elements) else (np.empty(0, np.int64), np.empty(0, np.int32))
-                    keys.append(a)
-                    tags.append(b)
+                    keys.append(signatures(elements, percent))
                     wide.append(wide_sketch(elements))
                     sketches.append(sketch(elements))
-                columns = (*batch.columns[:3], ns, prints, keys, tags, wide, *np.array(sketches).reshape(-1, len(SKETCH)).T)
+                columns = (*batch.columns[:3], ns, prints, *_by_round(keys), wide, *np.array(sketches).reshape(-1, len(SKETCH)).T)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _BASE)], schema=_BASE)
 
-    kinds = "doc_id long, row_file string, row_place long, n long, print binary, keys array<long>, tags array<int>, wide binary, "
+    kinds = "doc_id long, row_file string, row_place long, n long, print binary, "
+    kinds += "".join(f"bands{r} array<struct<note:int,keys:array<long>>>, " for r in range(ROUNDS)) + "wide binary, "
     found = rows.select("doc_id", *PLACE, "text").mapInArrow(run, kinds + ", ".join(f"{s} long" for s in SKETCH))
     path = scratch(rows.sparkSession, "shingle-keys")
     found = found.select(F.monotonically_increasing_id().alias("rid"), "*")
@@ -331,40 +355,44 @@ def _may_link(percent: int) -> Column:
 
 def _pairs(members: DataFrame) -> DataFrame:
     """All pairs of the members (key, rid) of each key; for keys of few members."""
-    return members.select("key", F.col("rid").alias("a")).join(members.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b")
+    of_key = members.groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("all")).where("size(all) > 1")
+    firsts = of_key.select("all", F.posexplode("all").alias("at", "a"))
+    return firsts.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
 
 
 def _members(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows that have one of these keys.
 
-    Many keys are joined behind a filter, so that few of the other rows are shuffled: a bit for the first 26
-    bits of a key, in a table of at most 2^20 words, which is broadcast whatever the number of keys.
+    Many keys are joined behind a filter, so that few of the other rows are shuffled: a bit for 26 bits of a key's
+    hash, in a table of at most 2^20 words, which is broadcast whatever the number of keys.
     """
     if keys.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), "key")
-    word, bit = "shiftrightunsigned(key, 44)", "cast(shiftrightunsigned(key, 38) & 63 as int)"
+    word, bit = "shiftrightunsigned(xxhash64(key), 44)", "cast(shiftrightunsigned(xxhash64(key), 38) & 63 as int)"
     marks = materialise(keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("mask")), "key-marks")
     few = rows.withColumn("word", F.expr(word)).join(F.broadcast(marks), "word").where(f"shiftrightunsigned(mask, {bit}) & 1 = 1")
     return few.drop("word", "mask").join(keys, "key")
 
 
 def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs to verify, members (key, rid, hub) of frequent keys that remain)."""
-    rows = base.select("rid", "keys", "tags").join(_small(copies), "rid", "left_anti")  # a set of each class
-    rows = rows.select("rid", F.explode(F.arrays_zip("keys", "tags")).alias("e")).select(F.col("e.keys").alias("key"), F.col("e.tags").alias("tag"), "rid")
-    # one-deletion keys repeat within a set only by chance; counting them twice does no harm
-    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bit_xor("rid").alias("x")).where("lo < hi"), "key-counts")
-    # the members of keys of two and three are known from the counts: the third is what the least and largest leave of the sum of bits
-    third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    lo, hi = F.col("lo"), F.col("hi")
-    of_three = F.array(pair(lo, hi), pair(lo, third), pair(hi, third))
-    twos = counts.where("c <= 3").select(F.explode(F.when(F.col("c") == 2, F.array(pair(lo, hi))).otherwise(of_three)).alias("p")).select("p.a", "p.b").where("a < b")
-    members = materialise(_members(rows, counts.where("c > 3").select("key", "c")), "key-members")
+    """(pairs to verify, members (key, rid, hub) of frequent keys that remain).
+
+    Keys are counted first: nearly all are of one set, and a key and its count are the least that tells.  Sets' numbers are
+    read with the keys that remain.
+    """
+    one_each = base.join(_small(copies), "rid", "left_anti")  # a set of each class
+    parts = []
+    for r in range(ROUNDS):
+        rows = one_each.select("rid", F.explode(f"bands{r}").alias("band")).select("rid", F.col("band.note").alias("note"), F.explode("band.keys").alias("key"))
+        rows = rows.select("key", F.shiftleft("note", 16).bitwiseOR(F.col("key").bitwiseAND(int(_SEGMENT)).cast("int")).alias("tag"), "rid")
+        # one-deletion keys repeat within a set only by chance; counting them twice does no harm
+        counts = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key-counts")
+        parts.append(materialise(_members(rows, counts), "key-members"))
+    members = functools.reduce(DataFrame.unionAll, parts)
     few = members.where(F.col("c") <= FREQUENT).select("key", "rid")
     many = members.where(F.col("c") > FREQUENT)
     if many.isEmpty():
-        return twos.unionAll(_pairs(few)).distinct(), None
+        return _pairs(few).distinct(), None
     # a set leaves out its frequent segments while their capacity fits into what is left of the spare one
     band, left, segment = F.shiftright("tag", 25), F.shiftright("tag", 16).bitwiseAND(0x1FF) - 1, F.col("tag").bitwiseAND(0xFFFF)
     capacity = F.when(segment < _twos(percent, band), 2).otherwise(1)
@@ -380,7 +408,7 @@ def _candidates(base: DataFrame, copies: DataFrame, percent: int) -> tuple[DataF
     many = materialise(many.select("key", "rid").join(hubs, "key"), "hub-members")
     shared = many.where("rid <> hub").groupBy("rid", "hub").count()
     first = shared.groupBy("rid").agg(F.max(F.struct("count", "hub")).alias("top")).select(F.least("rid", "top.hub").alias("a"), F.greatest("rid", "top.hub").alias("b"))
-    return twos.unionAll(_pairs(few)).unionAll(first).distinct(), many
+    return _pairs(few).unionAll(first).distinct(), many
 
 
 def _twos(percent: int, band):
