@@ -40,6 +40,18 @@ def _joined(events: DataFrame, column: str, table: DataFrame, how: str) -> DataF
     return back.withColumn(column, F.coalesce(F.transform("_all", lambda x: x["v"]), F.array().cast("array<string>"))).drop("_all").select(*events.columns)
 
 
+def _table(events: DataFrame, tokens: Tokens | Mapping[str, str] | DataFrame) -> Tokens | Mapping[str, str] | DataFrame:
+    """Tokens or a map as a table (token[, target]) if they are too many for the plan."""
+    if tokens is None or isinstance(tokens, (str, DataFrame)):
+        return tokens
+    tokens = tokens if isinstance(tokens, Mapping) else list(tokens)
+    if len(tokens) <= INLINE:
+        return tokens
+    if isinstance(tokens, Mapping):
+        return events.sparkSession.createDataFrame(list(tokens.items()), "token string, target string")
+    return events.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+
+
 def filter_events(
     events: DataFrame,
     *,
@@ -53,9 +65,11 @@ def filter_events(
     """Events with filtered or remapped tokens.
 
     Events without a cue left go; events without an outcome stay (they are background).  Tables
-    (``token``[, ``target``]) stand for sets too large for the plan.  Duplicates are kept.
+    (``token``[, ``target``]) stand for sets too large for the plan; collections of more than ``INLINE``
+    tokens become such tables, which are joined by ``event_id``.  Duplicates are kept.
     """
     for column, keep, remove, remap in (("cues", keep_cues, remove_cues, cue_map), ("outcomes", keep_outcomes, remove_outcomes, outcome_map)):
+        keep, remove, remap = (_table(events, x) for x in (keep, remove, remap))
         frames = [(x, how) for x, how in ((keep, "left_semi"), (remove, "left_anti"), (remap, "inner")) if isinstance(x, DataFrame)]
         if frames:
             if len(frames) + sum(x is not None and not isinstance(x, DataFrame) and x != "all" for x in (keep, remove, remap)) > 1:

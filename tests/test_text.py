@@ -89,6 +89,27 @@ def test_filters(spark):
     assert text_of(filters.filter_events(e, remove_cues=["alb", "NEI", "b", "XX"])) == [("#of_of#", "term_not_of"), ("#of_of#_#of", "term_not")]
 
 
+@pytest.mark.parametrize(
+    "rules",
+    [
+        {"keep_cues": ["#of", "of#", "of#", "other"]},
+        {"remove_cues": ("alb", "NEI", "b", "XX")},
+        {"cue_map": {"#of": "x", "of#": "x", "XX": "", "b": "y"}},
+        {"keep_outcomes": {"of", "not"}, "remove_cues": ["b", "XX"]},
+        {"outcome_map": {"of": "o", "term": "", "not": "n"}, "keep_cues": ["#of", "b", "XX"]},
+    ],
+)
+def test_many_tokens_are_joined(spark, monkeypatch, rules):
+    e = events(spark, ("#of_alb_NEI_b_of#_XX", "term_not_of"), ("alb_NEI_b_XX", "term_not_of"), ("#of_of#_#of", "term_not"), ("alb", ""))
+    expected = text_of(filters.filter_events(e, **rules))
+    monkeypatch.setattr(filters, "INLINE", 1)
+    joined = filters.filter_events(e, **rules)
+    assert text_of(joined) == expected
+    assert "Join" in joined._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        filters.filter_events(e, keep_cues=["a", "b"], remove_cues=["c", "d"])
+
+
 def test_event_files(spark, tmp_path):
     e = events(spark, ("a_b", "A"), ("b", ""), ("a_a", "A_B"))
     sinks.write_events(e, str(tmp_path / "e"))
