@@ -7,9 +7,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import filesystem, scratch
+
 
 def _tsv(df: DataFrame, path: str, compression: str | None) -> None:
     """Rows as lines of plain text, columns between tabs, each file behind a header; nulls are empty.  A tab or line end in a value is an error.
@@ -29,9 +32,11 @@ def _tsv(df: DataFrame, path: str, compression: str | None) -> None:
     lines.write.mode("errorifexists").option("compression", compression or "none").text(path)
 
 
-def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False, one_file: bool = False) -> None:
+def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False, one_file: bool = False, per_file: int | None = None) -> None:
     """Tab-separated files whose names sort as their events' ``event_id``, each with a header, tokens joined with ``_``.
 
+    ``per_file`` is about how many events a file holds (none: as many as a task gets).
+
     ``one_file`` is for other programs that read a single file: all events pass through one task then.
     """
     names = ("Cues", "Outcomes") if compatible else columns
@@ -40,10 +45,24 @@ def write_events(events: DataFrame, path: str, *, compression: str | None = "gzi
     if compatible:
         warnings.warn("with a Frequency column, as other programs expect it", stacklevel=2)
         parts.append(F.lit(1).alias("Frequency"))
-    laid = events.coalesce(1) if one_file else events.repartitionByRange("event_id")
+    if one_file:
+        laid = events.coalesce(1)
+    elif per_file is None:
+        laid = events.repartitionByRange("event_id")
+    else:
+        laid = events.repartitionByRange(max(1, -(-events.count() // per_file)), "event_id")
     _tsv(laid.sortWithinPartitions("event_id").select(*parts), path, compression)
 
 
+def write_arrivals(events: DataFrame, path: str, per_file: int) -> None:
+    """Parquet files of about so many events, written one after the other in the order of ``event_id``: a stream of files takes them by their times."""
+    spark, laid = events.sparkSession, scratch(events.sparkSession, "arrivals")
+    events.repartitionByRange(max(1, -(-events.count() // per_file)), "event_id").write.parquet(laid)
+    fs, folder = filesystem(laid)
+    for name in sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith("part-")):
+        spark.read.schema(events.schema).parquet(f"{laid}/{name}").coalesce(1).write.mode("append").parquet(path)
+
+
 def write_encoded(encoded: DataFrame, path: str, *, start: int = 0, stop: int | None = None, events_per_file: int = 10_000_000, overwrite: bool = False) -> int:
     """Encoded events of [start, stop) as Parquet, in order over all files; returns how many."""
     if events_per_file < 2:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,13 +16,68 @@ from ..storage import scratch
 
 _OUT = "outcome string, cue string, weight double, last_event long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTS = "spark.sql.shuffle.partitions"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Events of a block, which is one row on the way to the learners.
+BLOCK = 5_000
+_CODED = pa.dictionary(pa.int32(), pa.string())
+_BLOCK = pa.schema([("event_id", pa.int64()), ("cues", pa.list_(_CODED)), ("outcomes", pa.list_(_CODED)), ("buckets", pa.list_(pa.int32()))])
+
+
 def _bucket(outcome, buckets: int):
     return F.pmod(F.xxhash64(outcome), F.lit(buckets)).cast("int")
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block: event_id, cues, outcomes and their buckets of up to ``BLOCK`` events, each token written once."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(s, BLOCK)
+            columns = [part.column(0)]
+            if part.column(1).flatten().null_count:
+                raise ValueError("a cue is null")
+            for column, kind in zip(part.columns[1:], (_CODED, _CODED, pa.int32())):
+                offsets = pa.array(np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()]), pa.int32())
+                values = column.flatten()
+                columns.append(pa.ListArray.from_arrays(offsets, values.dictionary_encode().cast(kind) if kind is _CODED else values))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _BLOCK) as out:
+                out.write_batch(pa.RecordBatch.from_arrays(columns, schema=_BLOCK))
+            yield pa.RecordBatch.from_pydict({"block": [sink.getvalue().to_pybytes()]})
+
+
+class Tokens:
+    """Tokens of the events of a batch as numbers, a block at a time; ``seen`` are the tokens in the order of their numbers."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.sizes: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+
+    def add(self, column: pa.ListArray, kept: np.ndarray | None = None) -> None:
+        values, sizes = column.values, np.diff(column.offsets.to_numpy())
+        codes = values.indices.to_numpy(zero_copy_only=False)
+        if kept is not None:
+            codes, sizes = codes[kept], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        names, own = values.dictionary.to_pylist(), np.unique(codes)
+        numbers = np.zeros(len(names), np.int32)
+        numbers[own] = [self.seen.setdefault(names[k], len(self.seen)) for k in own.tolist()]
+        self.codes.append(numbers[codes])
+        self.sizes.append(sizes.astype(np.int32))
+
+    def sorted(self, order: np.ndarray | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets, and the places of the tokens, of the events in an order (none: as they came)."""
+        place = np.array([places[t] for t in self.seen], np.int32)
+        sizes, codes = np.concatenate(self.sizes), np.concatenate(self.codes)
+        if order is not None:
+            starts, sizes = (np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order]
+            ends = np.cumsum(sizes, dtype=np.int64)
+            codes = codes[np.arange(len(codes)) + np.repeat(starts - ends + sizes, sizes)]
+        return np.cumsum(np.concatenate([[0], sizes]), dtype=np.int64), place[codes] if len(place) else codes
+
+
 class Learner(StatefulProcessor):
     """A bucket's outcomes (their places are those of the weights in a cue's row), its last event, and a row of weights for each cue.
 
@@ -55,21 +111,27 @@ class Learner(StatefulProcessor):
         return row
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("event_id")
-        ids, last = batch["event_id"].to_numpy(), self.last.get()[0] if self.last.exists() else None
+        found, cued, named = [], Tokens(), Tokens()
+        for block in (b for frame in rows for b in frame["block"]):
+            (part,) = pa.ipc.open_stream(block)
+            found.append(part.column(0).to_numpy())
+            cued.add(part.column(1))
+            named.add(part.column(2), part.column(3).values.to_numpy() == key[0])
+        ids, last, order = np.concatenate(found), self.last.get()[0] if self.last.exists() else None, None
+        if (np.diff(ids) <= 0).any():
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
         late = np.flatnonzero(np.diff(ids) <= 0)
         if len(late) or (last is not None and ids[0] <= last):
             raise ValueError(f"event {ids[late[0] + 1] if len(late) else ids[0]} comes after event {ids[late[0]] if len(late) else last}")
         self.last.update((int(ids[-1]),))
-        names = self._names(o for own in batch["own"] for o in own)
-        cues = {c: i for i, c in enumerate(sorted({c for own in batch["cues"] for c in own}))}
+        names = self._names(named.seen)
+        if not names:  # nothing to unlearn yet
+            return
+        cues = {c: i for i, c in enumerate(sorted(cued.seen))}
         before = np.array([self._row(c, len(names)) for c in cues]).reshape(len(cues), len(names))
         w = before.copy()
-        coded = []
-        for column, places in (("cues", cues), ("own", names)):
-            lists = batch[column].tolist()
-            coded += [np.cumsum([0, *map(len, lists)]), np.array([places[t] for own in lists for t in own], np.int64)]
-        kernel.learn(w, iter([tuple(coded)]), self.rule, 0, len(names))
+        kernel.learn(w, iter([(*cued.sorted(order, cues), *named.sorted(order, names))]), self.rule, 0, len(names))
         for cue, at in cues.items():
             self.rows.updateValue((cue,), (w[at].tobytes(),))
         at, of = np.nonzero(w != before)
@@ -93,19 +155,19 @@ def stream_learn(
     """outcome, cue, weight, last_event after each micro-batch, in update mode.
 
     Every event goes to every bucket, as absent outcomes unlearn as well; an outcome belongs to the bucket of its
-    hash.  Within a batch events are sorted; an id that is not above the last one seen is an error.
+    hash.  Events travel in packed blocks, and a task holds a micro-batch as numbers: limit what the source gives a batch.  Within a batch events are sorted; an id that is not above the last one seen is an error.
     ``weights`` (outcome, cue, weight) of former learning are the state's start; with a checkpoint that has one already they aren't read.
     The session's state store must be the one on RocksDB, which ``learn_available`` sets.
     """
-    wide = events.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    bucket_of = F.transform("outcomes", lambda o: F.when(_bucket(o, buckets) == F.col("bucket"), o))
-    own = wide.withColumn("own", F.filter(bucket_of, lambda o: o.isNotNull()))
+    told = F.filter("outcomes", lambda o: o.isNotNull())
+    shaped = events.select("event_id", "cues", told.alias("outcomes"), F.transform(told, lambda o: _bucket(o, buckets)).alias("buckets"))
+    blocks = shaped.mapInArrow(pack, "block binary")
     start = None
     if weights is not None:  # a table of its own, as the stream's plan can't hold any plan
         path = scratch(events.sparkSession, "stream-start")
         weights.select(_bucket("outcome", buckets).alias("bucket"), "outcome", "cue", "weight").where("weight <> 0").write.parquet(path)
         start = events.sparkSession.read.parquet(path).groupBy("bucket")
-    grouped = own.select("bucket", "event_id", "cues", "own").groupBy("bucket")
+    grouped = blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).groupBy("bucket")
     return grouped.transformWithStateInPandas(Learner(alpha, betas, lambda_), _OUT, "Update", "None", start)
 
 
@@ -114,14 +176,27 @@ def on_rocks(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, _ROCKS)
 
 
-def learn_available(events: DataFrame, checkpoint: str, out: str, **rates) -> DataFrame:
-    """Run the stream over what is there; the last weights of each pair."""
-    on_rocks(events.sparkSession)
-    query = stream_learn(events, **rates).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+def learn_available(events: DataFrame, checkpoint: str, out: str, buckets: int = 8, **rates) -> DataFrame:
+    """Run the stream over what is there, in as many micro-batches as its source gives; the last weights of each pair.
+
+    The trigger for what is available takes one batch alone from a source in Python, so the stream runs until nothing is left.
+    """
+    spark = events.sparkSession
+    on_rocks(spark)
+    query = stream_learn(events, buckets=buckets, **rates).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces its own
 
-    query.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    last = events.sparkSession.read.parquet(out).groupBy("outcome", "cue").agg(F.max_by("weight", "last_event").alias("weight"))
+    parts = spark.conf.get(_PARTS)
+    spark.conf.set(_PARTS, 2 * buckets)  # each is a state store; more than a few stay empty
+    try:
+        running = query.foreachBatch(keep).start()
+    finally:
+        spark.conf.set(_PARTS, parts)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    last = spark.read.parquet(out).groupBy("outcome", "cue").agg(F.max_by("weight", "last_event").alias("weight"))
     return last
