@@ -28,8 +28,7 @@ def create_corpus(spark: SparkSession, directory: str, path: str, break_duration
 def create_event_file(spark: SparkSession, corpus_path: str, event_path: str, *, context_structure: str = "document", **options) -> None:
     """Events of a corpus as an event file, which must be new; the options are those of ``corpus_to_events``."""
     texts = readers.read_corpus(spark, corpus_path, by_document=context_structure == "document")
-    found = corpus.corpus_to_events(texts, context_structure=context_structure, **options)
-    sinks.write_events(corpus.number_events(found, "doc_id", "context", "place"), event_path)
+    sinks.write_events(corpus.laid_events(texts, context_structure=context_structure, **options), event_path, laid_out=True)
 
 
 def filter_event_file(spark: SparkSession, input_path: str, output_path: str, **rules) -> None:

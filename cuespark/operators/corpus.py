@@ -71,6 +71,19 @@ def corpus_to_events(
     return found
 
 
+def laid_events(corpus: DataFrame, *, order: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
+    """The events of ``corpus_to_events`` in their order over all partitions.
+
+    Texts are laid out ahead, so the many times larger events aren't moved.  Only where texts share their order columns, whose events
+    stand among each other, the events are.
+    """
+    corpus = corpus.select(*order, text_col)
+    if corpus.groupBy(*order).count().where("count > 1").isEmpty():
+        return corpus_to_events(corpus.repartitionByRange(*order).sortWithinPartitions(*order), order=order, text_col=text_col, **options)
+    by = (*order, "context", "place")
+    return corpus_to_events(corpus, order=order, text_col=text_col, **options).repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def number_events(events: DataFrame, *order: str) -> DataFrame:
     """event_id (from 0, without gaps, in the given order), cues, outcomes.
 

@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.corpus import number_events
 from ..schema import COUNTER, EVENTS
@@ -23,25 +24,42 @@ def _lines(spark: SparkSession, path: str, compression: str | None, end: str | N
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
+def _numbered(lines: DataFrame, header: bool = False) -> tuple[DataFrame, bool]:
+    """(event_id, value) of all lines in the order of path, block and place, headers left out; and whether any has a third column.
+
+    Blocks are counted and laid end to end, so no line is moved.  Should the splits of the files differ between counting and
+    reading, a place lies outside of its block, which is an error.
+    """
+    skip = F.when(F.col("block") == 0, 1).otherwise(0) if header else F.lit(0)
+    third = F.max(F.substring_index("value", "\t", 2) != F.col("value")).alias("third")
+    counts = materialise(lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), third), "blocks")  # a row for each block
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", "first", "n", F.coalesce(F.sum(F.col("n") - skip).over(before), F.lit(0)).alias("start"))
+    placed = lines.join(F.broadcast(starts), ["path", "block"], "left").withColumn("place", F.col("at") - F.col("first"))
+    lost = F.raise_error(F.concat(F.lit("read otherwise than it was counted: "), F.col("path")))
+    there = (F.col("place") >= 0) & (F.col("place") < F.col("n"))
+    own = F.when(there, F.col("place")).otherwise(lost.cast("long")) - skip
+    body = F.when(F.col("place") >= 0, F.col("value")).alias("value")  # so that no condition on values is tried on headers
+    numbered = placed.select("start", own.alias("place"), "value").where("place >= 0").select((F.col("start") + F.col("place")).alias("event_id"), body)
+    return numbered, bool(counts.agg(F.max("third")).first()[0])
+
+
 def read_events(spark: SparkSession, path: str, compression: str | None = "gzip", start: int = 0, step: int = 1) -> DataFrame:
     """event_id, cues, outcomes of an event file: a header, then two or three tab-separated columns.
 
     Cues and outcomes are split at ``_``; an empty column is the token ``''``.  A third column repeats
     the row so often.  ``start`` and ``step`` pick lines, before that.
     """
-    lines = _lines(spark, path, compression)
-    heads = lines.where("block = 0").groupBy("path").agg(F.min("at").alias("at"))
-    body = lines.join(F.broadcast(heads), ["path", "at"], "left_anti")  # one row for each file
+    numbered, third = _numbered(_lines(spark, path, compression), header=True)
+    chosen = numbered.where((F.col("event_id") >= start) & ((F.col("event_id") - start) % step == 0))
     columns = F.split("value", "\t")
     n = F.size(columns)
     ok = F.when((n == 2) | (n == 3), columns).otherwise(F.raise_error(F.concat(F.lit("an event has two or three columns: "), F.col("value"))))
-    rows = body.select("path", "block", "at", ok.alias("c"))
-    rows = rows.select("path", "block", "at", F.split(F.col("c")[0], "_").alias("cues"), F.split(F.col("c")[1], "_").alias("outcomes"), F.when(F.size("c") == 3, F.get("c", F.lit(2)).cast("int")).otherwise(1).alias("freq"))
-    packed = number_events(rows.select("path", "block", "at", F.struct("cues", "freq").alias("cues"), "outcomes"), "path", "block", "at")
-    chosen = packed.where((F.col("event_id") >= start) & ((F.col("event_id") - start) % step == 0)).select("event_id", "cues.cues", "outcomes", "cues.freq").where("freq >= 1")
-    if chosen.where("freq > 1").isEmpty() and start == 0 and step == 1:
-        return chosen.select("event_id", "cues", "outcomes")
-    return expand_frequency(chosen)
+    rows = chosen.select("event_id", ok.alias("c")).select("event_id", F.split(F.col("c")[0], "_").alias("cues"), F.split(F.col("c")[1], "_").alias("outcomes"), "c")
+    rows = rows.withColumn("freq", F.when(F.size("c") == 3, F.get("c", F.lit(2)).cast("int")).otherwise(1))
+    if third and not rows.where("freq <> 1").isEmpty():
+        return expand_frequency(rows.select("event_id", "cues", "outcomes", "freq"))
+    return rows.select(F.expr(f"(event_id - {start}) div {step}").alias("event_id"), "cues", "outcomes")
 
 
 def expand_frequency(events: DataFrame) -> DataFrame:
@@ -72,9 +90,8 @@ def read_corpus(spark: SparkSession, path: str, by_document: bool = True) -> Dat
 
     Large files are split at the markers, so no task reads a corpus whole.
     """
-    lines = _lines(spark, path, None, ROW_END if by_document else None)
-    numbered = number_events(lines.select("path", "block", "at", F.array("value").alias("cues"), F.lit(None).alias("outcomes")), "path", "block", "at")
-    return numbered.select(F.col("event_id").alias("doc_id"), F.col("cues")[0].alias("text"))
+    numbered, _ = _numbered(_lines(spark, path, None, ROW_END if by_document else None))
+    return numbered.select(F.col("event_id").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_counter(spark: SparkSession, path: str) -> DataFrame:

@@ -32,10 +32,11 @@ def _tsv(df: DataFrame, path: str, compression: str | None) -> None:
     lines.write.mode("errorifexists").option("compression", compression or "none").text(path)
 
 
-def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False, one_file: bool = False, per_file: int | None = None) -> None:
+def write_events(events: DataFrame, path: str, *, compression: str | None = "gzip", columns: tuple[str, str] = ("cues", "outcomes"), compatible: bool = False, one_file: bool = False, per_file: int | None = None, laid_out: bool = False) -> None:
     """Tab-separated files whose names sort as their events' ``event_id``, each with a header, tokens joined with ``_``.
 
-    ``per_file`` is about how many events a file holds (none: as many as a task gets).
+    ``per_file`` is about how many events a file holds (none: as many as a task gets).  Events that are ``laid_out`` stand in order over all
+    partitions, as ``corpus.laid_events`` gives them; they stay there, and need no ``event_id``.
 
     ``one_file`` is for other programs that read a single file: all events pass through one task then.
     """
@@ -45,6 +46,8 @@ def write_events(events: DataFrame, path: str, *, compression: str | None = "gzi
     if compatible:
         warnings.warn("with a Frequency column, as other programs expect it", stacklevel=2)
         parts.append(F.lit(1).alias("Frequency"))
+    if laid_out:
+        return _tsv(events.select(*parts), path, compression)
     if one_file:
         laid = events.coalesce(1)
     elif per_file is None:

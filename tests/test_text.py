@@ -235,3 +235,40 @@ def test_sysinfo(capsys):
     from cuespark.info import sysinfo
 
     assert "Spark" in sysinfo() and "Spark" in capsys.readouterr().out
+
+
+def test_texts_are_laid_out_and_lines_numbered_without_moving_events(spark, tmp_path, monkeypatch):
+    """Texts that share an id, nulls among them, still give the order of (id, context, place); with ids of their own no event is laid out."""
+    from cuespark import storage
+
+    texts = [(3, "c d e---END.OF.DOCUMENT---f"), (1, "a b"), (None, "n"), (2, None), (5, "x y z w")]
+    cases = {"own": texts, "shared": [*texts, (3, "g h")]}
+    for name, rows in cases.items():
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want = [r.place for r in C.corpus_to_events(table).orderBy("doc_id", "context", "place").collect()]
+        laid = C.laid_events(table)
+        assert [r.place for r in laid.collect()] == want  # as they stand
+        written, real = [], storage.materialise
+        monkeypatch.setattr(storage, "materialise", lambda df, what: written.append(what) or real(df, what))
+        sinks.write_events(laid, str(tmp_path / name), laid_out=True)
+        back = readers.read_events(spark, str(tmp_path / name))
+        assert [r.event_id for r in back.orderBy("event_id").collect()] == list(range(len(want))) and "ordered" not in written
+        assert text_of(back) == [tuple("_".join(x) for x in (r.cues, r.outcomes)) for r in laid.collect()]
+        monkeypatch.undo()
+
+
+def test_lines_of_split_files_are_numbered_by_blocks(spark, tmp_path):
+    rows = [(i, [f"c{i}"], ["o"]) for i in range(300)]
+    sinks.write_events(spark.createDataFrame(rows, "event_id long, cues array<string>, outcomes array<string>"), str(tmp_path / "e"), compression=None, per_file=100)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        for start, step in ((0, 1), (7, 3)):
+            got = readers.read_events(spark, str(tmp_path / "e"), None, start, step)
+            assert sorted((r.event_id, r.cues[0]) for r in got.collect()) == [(k, f"c{i}") for k, i in enumerate(range(start, 300, step))]
+        held = readers.read_events(spark, str(tmp_path / "e"), None)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # other splits than those that were counted
+        with pytest.raises(Exception, match="read otherwise than it was counted"):
+            held.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
