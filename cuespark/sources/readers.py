@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import gzip
+import io
+import itertools
+import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from xml.etree import ElementTree
@@ -113,13 +118,36 @@ def seconds(code: str) -> float:
     return 3600 * hours + 60 * minutes + whole + frames / FRAMES_PER_SECOND
 
 
-def subtitle_lines(content: bytes, break_duration: float = 2.0) -> list[str]:
-    """Sentences of one subtitle file.  A line break goes in front for each start that lies long after the last end.
+def sentences(parts: Iterable[bytes], break_duration: float = 2.0) -> Iterator[str]:
+    """Sentences of one subtitle file, read part by part.  A line break goes in front for each start that lies long after the last end.
 
     Sentences without words are as if they weren't there, their times included.
     """
-    out, ended = [], 0.0
-    for sentence in ElementTree.fromstring(content.decode("utf-8-sig")).iterfind("s"):
+    decode, parser = codecs.getincrementaldecoder("utf-8-sig")().decode, ElementTree.XMLPullParser(["start", "end"])
+    open_tags: list[ElementTree.Element] = []
+    ended = 0.0
+
+    def found(last: bool) -> Iterator[ElementTree.Element]:
+        if last:
+            parser.feed(decode(b"", True))
+            parser.close()
+        for event, element in parser.read_events():
+            if event == "start":
+                open_tags.append(element)
+                continue
+            open_tags.pop()
+            if len(open_tags) == 1:
+                if element.tag == "s":
+                    yield element
+                open_tags[0].clear()  # a file's elements aren't kept
+
+    def all_found() -> Iterator[ElementTree.Element]:
+        for part in parts:
+            parser.feed(decode(part))
+            yield from found(False)
+        yield from found(True)
+
+    for sentence in all_found():
         words = [w.text for w in sentence.iterfind("w")]
         if None in words:
             raise ValueError("a word without text")
@@ -135,8 +163,12 @@ def subtitle_lines(content: bytes, break_duration: float = 2.0) -> list[str]:
                 breaks += at - ended > break_duration
             else:
                 raise ValueError(f"a time tag of kind {kind!r}")
-        out.append("\n" * breaks + text)
-    return out
+        yield "\n" * breaks + text
+
+
+def subtitle_lines(content: bytes, break_duration: float = 2.0) -> list[str]:
+    """All sentences of a subtitle file."""
+    return list(sentences([content], break_duration))
 
 
 def subtitle_files(spark: SparkSession, directory: str, *, skip_missing: bool = False) -> DataFrame:
@@ -148,25 +180,32 @@ def subtitle_files(spark: SparkSession, directory: str, *, skip_missing: bool =
 _PARSED = "path string, line_no long, text string, error string"
 
 
+#: Lines that a task holds of a file; a file's text is read in parts of so many bytes.
+LINES, PART = 10_000, 1 << 20
+
+
 def parse_subtitles(files: DataFrame, break_duration: float = 5.0) -> DataFrame:
-    """path, line_no, text, error of (path, content): the lines of each file, or one row of an error for a file that can't be read.
+    """path, line_no, text, error of (path, content): the lines of each file; of one that can't be read those ahead of the damage and a row of the error.
 
-    A file that breaks off or is malformed anywhere gives no lines.
+    An error's ``line_no`` is how many lines stand ahead of it, which aren't to be used: ``sort_subtitles`` leaves them out.
     """
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import zlib
+    def lines_of(content: bytes) -> Iterator[str]:
+        with gzip.GzipFile(fileobj=io.BytesIO(content)) as source:
+            for sentence in sentences(iter(lambda: source.read(PART), b""), break_duration):
+                yield from sentence.split("\n")
+        yield from ("", "---END.OF.DOCUMENT---", "")
 
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
+                lines, n = lines_of(content), 0
                 try:
-                    lines = [x for sentence in subtitle_lines(gzip.decompress(content), break_duration) for x in sentence.split("\n")]
+                    while part := list(itertools.islice(lines, LINES)):
+                        yield pd.DataFrame({"path": path, "line_no": range(n, n + len(part)), "text": part, "error": None})
+                        n += len(part)
                 except (OSError, EOFError, zlib.error, ValueError, KeyError, ElementTree.ParseError) as e:
-                    yield pd.DataFrame({"path": [path], "line_no": [None], "text": [None], "error": [f"{type(e).__name__}: {e}"]})
-                    continue
-                lines += ["", "---END.OF.DOCUMENT---", ""]
-                yield pd.DataFrame({"path": path, "line_no": range(len(lines)), "text": lines, "error": None})
+                    yield pd.DataFrame({"path": [path], "line_no": [n], "text": [None], "error": [f"{type(e).__name__}: {e}"]})
 
     return files.mapInPandas(parse, _PARSED)
 
@@ -192,8 +231,15 @@ def sort_subtitles(spark: SparkSession, directory: str, break_duration: float =
     files = subtitle_files(spark, directory, skip_missing=True)
     listed = materialise(files.select("path"), "listed")
     seen = Observation()
-    first, bad = F.col("line_no") == 0, F.col("error").isNotNull()
+    bad = F.col("error").isNotNull()
+    first = (F.col("line_no") == 0) & ~bad
     parsed = parse_subtitles(files, break_duration)
-    parsed = materialise(parsed.observe(seen, F.count_if(~bad).alias("lines"), F.count_if(first).alias("files"), F.count_if(bad).alias("damaged")), "subtitles")
+    ahead = F.coalesce(F.sum(F.when(bad, F.col("line_no"))), F.lit(0))  # lines and first lines of damaged files don't count
+    good = F.count_if(first) - F.count_if(bad & (F.col("line_no") > 0))
+    parsed = materialise(parsed.observe(seen, (F.count_if(~bad) - ahead).alias("lines"), good.alias("files"), F.count_if(bad).alias("damaged")), "subtitles")
+    counts, damaged = dict(seen.get), parsed.where(bad).select("path", "error")
+    lines = parsed.where(~bad).drop("error")
+    if counts["damaged"]:
+        lines = lines.join(damaged.select("path"), "path", "left_anti")
     missing = listed.join(parsed.where(first | bad).select("path"), "path", "left_anti")
-    return Subtitles(parsed.where(~bad).drop("error"), parsed.where(bad).select("path", "error"), missing, dict(seen.get))
+    return Subtitles(lines, damaged, missing, counts)

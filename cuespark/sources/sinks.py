@@ -95,8 +95,8 @@ def write_list(names: DataFrame, path: str) -> None:
     names.sort(*names.columns).write.mode("errorifexists").text(path)
 
 
-def write_subtitles(sentences: DataFrame, path: str, *order: str) -> None:
-    """Gzip files of subtitle sentences (column ``sentence``, XML), in the given order; each partition is a document."""
+def write_subtitles(sentences: DataFrame, path: str, *order: str, per_document: int = 20_000) -> None:
+    """Gzip files of subtitle sentences (column ``sentence``, XML), in the given order; a document holds about so many."""
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
@@ -108,7 +108,8 @@ def write_subtitles(sentences: DataFrame, path: str, *order: str) -> None:
         if begun:
             yield pa.RecordBatch.from_pydict({"value": ["</document>"]})
 
-    ordered = sentences.repartitionByRange(*order).sortWithinPartitions(*order).select("sentence")
+    documents = max(1, -(-sentences.count() // per_document))
+    ordered = sentences.repartitionByRange(documents, *order).sortWithinPartitions(*order).select("sentence")
     ordered.mapInArrow(wrap, "value string").write.mode("errorifexists").option("compression", "gzip").text(path)
 
 

@@ -82,3 +82,33 @@ def test_no_files(spark, tmp_path):
     found = readers.sort_subtitles(spark, str(tmp_path / "in"))
     assert found.counts == {"lines": 0, "files": 0, "damaged": 0}
     assert found.lines.isEmpty() and found.damaged.isEmpty() and found.missing.isEmpty()
+
+
+def test_a_long_file_is_parsed_in_parts(spark, tmp_path, monkeypatch):
+    """Elements that are done are let go; a file that breaks off late leaves no lines, though many stood ahead."""
+    import tracemalloc
+
+    body = "".join(f'<s><time id="T1S" value="0:0:1,0"/><w>w{i}</w><w>é</w></s>' for i in range(60_000))
+    whole = gzip.compress(f"﻿<d>{body}</d>".encode())
+    whole_text = f"<d>{body}</d>".encode()
+    tracemalloc.start()
+    n = sum(1 for _ in readers.sentences(whole_text[k : k + 999] for k in range(0, len(whole_text), 999)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 25_000_000  # the text alone is 4 MB; its tree 60 MB and more
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gz").write_bytes(whole)
+    (tmp_path / "in" / "b.gz").write_bytes(gzip.compress(f"<d>{body}".encode()))
+    counts = files.create_corpus(spark, str(tmp_path / "in"), str(tmp_path / "corpus"))
+    assert counts == {"lines": 60_003, "files": 1, "damaged": 1}
+    got = [r.value for r in spark.read.text(str(tmp_path / "corpus")).collect()]
+    assert got == [*(f"w{i} é" for i in range(60_000)), "", "---END.OF.DOCUMENT---", ""]
+
+
+def test_documents_hold_a_bounded_number_of_sentences(spark, tmp_path):
+    from cuespark.sources import sinks
+
+    rows = spark.range(50).selectExpr("id", "concat('<s><w>w', id, '</w></s>') as sentence")
+    sinks.write_subtitles(rows, str(tmp_path / "in"), "id", per_document=10)
+    found = readers.sort_subtitles(spark, str(tmp_path / "in"))
+    assert found.counts == {"lines": 50 + 3 * 5, "files": 5, "damaged": 0}
