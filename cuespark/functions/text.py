@@ -6,7 +6,9 @@ import re
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -49,6 +51,20 @@ def tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, " "), strip), lambda w: w != "")
 
 
+#: White space other than blanks, tabs and line ends.
+_ODD = r"(?U)[\s\x1c-\x1f&&[^ \t\n]]"
+
+
+def words(c: Column, shape: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Words of all lines of a text; ``shape`` makes blanks of tabs and what else isn't allowed.
+
+    Without white space other than blanks, tabs and line ends nothing is left to strip, so the text is split at once.
+    """
+    by_lines = F.flatten(F.transform(F.split(c, "\n"), lambda t: tokens(shape(strip(t)))))
+    at_once = F.array_remove(F.split(F.translate(shape(c), "\t\n", "  "), " "), "")
+    return F.when(c.rlike(_ODD), by_lines).otherwise(at_once)
+
+
 def contexts(c: Column) -> Column:
     """The parts of a text between document markers."""
     return F.split(c, MARKER)
@@ -88,10 +104,35 @@ def word_to_word(words: Column, before: int, after: int) -> Column:
 def ngrams(words: Column, n: int) -> Column:
     """Letter n-grams of ``#w1#w2#``; they cross word borders and keep their order and repeats.
 
-    One pattern finds them all: at every place it looks ahead for ``n`` letters.
+    One pattern finds them all: at every place it looks ahead for ``n`` letters, and takes one, which may be a pair of code units.
     """
     text = F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#"))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
+def distinct_ngrams(words: Column, n: int) -> Column:
+    """The different ones of ``ngrams`` (``n`` up to 3), in the order of their first places.
+
+    Letters are numbers of 21 bits, so an n-gram is one number, and Arrow batches are worked on as arrays of them.
+    """
+
+    def find(texts: pa.Array) -> pa.Array:
+        found, sizes = [np.empty(0, np.int64)], []
+        for text in texts:
+            letters = np.frombuffer((text.as_py() or "").encode("utf-32-le"), "<u4").astype(np.int64)
+            own = np.zeros(max(0, len(letters) - n + 1), np.int64)
+            for k in range(n):
+                own = own << 21 | letters[k : k + len(own)]
+            found.append(pd.unique(own))
+            sizes.append(len(found[-1]))
+        places, grams = pd.factorize(np.concatenate(found))
+        letters = np.stack([(grams >> 21 * (n - 1 - k)) & ((1 << 21) - 1) for k in range(n)], axis=1).astype("<u4")
+        whole = letters.tobytes().decode("utf-32-le")
+        values = pa.array([whole[k : k + n] for k in range(0, len(whole), n)], pa.string()).take(pa.array(places))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+    text = F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#"))
+    return F.arrow_udf(find, "array<string>")(text)
 
 
 def counted_words(c: Column, lower_case: bool = False) -> Column:

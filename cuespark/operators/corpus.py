@@ -29,7 +29,7 @@ def corpus_to_events(
 
     A row's text is a document (or several with markers between), or one line in the ``line``
     context.  The order columns, ``context`` and ``place`` sort the events; ``number_events`` turns
-    them into ``event_id``.  All of it is column expressions; documents are the unit of parallelism.
+    them into ``event_id``.  It is column expressions, and for the different n-grams a function on Arrow batches; documents are the unit of parallelism.
     With ``warn`` a pass ahead looks for a reserved character, and warns of the first.
     """
     if context_structure not in ("document", "line"):
@@ -43,10 +43,11 @@ def corpus_to_events(
         X.warn_reserved()
     parts = X.contexts(text) if context_structure == "document" else F.array(text)
     rows = corpus.select(*order, F.posexplode(parts).alias("context", "part"))
-    line_words = F.flatten(F.transform(F.split("part", "\n"), lambda t: X.tokens(X.clean(X.strip(t), allowed_symbols, lower_case)))) if not callable(allowed_symbols) else None
-    if line_words is None:  # a Python function can't stand inside a lambda: clean first, split afterwards
+    if callable(allowed_symbols):  # a Python function can't stand inside a lambda: clean first, split afterwards
         rows = rows.withColumn("part", X.clean(F.col("part"), lambda c: c == "\n" or allowed_symbols(c), lower_case))
-        line_words = F.flatten(F.transform(F.split("part", "\n"), lambda t: X.tokens(X.strip(t))))
+        line_words = X.words(F.col("part"))
+    else:
+        line_words = X.words(F.col("part"), lambda t: X.clean(t, allowed_symbols, lower_case))
     words = rows.select(*order, "context", line_words.alias("words")).where(F.size("words") > 0)
     none = F.array().cast("array<string>")
     # places are exploded first and the lists cut behind, which stays within generated code
@@ -65,7 +66,10 @@ def corpus_to_events(
     else:
         both = F.concat("cues", "outcomes")
         n = 2 if cue_structure == "bigrams_to_word" else 3
-        found = found.select(*order, "context", "place", X.ngrams(both, n).alias("cues"), both.alias("outcomes"))
+        grams = X.distinct_ngrams if remove_duplicates else X.ngrams
+        found = found.select(*order, "context", "place", grams(both, n).alias("cues"), both.alias("outcomes"))
+    if remove_duplicates and cue_structure != "word_to_word":
+        return found.withColumn("outcomes", F.array_distinct("outcomes"))
     if remove_duplicates:
         found = found.withColumns({c: F.array_distinct(c) for c in ("cues", "outcomes")})
     return found

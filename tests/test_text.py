@@ -272,3 +272,16 @@ def test_lines_of_split_files_are_numbered_by_blocks(spark, tmp_path):
             held.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_words_at_once_and_different_ngrams(spark):
+    """Odd white space, tabs, line ends, reserved and wide letters, empty and null texts: as by lines, and as the n-grams with repeats."""
+    texts = ["a b\tc\nd", "  ", "", None, "x y z ", " in  out\r\n", "a#b_c  d\n\n e", "\U0001f600é Straße é \U0001f600é", "aaaa aaaa"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    slow = F.flatten(F.transform(F.split(c, "\n"), lambda t: X.tokens(X.clean(X.strip(t)))))
+    got = table.select(X.words(c, X.clean).alias("got"), slow.alias("want"))
+    assert [r.got for r in got.collect()] == [r.want for r in got.collect()]
+    for n in (2, 3):
+        grams = got.select(X.distinct_ngrams(F.col("got"), n).alias("got"), F.array_distinct(X.ngrams(F.col("want"), n)).alias("want"))
+        assert [r.got or None for r in grams.collect()] == [r.want or None for r in grams.collect()]
