@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
 import posixpath
 import tempfile
 import uuid
@@ -129,3 +130,11 @@ def make_room(operator: str) -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not the GNU C library
         pass
+
+
+def shrink(kept: dict, most: int, part: float = 0.75) -> None:
+    """Beyond ``most`` entries the oldest stay, which hold the frequent ones."""
+    if len(kept) > most:
+        oldest = list(itertools.islice(kept.items(), int(most * part)))
+        kept.clear()
+        kept.update(oldest)

@@ -20,6 +20,7 @@ row is encoded by itself, so repeated rows and empty tables need no rule.  Extra
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -27,11 +28,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import held, pick
+from .common import held, pick, shrink
 
 MARK = "▁"
+#: Bytes of text that are encoded at once, or one text: what a task holds besides caches is some tens of times this.
+PART = 1 << 18
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -77,12 +81,12 @@ def piece_kinds(proto: bytes) -> list[int]:
 class PrefixViterbi:
     """Encodes sorted words, reusing forward states along common prefixes.
 
-    An automaton over the pieces' letters tells which pieces end at a letter, longest first.  Its
+    An automaton over the pieces' letters tells which pieces end at a letter.  Its
     state depends on the prefix alone, as the forward state does, so both are kept on one stack.
     """
 
-    #: Distinct words and pairs of pieces that a worker keeps; then it starts afresh.  Longer words aren't kept.
-    KEEP, LONG = 400_000, 64
+    #: Distinct words that a worker keeps (longer ones aren't), twice as many pairs of pieces, and half as many steps besides the pieces' own.
+    KEEP, LONG = 100_000, 64
 
     def __init__(self, path: str | None = None, pieces: dict[str, tuple[int, float]] | None = None, additive: bool = True, unknown: int = 0) -> None:
         self.unknown, self.additive = unknown, additive
@@ -114,7 +118,9 @@ class PrefixViterbi:
         if not self.additive:
             self._merges()
         self.fits: dict[int, bool] = {}
+        #: words of late, and those before, of which the ones that come up again move over
         self.cache: dict[str, bytes] = dict(self.fixed)
+        self.older: dict[str, bytes] = {}
 
     def _automaton(self) -> None:
         """Nodes are the prefixes of pieces; ``fall`` leads to the longest proper suffix that is one."""
@@ -133,7 +139,7 @@ class PrefixViterbi:
                 node = at
             own[node] = k
         fall = [0] * len(steps)
-        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(steps)  # (length, place) of the pieces that end at a node
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(steps)  # (length, place) of the pieces that end at a node, longest first; for merges shortest first
         for node in order:
             for c, at in steps[node].items():
                 order.append(at)
@@ -143,11 +149,11 @@ class PrefixViterbi:
                 if node:
                     fall[at] = steps[back].get(c, 0)
                 mine = ((depth[at], own[at]),) if own[at] >= 0 else ()
-                self.ending[at] = mine + self.ending[fall[at]]
-        self.steps, self.fall = steps, fall
+                self.ending[at] = mine + self.ending[fall[at]] if self.additive else self.ending[fall[at]] + mine
+        self.steps, self.fall, self.more = steps, fall, 0
 
     def _go(self, node: int, c: str) -> int:
-        """Where letter c leads, remembered at the node; a letter of no piece leads to the root."""
+        """Where letter c leads, remembered at the node while there is room; a letter of no piece leads to the root."""
         path = []
         at = self.steps[node].get(c)
         while at is None and node:
@@ -155,7 +161,8 @@ class PrefixViterbi:
             node = self.fall[node]
             at = self.steps[node].get(c)
         at = at or 0
-        if c in self.steps[0]:
+        if self.more < self.KEEP // 2 and c in self.steps[0]:
+            self.more += len(path)
             for k in path:
                 self.steps[k][c] = at
         return at
@@ -261,7 +268,7 @@ class PrefixViterbi:
                     starts[end], places[end], totals[end] = start, place, best
                     continue
                 starts[end], places[end] = end - 1, -1
-                for length, k in reversed(ends):
+                for length, k in ends:
                     left = places[end - length]
                     key = (left + 1) * n + k
                     good = fits.get(key)
@@ -271,12 +278,12 @@ class PrefixViterbi:
                         starts[end], places[end] = end - length, k
                         break
                 else:
-                    if ends and ends[-1][0] == 1:
+                    if ends and ends[0][0] == 1:
                         raise ValueError(f"no way to encode {word!r}")
             yield self._ids(word, starts, places)
             before = word
             if len(fits) > 2 * self.KEEP:
-                fits.clear()
+                shrink(fits, 2 * self.KEEP)
 
     def _ids(self, word: str, starts: list[int], places: list[int]) -> list[int]:
         ids, out, at = self.ids, [], len(word)
@@ -304,17 +311,20 @@ class PrefixViterbi:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
         cache = self.cache
-        if len(cache) > self.KEEP:
-            cache.clear()
-            cache.update(self.fixed)
         split = [self.cut(self.processor.normalize(t)) if t else [] for t in texts]
-        new = sorted({w for ws in split for w in ws}.difference(cache))
+        wanted = {w for ws in split for w in ws}.difference(cache)
+        again = wanted & self.older.keys()
+        cache.update((w, self.older[w]) for w in again)
+        new = sorted(wanted - again)
         for word, ids in zip(new, self.words(new)):
             cache[word] = array("I", ids).tobytes()
         out = [b"".join(map(cache.__getitem__, ws)) for ws in split]
         for word in new:
             if len(word) > self.LONG:
                 del cache[word]
+        if len(cache) > self.KEEP // 2:
+            shrink(cache, self.KEEP)
+            self.cache, self.older = dict(self.fixed), cache
         return out
 
 
@@ -343,6 +353,16 @@ class Decoder:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text) in parts of about ``PART`` bytes of text, but whole rows."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        starts = [0, *(np.flatnonzero(np.diff(ends // PART)) + 1).tolist(), batch.num_rows]
+        for start, end in itertools.pairwise(starts):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def ready(kind: type, path: str):
     """One encoder and decoder for each Python worker."""
     return held("sentencepiece", f"{kind.__name__} {path}", lambda: kind(path))
@@ -352,11 +372,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """doc_id, ids of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                got = [np.frombuffer(b, "<i4") for b in ready(PrefixViterbi, model_path).encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in parts(batches):
+            got = [np.frombuffer(b, "<i4") for b in ready(PrefixViterbi, model_path).encode([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -380,14 +398,12 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     """doc_id, ids, text (decoded) of every document, in one pass of one Python worker a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                ids, back = [], []
-                for data in ready(PrefixViterbi, model_path).encode([t or "" for t in batch.column(1).to_pylist()]):
-                    ids.append(np.frombuffer(data, "<i4"))
-                    back.append(ready(Decoder, model_path).decode(ids[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "text"])
+        for batch in parts(batches):
+            ids, back = [], []
+            for data in ready(PrefixViterbi, model_path).encode([t or "" for t in batch.column(1).to_pylist()]):
+                ids.append(np.frombuffer(data, "<i4"))
+                back.append(ready(Decoder, model_path).decode(ids[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "text"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
@@ -401,16 +417,14 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                rows = []
-                for text, data in zip(texts, ready(PrefixViterbi, model_path).encode(texts)):
-                    back = ready(Decoder, model_path).decode(np.frombuffer(data, "<u4"))
-                    rows.append((len(data) // 4, zlib.crc32(data), zlib.crc32(back.encode()), back == text))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_tokens", "ids_crc32", "text_crc32", "restored"])
+        for batch in parts(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = []
+            for text, data in zip(texts, ready(PrefixViterbi, model_path).encode(texts)):
+                back = ready(Decoder, model_path).decode(np.frombuffer(data, "<u4"))
+                rows.append((len(data) // 4, zlib.crc32(data), zlib.crc32(back.encode()), back == text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_tokens", "ids_crc32", "text_crc32", "restored"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, text_crc32 long, restored boolean")

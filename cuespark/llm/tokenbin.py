@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, held, materialise, pick, scratch
+from .common import filesystem, held, materialise, pick, scratch, shrink
 
 MAGIC = b"PFRI0001"
 BLOCK = 4096
@@ -174,14 +174,6 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STOPS = frozenset(".,;:!?")
 
 
-def shrink(kept: dict, most: int, part: float = 0.75) -> None:
-    """Beyond ``most`` entries the oldest stay, which hold the frequent ones."""
-    if len(kept) > most:
-        oldest = list(itertools.islice(kept.items(), int(most * part)))
-        kept.clear()
-        kept.update(oldest)
-
-
 class Pieces(dict):
     """Ids by piece, from the BPE model."""
 

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -92,3 +93,34 @@ def test_rows(spark, path):
     assert {(r.doc_id, r.n_tokens, r.restored) for r in sentencepieces.round_trip(table, path).collect()} >= {(5, 0, True), (6, 0, True)}
     nothing = table.limit(0)
     assert sentencepieces.encode_and_decode(nothing, path).collect() == sentencepieces.decode(sentencepieces.encode(nothing, path), path).collect() == []
+
+
+def test_what_a_worker_keeps_is_bounded(path, monkeypatch):
+    """More words, pairs and steps than a worker keeps, some of them again and again: the ids stay the library's."""
+    monkeypatch.setattr(PrefixViterbi, "KEEP", 400)
+    rng = random.Random(5)
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=path), PrefixViterbi(path)
+    own = sum(map(len, mine.steps))
+    letters = "abcdefghijklmnopqrstuvwxyzéüßñабвгде中文日本"
+    common = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(30)]
+    for size in (5, 20, 1_500, 20, 5):
+        words = common + ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(size)]
+        texts = [" ".join(rng.sample(words, len(words))) for _ in range(3)]
+        for text, data in zip(texts, mine.encode(texts)):
+            assert np.frombuffer(data, "<u4").tolist() == library.encode(text), text[:80]
+        assert len(mine.cache) + len(mine.older) <= 1.5 * mine.KEEP
+        assert len(mine.fits) <= 2 * mine.KEEP
+        assert sum(map(len, mine.steps)) - own < mine.KEEP // 2 + 64
+    assert mine.fixed.items() <= mine.cache.items()
+
+
+def test_parts_are_bounded_by_bytes(monkeypatch):
+    """Long texts are encoded few at a time, short and null ones many; no row is lost or given twice."""
+    monkeypatch.setattr(sentencepieces, "PART", 1_000)
+    texts = [*["x" * 300] * 20, None, "", "é" * 4_000, None, *["short"] * 300, "x" * 999, "x" * 1_000, "x" * 1_001, "end"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"]) for t in (texts, [], [None] * 5, texts[3:])]
+    found = list(sentencepieces.parts(batches))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches(batches))
+    sizes = [[len((t or "").encode()) for t in p.column(1).to_pylist()] for p in found]
+    assert all(s and sum(s) - s[0] <= 1_000 for s in sizes)
+    assert len(found) < 40
