@@ -18,8 +18,10 @@ Texts of any length are encoded whole; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -28,11 +30,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, held, materialise, pick, scratch, shrink
+from .common import filesystem, held, materialise, pick, scratch
 
 MAGIC = b"PFRI0001"
 BLOCK = 4096
@@ -44,11 +47,12 @@ def pack_block(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     """One block: header, packed low bits, exception positions, exception differences."""
     low = int(ids.min())
     diff = (ids - low).astype(np.uint32)
-    edge = int(np.percentile(diff, percentile, method="higher"))
+    place = math.ceil(percentile / 100 * (len(ids) - 1))
+    edge = int(np.partition(diff, place)[place])
     width = edge.bit_length()
     odd = np.flatnonzero(diff >> width) if width < 32 else np.empty(0, np.int64)
     if width:
-        bits = ((diff[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+        bits = np.unpackbits(diff.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
         packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
     else:
         packed = b""
@@ -61,8 +65,9 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
     size = (n * width + 7) // 8
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        diff = bits @ (1 << np.arange(width, dtype=np.uint32)).astype(np.uint32)
-        diff = diff.astype(np.uint32)
+        octets = np.zeros((n, 4), np.uint8)
+        octets[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+        diff = octets.view("<u4").ravel().astype(np.uint32)
     else:
         diff = np.zeros(n, np.uint32)
     at += size
@@ -170,8 +175,8 @@ class TokenFileReader:
 # Fixed values of byte-level BPE: the pattern of its pieces, and the bytes that stand for themselves.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Marks that are a piece of their own after a letter.
-_STOPS = frozenset(".,;:!?")
+#: Marks that are one piece, any number of them, between a letter and a word's end.
+MARKS = string.punctuation
 
 
 class Pieces(dict):
@@ -183,13 +188,19 @@ class Pieces(dict):
         self.letters = {b: chr(b if b in PLAIN else next(rest)) for b in range(256)}
 
     def __missing__(self, text: str) -> bytes:
-        letters = text.encode().decode("latin-1").translate(self.letters)
-        self[text] = ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        self[text] = ids = self.encode(text)
         return ids
 
+    def encode(self, text: str) -> bytes:
+        letters = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
 
 class Words(dict):
-    """Ids by word, each with a blank in front; None for what isn't a word: empty, or with white space at its end."""
+    """Ids by word, each with a blank in front; none for what isn't a word: empty, or with white space at its end.
+
+    Words with marks behind them, and two that a line's end joins, are put together from their parts and not kept.
+    """
 
     def __init__(self, pieces: Pieces, special: list[str], whole: Callable[[str], bytes]) -> None:
         import regex
@@ -198,38 +209,50 @@ class Words(dict):
         self.cut = regex.compile(PIECE).findall
         #: letters beyond Latin, and special tokens
         self.strange = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)])).search
-        self.plain = not any(t.isalpha() for t in special)
-        self.tokenize, self.blank = pieces.tokenize, pieces.letters[32]
-
-    def __missing__(self, text: str) -> bytes | None:
-        if self.plain and text.isascii():
-            if text.isalpha():  # a blank and letters are one piece
-                self[text] = ids = array("I", [t.id for t in self.tokenize(self.blank + text)]).tobytes()
-                return ids
-            if text[-1:] in _STOPS and text[:-1].isalpha():
-                self[text] = ids = self[text[:-1]] + self.pieces[text[-1]]
-                return ids
-        if text == "" or text[-1].isspace():
-            ids = None
+        #: no special token is within letters with marks behind them
+        self.plain = not any(stem == "" or stem.isalpha() for stem in (t.rstrip(MARKS) for t in special))
+
+    def __missing__(self, text: str) -> bytes:
+        stem = text.rstrip(MARKS)
+        if stem.isalpha() and self.plain and (text.isascii() or not self.strange(text)):
+            if len(stem) < len(text):
+                return self[stem] + self.pieces[text[len(stem) :]]
+            ids = self.pieces.encode(" " + text)  # a blank and letters are one piece
+        elif text == "" or text[-1].isspace():
+            ids = b""
         elif self.strange(text):
             ids = self.whole(" " + text)
         else:
-            ids = b"".join(map(self.pieces.__getitem__, self.cut(" " + text)))
+            before, line, after = text.partition("\n")
+            if line and before and not before[-1].isspace() and not after[0].isspace():
+                return self[before] + self.pieces[line] + self.start(after)
+            ids = self.cut_up(" " + text)
         self[text] = ids
         return ids
 
+    def start(self, text: str) -> bytes:
+        """Ids of a word without a blank in front."""
+        stem = text.rstrip(MARKS)
+        if stem.isalpha():
+            return self.pieces[stem] + self.pieces[text[len(stem) :]] if len(stem) < len(text) else self.pieces[text]
+        return self.cut_up(text)
+
+    def cut_up(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+
 
 class CachedEncoder:
-    """The tokenizers library's ids, with each distinct word and piece encoded once.
+    """The tokenizers library's ids, with each distinct word and piece looked up once for many texts.
 
     The byte-level pre-tokenizer ends a piece before every blank that no white space
     precedes, so the words between such blanks, each with its blank in front, are encoded
-    on their own without any change of the ids.  New words of Latin letters are cut into pieces,
-    and the library's BPE model encodes new pieces.  Other words, texts with white space before
+    on their own without any change of the ids.  Arrow finds the distinct words of some megabytes
+    of text.  New words of Latin letters are cut into pieces, and the library's BPE model encodes
+    new pieces.  Other words, texts with white space before
     a blank, and texts of other kinds of tokenizers go to the library whole.
     """
 
-    #: Words that a worker keeps, and a quarter as many pieces; longer ones than LONG go after their batch.
+    #: Words that a worker keeps, and a quarter as many pieces; longer ones than LONG go after their texts.
     KEEP, LONG = 600_000, 64
 
     def __init__(self, path: str) -> None:
@@ -253,24 +276,58 @@ class CachedEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian u32 ids of each text."""
-        split = [t.split(" ") if self.short else [] for t in texts]
-        firsts = self.ids([words[0] if words else "" for words in split])
+    def encode(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
+        """Little-endian u32 ids of each text; each distinct word of all texts is looked up once."""
+        if not len(texts):
+            return []
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not self.short:
+            return [np.frombuffer(ids, "<u4") for ids in self.ids(texts.to_pylist())]
+        lists = pc.split_pattern(texts, " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        begins = offsets[:-1] - offsets[0]
+        # a text's first word, which has no blank in front, is an entry of its own behind those of the others
+        firsts = words.take(pa.array(begins)).to_pylist()
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(codes), bool)
+        later[begins] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[codes[later]] = True
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)[used].tolist()
+        codes = (np.cumsum(used) - 1)[codes]
+        codes[begins] = len(distinct) + np.arange(len(begins))
+
         sizes = [len(self.words), len(self.pieces)]
-        look = self.words.__getitem__
-        out = []
-        for text, words, first in zip(texts, split, firsts):
-            good = bool(words) and not words[0][-1:].isspace()
-            got = list(map(look, words[1:])) if good else [None]
-            out.append(np.frombuffer(self.ids([text])[0] if None in got else first + b"".join(got), "<u4"))
-        for kept, size in zip((self.words, self.pieces), sizes):
+        entries = [*map(self.words.__getitem__, distinct), *self.ids(firsts)]
+        for kept, size, most in zip((self.words, self.pieces), sizes, (self.KEEP, self.KEEP // 4)):
             for text in [t for t in itertools.islice(reversed(kept), len(kept) - size) if len(t) > self.LONG]:
                 del kept[text]
-            shrink(kept, self.KEEP if kept is self.words else self.KEEP // 4)
+            if len(kept) > most:  # the oldest stay, which hold the frequent ones
+                for _ in range(len(kept) - most * 3 // 4):
+                    kept.popitem()
+
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        whole = lengths == 0
+        whole[len(distinct) :] = [word[-1:].isspace() for word in firsts]
+        starts = np.cumsum(lengths) - lengths
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(entries), "<u4")[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1])]
+        out = np.split(flat, ends[begins[1:] - 1])
+        for i in np.flatnonzero(np.logical_or.reduceat(whole[codes], begins)):
+            out[i] = np.frombuffer(self.ids([texts[i].as_py()])[0], "<u4")
         return out
 
 
+def parts(texts: pa.StringArray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """First row and stop of runs of texts, none null, that have ``most`` bytes and a text more at most."""
+    ended = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(ended)) + 1).tolist(), len(texts)]
+    return zip(cuts, cuts[1:])
+
+
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each Python worker, which later tasks use again."""
     return held("token file", path, lambda: CachedEncoder(path))
@@ -307,9 +364,9 @@ def write_tokens(
                 files.create_dir(path, recursive=True)
                 sink = files.open_output_stream(f"{path}/{name}", compression=None)
                 out = TokenFileWriter(sink, percentile)
-            for i in range(0, len(ids), 64):
-                texts_now = [t or "" for t in texts.slice(i, 64).to_pylist()]
-                for doc, got in zip(ids[i : i + 64], encode(texts_now)):
+            texts = texts.fill_null("")
+            for i, stop in parts(texts):
+                for doc, got in zip(ids[i:stop], encode(texts.slice(i, stop - i))):
                     out.add(doc, np.concatenate([got, end]))
         if out is not None:
             n = out.close()

@@ -5,9 +5,11 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
+import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +237,43 @@ def test_encoder_keeps_bounded_words():
     assert len(encoder.words) <= 50 and max(map(len, encoder.words)) <= encoder.LONG
 
 
+def test_encoder_encodes_letters_once_and_looks_words_up_once():
+    encoder = tokenbin.CachedEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    made, looked, library = Counter(), Counter(), encoder.pieces.tokenize
+    encoder.pieces.tokenize = lambda letters: made.update([letters]) or library(letters)
+
+    class Looked(tokenbin.Words):
+        def __getitem__(self, text):
+            looked[text] += 1
+            return super().__getitem__(text)
+
+    encoder.words.__class__ = Looked
+    texts = ["At éaienaiou word word&&& word,*** end.\nThen éaienaiou!! end\nnow rest"] * 50 + ["", " ", "a  b", "\n", "x y\n z"]
+    got = encoder.encode(texts)
+    assert [g.tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(made.values()) == 1 and max(looked.values()) <= 4  # word: alone, and below its two forms
+    assert not {"word&&&", "word,***", "end.\nThen"} & set(encoder.words)
+
+
+def test_odd_special_tokens_are_found_within_words(tmp_path):
+    spec = json.loads(open(queries.tokenizer_file("byte_bpe_50k.json"), encoding="utf-8").read())
+    texts = ["w ab&&& a!b a! a&&& é&&&", "the other é été&&&\nthe a×b 1,2", "a!\na!"]
+    for special in (["&&&"], ["a!"], ["the", "é"], ["a×", "1,"], ["\u0301"], []):
+        tokens = [spec["added_tokens"][0] | {"id": 50_300 + i, "content": t} for i, t in enumerate(special)]
+        path = tmp_path / f"{len(special)}{ord(special[0][0]) if special else ''}.json"
+        path.write_text(json.dumps(spec | {"added_tokens": tokens}), encoding="utf-8")
+        encoder = tokenbin.CachedEncoder(str(path))
+        assert [g.tolist() for g in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_are_encoded_in_parts_of_bounded_bytes():
+    texts = pa.array(["zz", "a" * 3, "", "b" * 25, "c" * 4, "é" * 4, "d"]).slice(1)
+    cuts = list(tokenbin.parts(texts, 10))
+    assert [i for i, _ in cuts] == [0, *(stop for _, stop in cuts[:-1])] and cuts[-1][1] == len(texts)
+    assert all(len("".join(texts[i:stop].to_pylist()[:-1]).encode()) <= 10 for i, stop in cuts) and len(cuts) > 2
+    assert list(tokenbin.parts(texts[:0])) == [(0, 0)]
+
+
 # 7 ---------------------------------------------------------------------------------------
 
 
