@@ -65,9 +65,9 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
     size = (n * width + 7) // 8
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        octets = np.zeros((n, 4), np.uint8)
-        octets[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
-        diff = octets.view("<u4").ravel().astype(np.uint32)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :width] = bits
+        diff = np.packbits(wide.ravel(), bitorder="little").view("<u4").astype(np.uint32)
     else:
         diff = np.zeros(n, np.uint32)
     at += size
