@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.packed import unpack
 from ..operators.corpus import number_events
 from ..schema import COUNTER, EVENTS
 from ..storage import materialise
@@ -29,14 +30,14 @@ def _lines(spark: SparkSession, path: str, compression: str | None, end: str | N
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
-def _numbered(lines: DataFrame, header: bool = False) -> tuple[DataFrame, bool]:
-    """(event_id, value) of all lines in the order of path, block and place, headers left out; and whether any has a third column.
+def _numbered(lines: DataFrame, header: bool = False, frequencies: bool = True) -> tuple[DataFrame, bool]:
+    """(event_id, value) of all lines in the order of path, block and place, headers left out; and whether any has a third column, if there may be ``frequencies``.
 
     Blocks are counted and laid end to end, so no line is moved.  Should the splits of the files differ between counting and
     reading, a place lies outside of its block, which is an error.
     """
     skip = F.when(F.col("block") == 0, 1).otherwise(0) if header else F.lit(0)
-    third = F.max(F.substring_index("value", "\t", 2) != F.col("value")).alias("third")
+    third = F.max(F.substring_index("value", "\t", 2) != F.col("value") if frequencies else F.lit(False)).alias("third")
     counts = materialise(lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), third), "blocks")  # a row for each block
     before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("path", "block", "first", "n", F.coalesce(F.sum(F.col("n") - skip).over(before), F.lit(0)).alias("start"))
@@ -49,14 +50,21 @@ def _numbered(lines: DataFrame, header: bool = False) -> tuple[DataFrame, bool]:
     return numbered, bool(counts.agg(F.max("third")).first()[0])
 
 
-def read_events(spark: SparkSession, path: str, compression: str | None = "gzip", start: int = 0, step: int = 1) -> DataFrame:
+def read_events(spark: SparkSession, path: str, compression: str | None = "gzip", start: int = 0, step: int = 1, packed: bool = False) -> DataFrame:
     """event_id, cues, outcomes of an event file: a header, then two or three tab-separated columns.
 
     Cues and outcomes are split at ``_``; an empty column is the token ``''``.  A third column repeats
-    the row so often.  ``start`` and ``step`` pick lines, before that.
+    the row so often.  ``start`` and ``step`` pick lines, before that.  ``packed`` files are those that ``write_events`` wrote so.
     """
-    numbered, third = _numbered(_lines(spark, path, compression), header=True)
-    chosen = numbered.where((F.col("event_id") >= start) & ((F.col("event_id") - start) % step == 0))
+    if packed and compression != "gzip":
+        raise ValueError("packed events are gzip files")
+    numbered, third = _numbered(_lines(spark, path, compression), header=True, frequencies=not packed)
+    picked = (F.col("event_id") >= start) & ((F.col("event_id") - start) % step == 0)
+    place = F.expr(f"(event_id - {start}) div {step}").alias("event_id")
+    if packed:  # a line needs the one before, and gzip files aren't split
+        chosen = numbered.mapInArrow(unpack, "event_id long, cues string, outcomes string").where(picked)
+        return chosen.select(place, F.split("cues", "_").alias("cues"), F.split("outcomes", "_").alias("outcomes"))
+    chosen = numbered.where(picked)
     columns = F.split("value", "\t")
     n = F.size(columns)
     ok = F.when((n == 2) | (n == 3), columns).otherwise(F.raise_error(F.concat(F.lit("an event has two or three columns: "), F.col("value"))))
@@ -64,7 +72,7 @@ def read_events(spark: SparkSession, path: str, compression: str | None = "gzip"
     rows = rows.withColumn("freq", F.when(F.size("c") == 3, F.get("c", F.lit(2)).cast("int")).otherwise(1))
     if third and not rows.where("freq <> 1").isEmpty():
         return expand_frequency(rows.select("event_id", "cues", "outcomes", "freq"))
-    return rows.select(F.expr(f"(event_id - {start}) div {step}").alias("event_id"), "cues", "outcomes")
+    return rows.select(place, "cues", "outcomes")
 
 
 def expand_frequency(events: DataFrame) -> DataFrame:
