@@ -17,73 +17,40 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import letters as L
+
 #: The first line of each file.
 HEADER = "shared cues\tn\tcues\tshared outcomes\tn\toutcomes"
-_END, _BLANKS = ord("_"), (ord("\t"), ord("\n"), ord("\r"))
+END, BLANKS = ord("_"), (ord("\t"), ord("\n"), ord("\r"))
 #: About so many letters are worked on at once.
 LETTERS = 1 << 20
+#: So many lines are unpacked at once.
+LINES = 10_000
 #: A place at which the line before might go on is sought by so many letters, and so many places are tried.
 LOOK, TRIES = 8, 3
 
 
-def _letters(texts: pa.Array, end: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """The letters of all texts, each with ``end`` behind it, and where each begins (and the last ends)."""
-    if end:
-        texts = pc.binary_join_element_wise(texts, "", end)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
-    data = texts.buffers()[2]
-    whole = data[int(offsets[0]) : int(offsets[-1])].to_pybytes().decode() if data is not None else ""
-    return np.frombuffer(whole.encode("utf-32-le"), "<u4"), np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
-
-
-def _bytes(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8, and where each letter begins (and the last ends)."""
-    sizes = 1 + (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
-    return np.frombuffer(letters.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-
-
-def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every element of stretches of these sizes: which stretch it is of, and its place in it."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-
-
-def _rows(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Stretches of rows of at most so much together, or of one row."""
-    ends, low = np.cumsum(sizes), 0
-    while low < len(sizes):
-        before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield low, high
-        low = high
-
-
-def _shared(x: np.ndarray, begin: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _shared(whole: str, x: np.ndarray, begin: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each row, at which token the tokens of the row before begin with which it begins; none: its own first token.
 
     ``begin`` and ``first``: where rows begin, as letters and as tokens.
     """
     at = first[:-1].copy()
-    t = np.arange(first[-2])  # tokens of all rows but the last
-    goes = np.repeat(begin[1:-1], np.diff(first[:-1]))  # where the next row begins
+    t = np.flatnonzero(x[tokens[: first[-2]]] == np.repeat(x[begin[1:-1]], np.diff(first[:-1])))  # tokens of all rows but the last
+    row = np.searchsorted(first, t, "right")
+    goes = begin[row]  # where the next row begins
     rest = goes - tokens[t]
-    fits = rest <= np.repeat(np.diff(begin)[1:], np.diff(first[:-1]))
-    t, goes, rest = t[fits], goes[fits], rest[fits]
     for d in range(LOOK):
         same = (d >= rest) | (x[np.minimum(tokens[t] + d, len(x) - 1)] == x[np.minimum(goes + d, len(x) - 1)])
-        t, goes, rest = t[same], goes[same], rest[same]
-    row = np.searchsorted(first, t, "right")  # the row that may go on
+        if not d:
+            same &= rest <= begin[row + 1] - goes
+        t, goes, rest, row = t[same], goes[same], rest[same], row[same]
     for _ in range(TRIES):
         if not len(t):
             break
         chosen = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))  # of each row the longest
-        of, place = _spread(rest[chosen])
-        differ = x[tokens[t[chosen]][of] + place] != x[goes[chosen][of] + place]
-        good = np.bincount(of, differ, len(chosen)) == 0
+        old, low, size = (v[chosen].tolist() for v in (tokens[t], goes, rest))
+        good = np.fromiter((whole[a : a + k] == whole[b : b + k] for a, b, k in zip(old, low, size)), bool, len(chosen))
         at[row[chosen[good]]] = t[chosen[good]]
         left = np.ones(len(t), bool)
         left[chosen] = False
@@ -94,14 +61,14 @@ def _shared(x: np.ndarray, begin: np.ndarray, tokens: np.ndarray, first: np.ndar
 
 def _pack(texts: pa.Array, before: str | None) -> list[pa.Array]:
     """The three columns of joined tokens behind a line before, if there is one."""
-    whole = texts if before is None else pa.concat_arrays([pa.array([before], pa.string()), texts])
-    x, begin = _letters(whole, "_")
-    if np.isin(x, _BLANKS).any():
-        raise ValueError(f"a tab or a line end within a value: {next(t for t in texts.to_pylist() if set(map(chr, _BLANKS)) & set(t))}")
-    ends = np.flatnonzero(x == _END)
+    whole, begin = L.joined(texts if before is None else pa.concat_arrays([pa.array([before], pa.string()), texts]), "_")
+    x = L.numbers(whole)
+    if any((x == b).any() for b in BLANKS):
+        raise ValueError(f"a tab or a line end within a value: {next(t for t in texts.to_pylist() if set(map(chr, BLANKS)) & set(t))}")
+    ends = np.flatnonzero(x == END)
     tokens = np.concatenate([[0], ends + 1])  # where tokens begin
     first = np.searchsorted(tokens, begin)
-    at = _shared(x, begin, tokens, first)
+    at = _shared(whole, x, begin, tokens, first)
     shared = first[:-1] - at
     new = begin[:-1] + (begin[:-1] - tokens[at])  # where what isn't shared begins
     blank = (shared > 0) & (begin[1:] - new == 1)  # an empty token alone isn't told from none
@@ -114,18 +81,18 @@ def _pack(texts: pa.Array, before: str | None) -> list[pa.Array]:
     length = np.where(shared > 0, new - 1 - tokens[base], 0)
     rows = (n > 1) & (size > 0) & (size % (n + 1) == 0) & np.where(shared > 0, length >= n - 1, size > n + 1)
     n = np.where(rows, n, 0)
-    of, place = _spread(size)
+    of, place = L.spread(size)
     here, wide = new[of] + place, n[of]
     letter = place % (wide + 1)
-    end = x[here] == _END
+    end = x[here] == END
     goes_on = (letter < wide - 1) & ((shared[of] > 0) | (place > wide))
     wrong = (wide > 0) & ((end != (letter == wide)) | (goes_on & (x[here] != x[np.maximum(here - wide, 0)])))
     n[np.bincount(of, wrong, len(size)) > 0] = 0
     wide = n[of]
     kept = np.where(wide > 0, (letter == wide - 1) | ((shared[of] == 0) & (place < wide)), place < size[of] - 1)
-    data, places = _bytes(x[here[kept]])
-    counts = np.bincount(of[kept], minlength=len(size))
-    return [pa.array(shared).cast(pa.string()), pa.array(n).cast(pa.string()), _strings(data, places[np.concatenate([[0], np.cumsum(counts)])])]
+    written = x[here[kept]]
+    places = L.starts(L.widths(written))[L.starts(np.bincount(of[kept], minlength=len(size)))]
+    return [pa.array(shared).cast(pa.string()), pa.array(n).cast(pa.string()), L.strings(L.encoded(written), places)]
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +100,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before: list[str] | None = None
     for batch in batches:
         sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False) for c in batch.columns)
-        for low, high in _rows(sizes, LETTERS):
+        for low, high in L.parts(sizes, LETTERS):
             part = [c.slice(low, high - low) for c in batch.columns]
             columns = [x for k, c in enumerate(part) for x in _pack(c, before and before[k])]
             lines = pc.binary_join_element_wise(*columns, "\t")
@@ -143,50 +110,45 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([lines], ["value"])
 
 
-def _unpack(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> Iterator[pa.Array]:
-    """The joined tokens of lines, in parts."""
-    old = np.frombuffer(before.encode("utf-32-le"), "<u4")
-    own, begin = _letters(texts)
-    coded, begin = np.concatenate([old, own]), begin + len(old)
+def _unpack(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens in UTF-8, and from where to where those of each line stand."""
+    whole, begin = L.joined(texts)
+    coded, begin = L.numbers(before + whole), begin + len(before)
     size = np.diff(begin)
     wide = np.where(n > 0, n, size)
     count = np.where(n > 0, size - np.where(shared > 0, 0, n - 1), (shared == 0) | (size > 0))  # plain tokens as one
     if (count < 0).any() or (shared < 0).any():
         raise ValueError("no line of packed events")
-    of, place = _spread(count * (wide + 1))
+    of, place = L.spread(count * (wide + 1))
     token, letter = np.divmod(place, wide[of] + 1)
     start = np.where((n > 0) & (shared > 0), begin[:-1] - n + 1, begin[:-1])
     here = start[of] + token + letter
-    new = np.where(letter == wide[of], _END, coded[np.clip(here, 0, max(len(coded) - 1, 0))] if len(coded) else _END).astype("<u4")
-    x = np.concatenate([old, [_END], new]).astype("<u4")  # all tokens
-    ends = np.flatnonzero(x == _END)
-    tokens = np.concatenate([[0], ends + 1])
-    stop = len(old) + 1 + np.concatenate([[0], np.cumsum(count * (wide + 1))])
-    low = np.searchsorted(tokens, stop[:-1]) - shared
-    if (low < 0).any():
+    new = np.where(letter == wide[of], np.int32(END), coded[np.clip(here, 0, len(coded) - 1)] if len(coded) else np.int32(END))
+    x = np.concatenate([L.numbers(before + "_"), new])
+    tokens = L.starts(np.diff(np.flatnonzero(x == END), prepend=-1))  # where tokens begin
+    stop = len(before) + 1 + L.starts(count * (wide + 1))
+    first = np.searchsorted(tokens, stop[:-1]) - shared
+    if (first < 0).any():
         raise ValueError("a line of packed events shares more than there is")
-    data, places = _bytes(x)
-    low, high = places[tokens[low]], places[stop[1:] - 1]
-    for a, b in _rows(high - low, 4 * LETTERS):
-        of, place = _spread(high[a:b] - low[a:b])
-        yield _strings(data[low[a:b][of] + place], np.concatenate([[0], np.cumsum(high[a:b] - low[a:b])]))
+    places = L.starts(L.widths(x))
+    return L.encoded(x), places[tokens[first]], places[stop[1:] - 1]
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """event_id, cues, outcomes (joined with ``_``) of (event_id, value) in the order of the lines, without headers."""
     before = ["", ""]
     for batch in batches:
-        for k in range(0, batch.num_rows, 10_000):
-            ids, lines = (c.slice(k, 10_000) for c in batch.columns)
+        for k in range(0, batch.num_rows, LINES):
+            ids, lines = (c.slice(k, LINES) for c in batch.columns)
             fields = pc.split_pattern(lines, "\t")
             if not pc.all(pc.equal(pc.list_value_length(fields), 6)).as_py():
                 raise ValueError("a line of packed events has six columns")
             flat = fields.flatten()
             columns = [flat.take(pa.array(np.arange(c, len(flat), 6))) for c in range(6)]
-            found = []
+            both = []
             for c in (0, 3):
                 shared, n = (columns[c + d].cast(pa.int64()).to_numpy() for d in (0, 1))
-                found.append(list(_unpack(shared, n, columns[c + 2], before[c // 3])))
-            before = [parts[-1][-1].as_py() for parts in found]
-            table = pa.table([pa.chunked_array([ids]), *map(pa.chunked_array, found)], ["event_id", "cues", "outcomes"])
-            yield from table.to_batches()
+                both.append(_unpack(shared, n, columns[c + 2], before[c // 3]))
+            before = [data[low[-1] : high[-1]].tobytes().decode() for data, low, high in both]
+            for a, b in L.parts(sum(high - low for _, low, high in both), 4 * LETTERS):
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(L.slices(data, low[a:b], high[a:b]) for data, low, high in both)], ["event_id", "cues", "outcomes"])

@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.packed import pack
+from ..functions.windows import ngram_lines
+
+
+def _words(corpus: DataFrame, order: tuple[str, ...], text_col: str, context_structure: str, allowed_symbols: str | Callable[[str], bool], lower_case: bool) -> DataFrame:
+    """(order columns, context, words) of the parts of the texts that have words."""
+    text = F.col(text_col)
+    parts = X.contexts(text) if context_structure == "document" else F.array(text)
+    rows = corpus.select(*order, F.posexplode(parts).alias("context", "part"))
+    if callable(allowed_symbols):  # a Python function can't stand inside a lambda: clean first, split afterwards
+        rows = rows.withColumn("part", X.clean(F.col("part"), lambda c: c == "\n" or allowed_symbols(c), lower_case))
+        line_words = X.words(F.col("part"))
+    else:
+        line_words = X.words(F.col("part"), lambda t: X.clean(t, allowed_symbols, lower_case))
+    return rows.select(*order, "context", line_words.alias("words")).where(F.size("words") > 0)
 
 
 def corpus_to_events(
@@ -38,17 +53,9 @@ def corpus_to_events(
         raise NotImplementedError(f"event structure {event_structure!r}")
     if cue_structure not in ("bigrams_to_word", "trigrams_to_word", "word_to_word"):
         raise NotImplementedError(f"cue structure {cue_structure!r}")
-    text = F.col(text_col)
-    if warn and not corpus.where(text.rlike("[#_\\t]")).limit(1).isEmpty():
+    if warn and not corpus.where(F.col(text_col).rlike("[#_\\t]")).limit(1).isEmpty():
         X.warn_reserved()
-    parts = X.contexts(text) if context_structure == "document" else F.array(text)
-    rows = corpus.select(*order, F.posexplode(parts).alias("context", "part"))
-    if callable(allowed_symbols):  # a Python function can't stand inside a lambda: clean first, split afterwards
-        rows = rows.withColumn("part", X.clean(F.col("part"), lambda c: c == "\n" or allowed_symbols(c), lower_case))
-        line_words = X.words(F.col("part"))
-    else:
-        line_words = X.words(F.col("part"), lambda t: X.clean(t, allowed_symbols, lower_case))
-    words = rows.select(*order, "context", line_words.alias("words")).where(F.size("words") > 0)
+    words = _words(corpus, order, text_col, context_structure, allowed_symbols, lower_case)
     none = F.array().cast("array<string>")
     # places are exploded first and the lists cut behind, which stays within generated code
     if event_structure == "consecutive_words":
@@ -75,6 +82,13 @@ def corpus_to_events(
     return found
 
 
+def _by_texts(corpus: DataFrame, order: tuple[str, ...]) -> DataFrame | None:
+    """The texts laid out; none if some share their order columns."""
+    if corpus.groupBy(*order).count().where("count > 1").isEmpty():
+        return corpus.repartitionByRange(*order).sortWithinPartitions(*order)
+    return None
+
+
 def laid_events(corpus: DataFrame, *, order: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
     """The events of ``corpus_to_events`` in their order over all partitions.
 
@@ -82,12 +96,27 @@ def laid_events(corpus: DataFrame, *, order: tuple[str, ...] = ("doc_id",), text
     stand among each other, the events are.
     """
     corpus = corpus.select(*order, text_col)
-    if corpus.groupBy(*order).count().where("count > 1").isEmpty():
-        return corpus_to_events(corpus.repartitionByRange(*order).sortWithinPartitions(*order), order=order, text_col=text_col, **options)
+    if (laid := _by_texts(corpus, order)) is not None:
+        return corpus_to_events(laid, order=order, text_col=text_col, **options)
     by = (*order, "context", "place")
     return corpus_to_events(corpus, order=order, text_col=text_col, **options).repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def packed_ngrams(corpus: DataFrame, *, order: tuple[str, ...] = ("doc_id",), text_col: str = "text", window: int = 3, n: int = 3, context_structure: str = "document", allowed_symbols: str | Callable[[str], bool] = "all", lower_case: bool = False) -> DataFrame:
+    """Short lines (``functions.packed``, for ``sinks.write_packed``) of the events of windows of words with all letter ``n``-grams (2 or 3), in their order.
+
+    They are those of ``laid_events`` with ``remove_duplicates=False``; unless texts share their order columns, they are made without the events.
+    """
+    corpus = corpus.select(*order, text_col)
+    shape = {"context_structure": context_structure, "allowed_symbols": allowed_symbols, "lower_case": lower_case}
+    if (laid := _by_texts(corpus, order)) is not None:
+        words = _words(laid, order, text_col, **shape)
+        return words.select(F.concat(F.lit("#"), F.array_join("words", "#"), F.lit("#"))).mapInArrow(ngram_lines(window, n), "value string")
+    cues = {2: "bigrams_to_word", 3: "trigrams_to_word"}[n]
+    events = laid_events(corpus, order=order, text_col=text_col, event_options=(window,), cue_structure=cues, remove_duplicates=False, **shape)
+    return as_text(events).mapInArrow(pack, "value string")
+
+
 def number_events(events: DataFrame, *order: str) -> DataFrame:
     """event_id (from 0, without gaps, in the given order), cues, outcomes.
 

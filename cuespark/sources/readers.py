@@ -50,25 +50,27 @@ def _numbered(lines: DataFrame, header: bool = False, frequencies: bool = True)
     return numbered, bool(counts.agg(F.max("third")).first()[0])
 
 
-def read_events(spark: SparkSession, path: str, compression: str | None = "gzip", start: int = 0, step: int = 1, packed: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str, compression: str | None = "gzip", start: int = 0, step: int = 1, packed: bool = False, joined: bool = False) -> DataFrame:
     """event_id, cues, outcomes of an event file: a header, then two or three tab-separated columns.
 
     Cues and outcomes are split at ``_``; an empty column is the token ``''``.  A third column repeats
     the row so often.  ``start`` and ``step`` pick lines, before that.  ``packed`` files are those that ``write_events`` wrote so.
+    With ``joined`` cues and outcomes stay texts, as they stand in the file.
     """
     if packed and compression != "gzip":
         raise ValueError("packed events are gzip files")
     numbered, third = _numbered(_lines(spark, path, compression), header=True, frequencies=not packed)
     picked = (F.col("event_id") >= start) & ((F.col("event_id") - start) % step == 0)
     place = F.expr(f"(event_id - {start}) div {step}").alias("event_id")
+    tokens = lambda c: c if joined else F.split(c, "_")
     if packed:  # a line needs the one before, and gzip files aren't split
         chosen = numbered.mapInArrow(unpack, "event_id long, cues string, outcomes string").where(picked)
-        return chosen.select(place, F.split("cues", "_").alias("cues"), F.split("outcomes", "_").alias("outcomes"))
+        return chosen.select(place, *(tokens(F.col(c)).alias(c) for c in ("cues", "outcomes")))
     chosen = numbered.where(picked)
     columns = F.split("value", "\t")
     n = F.size(columns)
     ok = F.when((n == 2) | (n == 3), columns).otherwise(F.raise_error(F.concat(F.lit("an event has two or three columns: "), F.col("value"))))
-    rows = chosen.select("event_id", ok.alias("c")).select("event_id", F.split(F.col("c")[0], "_").alias("cues"), F.split(F.col("c")[1], "_").alias("outcomes"), "c")
+    rows = chosen.select("event_id", ok.alias("c")).select("event_id", tokens(F.col("c")[0]).alias("cues"), tokens(F.col("c")[1]).alias("outcomes"), "c")
     rows = rows.withColumn("freq", F.when(F.size("c") == 3, F.get("c", F.lit(2)).cast("int")).otherwise(1))
     if third and not rows.where("freq <> 1").isEmpty():
         return expand_frequency(rows.select("event_id", "cues", "outcomes", "freq"))

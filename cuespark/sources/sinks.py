@@ -63,7 +63,12 @@ def write_events(events: DataFrame, path: str, *, compression: str | None = "gzi
     if not packed:
         return _tsv(laid.select(*parts), path, compression)
     values = [F.coalesce(c.cast("string"), F.lit("")) for c in parts]
-    laid.select(*values).mapInArrow(pack, "value string").write.mode("errorifexists").option("compression", "gzip").text(path)
+    write_packed(laid.select(*values).mapInArrow(pack, "value string"), path)
+
+
+def write_packed(lines: DataFrame, path: str) -> None:
+    """Gzip files of lines that ``functions.packed`` gives, or ``corpus.packed_ngrams``, as they are laid out."""
+    lines.write.mode("errorifexists").option("compression", "gzip").text(path)
 
 
 def write_arrivals(events: DataFrame, path: str, per_file: int) -> None:

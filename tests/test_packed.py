@@ -77,3 +77,21 @@ def test_the_event_file_of_all_documents_is_small(spark, tmp_path, monkeypatch):
         assert size < 2 * f.seek(0, 2)
     first = found.orderBy("event_id").first()
     assert first.event_id == 0 and len(first.cues) > 2
+
+
+def test_lines_made_from_texts_are_those_of_their_events(spark, tmp_path):
+    """Texts of one word, of words of one letter, of none, with markers; with ids of their own and shared ones."""
+    rows = [(i, t) for i, t in enumerate(["a", "a b", "a a a a", "one two three four five", "", None, "\U0001f600 é日 x---END.OF.DOCUMENT---y z", "#_\t", " p\nq  r ", "A-b C"] * 3)]
+    for name, shared in (("own", []), ("shared", [(3, "six seven"), (3, "a")])):
+        table = spark.createDataFrame(rows + shared, "doc_id long, text string").repartition(4)
+        for window, n in ((1, 2), (3, 3), (4, 2)):
+            path, cues = f"{tmp_path}/{name}{window}", {2: "bigrams_to_word", 3: "trigrams_to_word"}[n]
+            sinks.write_packed(corpus.packed_ngrams(table, window=window, n=n, allowed_symbols="a-zé日\U0001f600", lower_case=True), path)
+            got = readers.read_events(spark, path, packed=True, joined=True).orderBy("event_id").collect()
+            events = corpus.corpus_to_events(table, event_options=(window,), cue_structure=cues, remove_duplicates=False, allowed_symbols="a-zé日\U0001f600", lower_case=True)
+            want = corpus.as_text(events.orderBy("doc_id", "context", "place")).collect()
+            if name == "own":
+                assert [(r.cues, r.outcomes) for r in got] == [tuple(r) for r in want]
+            assert [r.event_id for r in got] == list(range(len(want))) and sorted((r.cues, r.outcomes) for r in got) == sorted(map(tuple, want))
+    with pytest.raises(Exception, match="a tab or a line end"):
+        sinks.write_packed(corpus.packed_ngrams(spark.createDataFrame([(1, "a\rb")], "doc_id long, text string")), str(tmp_path / "bad"))
