@@ -110,14 +110,47 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([lines], ["value"])
 
 
-def _unpack(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens in UTF-8, and from where to where those of each line stand."""
+def _plain(shared: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_tokens`` of lines without n-grams; bytes do for these."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    there = (shared == 0) | (size > 0)
+    new = pc.if_else(pa.array(there), pc.binary_join_element_wise(texts, "", "_"), "")
+    data = np.frombuffer(f"{before}_{L.joined(new)[0]}".encode(), np.uint8)
+    places = np.concatenate([[0], np.flatnonzero(data == END) + 1])
+    stop = np.searchsorted(places, len(before.encode()) + 1 + L.starts(np.where(there, size + 1, 0)))
+    return data, places, stop
+
+
+def _grams(shared: np.ndarray, n: int, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_tokens`` of lines that add only n-grams of one length, or nothing: each ends at a letter."""
+    whole, begin = L.joined(texts)
+    x = L.numbers(before + whole)
+    fresh, size = shared == 0, np.diff(begin)
+    if (fresh & (size < n)).any():
+        raise ValueError("no line of packed events")
+    ending = np.ones(len(x), bool)
+    ending[: len(before)] = False
+    for k in range(n - 1):
+        ending[len(before) + begin[:-1][fresh] + k] = False
+    ends = np.flatnonzero(ending)
+    grams, wide, sizes = np.full((len(ends), n + 1), END, "<i4"), L.widths(x), np.ones(len(ends), np.int64)
+    for k in range(n):
+        at = np.maximum(ends - n + 1 + k, 0)
+        grams[:, k] = x[at]
+        sizes += wide[at]
+    old = np.diff(np.flatnonzero(np.frombuffer(f"{before}_".encode(), np.uint8) == END), prepend=-1)
+    stop = len(old) + L.starts(np.where(fresh, size - n + 1, size))
+    return np.concatenate([np.frombuffer(f"{before}_".encode(), np.uint8), L.encoded(grams)]), L.starts(np.concatenate([old, sizes])), stop
+
+
+def _any(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_tokens`` of any lines."""
     whole, begin = L.joined(texts)
     coded, begin = L.numbers(before + whole), begin + len(before)
     size = np.diff(begin)
     wide = np.where(n > 0, n, size)
     count = np.where(n > 0, size - np.where(shared > 0, 0, n - 1), (shared == 0) | (size > 0))  # plain tokens as one
-    if (count < 0).any() or (shared < 0).any():
+    if (count < 0).any():
         raise ValueError("no line of packed events")
     of, place = L.spread(count * (wide + 1))
     token, letter = np.divmod(place, wide[of] + 1)
@@ -125,13 +158,29 @@ def _unpack(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) ->
     here = start[of] + token + letter
     new = np.where(letter == wide[of], np.int32(END), coded[np.clip(here, 0, len(coded) - 1)] if len(coded) else np.int32(END))
     x = np.concatenate([L.numbers(before + "_"), new])
-    tokens = L.starts(np.diff(np.flatnonzero(x == END), prepend=-1))  # where tokens begin
-    stop = len(before) + 1 + L.starts(count * (wide + 1))
-    first = np.searchsorted(tokens, stop[:-1]) - shared
+    tokens = np.concatenate([[0], np.flatnonzero(x == END) + 1])
+    return L.encoded(x), L.starts(L.widths(x))[tokens], np.searchsorted(tokens, len(before) + 1 + L.starts(count * (wide + 1)))
+
+
+def _tokens(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the line before holds and what each adds, in UTF-8; where its tokens begin; and how many there are before and behind each line."""
+    if not n.any():
+        return _plain(shared, texts, before)
+    adds = pc.not_equal(texts, "").to_numpy(zero_copy_only=False) | (shared == 0)
+    if (n[adds] == (one := int(n.max()))).all():
+        return _grams(shared, one, texts, before)
+    return _any(shared, n, texts, before)
+
+
+def _unpack(shared: np.ndarray, n: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens in UTF-8, and from where to where those of each line stand."""
+    if (shared < 0).any() or (n < 0).any():
+        raise ValueError("no line of packed events")
+    data, places, stop = _tokens(shared, n, texts, before)
+    first = stop[:-1] - shared
     if (first < 0).any():
         raise ValueError("a line of packed events shares more than there is")
-    places = L.starts(L.widths(x))
-    return L.encoded(x), places[tokens[first]], places[stop[1:] - 1]
+    return data, places[first], places[stop[1:]] - 1
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,7 @@ def write_events(events: DataFrame, path: str, *, compression: str | None = "gzi
 
 def write_packed(lines: DataFrame, path: str) -> None:
     """Gzip files of lines that ``functions.packed`` gives, or ``corpus.packed_ngrams``, as they are laid out."""
-    lines.write.mode("errorifexists").option("compression", "gzip").text(path)
+    lines.write.mode("errorifexists").option("compression", "gzip").option("zlib.compress.level", "FOUR").text(path)
 
 
 def write_arrivals(events: DataFrame, path: str, per_file: int) -> None:
