@@ -96,7 +96,7 @@ def _pack(texts: pa.Array, before: str | None) -> list[pa.Array]:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of (cues, outcomes), tokens joined with ``_``, behind the header.  A tab or line end in a value is an error."""
+    """Lines of (cues, outcomes), tokens joined with ``_``, behind the header; a value holds many.  A tab or line end in a value is an error."""
     before: list[str] | None = None
     for batch in batches:
         sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -107,7 +107,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if before is None:
                 yield pa.RecordBatch.from_pydict({"value": [HEADER]})
             before = [c[-1].as_py() for c in part]
-            yield pa.RecordBatch.from_arrays([lines], ["value"])
+            yield L.page(lines)
 
 
 def _plain(shared: np.ndarray, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ def _lines(texts: pa.Array, most: int, n: int) -> pa.Array:
 
 
 def ngram_lines(most: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines, behind the header, of texts ``#w1#w2#``.
+    """Lines, behind the header, of texts ``#w1#w2#``; a value holds many.
 
     Windows are those of ``text.window_starts``, of up to ``most`` words; cues are their ``text.ngrams`` (``n`` is 2 or 3), repeats included.
     """
@@ -56,6 +56,6 @@ def ngram_lines(most: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 if not begun:
                     yield pa.RecordBatch.from_pydict({"value": [HEADER]})
                     begun = True
-                yield pa.RecordBatch.from_arrays([_lines(texts.slice(low, high - low), most, n)], ["value"])
+                yield L.page(_lines(texts.slice(low, high - low), most, n))
 
     return found

@@ -16,7 +16,7 @@ from cuespark.sources import readers, sinks
 def through(rows: list[tuple[str, str]], per_write: int, per_read: int) -> list[tuple[str, str]]:
     """The rows through lines, in batches of such sizes."""
     batches = (pa.RecordBatch.from_pydict({"cues": [r[0] for r in part], "outcomes": [r[1] for r in part]}) for part in (rows[k : k + per_write] for k in range(0, len(rows), per_write)))
-    lines = [x for b in packed.pack(batches) for x in b.column(0).to_pylist()]
+    lines = [x for b in packed.pack(batches) for value in b.column(0).to_pylist() for x in value.split("\n")]
     assert lines.pop(0) == packed.HEADER
     back = packed.unpack(pa.RecordBatch.from_pydict({"event_id": range(k, k + len(part)), "value": part}) for k, part in ((k, lines[k : k + per_read]) for k in range(0, len(lines), per_read)))
     got = [tuple(r.values()) for b in back for r in b.to_pylist()]
